@@ -32,7 +32,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES)
         with np.errstate(over="ignore"):
-            _powers[:] = [np.multiply.accumulate(np.concatenate(([1], np.full(size - 1, p, dtype=np.uint64))).astype(np.uint64)) for p in (_P, _PINV)]
+            _powers[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, dtype=np.uint64), np.full(size - 1, p, dtype=np.uint64)))) for p in (_P, _PINV)]
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -103,6 +103,14 @@ class Tokens:
             sums = np.zeros(len(raw) + 1, dtype=np.uint64)
             np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
             self.h = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self.sums, self.inverse = sums, inverse
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, fingerprint) of the first n bytes of each token that is longer."""
+        at = np.flatnonzero(self.end - self.start > n)
+        start = self.start[at]
+        with np.errstate(over="ignore"):
+            return self.doc[at], mix((self.sums[start + n] - self.sums[start]) * self.inverse[start] + np.uint64(n << 32))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, fingerprint) of each run of n tokens within one text, in order."""
