@@ -4,13 +4,71 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provlake.llm import packing, url_rules
+from provlake.llm import decontamination, importance, near_duplicates, packing, pseudonyms, rules_list, site_lines, toxicity, url_rules
 from provlake.llm._spark import table
 
 #: (host, path, verdict)
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+#: the key of the pseudonyms; give your own
+PSEUDONYM_KEY = "an example key, to be replaced"
+
+
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").where("quality = 1")
+    return importance.resample(table(spark, sf_dir, "documents"), target)
+
+
+def op3_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.dropped(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT doc_id, coalesce(source, '') AS host, source, text FROM documents),
+t AS (SELECT host, count(DISTINCT coalesce(text, '')) AS total FROM p GROUP BY host),
+l AS (SELECT DISTINCT host, text, trim(line, ' ') AS line FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS line FROM p) WHERE trim(line, ' ') <> ''),
+b AS (SELECT host, list(line) AS lines FROM (SELECT host, line, count(*) AS n FROM l GROUP BY host, line) JOIN t USING (host) WHERE n >= 5 AND n > total * 0.1::DOUBLE GROUP BY host),
+a AS (SELECT doc_id, source, string_split(text, chr(10)) AS every, coalesce(b.lines, []) AS gone FROM p LEFT JOIN b USING (host)),
+k AS (SELECT doc_id, source, every, list_filter(every, lambda x: trim(x, ' ') = '' OR NOT list_contains(gone, trim(x, ' '))) AS kept FROM a)
+SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, coalesce(len(list_filter(every, lambda x: trim(x, ' ') <> '')), 0)::BIGINT AS n_lines, coalesce(len(every) - len(kept), 0)::BIGINT AS n_dropped FROM k
+"""
+
+
+def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules_list.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_prefix_filtered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 12], ' ') AS win, least(13, len(w)) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS p FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+occ AS (SELECT doc_id, p, n, win FROM dw WHERE win IN (SELECT win FROM iw)),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS at FROM occ) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ JOIN iw USING (win)) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.linked(table(spark, sf_dir, "documents"), 85).drop("text_key")
+
+
+def op10_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -40,7 +98,14 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m
 """
 
 QUERIES = {
+    "op1_importance_resampling": op1_importance_resampling,
+    "op3_site_relative_lines": op3_site_relative_lines,
+    "op4_decision_list": op4_decision_list,
+    "op5_prefix_filtered_windows": op5_prefix_filtered_windows,
+    "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
+    "op7_tensored_minhash": op7_tensored_minhash,
     "op8_cost_balanced_packing": op8_cost_balanced_packing,
     "op9_url_range_rules": op9_url_range_rules,
+    "op10_nonnegative_pu_toxicity": op10_nonnegative_pu_toxicity,
 }
-ORACLE_SQL = {"op9_url_range_rules": OP9_SQL}
+ORACLE_SQL = {"op3_site_relative_lines": OP3_SQL, "op5_prefix_filtered_windows": OP5_SQL, "op9_url_range_rules": OP9_SQL}
