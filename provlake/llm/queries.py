@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provlake.llm import decontamination, importance, near_duplicates, packing, pseudonyms, rules_list, site_lines, toxicity, url_rules
+from provlake.llm import decontamination, importance, interpolation, near_duplicates, packing, pseudonyms, rules_list, site_lines, toxicity, url_rules
 from provlake.llm._spark import table
 
 #: (host, path, verdict)
@@ -20,8 +20,12 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), target)
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_lines.dropped(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
+    return site_lines.dropped(table(spark, sf_dir, "documents"))
 
 
 OP3_SQL = r"""
@@ -99,6 +103,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m
 
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
+    "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_site_relative_lines": op3_site_relative_lines,
     "op4_decision_list": op4_decision_list,
     "op5_prefix_filtered_windows": op5_prefix_filtered_windows,

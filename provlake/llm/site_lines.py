@@ -40,15 +40,23 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     return counted.join(totals, "__host").where(F.col("n") > F.col("total") * F.lit(ratio)).groupBy("__host").agg(F.collect_list("line").alias("__lines"))
 
 
-def dropped(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with text rid of boilerplate lines, n_lines (lines not blank) and n_dropped (of these, lines dropped)."""
+def _judged(docs: DataFrame, host: str, ratio: float, min_pages: int) -> DataFrame:
+    """docs with __all, the lines, and __kept, those that stay."""
     found = checkpointed(boilerplate(docs, host, ratio, min_pages))
     if (found.agg(F.sum(F.size("__lines"))).first()[0] or 0) <= BROADCAST_LINES:
         found = F.broadcast(found)
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*names, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host")).join(found, "__host", "left").withColumn("__all", F.split("text", "\n"))
+    joined = docs.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(found, "__host", "left").withColumn("__all", F.split("text", "\n"))
     stays = lambda x: (F.trim(x) == "") | ~F.array_contains("__lines", key_of(x))
-    joined = joined.withColumn("__kept", F.when(F.col("__lines").isNotNull(), F.filter("__all", stays)).otherwise(F.col("__all")))
-    solid = F.coalesce(F.size(F.filter("__all", lambda x: F.trim(x) != "")), F.lit(0))
-    return joined.select(*[F.array_join("__kept", "\n").alias("text") if c == "text" else c for c in names], F.when(F.col("text").isNull(), 0).otherwise(solid).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.size("__all") - F.size("__kept")).cast("long").alias("n_dropped"))
+    return joined.withColumn("__kept", F.when(F.col("__lines").isNotNull(), F.filter("__all", stays)).otherwise(F.col("__all")))
+
+
+def cleaned(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """docs, the same columns, with text rid of boilerplate lines."""
+    return _judged(docs, host, ratio, min_pages).select(*[F.array_join("__kept", "\n").alias("text") if c == "text" else c for c in docs.columns])
 
+
+def dropped(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """doc_id, host, text rid of boilerplate lines, n_lines (lines not blank) and n_dropped (of these, lines dropped)."""
+    solid = F.coalesce(F.size(F.filter("__all", lambda x: F.trim(x) != "")), F.lit(0))
+    n = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c).cast("long")
+    return _judged(docs.select("doc_id", host, "text"), host, ratio, min_pages).select("doc_id", host, F.array_join("__kept", "\n").alias("text"), n(solid).alias("n_lines"), n(F.size("__all") - F.size("__kept")).alias("n_dropped"))

@@ -166,31 +166,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     return model
 
 
-def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """The named columns of docs (all by default), then toxic_score."""
+def score(docs: DataFrame, model: Model, name: str = "toxic_score") -> DataFrame:
+    """docs with a column of scores."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in (columns or docs.columns) if c != "toxic_score"]
-    rows = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    rows = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
 
     def run(batches):
         model = shared.value
         used = model.weights != 0
         for batch in batches_of(batches, "__text"):
-            row, bucket = present(batch.column(len(kept)), used)
+            row, bucket = present(batch.column(batch.num_columns - 1), used)
             z = np.bincount(row, weights=model.weights[bucket].astype(np.float64), minlength=batch.num_rows) + model.bias
             p = 1 / (1 + np.exp(-np.clip(z, -60, 60))) if np.isfinite(model.bias) else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(p)], names=[*kept, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], name])
 
-    fields = [rows.schema[c] for c in kept]
-    return rows.mapInArrow(run, T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("toxic_score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every text."""
-    out = score(docs, fit(docs, labels), ["doc_id"])
+    out = score(docs.select("doc_id", "text"), fit(docs, labels))
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that score below the threshold."""
-    return score(docs, fit(docs, labels)).where(F.col("toxic_score") < THRESHOLD).drop("toxic_score")
+    return score(docs, fit(docs, labels), "__score").where(F.col("__score") < THRESHOLD).drop("__score")
