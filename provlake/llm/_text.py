@@ -82,7 +82,8 @@ def batches_of(batches, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.Reco
 class Tokens:
     """Tokens of a batch of texts: doc (row of each token), start, end (bytes) and h (fingerprint)."""
 
-    def __init__(self, column: pa.Array, fold: np.ndarray = LOWER, separator: np.ndarray = SPACE):
+    def __init__(self, column: pa.Array, fold: np.ndarray = LOWER, separator: np.ndarray = SPACE, apart: tuple[np.ndarray, np.ndarray] | None = None):
+        """apart: two classes of bytes between which a token ends as well."""
         raw, offsets = text_buffers(column)
         self.raw, self.offsets, self.docs = fold[raw], offsets, len(offsets) - 1
         word = np.empty(len(raw) + 2, dtype=bool)
@@ -92,6 +93,9 @@ class Tokens:
         inner = inner[(inner > 0) & (inner < len(raw))]
         cut = np.zeros(len(raw) + 1, dtype=bool)
         cut[inner] = True
+        if apart:
+            one, other = apart[0][raw], apart[1][raw]
+            cut[1:-1] |= (one[:-1] & other[1:]) | (other[:-1] & one[1:])
         edge = word[1:] != word[:-1]
         self.start = np.flatnonzero((edge | cut) & word[1:])
         self.end = np.flatnonzero((edge | cut) & word[:-1])

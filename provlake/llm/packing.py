@@ -14,7 +14,10 @@ of the input are ignored. Very long texts become many full sequences.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm._text import batches_of
+from provlake.llm._text import LOWER, SAME, Tokens, batches_of, text_buffers
 
 MAX_TOKENS = 2048
 END_ID = 1
 BUFFER_SEQUENCES = 512
-CACHE_WORDS = 400_000
+#: words whose ids a worker keeps, over all the tasks it runs
+CACHE_WORDS = 1_000_000
+#: letters and digits of ASCII, and its signs but for the apostrophe, which can belong to a word, and those of special tokens
+_ALNUM, _SIGN = (np.array([x < 128 and f(chr(x)) for x in range(256)]) for f in (str.isalnum, lambda c: "!" <= c <= "~" and not c.isalnum() and c not in "'<|>"))
 #: cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n
 LINEAR = 1.0
 QUADRATIC = 1.0 / 1024
@@ -36,28 +42,53 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Token ids by words. White space never reaches the tokenizer's model, so a text's ids are its words' ids in order."""
+    """Token ids by words. The tokenizer drops white space, lower-cases, and parts letters from
+    signs before its model sees them, so that a text's ids are the ids of its words and runs
+    of signs in order; each distinct one is encoded once."""
 
-    def __init__(self, vocabulary: str):
-        import os
+    kept: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, vocabulary: str) -> Encoder:
+        """The encoder of this worker, with what it has learnt in earlier tasks."""
+        key = hashlib.sha256(vocabulary.encode()).hexdigest()
+        if key not in cls.kept:
+            cls.kept = {key: cls(vocabulary)}
+        return cls.kept[key]
 
+    def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        words = text.encode().split()
-        new = list({w for w in words if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=np.uint32)
-        known = self.known
-        return np.concatenate([*[known[w] for w in words], np.array([END_ID], dtype=np.uint32)])
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}  # a word's fingerprint to its place in start and length
+        self.flat, self.start, self.length = array("I", [END_ID]), array("q", [0]), array("q", [1])  # place 0: the end of a text
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows on end, offsets of the rows)."""
+        special = b"<|" in text_buffers(column)[0].tobytes()  # special tokens are not lower-cased
+        t = Tokens(column, fold=SAME if special else LOWER, apart=(_ALNUM, _SIGN))
+        distinct, first, place = np.unique(t.h, return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > CACHE_WORDS:
+            self.clear()
+        prints = distinct.tolist()
+        new = [i for i, x in enumerate(prints) if x not in self.known]
+        raw, begin, end = t.raw.tobytes(), t.start[first].tolist(), t.end[first].tolist()
+        for i, e in zip(new, self.tokenizer.encode_batch_fast([raw[begin[i] : end[i]].decode() for i in new], add_special_tokens=False), strict=True):
+            ids = e.ids
+            self.known[prints[i]] = len(self.start)
+            self.start.append(len(self.flat))
+            self.length.append(len(ids))
+            self.flat.extend(ids)
+        words = np.fromiter(map(self.known.__getitem__, prints), dtype=np.int64, count=len(prints))[place]
+        words = np.insert(words, t.first[1:], 0)
+        start, length = np.array(self.start)[words], np.array(self.length)[words]
+        ends = np.cumsum(length)
+        ids = np.array(self.flat, dtype=np.uint32)[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
+        return ids, np.concatenate(([0], ends[np.cumsum(t.n + 1) - 1]))
 
 
 def deal(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -91,7 +122,7 @@ def pack(docs: DataFrame, vocabulary_path: str, max_tokens: int = MAX_TOKENS, li
     vocabulary = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches):
-        encoder, task, made = Encoder(vocabulary.value), TaskContext.get().partitionId(), 0
+        encoder, task, made = Encoder.of(vocabulary.value), TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
         held: list[tuple] = []
         tokens = 0
@@ -119,11 +150,12 @@ def pack(docs: DataFrame, vocabulary_path: str, max_tokens: int = MAX_TOKENS, li
             return out
 
         for part in batches_of(batches, "text"):
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                ids = encoder.ids(text or "")
+            every, at = encoder.ids(part.column(1))
+            for k, doc in enumerate(part.column(0).to_pylist()):
+                ids = every[at[k] : at[k + 1]]
                 full = len(ids) // max_tokens
-                for k in range(full):
-                    row(doc, k * max_tokens, ids[k * max_tokens : (k + 1) * max_tokens], len(ids), made, 0, linear * max_tokens + quadratic * max_tokens**2)
+                for j in range(full):
+                    row(doc, j * max_tokens, ids[j * max_tokens : (j + 1) * max_tokens], len(ids), made, 0, linear * max_tokens + quadratic * max_tokens**2)
                     made += 1
                 if len(ids) > full * max_tokens:
                     held.append((doc, full * max_tokens, ids[full * max_tokens :], len(ids)))
