@@ -1,4 +1,1006 @@
-"""All queries over the given tables, with the SQL they are held against."""
+"""All queries over the given tables, with the SQL they are held against.
+
+The tables play parts of the data model: pages are search hits and snapshots, documents
+are source contents (source: run), benchmark and user turns are questions, labels are a
+credibility signal, nation > customer > orders > lineitem is project > question > run >
+finding, and events are a status log.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provlake.functions import rules, text
+from provlake.operators import claims, content, links, provenance, questions, retrieval, urls
+from provlake.sources import entities
+from provlake.streaming import streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(streams.folder(df.sparkSession))
+    return df.checkpoint()
+
+
+# --- SQL pieces that several queries share
+
+STOPS = "[" + ", ".join(f"'{w}'" for w in rules.STOP_WORDS) + "]"
+SQL_AUTHORITY = r"lower(regexp_extract(trim({u}, ' '), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1))"
+SQL_HOST = "regexp_replace(" + SQL_AUTHORITY + r", '^www\.', '')"
+
+
+def q(x: str) -> str:
+    return x.replace("'", "''")
+
+
+def sql_host(u: str = "url") -> str:
+    return SQL_HOST.format(u=u)
+
+
+def sql_tokens(c: str, more_than: int) -> str:
+    return f"list_filter(list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')), lambda w: length(w) > {more_than} AND NOT list_contains({STOPS}, w))"
+
+
+def sql_text(c: str = "html") -> str:
+    out = f"regexp_replace(regexp_replace(coalesce({c}, ''), '{q(content.DROPPED)}', '', 'g'), '{content.TAG}', chr(10), 'g')"
+    for entity, sign in content.ENTITIES:
+        out = f"replace({out}, '{entity}', '{q(sign)}')"
+    out = rf"regexp_replace({out}, '[ \t\r]*(?:\n|  )[ \t\r\n]*', chr(10), 'g')"
+    return rf"regexp_replace(regexp_replace({out}, '^[ \t\r\n]+', ''), '[ \t\r\n]+$', '')"
+
+
+SQL_TITLE = r"trim(regexp_extract({c}, '(?is)<title(?:\s[^>]*)?>([^<]*)</title>', 1), ' ')"
+SQL_HITS = f"hits AS (SELECT page_id, page_id % 7 AS run_id, url, {SQL_TITLE.format(c='html')} AS title, substr({sql_text()}, 1, 300) AS snippet FROM pages)"
+
+
+def sql_domains(name: str, domains: list[str]) -> str:
+    return f"regexp_matches({name}, '(^|\\.)(" + "|".join(d.replace(".", "\\.") for d in domains) + ")$')"
+
+
+def sql_canonical(u: str = "url") -> str:
+    names = ", ".join(f"'{n}'" for n in rules.TRACKING_NAMES)
+    prefixes = " OR ".join(f"starts_with(lower(split_part(p, '=', 1)), '{x}')" for x in rules.TRACKING_PREFIXES)
+    site = f"regexp_replace({SQL_AUTHORITY.format(u=u)}, ':(80|443)$', '')"
+    kept = rf"array_to_string(list_filter(string_split(regexp_extract(trim({u}, ' '), '^[^?#]*\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.') AND NOT (lower(split_part(p, '=', 1)) IN ({names}) OR {prefixes})), '&')"
+    path = f"regexp_replace(regexp_extract(trim({u}, ' '), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/+$', '')"
+    scheme = f"coalesce(nullif(lower(regexp_extract(trim({u}, ' '), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)), ''), 'https')"
+    return f"CASE WHEN {site} = '' THEN '' ELSE {scheme} || '://' || {site} || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END END"
+
+
+def sql_class(u: str, what: int) -> str:
+    name = f"regexp_replace({SQL_AUTHORITY.format(u=u)}, ':[0-9]*$', '')"
+    whens = ""
+    for kind, quality, domains, inner in rules.DOMAIN_RULES:
+        test = sql_domains(name, domains) + "".join(f" OR contains({name}, '.{x}.') OR starts_with({name}, '{x}.')" for x in inner)
+        whens += f" WHEN {test} THEN " + (f"'{kind}'" if what == 0 else f"{quality}::DOUBLE")
+    return f"CASE{whens} ELSE " + (f"'{rules.GENERAL_WEB[0]}'" if what == 0 else f"{rules.GENERAL_WEB[1]}::DOUBLE") + " END"
+
+
+def sql_exclusion(u: str) -> str:
+    name = sql_host(u)
+    whens = f" WHEN coalesce({u}, '') = '' THEN 'empty_url'"
+    for why, domains in rules.EXCLUDED_DOMAINS.items():
+        whens += f" WHEN {sql_domains(name, domains)} THEN '{why}'"
+    for pattern, why in rules.EXCLUDED_PATHS:
+        whens += f" WHEN regexp_matches({u}, '{pattern}') THEN '{why}'"
+    return f"CASE{whens} ELSE 'allowed' END"
+
+
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    """pages as search hits: run_id, title and the first 300 characters of their text."""
+    pages = table(spark, d, "pages")
+    return pages.select("page_id", (F.col("page_id") % 7).alias("run_id"), "url", content.html_title(F.col("html")).alias("title"), F.substring(content.html_text(F.col("html")), 1, 300).alias("snippet"))
+
+
+#: hosts put before the paths of pages, so that policy rules meet rows
+SITES = ["www.reuters.com", "en.wikipedia.org", "github.com/a/b", "x.com", "microsoft.com", "stats.gov.uk", "cs.ox.ac.uk", "m.reddit.com", "calculator.net", "arxiv.org", "investopedia.com/terms", "imf.org", "mckinsey.com", "blog.example.com"]
+SQL_SITES = "[" + ", ".join(f"'{s}'" for s in SITES) + "]"
+SQL_VARIED = f"varied AS (SELECT page_id, 'https://' || {SQL_SITES}[(page_id % {len(SITES)} + 1)::BIGINT] || CASE WHEN page_id % 3 = 0 THEN '/issues/' ELSE '/' END || page_id AS url FROM pages)"
+
+
+def varied(spark: SparkSession, d: str) -> DataFrame:
+    site = F.element_at(text.literal_array(SITES), (F.col("page_id") % len(SITES) + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("https://"), site, F.when(F.col("page_id") % 3 == 0, "/issues/").otherwise("/"), F.col("page_id").cast("string")).alias("url"))
+
+
+# --- A
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def a01_entity_scan(spark, d):
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
+    return spark.read.schema(schema).parquet(f"{d}/orders.parquet")
+
+
+@query(f"WITH {SQL_HITS}, c AS (SELECT page_id, {sql_canonical()} AS url, title, snippet FROM hits) SELECT page_id, url, title, snippet, {SQL_AUTHORITY.format(u='url')} AS publisher, {sql_class('url', 0)} AS source_type, {sql_class('url', 1)} AS credibility FROM c WHERE url <> ''")
+def a02_ingest_hits(spark, d):
+    return entities.ingest_hits(hits(spark, d).drop("run_id"))
+
+
+@query("SELECT page_id, url, strlen(html)::BIGINT AS bytes, sha256(html) AS body_sha256 FROM pages")
+def a03_ingest_pages(spark, d):
+    out = entities.ingest_pages(table(spark, d, "pages"), "html")
+    return out.select("page_id", "url", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("body_sha256"))
+
+
+@query("SELECT conv_id, turn, turn % 5 = 4 AS quarantined, CASE WHEN turn % 5 = 4 THEN NULL ELSE text END AS statement, CASE WHEN turn % 5 = 4 THEN NULL ELSE role END AS finding_type, CASE WHEN turn % 5 = 4 THEN NULL ELSE 0.5::DOUBLE END AS confidence FROM conversations")
+def a04_parse_responses(spark, d):
+    item = F.struct(F.col("text").alias("statement"), F.col("role").alias("finding_type"), F.lit(0.5).alias("confidence"))
+    whole = F.to_json(F.array(item))
+    df = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 5 == 4, F.substring(whole, 2, 20)).otherwise(whole).alias("response"))
+    return entities.parse_responses(df).drop("item")
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k')::DOUBLE, 0.7::DOUBLE) AS k, 0.7::DOUBLE AS missing FROM events")
+def a05_meta_get(spark, d):
+    return table(spark, d, "events").select("event_id", entities.meta_get(F.col("props"), "$.k", 0.70).alias("k"), entities.meta_get(F.col("props"), "$.relevance.score", 0.70).alias("missing"))
+
+
+@query("SELECT source AS run_id, count(*) AS n FROM documents GROUP BY source")
+def a06_write_run(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("run_id"), "n_chars")
+    at = streams.folder(spark)
+    entities.write_run({"contents": docs}, at)
+    entities.write_run({"contents": docs.where("run_id = 'src1'")}, at)  # again, one run only
+    return spark.read.parquet(f"{at}/contents").groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
+def a07_export_summary(spark, d):
+    at = streams.folder(spark) + "/summary"
+    entities.export_summary(table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), at)
+    return spark.read.schema("source string, n long, chars long").json(at)
+
+
+# --- B
+
+
+@query(f"SELECT page_id, {sql_canonical()} AS canonical FROM pages")
+def b01_canonical_url(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
+
+
+SQL_IPS = "ips AS (SELECT l_orderkey, l_linenumber, ((l_orderkey * 7919 + l_linenumber * 104729) * 2654435761) % 4294967296 AS v FROM lineitem), ip AS (SELECT *, (v // 16777216)::VARCHAR || '.' || (v // 65536 % 256)::VARCHAR || '.' || (v // 256 % 256)::VARCHAR || '.' || (v % 256)::VARCHAR AS a FROM ips)"
+
+
+@query(f"WITH {SQL_IPS} SELECT l_orderkey, l_linenumber, 'http://' || a || ':8080/x' AS url, NOT ({' OR '.join(f'v BETWEEN {low} AND {high}' for low, high in urls.blocked_ranges())}) AS safe FROM ip")
+def b02_url_safety(spark, d):
+    v = F.expr("(((l_orderkey * 7919 + l_linenumber * 104729) % 4294967296) * 2654435761) % 4294967296")
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", v.alias("v"))
+    part = lambda k: F.pmod(F.floor(F.col("v") / k), F.lit(256)).cast("string")
+    df = df.select("l_orderkey", "l_linenumber", F.concat(F.lit("http://"), F.concat_ws(".", part(16777216), part(65536), part(256), part(1)), F.lit(":8080/x")).alias("url"))
+    return df.withColumn("safe", urls.url_safety(F.col("url"))["safe"])
+
+
+@query(f"WITH {SQL_VARIED} SELECT page_id, url, {sql_exclusion('url')} AS reason FROM varied")
+def b03_exclusion(spark, d):
+    return varied(spark, d).withColumn("reason", urls.exclusion(F.col("url"))["reason"])
+
+
+@query(f"WITH {SQL_VARIED} SELECT page_id, url, {sql_class('url', 0)} AS source_type, {sql_class('url', 1)} AS quality FROM varied")
+def b04_classify_domain(spark, d):
+    return varied(spark, d).withColumn("c", urls.classify_domain(F.col("url"))).select("page_id", "url", "c.source_type", "c.quality")
+
+
+SQL_ROLE = "CASE WHEN {q} < 0.40 OR {t} IN ('community_forum', 'social_media', 'reference_dictionary', 'reference') THEN 'DISCOVERY_ONLY' WHEN {q} >= 0.85 AND {r} >= 0.40 THEN 'PRIMARY' WHEN {q} >= 0.70 AND {r} >= 0.25 THEN 'SECONDARY' ELSE 'SUPPORTING' END"
+
+
+@query(f"WITH {SQL_VARIED}, c AS (SELECT page_id, {sql_class('url', 0)} AS t, {sql_class('url', 1)} AS q, (page_id % 20)::DOUBLE / 20 AS r FROM varied) SELECT page_id, {SQL_ROLE.format(q='q', t='t', r='r')} AS role FROM c")
+def b05_source_role(spark, d):
+    c = urls.classify_domain(F.col("url"))
+    return varied(spark, d).select("page_id", urls.source_role(c["source_type"], c["quality"], F.col("page_id") % 20 / 20).alias("role"))
+
+
+SUFFIXES = ["", ".pdf", ".html", ".zip", "/"]
+TYPES = ["text/html; charset=utf-8", "", "application/pdf", "application/xml", "image/png", "text/plain"]
+SQL_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
+@query(
+    f"WITH v AS (SELECT page_id, lower(url || {SQL_LIST(SUFFIXES)}[(page_id % 5 + 1)::BIGINT]) AS u, {SQL_LIST(TYPES)}[(page_id % 6 + 1)::BIGINT] AS t FROM pages) SELECT page_id, CASE WHEN "
+    + " OR ".join(f"ends_with(u, '{s}')" for s in rules.BINARY_SUFFIXES) + " THEN 'binary_file_skipped' WHEN t <> '' AND NOT (" + " OR ".join(f"contains(t, '{t}')" for t in rules.TEXT_TYPES) + ") THEN 'unsupported_content_type' ELSE 'ok' END AS guard FROM v"
+)
+def b06_fetch_guard(spark, d):
+    pick = lambda xs: F.element_at(text.literal_array(xs), (F.col("page_id") % len(xs) + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", urls.fetch_guard(F.concat("url", pick(SUFFIXES)), pick(TYPES)).alias("guard"))
+
+
+@query(f"SELECT page_id, {sql_host()} AS host FROM pages")
+def b07_host(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+
+
+# --- C
+
+REGIONS = ["in China and the EU", "for U.S. firms", "across Asia", "in Germany, Japan and India", "for pharma versus biotech", "of large banks"]
+SQL_ASKED = f"asked AS (SELECT conv_id, turn, text || ' ' || {SQL_LIST(REGIONS)}[(conv_id % {len(REGIONS)} + 1)::BIGINT] || ' through 20' || (20 + conv_id % 40)::VARCHAR AS question FROM conversations WHERE role = 'user')"
+
+
+def asked(spark, d):
+    """User turns as questions about regions and years."""
+    region = F.element_at(text.literal_array(REGIONS), (F.col("conv_id") % len(REGIONS) + 1).cast("int"))
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat("text", F.lit(" "), region, F.lit(" through 20"), (20 + F.col("conv_id") % 40).cast("string")).alias("question"))
+
+
+def sql_named(c: str, pairs) -> str:
+    tests = ", ".join(f"CASE WHEN {' OR '.join(f'regexp_matches({c}, {chr(39)}{questions._word(a)}{chr(39)})' for a in words)} THEN '{name}' END" for name, words in pairs)
+    return f"list_filter([{tests}], lambda x: x IS NOT NULL)"
+
+
+def sql_pairs(c: str) -> str:
+    tests = []
+    for name, words, _ in rules.COMPARATIVE_PAIRS:
+        n = " + ".join(f"regexp_matches({c}, '{questions._word(w)}')::INT" for w in words)
+        tests.append(f"CASE WHEN ({n}) >= 2 OR (({n}) >= 1 AND (contains({c}, 'differ') OR contains({c}, 'compare'))) THEN '{name}' END")
+    return f"list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL)"
+
+
+SQL_TIMES = "list_distinct(list_concat(regexp_extract_all(question, '\\b(20[2-5][0-9])\\b', 1), " + ", ".join(f"regexp_extract_all(lower(question), '{p}')" for p in rules.RELATIVE_TIMES) + "))"
+
+
+@query(f"WITH {SQL_ASKED} SELECT conv_id, turn, array_to_string(list_sort({SQL_TIMES}), '|') AS temporal, array_to_string({sql_named('lower(question)', rules.GEOGRAPHIES)}, '|') AS geographic, array_to_string({sql_pairs('lower(question)')}, '|') AS comparative, {' OR '.join(f'contains(lower(question), {chr(39)}{t}{chr(39)})' for t in rules.COMPARATIVE_TERMS)} AS is_comparative FROM asked")
+def c01_constraints(spark, d):
+    out = questions.extract_constraints(asked(spark, d))
+    return out.select("conv_id", "turn", F.array_join(F.array_sort("temporal"), "|").alias("temporal"), F.array_join("geographic", "|").alias("geographic"), F.array_join("comparative", "|").alias("comparative"), "is_comparative")
+
+
+def sql_clean(c: str) -> str:
+    out = c
+    for x in rules.QUESTION_PREFIXES:
+        out = rf"trim(regexp_replace(trim(regexp_replace({out}, '(?i)^{x}\s+', ''), ' '), '(?i),?\s*{x}\s+', ' ', 'g'), ' ')"
+    out = f"trim(regexp_replace({out}, '[?!]+$', ''), ' ')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '[^\p{{L}}\p{{N}}_\s\-'']', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
+
+
+def sql_queries(source: str, keys: str) -> str:
+    """Steps b (base query) and t (terms) over `source`(keys, question)."""
+    return f"""b0 AS (SELECT {keys}, question, {sql_clean('question')} AS c FROM {source}),
+b1 AS (SELECT *, CASE WHEN length(c) > 90 THEN regexp_replace(substr(c, 1, 90), ' [^ ]*$', '') ELSE c END AS k FROM b0),
+b AS (SELECT {keys}, CASE WHEN length(k) >= 5 THEN k ELSE substr(question, 1, 90) END AS base FROM b1),
+t AS (SELECT *, list_filter(regexp_extract_all(lower(base), '[a-z0-9]+(?:-[a-z0-9]+)*'), lambda w: length(w) > 2 AND NOT list_contains({STOPS}, w)) AS terms FROM b),
+v AS (SELECT *, array_to_string(terms[1:6], ' ') || ' analysis' AS variant FROM t),
+qs AS (SELECT {keys}, 0 AS pos, base AS query FROM v UNION ALL SELECT {keys}, 1, variant FROM v WHERE len(terms) >= 4 AND variant <> base)"""
+
+
+def sql_concepts(c: str) -> str:
+    """All concepts of a text, in order, repeats included."""
+    low = "lambda x: lower(trim(x, ' '))"
+    phrases = rf"list_filter(list_transform(regexp_extract_all({c}, '\b([A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+)+)\b', 1), {low}), lambda x: length(x) > 3)"
+    acronyms = rf"list_filter(list_transform(regexp_extract_all({c}, '\b([A-Z]{{2,6}})\b', 1), {low}), lambda x: NOT list_contains({STOPS}, x))"
+    compounds = rf"list_transform(regexp_extract_all({c}, '\b([a-zA-Z0-9]+-[a-zA-Z0-9]+(?:-[a-zA-Z0-9]+)*)\b', 1), {low})"
+    words = f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({STOPS}, w))"
+    return f"list_concat(list_concat({phrases}, {acronyms}), list_concat({compounds}, {words}))"
+
+
+def planned(spark, d):
+    subs = F.array(F.lit("What is the demand?"), F.lit("How do costs develop in China?"))
+    return asked(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("run_id"), "question", subs.alias("sub_questions"))
+
+
+@query(None)
+def c02_augment_questions(spark, d):
+    return questions.augment_questions(planned(spark, d), 4).select("run_id", F.posexplode("sub_questions").alias("pos", "question"))
+
+
+@query(None)
+def c03_constraint_summary(spark, d):
+    out = questions.constraint_summary(questions.augment_questions(planned(spark, d), 4))
+    return out.select("run_id", "temporal_preserved", "geographic_preserved", "is_comparative", "n_questions")
+
+
+@query(f"WITH {SQL_ASKED}, s AS (SELECT conv_id, turn, {SQL_LIST([x.capitalize() for x in rules.QUESTION_PREFIXES])}[(conv_id % {len(rules.QUESTION_PREFIXES)} + 1)::BIGINT] || ' ' || question || '?!' AS question FROM asked), {sql_queries('s', 'conv_id, turn')} SELECT conv_id, turn, base AS query FROM b")
+def c04_clean_query(spark, d):
+    starts = F.element_at(text.literal_array(rules.QUESTION_PREFIXES), (F.col("conv_id") % len(rules.QUESTION_PREFIXES) + 1).cast("int"))
+    return asked(spark, d).select("conv_id", "turn", text.clean_query(F.concat(F.upper(F.substring(starts, 1, 1)), F.substring(starts, 2, 100), F.lit(" "), F.col("question"), F.lit("?!"))).alias("query"))
+
+
+def benchmark_questions(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+@query(f"WITH a AS (SELECT item_id AS query_id, coalesce(text, '') AS question FROM benchmark), {sql_queries('a', 'query_id')} SELECT query_id, pos, query FROM qs")
+def c05_focused_queries(spark, d):
+    return questions.focused_queries(benchmark_questions(spark, d))
+
+
+@query(f"WITH a AS (SELECT conv_id AS run_id, turn AS sequence_number, coalesce(text, '') AS question FROM conversations WHERE role = 'user'), {sql_queries('a', 'run_id, sequence_number')} SELECT run_id, sequence_number, pos, query FROM qs")
+def c06_query_plan(spark, d):
+    subs = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("sequence_number"), F.col("text").alias("question"))
+    return questions.query_plan(subs)
+
+
+@query(r"WITH b AS (SELECT item_id AS query_id, regexp_replace(trim(text, ' '), '[?.!]+$', '') AS s FROM benchmark) SELECT query_id, 1 AS sequence_number, 'What is the current state of ' || s || '?' AS question FROM b UNION ALL SELECT query_id, 2, 'What evidence supports or contradicts ' || s || '?' FROM b UNION ALL SELECT query_id, 3, 'What are the risks and limits of ' || s || '?' FROM b")
+def c07_expand_questions(spark, d):
+    return questions.expand_questions(benchmark_questions(spark, d))
+
+
+@query(f"WITH l AS (SELECT doc_id, {sql_concepts('text')} AS l FROM documents) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:10], '|') AS concepts FROM l")
+def c08_key_concepts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.key_concepts(F.col("text")), "|").alias("concepts"))
+
+
+@query(f"SELECT doc_id, len({sql_tokens('text', 2)})::BIGINT AS n_tokens, sha256(array_to_string(list_sort({sql_tokens('text', 2)}), ' ')) AS tokens_sha256 FROM documents")
+def c09_tokens(spark, d):
+    toks = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text"), 2).alias("t"))
+    return toks.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.array_sort("t"), " "), 256).alias("tokens_sha256"))
+
+
+# --- D
+
+SQL_RETRIEVED = f"""
+q AS (SELECT item_id AS query_id, unnest({sql_tokens('text', 2)}) AS token FROM benchmark),
+c AS (SELECT doc_id, unnest({sql_tokens('text', 2)}) AS token FROM documents WHERE doc_id IS NOT NULL),
+h AS (SELECT query_id, doc_id, count(*) AS hits FROM q JOIN c USING (token) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id)::INT AS rank FROM h)"""
+
+
+@query(f"WITH {SQL_RETRIEVED} SELECT query_id, doc_id, hits, rank FROM r WHERE rank <= 5")
+def d01_retrieve(spark, d):
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.retrieve(queries, table(spark, d, "documents").select("doc_id", "text"))
+
+
+def scored(spark, d):
+    """Every hit against the question of its run: the title of the run's first page."""
+    h = hits(spark, d)
+    asked_by = h.groupBy("run_id").agg(F.min_by("title", "page_id").alias("query"))
+    return retrieval.score(h.join(F.broadcast(asked_by), "run_id").withColumns({"sub_question": F.lit(""), "ord": F.col("page_id")}))  # seven runs
+
+
+SQL_SCORED = f"""{SQL_HITS}, q AS (SELECT run_id, min_by(title, page_id) AS query FROM hits GROUP BY run_id),
+t AS (SELECT hits.*, query, {sql_tokens('query', 2)} AS qt, {sql_tokens('title', 1)} AS tt, {sql_tokens('snippet', 1)} AS st, lower(coalesce(title, '')) || ' ' || lower(coalesce(snippet, '')) AS doc FROM hits JOIN q USING (run_id)),
+m AS (SELECT *, CASE WHEN len(qt) > 0 AND len(tt) > 0 THEN least(1.0::DOUBLE, len(list_intersect(qt, tt)) / len(qt)::DOUBLE * 1.2::DOUBLE) ELSE 0.0::DOUBLE END AS title_match, CASE WHEN len(qt) > 0 AND len(st) > 0 THEN least(1.0::DOUBLE, len(list_intersect(qt, st)) / len(qt)::DOUBLE * 1.1::DOUBLE) ELSE 0.0::DOUBLE END AS snippet_match, 0.7::DOUBLE AS quality FROM t)"""
+
+
+@query(f"WITH {SQL_SCORED} SELECT page_id, run_id, round(title_match, 4) AS title_match, round(snippet_match, 4) AS snippet_match, quality AS domain_quality FROM m")
+def d02_score(spark, d):
+    return scored(spark, d).select("page_id", "run_id", "title_match", "snippet_match", "domain_quality")
+
+
+SQL_RELEVANCE = f"""{SQL_SCORED}, l AS (SELECT *, {sql_concepts("query || ' '")} AS every FROM m),
+c AS (SELECT *, list_filter(every, lambda x, i: list_position(every, x) = i)[1:10] AS concepts FROM l),
+r AS (SELECT page_id, run_id, quality, round(least(1.0::DOUBLE, 0.35::DOUBLE * title_match + 0.30::DOUBLE * snippet_match + 0.20::DOUBLE * CASE WHEN len(concepts) > 0 THEN len(list_filter(concepts, lambda x: contains(doc, x)))::DOUBLE / len(concepts) ELSE 0 END + 0.15::DOUBLE * quality), 4) AS relevance_score FROM c)"""
+
+
+@query(f"WITH {SQL_RELEVANCE} SELECT page_id, run_id, relevance_score, {SQL_ROLE.format(q='quality', t=chr(39) + 'general_web' + chr(39), r='relevance_score')} AS source_role FROM r WHERE relevance_score >= 0.15")
+def d03_filter_relevant(spark, d):
+    return retrieval.filter_relevant(scored(spark, d)).select("page_id", "run_id", "relevance_score", "source_role")
+
+
+@query(f"WITH {SQL_HITS}, c AS (SELECT run_id, page_id, {sql_canonical()} AS canonical FROM hits), r AS (SELECT *, row_number() OVER (PARTITION BY run_id, canonical ORDER BY page_id) AS n FROM c WHERE canonical <> '') SELECT run_id, page_id, canonical FROM r WHERE n = 1")
+def d04_dedup_urls(spark, d):
+    return retrieval.dedup_urls(hits(spark, d), "run_id", ["page_id"]).select("run_id", "page_id", "canonical")
+
+
+@query(f"WITH {SQL_HITS}, t AS (SELECT page_id, {sql_host()} AS p, lower(trim(title, ' ')) AS t FROM hits), gone AS (SELECT DISTINCT b.page_id FROM t a JOIN t b ON a.p = b.p AND a.page_id < b.page_id AND (a.t = b.t OR 1 - levenshtein(a.t, b.t)::DOUBLE / greatest(length(a.t), length(b.t)) >= 0.85::DOUBLE) WHERE a.p <> '') SELECT page_id, p AS publisher FROM t WHERE page_id NOT IN (SELECT page_id FROM gone)")
+def d05_dedup_titles(spark, d):
+    titled = hits(spark, d).select(F.col("page_id").alias("id"), urls.host(F.col("url")).alias("publisher"), "title")
+    return retrieval.dedup_titles(titled).select(F.col("id").alias("page_id"), "publisher")
+
+
+def ranked_pages(spark, d):
+    """Hits in the order of a score that SQL has as well: words of the title."""
+    return hits(spark, d).select("run_id", "page_id", "url", (F.length("title") * 1.0).alias("relevance_score"), F.col("page_id").alias("ord"))
+
+
+SQL_SELECTED = f"{SQL_HITS}, s AS (SELECT run_id, page_id, url, length(title) AS score, {sql_host()} AS host FROM hits), c AS (SELECT *, row_number() OVER (PARTITION BY run_id, host ORDER BY score DESC, page_id) AS n FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, page_id)::INT AS rank FROM c WHERE n <= 2)"
+
+
+@query(f"WITH {SQL_SELECTED} SELECT run_id, page_id, url, rank FROM r WHERE rank <= 12")
+def d06_select_sources(spark, d):
+    return retrieval.select_sources(ranked_pages(spark, d), "run_id").select("run_id", "page_id", "url", "rank")
+
+
+@query(f"WITH {SQL_HITS} SELECT run_id, page_id, row_number() OVER (PARTITION BY run_id, {sql_host()} ORDER BY page_id) <= 2 AS accepted FROM hits")
+def d07_diversity_split(spark, d):
+    return retrieval.diversity_split(hits(spark, d), "run_id", ["page_id"]).select("run_id", "page_id", "accepted")
+
+
+@query(f"WITH {SQL_SELECTED} SELECT s.run_id, s.page_id, CASE WHEN r.page_id IS NOT NULL THEN 'ELIGIBLE' ELSE 'REJECTED' END AS lifecycle_state, CASE WHEN r.page_id IS NOT NULL THEN '' ELSE 'RANK_BELOW_TOP_N' END AS audit_reason FROM s LEFT JOIN (SELECT * FROM r WHERE rank <= 12) r ON s.run_id = r.run_id AND s.page_id = r.page_id")
+def d08_source_audit(spark, d):
+    rows = ranked_pages(spark, d).withColumns({"is_hard_excluded": F.lit(False), "exclusion_reason": F.lit("")})
+    return retrieval.source_audit(rows, "run_id").select("run_id", "page_id", "lifecycle_state", "audit_reason")
+
+
+@query(f"WITH {SQL_VARIED}, e AS (SELECT page_id, {sql_exclusion('url')} AS reason FROM varied) SELECT page_id, CASE reason {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in rules.AUDIT_LABELS.items())} ELSE upper(reason) END AS label FROM e")
+def d09_audit_label(spark, d):
+    return varied(spark, d).select("page_id", retrieval.audit_label(urls.exclusion(F.col("url"))["reason"]).alias("label"))
+
+
+@query(f"WITH {SQL_VARIED}, c AS (SELECT page_id % 7 AS run_id, {sql_class('url', 0)} AS source_type, {sql_host()} AS host FROM varied), u AS (SELECT run_id, count(DISTINCT host) AS unique_domains FROM c GROUP BY run_id) SELECT run_id, source_type, count(*) AS n, any_value(unique_domains) AS unique_domains FROM c JOIN u USING (run_id) GROUP BY run_id, source_type")
+def d10_source_mix(spark, d):
+    return retrieval.source_mix(varied(spark, d).withColumn("run_id", F.col("page_id") % 7), "run_id")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type <> 'error') AS succeeded, count(*) FILTER (WHERE event_type = 'error') AS failed, coalesce(string_agg(event_id::VARCHAR || ': error', '|' ORDER BY event_id) FILTER (WHERE event_type = 'error'), '') AS warnings FROM events GROUP BY user_id")
+def d11_search_stats(spark, d):
+    ev = table(spark, d, "events").withColumn("err", F.when(F.col("event_type") == "error", F.col("event_type")))
+    return retrieval.search_stats(ev, "user_id", "event_id", "err").withColumn("warnings", F.array_join("warnings", "|"))
+
+
+# --- E
+
+
+@query(f"SELECT page_id, coalesce(nullif({SQL_TITLE.format(c='html')}, ''), url) AS title, {sql_text()} AS content FROM pages")
+def e01_extract_text(spark, d):
+    return content.extract_text(table(spark, d, "pages")).select("page_id", "title", "content")
+
+
+@query(None)
+def e01_extract_text_parser(spark, d):
+    return content.extract_text(table(spark, d, "pages"), "parser").select("page_id", "title", "content")
+
+
+SQL_WORDS = r"len(regexp_extract_all(coalesce({c}, ''), '[^ \t\r\n]+'))"
+
+
+@query(f"WITH w AS (SELECT doc_id, text, {SQL_WORDS.format(c='text')} AS n FROM documents) SELECT doc_id, CASE WHEN n = 0 THEN 'empty_content' WHEN n < 30 THEN 'insufficient_content (' || n || ' words < 30)' WHEN regexp_matches(lower(substr(text, 1, 500)), '{'|'.join(rules.ERROR_PAGE_PHRASES)}') THEN 'error_or_login_page' ELSE 'valid' END AS reason FROM w")
+def e02_validate_content(spark, d):
+    return table(spark, d, "documents").select("doc_id", content.validate_content(F.col("text"))["reason"].alias("reason"))
+
+
+@query(f"SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, {SQL_WORDS.format(c='text')}::BIGINT AS word_count FROM documents")
+def e03_fingerprint(spark, d):
+    return content.fingerprint(table(spark, d, "documents")).select("doc_id", "content_hash", "word_count")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+def e04_dup_content(spark, d):
+    return content.dup_content(content.fingerprint(table(spark, d, "documents")))
+
+
+STATUS = [200, 403, 200, 500, 0]
+SQL_SNAPS = f"snaps AS (SELECT page_id, nullif([200, 403, 200, 500, 0][(page_id % 5 + 1)::BIGINT], 0) AS http_status, CASE page_id % 5 WHEN 0 THEN NULL WHEN 2 THEN CASE WHEN page_id % 2 = 0 THEN 'content_validation_failed' END WHEN 4 THEN 'timeout' ELSE 'http_error' END AS failure_type, CASE WHEN page_id % 5 IN (0, 2) THEN html ELSE '' END AS content FROM pages WHERE page_id % 11 <> 0)"
+
+
+def snapshots(spark, d):
+    """A fetch log with every kind of outcome; one page in eleven has no entry, as a fetch that never came back."""
+    k = F.col("page_id") % 5
+    kind = F.when(k == 2, F.when(F.col("page_id") % 2 == 0, "content_validation_failed")).when(k == 4, "timeout").when(k != 0, "http_error")
+    code = F.nullif(F.element_at(F.array(*[F.lit(s) for s in STATUS]), (k + 1).cast("int")), F.lit(0))
+    return table(spark, d, "pages").where("page_id % 11 <> 0").select("page_id", code.alias("http_status"), kind.alias("failure_type"), F.when(k.isin(0, 2), F.col("html")).otherwise("").alias("content"))
+
+
+SQL_OUTCOME = f"{SQL_SNAPS}, o AS (SELECT p.page_id, p.page_id % 7 AS run_id, http_status, failure_type, content, coalesce(failure_type IS NULL AND trim(coalesce(content, ''), ' ') <> '', false) AS ok FROM pages p LEFT JOIN snaps s ON p.page_id = s.page_id), s AS (SELECT page_id, run_id, CASE WHEN ok THEN 'EVIDENCE_ELIGIBLE' ELSE 'FETCH_FAILED' END AS lifecycle_state, CASE WHEN ok THEN NULL WHEN http_status NOT BETWEEN 200 AND 299 THEN 'HTTP_' || http_status ELSE 'FETCH_FAILED_' || upper(coalesce(failure_type, 'empty_content')) END AS state_reason FROM o)"
+
+
+def outcomes(spark, d):
+    sources = table(spark, d, "pages").select("page_id", (F.col("page_id") % 7).alias("run_id"))
+    return content.fetch_outcome(sources, snapshots(spark, d), "page_id")
+
+
+@query(f"WITH {SQL_OUTCOME} SELECT page_id, lifecycle_state, state_reason FROM s")
+def e05_fetch_outcome(spark, d):
+    return outcomes(spark, d).select("page_id", "lifecycle_state", "state_reason")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 AND event_id % 3 = 0 THEN 'timeout' WHEN event_id % 4 = 0 AND event_id % 3 = 1 THEN 'connection_error' ELSE 'http_error' END AS failure, CASE WHEN event_id % 4 = 0 THEN true ELSE NOT [401, 403, 500, 429][(event_id % 4 + 1)::BIGINT] IN (401, 403, 404, 410, 429) END AS retry FROM events")
+def e06_failure_type(spark, d):
+    k = F.col("event_id") % 4
+    code = F.when(k != 0, F.element_at(F.array(*[F.lit(x) for x in (401, 403, 500, 429)]), (k + 1).cast("int")))
+    error = F.element_at(text.literal_array(["Read Timeout", "could not connect", "reset"]), (F.col("event_id") % 3 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", content.failure_type(code, error).alias("failure"), content.retryable(code).alias("retry"))
+
+
+@query(f"WITH {SQL_OUTCOME} SELECT page_id FROM s WHERE lifecycle_state = 'EVIDENCE_ELIGIBLE'")
+def e07_eligible(spark, d):
+    return content.eligible(table(spark, d, "pages").select("page_id"), outcomes(spark, d), "page_id")
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 'REJECTED' END, CASE o_orderstatus WHEN 'F' THEN 'EVIDENCE_ELIGIBLE' WHEN 'O' THEN 'FETCH_FAILED' ELSE 'DISCOVERED' END) AS shown FROM orders")
+def e08_lifecycle_status(spark, d):
+    state = F.when(F.col("o_orderkey") % 4 == 0, "rejected")
+    extraction = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed")
+    return table(spark, d, "orders").select("o_orderkey", content.lifecycle_status(state, extraction).alias("shown"))
+
+
+@query(f"WITH {SQL_OUTCOME} SELECT run_id, lifecycle_state, state_reason, count(*) AS n FROM s GROUP BY ALL")
+def e09_lifecycle_breakdown(spark, d):
+    return content.lifecycle_breakdown(outcomes(spark, d), "run_id")
+
+
+# --- F
+
+
+@query("WITH r AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3 AS batch FROM documents) SELECT source, doc_id, batch::BIGINT AS batch FROM r")
+def f01_pack_batches(spark, d):
+    return claims.pack_batches(table(spark, d, "documents"), "source", ["doc_id"]).select("source", "doc_id", "batch")
+
+
+@query("WITH r AS (SELECT source, doc_id, lang, text, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3 AS batch FROM documents), g AS (SELECT source, batch, count(*) AS n FROM r GROUP BY ALL) SELECT r.source, r.batch::BIGINT AS batch, any_value(n)::INT AS n_sources, string_agg('SOURCE ' || doc_id || ': ' || lang || chr(10) || substr(text, 1, CASE WHEN n = 1 THEN 8000 ELSE 6000 END), chr(10) || chr(10) ORDER BY doc_id) AS prompt FROM r JOIN g ON r.source = g.source AND r.batch = g.batch GROUP BY r.source, r.batch")
+def f02_assemble_batches(spark, d):
+    docs = table(spark, d, "documents").select("source", "doc_id", F.col("lang").alias("title"), F.col("text").alias("content"))
+    return claims.assemble_batches(docs, "source", "doc_id")
+
+
+SQL_CLAIMS = r"claims AS (SELECT doc_id, source AS run_id, seq, substr(x, 1, 150) AS statement, x AS excerpt, CASE WHEN seq = 1 THEN 'fact' ELSE 'risk' END AS finding_type, CASE WHEN seq = 1 THEN 'high' ELSE 'medium' END AS importance, CASE WHEN seq = 1 THEN 0.88::DOUBLE ELSE 0.82::DOUBLE END AS confidence, CASE WHEN seq = 1 THEN 0.95::DOUBLE ELSE 0.90::DOUBLE END AS relevance, doc_id * 2 + seq - 1 AS claim_id FROM (SELECT doc_id, source, unnest(s[1:2]) AS x, unnest(range(1, least(2, len(s)) + 1))::INT AS seq FROM (SELECT doc_id, source, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.\n]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 20) AS s FROM documents)))"
+
+
+@query(f"WITH {SQL_CLAIMS} SELECT doc_id, seq, statement, excerpt, finding_type, importance, confidence, relevance FROM claims")
+def f03_extract_claims(spark, d):
+    return claims.extract_claims(table(spark, d, "documents"))
+
+
+@query(r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 30)[1] AS x FROM documents) SELECT doc_id, 1 AS seq, substr(x, 1, 200) AS statement, 'fact' AS finding_type, 0.60::DOUBLE AS confidence FROM l WHERE x IS NOT NULL")
+def f03_extract_first_line(spark, d):
+    return claims.extract_claims(table(spark, d, "documents"), "line").select("doc_id", "seq", "statement", "finding_type", "confidence")
+
+
+def all_claims(spark, d):
+    """Claims of all documents: run_id is the source, claim_id comes from document and place."""
+    found = claims.extract_claims(table(spark, d, "documents"))
+    runs = table(spark, d, "documents").select("doc_id", F.col("source").alias("run_id"))
+    return found.join(runs, "doc_id").withColumns({"claim_id": F.col("doc_id") * 2 + F.col("seq") - 1, "source_id": F.col("doc_id")})
+
+
+@query(f"WITH {SQL_CLAIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY confidence DESC, claim_id) AS n FROM claims) SELECT run_id, claim_id FROM r WHERE n <= 5")
+def f04_cap_per_source(spark, d):
+    return claims.cap_per(all_claims(spark, d), "run_id", [F.desc("confidence"), "claim_id"], 5).select("run_id", "claim_id")
+
+
+@query(f"WITH {SQL_CLAIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY claim_id) AS n FROM claims) SELECT run_id, claim_id FROM r WHERE n <= 40")
+def f18_cap_claims(spark, d):
+    return claims.cap_per(all_claims(spark, d), "run_id", ["claim_id"], 40).select("run_id", "claim_id")
+
+
+@query("WITH c AS (SELECT l_orderkey AS batch, l_linenumber AS n, CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE l_partkey END AS source_id, CASE WHEN l_linenumber % 2 = 0 THEN 'u' || l_partkey ELSE 'none' END AS source_url FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS batch, l_partkey AS source_id, 'u' || l_partkey AS url FROM lineitem), o AS (SELECT batch, count(*) AS k, min(source_id) AS only_id FROM b GROUP BY batch) SELECT c.batch, c.n, CASE WHEN bi.source_id IS NOT NULL THEN c.source_id WHEN bu.source_id IS NOT NULL THEN bu.source_id WHEN k = 1 THEN only_id END AS resolved_id FROM c LEFT JOIN b bi ON c.batch = bi.batch AND c.source_id = bi.source_id LEFT JOIN b bu ON c.batch = bu.batch AND c.source_url = bu.url LEFT JOIN o ON c.batch = o.batch")
+def f05_resolve_source(spark, d):
+    items = table(spark, d, "lineitem")
+    name = F.concat(F.lit("u"), F.col("l_partkey").cast("string"))
+    made = items.select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("n"), F.when(F.col("l_linenumber") % 3 == 0, -1).otherwise(F.col("l_partkey")).alias("source_id"), F.when(F.col("l_linenumber") % 2 == 0, name).otherwise("none").alias("source_url"))
+    batch = items.select(F.col("l_orderkey").alias("batch"), F.col("l_partkey").alias("source_id"), name.alias("url")).distinct()
+    return claims.resolve_source(made, batch).select("batch", "n", "resolved_id")
+
+
+@query(f"WITH {SQL_CLAIMS}, p AS (SELECT claim_id, CASE WHEN claim_id % 10 = 0 THEN 'Evidence from ' || statement || ' indicates' WHEN claim_id % 10 = 1 THEN ' ' ELSE statement END AS s FROM claims) SELECT claim_id, trim(s, ' ') = '' OR regexp_matches(trim(s, ' '), '(?i)^(?:{'|'.join(rules.TEMPLATE_PHRASES)})') AS template FROM p")
+def f06_is_template(spark, d):
+    k = F.col("claim_id") % 10
+    s = F.when(k == 0, F.concat(F.lit("Evidence from "), F.col("statement"), F.lit(" indicates"))).when(k == 1, " ").otherwise(F.col("statement"))
+    return all_claims(spark, d).select("claim_id", claims.is_template(s).alias("template"))
+
+
+@query(f"WITH {SQL_CLAIMS}, p AS (SELECT claim_id, doc_id - claim_id % 4 // 3 AS source_id, trim(excerpt, ' ') AS e FROM claims) SELECT claim_id, coalesce(e <> '' AND (contains(text, e) OR contains(text, substr(e, 1, 100))), false) AS grounded FROM p LEFT JOIN documents ON p.source_id = documents.doc_id")
+def f07_ground(spark, d):
+    moved = all_claims(spark, d).withColumn("source_id", F.col("doc_id") - F.floor(F.col("claim_id") % 4 / 3))
+    contents = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("content"))
+    return claims.ground(moved, contents).select("claim_id", "grounded")
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{text.RANGE}')) AS n_ranges, len(regexp_extract_all(text, '{text.PERCENTAGE}')) AS n_percentages, len(regexp_extract_all(text, '{text.CURRENCY}')) AS n_currencies, len(regexp_extract_all(text, '{text.RATIO}')) AS n_ratios FROM documents")
+def f08_numeric_claims(spark, d):
+    c = table(spark, d, "documents").select("doc_id", text.numeric_claims(F.col("text")).alias("c"))
+    return c.select("doc_id", *[F.size(f"c.{n}").cast("long").alias(f"n_{n}") for n in ("ranges", "percentages", "currencies", "ratios")])
+
+
+SQL_PRICED = "priced AS (SELECT l_orderkey, l_linenumber, 'from ' || (l_quantity)::INT || ' to ' || (l_linenumber * 10) || ' percent in ' || l_suppkey AS statement, 'between ' || (l_quantity)::INT || ' and ' || (l_linenumber * 10) || ' of ' || l_partkey AS excerpt FROM lineitem)"
+
+
+def priced(spark, d):
+    whole = F.col("l_quantity").cast("int").cast("string")
+    tens = (F.col("l_linenumber") * 10).cast("string")
+    s = F.concat(F.lit("from "), whole, F.lit(" to "), tens, F.lit(" percent in "), F.col("l_suppkey").cast("string"))
+    e = F.concat(F.lit("between "), whole, F.lit(" and "), tens, F.lit(" of "), F.col("l_partkey").cast("string"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s.alias("statement"), e.alias("excerpt"))
+
+
+@query(rf"WITH {SQL_PRICED}, x AS (SELECT *, regexp_extract(statement, 'from (\d+)', 1)::INT > regexp_extract(statement, 'to (\d+)', 1)::INT AS inverted, list_filter(list_distinct(regexp_extract_all(statement, '\b\d+(?:\.\d+)?\b')), lambda n: NOT list_contains(regexp_extract_all(excerpt, '\b\d+(?:\.\d+)?\b'), n) AND n::DOUBLE > 4) AS lost FROM priced) SELECT l_orderkey, l_linenumber, NOT inverted AND len(lost) = 0 AS ok, inverted::INT AS n_inverted, len(lost)::INT AS n_ungrounded FROM x")
+def f09_numeric_guard(spark, d):
+    g = priced(spark, d).select("l_orderkey", "l_linenumber", claims.numeric_guard(F.col("statement"), F.col("excerpt")).alias("g"))
+    return g.select("l_orderkey", "l_linenumber", "g.ok", F.size("g.inverted").alias("n_inverted"), F.size("g.ungrounded").alias("n_ungrounded"))
+
+
+@query(rf"WITH {SQL_PRICED} SELECT l_orderkey, l_linenumber, array_to_string(list_transform(regexp_extract_all(statement, '{text.NUMBER}'), lambda x: regexp_replace(regexp_replace(lower(x), '\s+', '', 'g'), '[.,]+$', '')), '|') AS numbers FROM priced")
+def f10_numbers(spark, d):
+    return priced(spark, d).select("l_orderkey", "l_linenumber", F.array_join(text.numbers(F.col("statement")), "|").alias("numbers"))
+
+
+def _sql_normal(c: str) -> str:
+    out = rf"regexp_replace(trim(lower({c}), ' '), '^[\s\d\-.*•\"''\[\]()]+', '')"
+    for h in rules.HEDGES:
+        out = rf"trim(regexp_replace({out}, '^{h}\s+', ''), ' ')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '[^\p{{L}}\p{{N}}_\s%$\-:]', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
+
+
+def _sql_stem(w: str) -> str:
+    return f"CASE {' '.join(f'WHEN length({w}) > 4 AND ends_with({w}, {chr(39)}{s}{chr(39)}) THEN substr({w}, 1, length({w}) - {len(s)})' for s in rules.STEM_SUFFIXES)} ELSE {w} END"
+
+
+def _sql_statement_tokens(c: str) -> str:
+    return rf"list_distinct(list_transform(list_filter(regexp_extract_all({_sql_normal(c)}, '[a-z0-9%$:\-]+'), lambda w: length(w) > 1 AND NOT list_contains({STOPS}, w)), lambda w: {_sql_stem('w')}))"
+
+
+@query(f"WITH {SQL_CLAIMS} SELECT claim_id, {_sql_normal(chr(39) + '- Studies show that ' + chr(39) + ' || statement')} AS normal FROM claims")
+def f11_normalize_statement(spark, d):
+    return all_claims(spark, d).select("claim_id", text.normalize_statement(F.concat(F.lit("- Studies show that "), F.col("statement"))).alias("normal"))
+
+
+@query(f"WITH {SQL_CLAIMS} SELECT claim_id, array_to_string(list_sort({_sql_statement_tokens('statement')}), ' ') AS tokens FROM claims")
+def f12_statement_tokens(spark, d):
+    return all_claims(spark, d).select("claim_id", F.array_join(F.array_sort(text.statement_tokens(F.col("statement"))), " ").alias("tokens"))
+
+
+SQL_PAIRS = f"""{SQL_CLAIMS}, u AS (SELECT run_id, lower(trim(statement, ' ')) AS folded, min(claim_id) AS claim_id, min_by(statement, claim_id) AS statement FROM claims GROUP BY ALL),
+f AS (SELECT run_id, claim_id, folded, {_sql_statement_tokens('statement')} AS toks, list_distinct(list_transform(regexp_extract_all(statement, '{text.NUMBER}'), lambda x: regexp_replace(regexp_replace(lower(x), '\\s+', '', 'g'), '[.,]+$', ''))) AS nums FROM u),
+j AS (SELECT a.run_id, a.claim_id AS id_a, b.claim_id AS id_b, len(list_intersect(a.toks, b.toks)) AS k, len(a.toks) AS na, len(b.toks) AS nb, a.nums AS ma, b.nums AS mb FROM f a JOIN f b ON a.run_id = b.run_id AND a.claim_id < b.claim_id AND len(a.toks) > 0 AND len(b.toks) > 0),
+pairs AS (SELECT run_id, id_a, id_b FROM j WHERE NOT (len(ma) > 0 AND len(mb) > 0 AND len(list_intersect(ma, mb)) = 0) AND (k >= 0.55 * (na + nb - k) - 1e-9 OR (least(na, nb) >= 3 AND k >= 0.65 * least(na, nb) - 1e-9)))"""
+
+
+@query(f"WITH {SQL_PAIRS} SELECT run_id, id_a, id_b FROM pairs")
+def f13_duplicate_pairs(spark, d):
+    return claims.claim_pairs(all_claims(spark, d))
+
+
+SQL_GROUPS = f"""{SQL_PAIRS}, both_ways AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reach(node, root) AS (SELECT claim_id, claim_id FROM u UNION SELECT b, root FROM reach JOIN both_ways ON node = a),
+roots AS (SELECT node, min(root) AS group_id FROM reach GROUP BY node),
+merged AS (SELECT c.*, c.doc_id AS source_id, r.group_id FROM claims c JOIN u ON c.run_id = u.run_id AND lower(trim(c.statement, ' ')) = u.folded JOIN roots r ON u.claim_id = r.node)"""
+
+
+def merged(spark, d):
+    return claims.merge_claims(all_claims(spark, d), checkpointed)
+
+
+@query(f"WITH RECURSIVE {SQL_GROUPS} SELECT claim_id, group_id FROM merged")
+def f14_merge_claims(spark, d):
+    return merged(spark, d).select("claim_id", "group_id")
+
+
+@query(None)
+def f14_merge_ordered(spark, d):
+    capped = claims.cap_per(all_claims(spark, d), "run_id", ["claim_id"], 40)
+    return claims.merge_ordered(capped.drop("seq").withColumn("seq", F.col("claim_id")))
+
+
+@query(f"WITH RECURSIVE {SQL_GROUPS} SELECT run_id, group_id, coalesce(max(CASE WHEN length(statement) < 300 THEN {{'n': length(statement), 'i': -claim_id, 's': statement}} END).s, min_by(statement, claim_id)) AS statement, min_by(finding_type, claim_id) AS finding_type, min_by(importance, claim_id) AS importance, count(*) AS merged_count, count(DISTINCT source_id) AS distinct_sources, round(avg(confidence), 6) AS mean_confidence FROM merged GROUP BY run_id, group_id")
+def f14_canonical(spark, d):
+    return claims.canonical(merged(spark, d))
+
+
+@query(f"WITH RECURSIVE {SQL_GROUPS} SELECT group_id, count(DISTINCT source_id) AS n_sources, round(avg(relevance), 6) AS mean_relevance, round(avg(coalesce(quality::DOUBLE, 0.75)), 6) AS mean_credibility FROM merged LEFT JOIN labels USING (doc_id) GROUP BY group_id")
+def f16_evidence_rollup(spark, d):
+    rows = merged(spark, d).join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("credibility")), "doc_id", "left")
+    return claims.evidence_rollup(rows)
+
+
+SQL_RAW = "0.2::DOUBLE * 1 + 0.3::DOUBLE * least(1.0::DOUBLE, rel) + 0.3::DOUBLE * least(1.0::DOUBLE, cred) + CASE WHEN k >= 3 THEN 0.15::DOUBLE WHEN k = 2 THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN NOT bad THEN 0.0::DOUBLE WHEN sev = 'high' THEN 0.15::DOUBLE ELSE 0.08::DOUBLE END"
+
+
+@query(f"WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity / 40::DOUBLE AS rel, l_discount * 8::DOUBLE AS cred, l_linenumber AS k, l_returnflag = 'R' AS bad, CASE WHEN l_linestatus = 'O' THEN 'high' ELSE 'medium' END AS sev, CASE WHEN l_returnflag = 'A' THEN 'DISCOVERY_ONLY' ELSE 'SUPPORTING' END AS role FROM lineitem), r AS (SELECT *, {SQL_RAW} AS raw FROM x) SELECT l_orderkey, l_linenumber, round(round(CASE WHEN role = 'DISCOVERY_ONLY' AND k <= 1 THEN least(0.5::DOUBLE, raw) ELSE least(0.95::DOUBLE, greatest(0.15::DOUBLE, raw)) END, 6)::DECIMAL(18, 6), 2)::DOUBLE AS confidence, round(raw, 4) AS raw FROM r")
+def f17_calibrate(spark, d):
+    severity = F.when(F.col("l_linestatus") == "O", "high").otherwise("medium")
+    role = F.when(F.col("l_returnflag") == "A", "DISCOVERY_ONLY").otherwise("SUPPORTING")
+    c = claims.calibrate(F.lit(1.0), F.col("l_quantity") / 40, F.col("l_discount") * 8, F.col("l_linenumber"), role, F.col("l_returnflag") == "R", severity)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c.alias("c")).select("l_orderkey", "l_linenumber", "c.confidence", "c.raw")
+
+
+@query(None)
+def f17_calibrate_groups(spark, d):
+    rows = merged(spark, d).join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("credibility")), "doc_id", "left")
+    rolled = claims.evidence_rollup(rows)
+    pairs = links.detect_contradictions(claims.claim_pairs(all_claims(spark, d)), all_claims(spark, d))
+    conflicts = links.claim_conflict(pairs).withColumnRenamed("claim_id", "group_id")
+    c = claims.calibrate(F.lit(1.0), F.col("mean_relevance"), F.col("mean_credibility"), F.col("n_sources"), F.lit("SUPPORTING"), F.col("is_contradicted"), F.col("severity"))
+    return rolled.join(conflicts, "group_id", "left").withColumn("c", c).select("group_id", "c.confidence", "c.corroboration_bonus", "c.contradiction_penalty")
+
+
+@query(f"WITH RECURSIVE {SQL_GROUPS} SELECT group_id, claim_id, source_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(relevance, 1.0::DOUBLE))) AS relevance FROM merged")
+def f19_evidence_links(spark, d):
+    return claims.evidence_links(merged(spark, d)).drop("excerpt")
+
+
+@query(f"WITH {SQL_CLAIMS}, p AS (SELECT claim_id, run_id, CASE WHEN claim_id % 10 = 0 THEN 'Global industry report' ELSE statement END AS s, CASE WHEN claim_id % 7 = 0 THEN NULL ELSE doc_id END AS source_id, CASE WHEN claim_id % 5 = 0 THEN '  ' WHEN claim_id % 9 = 0 THEN excerpt || '#' ELSE excerpt END AS e FROM claims), g AS (SELECT p.*, coalesce(trim(e, ' ') <> '' AND (contains(text, trim(e, ' ')) OR contains(text, substr(trim(e, ' '), 1, 100))), false) AS grounded FROM p LEFT JOIN documents ON p.source_id = documents.doc_id), c AS (SELECT run_id, CASE WHEN regexp_matches(s, '(?i)^global industry report') THEN 'template' WHEN source_id IS NULL THEN 'unresolved' WHEN trim(e, ' ') = '' THEN 'empty_excerpt' WHEN NOT grounded THEN 'ungrounded' END AS cause FROM g) SELECT run_id, cause, count(*) AS n FROM c GROUP BY ALL")
+def f20_rejections(spark, d):
+    k = F.col("claim_id")
+    made = all_claims(spark, d).withColumns({
+        "statement": F.when(k % 10 == 0, "Global industry report").otherwise(F.col("statement")),
+        "source_id": F.when(k % 7 != 0, F.col("doc_id")),
+        "excerpt": F.when(k % 5 == 0, "  ").when(k % 9 == 0, F.concat("excerpt", F.lit("#"))).otherwise(F.col("excerpt")),
+    })
+    contents = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("content"))
+    grounded = claims.ground(made, contents)
+    return grounded.groupBy("run_id", claims.rejection_cause(grounded).alias("cause")).agg(F.count("*").alias("n"))
+
+
+# --- G
+
+
+@query(f"WITH {SQL_CLAIMS}, s AS (SELECT run_id, claim_id, seq, statement FROM claims UNION ALL SELECT run_id, claim_id, seq, lower(statement) FROM claims WHERE lower(statement) <> statement) SELECT run_id, statement, max_by(claim_id, seq * 1000000000 + claim_id) AS claim_id FROM s GROUP BY run_id, statement")
+def g01_statement_map(spark, d):
+    rows = all_claims(spark, d).withColumn("merged_statements", F.array(F.lower("statement")))
+    return links.statement_map(rows)
+
+
+def _candidates(spark, d):
+    c = all_claims(spark, d)
+    first = c.where("seq = 1").select("run_id", "doc_id", F.col("statement").alias("statement_a"))
+    second = c.where("seq = 2").select("doc_id", F.col("statement").alias("statement_b"))
+    return first.join(second, "doc_id").withColumns({"category": F.when(F.col("doc_id") % 2 == 0, "FORECAST_DIFFERENCE"), "severity": F.lit(None).cast("string")})
+
+
+@query(f"WITH {SQL_CLAIMS}, m AS (SELECT run_id, statement, max_by(claim_id, seq * 1000000000 + claim_id) AS claim_id FROM claims GROUP BY run_id, statement), p AS (SELECT a.run_id, a.doc_id, a.statement AS sa, b.statement AS sb FROM claims a JOIN claims b ON a.doc_id = b.doc_id AND a.seq = 1 AND b.seq = 2) SELECT p.doc_id, x.claim_id AS claim_a, y.claim_id AS claim_b, CASE WHEN p.doc_id % 2 = 0 THEN 'FORECAST_DIFFERENCE' ELSE 'DIRECT_CONTRADICTION' END AS category, 'medium' AS severity FROM p JOIN m x ON p.run_id = x.run_id AND sa = x.statement JOIN m y ON p.run_id = y.run_id AND sb = y.statement WHERE x.claim_id <> y.claim_id")
+def g02_link_contradictions(spark, d):
+    mapping = links.statement_map(all_claims(spark, d).withColumn("merged_statements", F.array().cast("array<string>")))
+    return links.link_contradictions(_candidates(spark, d), mapping).select("doc_id", "claim_a", "claim_b", "category", "severity")
+
+
+def contradictions(spark, d):
+    """Claims about regions and years, so that the rules meet rows."""
+    c = all_claims(spark, d)
+    region = F.element_at(text.literal_array(TOLD), (F.col("claim_id") % 6 + 1).cast("int"))
+    told = c.withColumn("statement", F.concat("statement", region))
+    return links.detect_contradictions(claims.claim_pairs(told), told), told
+
+
+TOLD = ["", " in China", " in India", " by 2030", " by 2040", " forecast"]
+SQL_TOLD = SQL_PAIRS.replace("substr(x, 1, 150) AS statement", f"substr(x, 1, 150) || {SQL_LIST(TOLD)}[((doc_id * 2 + seq - 1) % 6 + 1)::BIGINT] AS statement")
+
+
+def _sql_differ(a: str, b: str) -> str:
+    return f"(len({a}) > 0 AND len({b}) > 0 AND list_sort({a}) <> list_sort({b}))"
+
+
+def _sql_parts(s: str) -> str:
+    n = rf"list_distinct(list_filter(list_transform(regexp_extract_all({s}, '{text.NUMBER}'), lambda x: regexp_replace(regexp_replace(lower(x), '\s+', '', 'g'), '[.,]+$', '')), lambda x: NOT regexp_matches(x, '^20[2-5][0-9]$')))"
+    return f"{sql_named(f'lower({s})', rules.GEOGRAPHIES)} AS g_{s}, list_distinct(regexp_extract_all({s}, '\\b(20[2-5][0-9])\\b', 1)) AS y_{s}, {n} AS n_{s}".replace("\\\\", "\\")
+
+
+SQL_CONFLICTS = f"""{SQL_TOLD}, w AS (SELECT p.run_id, id_a, id_b, a.statement AS sa, b.statement AS sb, a.finding_type AS ta, b.finding_type AS tb FROM pairs p JOIN claims a ON id_a = a.claim_id JOIN claims b ON id_b = b.claim_id),
+parts AS (SELECT *, {_sql_parts('sa')}, {_sql_parts('sb')} FROM w),
+conflicts AS (SELECT run_id, id_a, id_b, CASE WHEN {_sql_differ('g_sa', 'g_sb')} THEN 'SCOPE_DIFFERENCE/low' WHEN {_sql_differ('y_sa', 'y_sb')} THEN 'TIME_PERIOD_DIFFERENCE/low' WHEN {_sql_differ('n_sa', 'n_sb')} AND len(list_intersect(n_sa, n_sb)) = 0 THEN 'DIRECT_CONTRADICTION/high'
+  {' '.join(f"WHEN regexp_matches(lower(sa), '{p}') <> regexp_matches(lower(sb), '{p}') THEN '{c}/{s}'" for c, s, p in links.CUES)} WHEN ta <> tb THEN 'CONTEXTUAL_TENSION/medium' END AS c FROM parts)"""
+
+
+@query(f"WITH {SQL_CONFLICTS} SELECT run_id, id_a, id_b, split_part(c, '/', 1) AS category, split_part(c, '/', 2) AS severity FROM conflicts WHERE c IS NOT NULL")
+def g03_detect_contradictions(spark, d):
+    return contradictions(spark, d)[0]
+
+
+@query(f"WITH {SQL_CONFLICTS} SELECT run_id, split_part(c, '/', 1) AS category, count(*) AS n FROM conflicts WHERE c IS NOT NULL GROUP BY ALL")
+def g04_contradiction_mix(spark, d):
+    return links.contradiction_mix(contradictions(spark, d)[0])
+
+
+@query("SELECT l_orderkey AS id_a, l_partkey AS id_b, a.o_orderpriority AS statement_a, b.o_orderpriority AS statement_b FROM lineitem LEFT JOIN orders a ON l_orderkey = a.o_orderkey LEFT JOIN orders b ON l_partkey = b.o_orderkey")
+def g05_contradiction_view(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id_a"), F.col("l_partkey").alias("id_b"))
+    told = table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_orderpriority").alias("statement"))
+    return links.contradiction_view(rows, told).select("id_a", "id_b", "statement_a", "statement_b")
+
+
+@query("WITH s AS (SELECT l_orderkey AS claim_id, l_linenumber % 3 + 1 AS r FROM lineitem UNION ALL SELECT l_partkey, l_linenumber % 3 + 1 FROM lineitem) SELECT claim_id, true AS is_contradicted, ['low', 'medium', 'high'][max(r)::BIGINT] AS severity FROM s GROUP BY claim_id")
+def g06_claim_conflict(spark, d):
+    level = F.element_at(text.literal_array(["low", "medium", "high"]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    return links.claim_conflict(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id_a"), F.col("l_partkey").alias("id_b"), level.alias("severity")))
+
+
+@query(f"WITH {SQL_CLAIMS}, m AS (SELECT run_id, statement, max_by(claim_id, seq * 1000000000 + claim_id) AS claim_id FROM claims GROUP BY run_id, statement), k AS (SELECT doc_id, source AS run_id, doc_id % 3 = 0 AS none FROM documents), s AS (SELECT k.doc_id, list_sort(list_distinct(list(m.claim_id))) AS ids FROM k JOIN claims c ON c.doc_id = k.doc_id AND NOT none JOIN m ON m.run_id = c.run_id AND m.statement = c.statement GROUP BY k.doc_id), f AS (SELECT run_id, list_sort(list(claim_id)) AS ids FROM (SELECT run_id, claim_id, row_number() OVER (PARTITION BY run_id ORDER BY claim_id) AS n FROM claims) WHERE n <= 5 GROUP BY run_id) SELECT k.doc_id AS conclusion_id, 1.0::DOUBLE AS confidence, array_to_string(coalesce(s.ids, f.ids), ',') AS claim_ids FROM k LEFT JOIN s ON s.doc_id = k.doc_id LEFT JOIN f ON f.run_id = k.run_id")
+def g07_link_conclusions(spark, d):
+    c = all_claims(spark, d)
+    mapping = links.statement_map(c.withColumn("merged_statements", F.array().cast("array<string>")))
+    said = c.groupBy("doc_id").agg(F.collect_list("statement").alias("said"))  # two a document
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("run_id")).join(said, "doc_id", "left")
+    made = docs.select("run_id", F.col("doc_id").alias("conclusion_id"), F.lit("").alias("statement"), F.lit(1.2).alias("confidence"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("?"))).otherwise(F.col("said")).alias("supporting"))
+    out = links.link_conclusions(made, mapping, c.drop("seq").withColumn("seq", F.col("claim_id")))
+    return out.select("conclusion_id", "confidence", F.array_join("claim_ids", ",").alias("claim_ids"))
+
+
+@query(f"WITH {SQL_CLAIMS}, f AS (SELECT run_id, list_sort(list(claim_id)) AS ids FROM (SELECT run_id, claim_id, row_number() OVER (PARTITION BY run_id ORDER BY claim_id) AS n FROM claims WHERE run_id <> 'src3') WHERE n <= 5 GROUP BY run_id) SELECT r.source AS run_id, CASE WHEN ids IS NULL THEN 0.30::DOUBLE ELSE 0.65::DOUBLE END AS confidence, coalesce(array_to_string(ids, ','), '') AS claim_ids FROM (SELECT DISTINCT source FROM documents) r LEFT JOIN f ON r.source = f.run_id")
+def g08_summary_conclusion(spark, d):
+    runs = table(spark, d, "documents").select(F.col("source").alias("run_id"))
+    c = all_claims(spark, d).where("run_id <> 'src3'").drop("seq").withColumn("seq", F.col("claim_id"))
+    return links.summary_conclusion(runs, c).select("run_id", "confidence", F.array_join("claim_ids", ",").alias("claim_ids"))
+
+
+# --- H
+
+
+@query("SELECT c_custkey AS run_id, coalesce(n, 0) AS n_orders, coalesce(m, 0) AS n_items FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey LEFT JOIN (SELECT o_custkey AS k, count(*) AS m FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1) ON c_custkey = k")
+def h01_run_counts(spark, d):
+    orders = table(spark, d, "orders")
+    items = orders.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return provenance.run_counts(table(spark, d, "customer").select(F.col("c_custkey").alias("run_id")), {"orders": orders.select(F.col("o_custkey").alias("run_id")), "items": items.select(F.col("o_custkey").alias("run_id"))})
+
+
+def _detail(spark, d):
+    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_returnflag", "l_linestatus")])
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), "o_orderstatus")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("url"))
+    sources = items.select(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("source_id")).distinct().join(parts, "source_id")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    findings = items.select(F.col("l_orderkey").alias("run_id"), key.alias("finding_id"), F.col("l_returnflag").alias("statement"))
+    evidence = items.select(key.alias("finding_id"), key.alias("evidence_id"), F.col("l_partkey").alias("source_id"), F.col("l_linestatus").alias("excerpt"))
+    return provenance.run_detail(runs, sources, findings, evidence)
+
+
+@query("WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL), i AS (SELECT l_orderkey, l_orderkey || '-' || l_linenumber AS f, l_partkey, l_returnflag, l_linestatus, p_name FROM l LEFT JOIN part ON l_partkey = p_partkey), s AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM l JOIN part ON l_partkey = p_partkey GROUP BY 1), g AS (SELECT l_orderkey, count(*) AS n, string_agg(f || l_returnflag || l_linestatus || coalesce(p_name, ''), ',' ORDER BY f) AS txt FROM i GROUP BY 1) SELECT o_orderkey AS run_id, o_orderstatus, s.n::INT AS n_sources, g.n::INT AS n_findings, g.txt AS findings FROM orders LEFT JOIN s ON o_orderkey = s.l_orderkey LEFT JOIN g ON o_orderkey = g.l_orderkey")
+def h02_run_detail(spark, d):
+    told = F.array_join(F.transform("findings", lambda f: F.concat(f["finding_id"], f["statement"], f["evidence"][0]["excerpt"], F.coalesce(f["evidence"][0]["title"], F.lit("")))), ",")
+    n = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return _detail(spark, d).select("run_id", "o_orderstatus", n("sources").alias("n_sources"), n("findings").alias("n_findings"), told.alias("findings"))
+
+
+@query("SELECT o_custkey AS conclusion_id, o_orderkey AS finding_id, l_linenumber AS evidence_id, l_partkey AS source_id, p_brand AS content_id FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey")
+def h03_provenance(spark, d):
+    chosen = table(spark, d, "orders").select(F.col("o_custkey").alias("conclusion_id"), F.col("o_orderkey").alias("finding_id"))
+    evidence = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("finding_id"), F.col("l_linenumber").alias("evidence_id"), F.col("l_partkey").alias("source_id"))
+    contents = table(spark, d, "part").select(F.col("p_partkey").alias("source_id"), F.col("p_brand").alias("content_id"))
+    return provenance.provenance(chosen, evidence, contents)
+
+
+SQL_COUNTERS = "counters AS (SELECT source AS run_id, count(*) AS discovered, count(*) FILTER (WHERE n_chars > 100) AS selected, count(*) FILTER (WHERE n_chars > 500) AS fetched, count(*) FILTER (WHERE n_chars > 1500) AS eligible, count(*) FILTER (WHERE lang = 'en') AS findings, count(*) FILTER (WHERE lang = 'en' AND n_chars > 300) AS grounded, count(*) FILTER (WHERE lang = 'fr') AS conclusions, count(*) FILTER (WHERE lang = 'fr' AND n_chars > 50) AS linked_conclusions FROM documents GROUP BY source)"
+
+
+def counters(spark, d):
+    tests = {"discovered": "true", "selected": "n_chars > 100", "fetched": "n_chars > 500", "eligible": "n_chars > 1500", "findings": "lang = 'en'", "grounded": "lang = 'en' and n_chars > 300", "conclusions": "lang = 'fr'", "linked_conclusions": "lang = 'fr' and n_chars > 50"}
+    return table(spark, d, "documents").groupBy(F.col("source").alias("run_id")).agg(*[F.count_if(F.expr(t)).alias(n) for n, t in tests.items()])
+
+
+def _sql_rate(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN round({a} / {b}::DOUBLE, 4) ELSE 0.0::DOUBLE END"
+
+
+@query(f"WITH {SQL_COUNTERS} SELECT *, {_sql_rate('fetched', 'discovered')} AS source_coverage, {_sql_rate('grounded', 'findings')} AS evidence_coverage, {_sql_rate('fetched', 'selected')} AS successful_fetch_rate, {_sql_rate('eligible', 'fetched')} AS evidence_eligibility_rate, conclusions > 0 AND conclusions = linked_conclusions AS conclusion_traceability FROM counters")
+def h04_quality_metrics(spark, d):
+    return provenance.quality_metrics(counters(spark, d))
+
+
+@query(f"WITH {SQL_COUNTERS} SELECT run_id, array_to_string(list_filter([CASE WHEN fetched > selected THEN 'fetched<=selected' END, CASE WHEN selected > discovered THEN 'selected<=discovered' END, CASE WHEN eligible > fetched THEN 'eligible<=fetched' END, CASE WHEN findings < grounded + 5 THEN 'grounded<=findings' END], lambda x: x IS NOT NULL), ',') AS violations FROM counters")
+def h05_metric_checks(spark, d):
+    shifted = counters(spark, d).withColumn("grounded", F.col("grounded") + 5)
+    return provenance.metric_checks(shifted).select("run_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("SELECT o_orderkey AS run_id, o_orderstatus AS status, o_orderpriority AS priority, CASE WHEN n IS NULL THEN 'old' ELSE n::VARCHAR END AS items FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey")
+def h06_run_telemetry(spark, d):
+    old = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"), F.lit("items"), F.lit("old")).alias("metadata"))
+    new = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.create_map(F.lit("items"), F.count("*").cast("string")).alias("metadata"))
+    m = provenance.run_telemetry(new, old)
+    return m.select("run_id", *[F.col("metadata")[k].alias(k) for k in ("status", "priority", "items")])
+
+
+@query("SELECT user_id, event_type, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts)))::BIGINT AS micros FROM events GROUP BY user_id, event_type")
+def h07_stage_timing(spark, d):
+    return provenance.stage_timing(table(spark, d, "events"), "user_id", "event_type", "ts")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 7")
+def h08_by_id(spark, d):
+    return provenance.by_id(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey", 7)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 20")
+def h09_page(spark, d):
+    return provenance.page(table(spark, d, "orders"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 50, 20).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN n > 12 THEN 'BUSY' END, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def h10_merge_updates(spark, d):
+    patch = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.when(F.count("*") > 12, "BUSY").alias("c_mktsegment"))
+    return provenance.merge_updates(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), patch, "c_custkey", ["c_mktsegment"])
+
+
+@query("WITH gone AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT id FROM gone)) SELECT 'customer' AS kind, count(*) AS n FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT id FROM gone))")
+def h11_cascade_delete(spark, d):
+    tables = {n: table(spark, d, n) for n in ("customer", "orders", "lineitem")}
+    ids = tables["customer"].where("c_acctbal < 0").select("c_custkey")
+    left = provenance.cascade_delete(tables, ids, "c_custkey", [("customer", "c_custkey", "c_custkey"), ("orders", "o_custkey", "o_orderkey"), ("lineitem", "l_orderkey", "l_orderkey")])
+    out = None
+    for name, df in left.items():
+        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _projects(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), F.col("p_retailprice").alias("created_at"))
+
+
+@query("WITH p AS (SELECT p_partkey AS id, lower(trim(p_type, ' ')) AS k, p_retailprice AS c FROM part), r AS (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY c DESC, id DESC) AS primary_id FROM p) SELECT l_orderkey || '-' || l_linenumber AS question_id, coalesce(primary_id, l_partkey) AS project_id FROM lineitem LEFT JOIN r ON l_partkey = id")
+def h12_consolidate(spark, d):
+    asked_of = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("question_id"), F.col("l_partkey").alias("project_id"))
+    return provenance.consolidate(_projects(spark, d), asked_of)[1]
+
+
+@query("SELECT id, name FROM (SELECT p_partkey AS id, p_type AS name, row_number() OVER (PARTITION BY lower(trim(p_type, ' ')) ORDER BY p_partkey) AS n FROM part) WHERE n = 1")
+def h13_unique_names(spark, d):
+    return provenance.unique_names(_projects(spark, d).select("id", "name"), ["id"])
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'an') OR n_nationkey IN (SELECT c_nationkey FROM customer WHERE contains(lower(c_mktsegment), 'auto'))")
+def h14_search(spark, d):
+    children = table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
+    return provenance.search(table(spark, d, "nation").select("n_nationkey", "n_name"), "AN", ["n_name"], children.where("lower(c_mktsegment) like '%auto%'").withColumn("c_mktsegment", F.lit("an")), "n_nationkey", "c_mktsegment")
+
+
+@query("WITH r AS (SELECT o_custkey, max(o_orderdate) AS last, count(*) AS n FROM orders GROUP BY 1), j AS (SELECT c_nationkey AS w, greatest(TIMESTAMP '1992-01-01', coalesce(last, TIMESTAMP '1992-01-01')) AS t, coalesce(n, 0) AS n FROM customer LEFT JOIN r ON c_custkey = o_custkey) SELECT w AS workspace_id, max(t) AS latest, count(*) AS n_questions, sum(n)::BIGINT AS n_runs FROM j GROUP BY ROLLUP (w)")
+def h15_audit_history(spark, d):
+    made = table(spark, d, "customer").select(F.col("c_custkey").alias("question_id"), F.col("c_nationkey").alias("workspace_id"), F.lit("1992-01-01").cast("timestamp").alias("created_at"))
+    runs = table(spark, d, "orders").select(F.col("o_custkey").alias("question_id"), F.col("o_orderdate").cast("timestamp").alias("started"), F.lit(None).cast("timestamp").alias("completed"))
+    return provenance.audit_history(made, runs)
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN o_orderstatus IS NULL THEN 'not_found' WHEN o_orderstatus = 'O' THEN 'conflict' WHEN o_orderstatus = 'F' THEN 'already_done' ELSE 'may_start' END AS state FROM lineitem LEFT JOIN orders ON l_partkey = o_orderkey")
+def h16_start_state(spark, d):
+    status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "completed").otherwise(F.col("o_orderstatus"))
+    return table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_partkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", provenance.start_state(status).alias("state"))
+
+
+NOW = "2024-01-15 00:00:00"
+
+
+@query(f"WITH a AS (SELECT event_id, ts, floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 1000000.0)::BIGINT AS s FROM events) SELECT event_id, CASE WHEN s < 15 THEN 'Just now' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 172800 THEN 'Yesterday' WHEN s < 604800 THEN (s // 86400) || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS age FROM a")
+def h17_relative_age(spark, d):
+    return table(spark, d, "events").select("event_id", provenance.relative_age(F.col("ts").cast("timestamp"), F.lit(NOW).cast("timestamp")).alias("age"))
+
+
+@query(f"WITH {SQL_COUNTERS} SELECT run_id, unnest(['discovered', 'fetched', 'grounded']) AS metric, unnest([discovered, fetched, grounded])::DOUBLE AS value FROM counters")
+def h18_compare_runs(spark, d):
+    return provenance.compare_runs(counters(spark, d), "run_id", ["discovered", "fetched", "grounded"])
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'mock' WHEN event_type = 'error' THEN 'fallback' ELSE 'real' END AS mode FROM events")
+def h19_execution_mode(spark, d):
+    provider = F.when(F.col("event_type") == "view", "mock").otherwise("live")
+    return table(spark, d, "events").select("event_id", provenance.execution_mode(provider, F.col("event_type") == "error").alias("mode"))
+
+
+# --- V
+
+
+@query("SELECT item_id, array_to_string(list_filter([CASE WHEN text IS NULL THEN 'question:missing' WHEN length(trim(text, ' ')) < 5 THEN 'question:short' WHEN length(trim(text, ' ')) > 300 THEN 'question:long' END, CASE WHEN length(trim(substr(text, 1, 3), ' ')) < 3 THEN 'name:short' END], lambda x: x IS NOT NULL), ',') AS violations FROM benchmark")
+def v01_validate_fields(spark, d):
+    rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"), F.substring("text", 1, 3).alias("name"))
+    return provenance.validate_fields(rows, {"question": (5, 300, True), "name": (3, 255, False)}).select("item_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def v02_orphans(spark, d):
+    return provenance.orphans(table(spark, d, "lineitem"), table(spark, d, "part").where("p_size > 10"), "l_partkey", "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS \"value\", count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('O', 'F') GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY 2")
+def v03_bad_values(spark, d):
+    return provenance.bad_values(table(spark, d, "orders"), {"o_orderstatus": ["O", "F"], "o_orderpriority": ["1-URGENT", "2-HIGH"]})
+
+
+# --- S
+
+
+def stream(spark, d):
+    """events as a stream; a pattern for a path serves a file and a folder alike."""
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def s01_stream_dedup(spark, d):
+    return streams.drained(streams.stream_dedup(stream(spark, d), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type"))
+
+
+@query(None)
+def s02_run_tracker(spark, d):
+    return streams.drained(streams.run_tracker(stream(spark, d), "user_id", "ts", "event_type", 3_600_000))
+
+
+@query("WITH w AS (SELECT date_trunc('hour', ts) AS window_start, event_type FROM events), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events) SELECT window_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_failed, round(count(*) FILTER (WHERE event_type = 'error') / count(*)::DOUBLE, 6) AS rate FROM w, m WHERE window_start + INTERVAL 1 HOUR <= mark GROUP BY window_start")
+def s03_windowed_rates(spark, d):
+    return streams.drained(streams.windowed_rates(stream(spark, d), "ts", "1 hour", "10 minutes", "event_type", ["error"]))
