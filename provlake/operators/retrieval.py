@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,19 +74,19 @@ def title_similarity(a: Column, b: Column) -> Column:
 def dedup_titles(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Rows without an earlier row of one publisher with a similar title (D5, native form).
 
-    df(id, publisher, title). Equal titles fall together first. Titles of one publisher
-    meet only where they can be similar: with the allowed number of edits e, one of e + 1
-    pieces of the shorter length class stays whole, so pairs join on a piece's text and
-    place, not on the publisher alone.
+    df(id, publisher, title). Equal titles fall together first. An edit touches three of a
+    title's 3-character pieces at most, so a title within e edits of another keeps one of
+    any 3 e + 1 of its pieces (repeats counted): pairs meet on the rarest of these, not on
+    the publisher alone, and only where lengths allow.
     """
     base = df.where(F.coalesce("publisher", F.lit("")) != "").select(F.lower("publisher").alias("p"), F.lower(F.trim("title")).alias("t"), "id").groupBy("p", "t").agg(F.min("id").alias("id"))
-    edits = F.floor((1 - threshold) * F.length("t") / threshold + 1e-9).cast("int")  # against any title up to 1 / threshold as long
-    pieces = base.withColumn("n", F.length("t")).withColumn("e", edits)
-    grams = pieces.select("p", "t", "id", "n", F.explode(F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - 2)), lambda i: F.substr("t", i, F.lit(3))), lambda g: g.isNotNull()))).alias("g"))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - 2)), lambda i: F.substr("t", i, F.lit(3)))
+    counted = F.transform("g", lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice("g", F.lit(1), i), lambda y: y == x)).cast("string")))
+    grams = base.withColumn("g", pieces).select("p", "t", "id", F.length("t").alias("n"), F.explode(counted).alias("g"))
     frequency = grams.groupBy("p", "g").agg(F.count("*").alias("df"))
     ranked = grams.join(frequency, ["p", "g"]).withColumn("r", F.row_number().over(Window.partitionBy("p", "id").orderBy("df", "g")))
-    # an edit touches three grams at most: of 3e + 1 rarest grams one is kept by every similar title
-    prefix = ranked.where(F.col("r") <= 3 * F.floor((1 - threshold) * F.col("n") / threshold + 1e-9) + 1).select("p", "g", "t", "id", "n")
+    edits = F.floor((1 - threshold) * F.col("n") / threshold + 1e-9)  # against a title of any length within the threshold
+    prefix = ranked.where(F.col("r") <= 3 * edits + 1).select("p", "g", "t", "id", "n")
     late = prefix.select("p", "g", F.col("t").alias("t2"), F.col("id").alias("id2"), F.col("n").alias("n2"))
     early = grams.select("p", "g", F.col("t").alias("t1"), F.col("id").alias("id1"), F.col("n").alias("n1"))
     close = late.join(early, ["p", "g"]).where("id1 < id2").where(F.least("n1", "n2") >= F.floor(threshold * F.greatest("n1", "n2"))).select("p", "id1", "t1", "id2", "t2").distinct()
@@ -94,6 +97,27 @@ def dedup_titles(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     return kept.select(*df.columns)
 
 
+def dedup_titles_ordered(df: DataFrame, key: str, order: str, threshold: float = 0.85) -> DataFrame:
+    """Rows whose title is not similar, by matching blocks, to an earlier kept one of the key and publisher (D5, ordered form).
+
+    Sequential by definition: one publisher of one run is one group, for runs of bounded
+    size (a run has some tens of hits). dedup_titles is the form for large groups.
+    """
+    rows = df.withColumn("__p", F.lower(F.coalesce("publisher", F.lit(""))))
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        kept, keep = [], []
+        for publisher, title in zip(pdf["__p"], pdf["title"].fillna("").str.lower().str.strip(), strict=True):
+            new = not publisher or all(SequenceMatcher(None, title, other).ratio() < threshold for other in kept)
+            keep.append(new)
+            if new:
+                kept.append(title)
+        return pdf[keep]
+
+    return rows.groupBy(key, "__p").applyInPandas(greedy, rows.schema).drop("__p")
+
+
 def select_sources(scored: DataFrame, key: str, per_domain: int = 2, n: int = 12, order: list | None = None) -> DataFrame:
     """The n best per key with at most per_domain of a host (D6); adds rank.
 

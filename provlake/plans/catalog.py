@@ -397,6 +397,12 @@ def d05_dedup_titles(spark, d):
     return retrieval.dedup_titles(titled).select(F.col("id").alias("page_id"), "publisher")
 
 
+@query(None)
+def d05_dedup_titles_ordered(spark, d):
+    runs = hits(spark, d).select(F.floor(F.col("page_id") / 40).alias("run"), "page_id", urls.host(F.col("url")).alias("publisher"), "title")  # forty hits a run
+    return retrieval.dedup_titles_ordered(runs, "run", "page_id").select("run", "page_id")
+
+
 def ranked_pages(spark, d):
     """Hits in the order of a score that SQL has as well: words of the title."""
     return hits(spark, d).select("run_id", "page_id", "url", (F.length("title") * 1.0).alias("relevance_score"), F.col("page_id").alias("ord"))

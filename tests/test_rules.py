@@ -62,6 +62,27 @@ def test_similar_titles(spark):
     rows = [(1, "a.b", "Annual report on water use"), (2, "a.b", "Annual report on water uses"), (3, "c.d", "Annual report on water use"), (4, "", "Annual report on water use"), (5, "A.B", "annual report on water use "), (6, "a.b", "Other")]
     out = retrieval.dedup_titles(spark.createDataFrame(rows, "id int, publisher string, title string"))
     assert sorted(r.id for r in out.collect()) == [1, 3, 4, 6]
+    ordered = retrieval.dedup_titles_ordered(spark.createDataFrame(rows, "id int, publisher string, title string").withColumn("run", F.lit(1)), "run", "id")
+    assert sorted(r.id for r in ordered.collect()) == [1, 3, 4, 6]
+
+
+def test_similar_titles_match_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    base = ["".join(rng.choice("ab c") for _ in range(rng.randrange(0, 40))) for _ in range(25)]
+    rows = []
+    for i in range(150):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            if t:
+                t[rng.randrange(len(t))] = rng.choice("abx")
+        rows.append((i, rng.choice(["p", "q"]), "".join(t)))
+    df = spark.createDataFrame(rows, "id int, publisher string, title string")
+    kept = {r.id for r in retrieval.dedup_titles(df).collect()}
+    pairs = df.alias("a").join(df.alias("b"), (F.col("a.publisher") == F.col("b.publisher")) & (F.col("a.id") < F.col("b.id")))
+    gone = {r.id for r in pairs.where(retrieval.title_similarity(F.col("a.title"), F.col("b.title")) >= 0.85).select("b.id").collect()}
+    assert kept == {r[0] for r in rows} - gone
 
 
 def test_html_text_native_and_parser_agree(spark):
