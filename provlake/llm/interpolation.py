@@ -39,7 +39,7 @@ from provlake.llm._spark import checkpointed
 from provlake.llm._text import Tokens, batches_of, joined
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 8 << 20
 CONTEXT_BUCKETS = 26
 STEP = 4.0
 ROUNDS = 100
@@ -159,21 +159,32 @@ def answers(asking: DataFrame) -> DataFrame:
     return asking.groupBy("shard").applyInArrow(run, "chunk long, shard long, n long, every binary, rest binary, tokens long, types long, rest_tokens long, rest_types long")
 
 
+def boxed(batch: pa.RecordBatch) -> bytes:
+    """A batch of texts, compressed as a whole."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unboxed(data: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+
+
 def chunks(rows: DataFrame, deleted_only: bool = False) -> DataFrame:
-    """chunk, fold, doc_id, text: rows with the chunk that asked for them."""
+    """chunk, box: rows, boxed, with the chunk that asked for them."""
 
     def run(batches):
         for chunk, parts in dealt(batches, CHUNK_BYTES):
             if chunk & 1 or not deleted_only:
-                for p in parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(p.num_rows, chunk)), *p.columns], names=["chunk", "fold", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), chunk)), pa.array([boxed(p) for p in parts], type=pa.binary())], names=["chunk", "box"])
 
-    return rows.mapInArrow(run, "chunk long, fold int, doc_id long, text string")
+    return rows.mapInArrow(run, "chunk long, box binary")
 
 
-def counted(left: pa.Table, right: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def counted(parts: list[pa.RecordBatch], right: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, count of the token, of its context, of the pair) for the tokens of a chunk."""
-    row, now, before = tokens_of([b.column(0) for b in batches_of(left.select(["text"]).combine_chunks().to_batches(), "text")])
+    row, now, before = tokens_of([p.column(2) for p in parts])
     keys, word, pair, begin = asked(now, before)
     right = right.sort_by("shard")
     values = np.concatenate([unpacked(x, n) for x, n in zip(right.column(name).to_pylist(), right.column("n").to_pylist(), strict=True)])
@@ -223,7 +234,7 @@ def scored(docs: DataFrame) -> DataFrame:
     def bins(left, right):
         if not left.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "word": pa.array([], pa.float64()), "pair": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
-        _, word, context, pair = counted(left, right, "rest")
+        _, word, context, pair = counted([unboxed(x) for x in left.column("box")], right, "rest")
         with np.errstate(divide="ignore", invalid="ignore"):
             one = np.round(STEP * np.log2(word / max(rest_tokens, 1)))
             two = np.round(STEP * np.log2(pair / np.maximum(context, 1)))
@@ -237,15 +248,16 @@ def scored(docs: DataFrame) -> DataFrame:
     weights = learn(histogram, rest_types)
 
     def score(left, right):
-        row, word, context, pair = counted(left, right, "every") if left.num_rows else (np.zeros(0, dtype=np.int64),) * 4
-        a, n = weights[bucket_of(context)], left.num_rows
+        parts = [unboxed(x) for x in left.column("box")]
+        row, word, context, pair = counted(parts, right, "every")
+        a, n = weights[bucket_of(context)], sum(p.num_rows for p in parts)
         p = a[:, 0] / (types + 1) + a[:, 1] * word / max(tokens, 1) + a[:, 2] * pair / np.maximum(context, 1)
         base = np.log10((word + 1) / (tokens + types + 1))
         total = lambda x: np.bincount(row, weights=x, minlength=n)
         return pa.table(
             {
-                "doc_id": left.column("doc_id"),
-                "held_out": pa.array(left.column("fold").to_numpy() == HELD_OUT),
+                "doc_id": pa.chunked_array([x.column(1) for x in parts], type=pa.int64()),
+                "held_out": np.concatenate([x.column(0).to_numpy() for x in parts]) == HELD_OUT,
                 "n_tokens": np.bincount(row, minlength=n).astype(np.int64),
                 "n_known": total(word > 0).astype(np.int64),
                 "train_tokens": np.full(n, tokens, dtype=np.int64),
