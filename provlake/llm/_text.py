@@ -1,7 +1,7 @@
 """Vectorised text helpers used inside Arrow tasks.
 
 Tokens are found and fingerprinted with numpy over the raw UTF-8 buffer of an Arrow
-column, a few megabytes at a time, so that memory stays bounded whatever the row count.
+column, a megabyte at a time, so that memory stays bounded whatever the row count.
 A fingerprint is 64 bits wide: two different tokens share one with a probability of
 about 2**-64 a pair.
 """
@@ -21,7 +21,7 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[65:91] += 32
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _powers: list[np.ndarray] = []

@@ -64,26 +64,52 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}  # a word's fingerprint to its place in start and length
-        self.flat, self.start, self.length = array("I", [END_ID]), array("q", [0]), array("q", [1])  # place 0: the end of a text
+        #: ids of all words on end; place 0 is the end of a text
+        self.flat, self.start, self.length = array("I", [END_ID]), array("q", [0]), array("q", [1])
+        #: two sorted tables, of most words and of the latest: fingerprints, and places in start and length
+        self.most = self.latest = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+    @staticmethod
+    def find(table: tuple[np.ndarray, np.ndarray], prints: np.ndarray) -> np.ndarray:
+        """The place of each fingerprint, -1 where it is not in the table."""
+        known, place = table
+        if not len(known):
+            return np.full(len(prints), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, prints), len(known) - 1)
+        return np.where(known[at] == prints, place[at], -1)
+
+    @staticmethod
+    def union(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        known, place = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+        order = np.argsort(known)
+        return known[order], place[order]
+
+    def learn(self, prints: np.ndarray, words: list[str]) -> np.ndarray:
+        """Encodes new words; their places."""
+        places = np.arange(len(self.start), len(self.start) + len(words))
+        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            ids = e.ids
+            self.start.append(len(self.flat))
+            self.length.append(len(ids))
+            self.flat.extend(ids)
+        self.latest = self.union(self.latest, (prints, places))
+        if len(self.latest[0]) > CACHE_WORDS // 10:
+            self.most, self.latest = self.union(self.most, self.latest), (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        return places
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows on end, offsets of the rows)."""
         special = b"<|" in text_buffers(column)[0].tobytes()  # special tokens are not lower-cased
         t = Tokens(column, fold=SAME if special else LOWER, apart=(_ALNUM, _SIGN))
         distinct, first, place = np.unique(t.h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > CACHE_WORDS:
+        if len(self.start) + len(distinct) > CACHE_WORDS:
             self.clear()
-        prints = distinct.tolist()
-        new = [i for i, x in enumerate(prints) if x not in self.known]
-        raw, begin, end = t.raw.tobytes(), t.start[first].tolist(), t.end[first].tolist()
-        for i, e in zip(new, self.tokenizer.encode_batch_fast([raw[begin[i] : end[i]].decode() for i in new], add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.known[prints[i]] = len(self.start)
-            self.start.append(len(self.flat))
-            self.length.append(len(ids))
-            self.flat.extend(ids)
-        words = np.fromiter(map(self.known.__getitem__, prints), dtype=np.int64, count=len(prints))[place]
+        found = self.find(self.most, distinct)
+        found = np.where(found < 0, self.find(self.latest, distinct), found)
+        new = np.flatnonzero(found < 0)
+        raw, begin, end = t.raw.tobytes(), t.start[first[new]].tolist(), t.end[first[new]].tolist()
+        found[new] = self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(begin, end, strict=True)])
+        words = found[place]
         words = np.insert(words, t.first[1:], 0)
         start, length = np.array(self.start)[words], np.array(self.length)[words]
         ends = np.cumsum(length)
