@@ -41,7 +41,7 @@ def ingest_hits(df: DataFrame) -> DataFrame:
 def ingest_pages(df: DataFrame, body: str = "body", limit: int = rules.MAX_BODY_BYTES) -> DataFrame:
     """Page snapshots with the body cut at a number of bytes, a broken last character dropped (A3)."""
     raw = F.encode(F.col(body), "UTF-8")
-    cut = F.when(F.octet_length(body) > limit, F.regexp_replace(F.decode(F.substring(raw, 1, limit), "UTF-8"), "�+$", "")).otherwise(F.col(body))
+    cut = F.when(F.octet_length(body) > limit, F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, limit).cast("string")), "�+$", "")).otherwise(F.col(body))
     return df.withColumn(body, cut)
 
 
