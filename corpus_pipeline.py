@@ -25,8 +25,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go (operator 3); n_chars follows the text."""
-    out = site_lines.cleaned(docs)
+    """Boilerplate lines of a source and repeated passages go (operator 3); n_chars follows the text."""
+    out = site_lines.cleaned(docs, **site_lines.HOST_RULE)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -39,6 +39,23 @@ SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, coalesce(len(list
 """
 
 
+def op3_host_rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.dropped(table(spark, sf_dir, "documents"), **site_lines.HOST_RULE)
+
+
+OP3_HOST_RULE_SQL = r"""
+WITH p AS (SELECT doc_id, coalesce(source, '') AS host, source, text FROM documents),
+t AS (SELECT host, count(DISTINCT coalesce(text, '')) AS total FROM p GROUP BY host),
+l AS (SELECT DISTINCT host, text, trim(line, ' ') AS line FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS line FROM p) WHERE trim(line, ' ') <> ''),
+o AS (SELECT line FROM l WHERE len(regexp_extract_all(line, '[^ ]+')) >= 50 GROUP BY line HAVING count(DISTINCT host) >= 10),
+h AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM l GROUP BY host, line) JOIN t USING (host) WHERE n >= 3 AND n > total * 0.01::DOUBLE UNION SELECT DISTINCT host, line FROM l SEMI JOIN o USING (line)),
+b AS (SELECT host, list(line) AS lines FROM h GROUP BY host),
+a AS (SELECT doc_id, source, string_split(text, chr(10)) AS every, coalesce(b.lines, []) AS gone FROM p LEFT JOIN b USING (host)),
+k AS (SELECT doc_id, source, every, list_filter(every, lambda x: trim(x, ' ') = '' OR NOT list_contains(gone, trim(x, ' '))) AS kept FROM a)
+SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, coalesce(len(list_filter(every, lambda x: trim(x, ' ') <> '')), 0)::BIGINT AS n_lines, coalesce(len(every) - len(kept), 0)::BIGINT AS n_dropped FROM k
+"""
+
+
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules_list.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -105,6 +122,7 @@ QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_site_relative_lines": op3_site_relative_lines,
+    "op3_host_rule_lines": op3_host_rule_lines,
     "op4_decision_list": op4_decision_list,
     "op5_prefix_filtered_windows": op5_prefix_filtered_windows,
     "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
@@ -113,4 +131,4 @@ QUERIES = {
     "op9_url_range_rules": op9_url_range_rules,
     "op10_nonnegative_pu_toxicity": op10_nonnegative_pu_toxicity,
 }
-ORACLE_SQL = {"op3_site_relative_lines": OP3_SQL, "op5_prefix_filtered_windows": OP5_SQL, "op9_url_range_rules": OP9_SQL}
+ORACLE_SQL = {"op3_site_relative_lines": OP3_SQL, "op3_host_rule_lines": OP3_HOST_RULE_SQL, "op5_prefix_filtered_windows": OP5_SQL, "op9_url_range_rules": OP9_SQL}
