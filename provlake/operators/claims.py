@@ -192,12 +192,13 @@ def canonical(merged: DataFrame, run: str = "run_id", ident: str = "claim_id", m
     return out.select(run, "group_id", F.coalesce("best.s", "first.s").alias("statement"), F.col("first.t").alias("finding_type"), F.col("first.m").alias("importance"), "merged_count", "distinct_sources", "mean_confidence")
 
 
-def merge_ordered(claims: DataFrame, run: str = "run_id", ident: str = "claim_id", order: str = "seq", threshold: float = JACCARD) -> DataFrame:
+def merge_ordered(claims: DataFrame, run: str = "run_id", ident: str = "claim_id", order: str = "seq", threshold: float = JACCARD, part: str | None = None) -> DataFrame:
     """run, ident, group_id by the greedy rule in arrival order (F14, ordered): each claim joins the first group whose current text it repeats.
 
-    One run is one task's work: for runs of bounded size (F18).
+    One run, or one part of a run, is one task's work: for runs of bounded size, else merge_ordered_parts.
     """
-    rows = featured(claims).select(run, ident, order, "statement", "toks", "nums")
+    keys = [run, part] if part else [run]
+    rows = featured(claims).select(*keys, ident, order, "statement", "toks", "nums")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         groups: list[list] = []
@@ -217,7 +218,23 @@ def merge_ordered(claims: DataFrame, run: str = "run_id", ident: str = "claim_id
         return pd.DataFrame(out, columns=[run, ident, "group_id"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy(run).applyInPandas(greedy, f"{run} {kinds[run]}, {ident} {kinds[ident]}, group_id {kinds[ident]}")
+    return rows.groupBy(*keys).applyInPandas(greedy, f"{run} {kinds[run]}, {ident} {kinds[ident]}, group_id {kinds[ident]}")
+
+
+def merge_ordered_parts(claims: DataFrame, keep, run: str = "run_id", ident: str = "claim_id", order: str = "seq", threshold: float = JACCARD) -> DataFrame:
+    """merge_ordered for runs of any size, with the same result; claim ids are unique over runs.
+
+    A group's current text is one of its claims', so a claim only ever joins a group of its
+    own chain of duplicates (merge_claims): each chain is one task's work. In a chain of one
+    text all claims join the first, without Python.
+    """
+    chains = keep(merge_claims(claims, keep, run, ident, threshold).withColumnRenamed("group_id", "__part").select(run, "__part", ident, order, "statement"))
+    first = F.min(F.struct(order, ident))[ident].alias("group_id")
+    texts = F.lower(F.trim("statement"))
+    sizes = chains.groupBy("__part").agg(first, (F.min(texts) == F.max(texts)).alias("__one"))
+    placed = chains.join(sizes, "__part")
+    mixed = merge_ordered(placed.where("not __one").drop("group_id"), run, ident, order, threshold, "__part")
+    return placed.where("__one").select(run, ident, "group_id").unionByName(mixed)
 
 
 def evidence_rollup(evidence: DataFrame, key: str = "group_id") -> DataFrame:

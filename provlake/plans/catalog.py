@@ -672,8 +672,13 @@ def f14_merge_claims(spark, d):
 
 @query(None)
 def f14_merge_ordered(spark, d):
-    capped = claims.cap_per(all_claims(spark, d), "run_id", ["claim_id"], 40)
-    return claims.merge_ordered(capped.drop("seq").withColumn("seq", F.col("claim_id")))
+    return claims.merge_ordered_parts(all_claims(spark, d).withColumn("seq", F.col("claim_id")), checkpointed)
+
+
+@query(f"WITH RECURSIVE {SQL_GROUPS}, g AS (SELECT run_id, group_id, count(*) AS merged_count FROM merged GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY group_id) AS n FROM g) SELECT run_id, group_id, merged_count FROM r WHERE n <= 40")
+def f18_cap_groups(spark, d):
+    """The run's first forty canonical claims, in the order of their first claims; f18_cap_claims caps claims that are not merged."""
+    return claims.cap_per(claims.canonical(merged(spark, d)), "run_id", ["group_id"], 40).select("run_id", "group_id", "merged_count")
 
 
 @query(f"WITH RECURSIVE {SQL_GROUPS} SELECT run_id, group_id, coalesce(max(CASE WHEN length(statement) < 300 THEN {{'n': length(statement), 'i': -claim_id, 's': statement}} END).s, min_by(statement, claim_id)) AS statement, min_by(finding_type, claim_id) AS finding_type, min_by(importance, claim_id) AS importance, count(*) AS merged_count, count(DISTINCT source_id) AS distinct_sources, round(avg(confidence), 6) AS mean_confidence FROM merged GROUP BY run_id, group_id")
