@@ -67,6 +67,24 @@ def claim_conflict(contradictions: DataFrame) -> DataFrame:
     return sides.groupBy("claim_id").agg(F.lit(True).alias("is_contradicted"), F.max_by("severity", rank).alias("severity"))
 
 
+def group_conflict(pairs: DataFrame, merged: DataFrame, run: str = "run_id") -> DataFrame:
+    """group_id, is_contradicted, severity: the worst that any two claims of one topic bring to their groups (G6 for F17).
+
+    pairs(run, id_a, id_b) of different statements, each named by its smallest claim
+    (claim_pairs); merged(run, claim_id, group_id, statement, finding_type). A statement
+    counts once for each type it has, so that a fact and a risk in the same words meet too.
+    """
+    folded = merged.withColumn("folded", F.lower(F.trim("statement")))
+    named = folded.groupBy(run, "folded").agg(F.min("claim_id").alias("__rep"))
+    typed = folded.groupBy(run, "folded", "finding_type").agg(F.min("claim_id").alias("claim_id"), F.min_by("statement", "claim_id").alias("statement"), F.min("group_id").alias("group_id"))
+    said = typed.join(named, [run, "folded"])
+    side = lambda s: said.select(run, F.col("__rep").alias(f"id_{s}"), F.col("group_id").alias(f"g_{s}"), F.col("claim_id").alias(f"c_{s}"), F.col("statement").alias(f"s_{s}"), F.col("finding_type").alias(f"t_{s}"))
+    same = named.select(run, F.col("__rep").alias("id_a"), F.col("__rep").alias("id_b"))
+    both = pairs.select(run, "id_a", "id_b").unionByName(same).join(side("a"), [run, "id_a"]).join(side("b"), [run, "id_b"]).where("c_a <> c_b")
+    found = both.withColumn("c", conflict(F.col("s_a"), F.col("s_b"), F.col("t_a"), F.col("t_b"))).where("c is not null")
+    return claim_conflict(found.select(F.col("g_a").alias("id_a"), F.col("g_b").alias("id_b"), "c.severity")).withColumnRenamed("claim_id", "group_id")
+
+
 def link_conclusions(conclusions: DataFrame, table: DataFrame, claims: DataFrame, run: str = "run_id", fallback: int = 5) -> DataFrame:
     """run, conclusion_id, statement, confidence, claim_ids (sorted): the claims that support each; the run's first five where none do.
 

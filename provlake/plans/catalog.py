@@ -705,10 +705,10 @@ def f17_calibrate(spark, d):
 
 @query(None)
 def f17_calibrate_groups(spark, d):
-    rows = merged(spark, d).join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("credibility")), "doc_id", "left")
+    grouped = merged(spark, d)
+    rows = grouped.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("credibility")), "doc_id", "left")
     rolled = claims.evidence_rollup(rows)
-    pairs = links.detect_contradictions(claims.claim_pairs(all_claims(spark, d)), all_claims(spark, d))
-    conflicts = links.claim_conflict(pairs).withColumnRenamed("claim_id", "group_id")
+    conflicts = links.group_conflict(claims.claim_pairs(all_claims(spark, d)), grouped)
     c = claims.calibrate(F.lit(1.0), F.col("mean_relevance"), F.col("mean_credibility"), F.col("n_sources"), F.lit("SUPPORTING"), F.col("is_contradicted"), F.col("severity"))
     return rolled.join(conflicts, "group_id", "left").withColumn("c", c).select("group_id", "c.confidence", "c.corroboration_bonus", "c.contradiction_penalty")
 

@@ -38,3 +38,29 @@ def test_cap_falls_on_groups(spark, tmp_path):
     d = written(spark, tmp_path, ["Copies of one statement stand first"] * 50 + [f"zebra{i} lion{i} tiger{i} otter{i} whale{i}" for i in range(60)])
     rows = sorted((r.group_id, r.merged_count) for r in catalog.QUERIES["f18_cap_groups"](spark, d).collect())
     assert rows == [(2, 50)] + [(2 * i, 1) for i in range(51, 90)]
+
+
+def brute_conflicts(spark, d):
+    """group: worst severity over all pairs of its claims that say the same or have the same text."""
+    from provlake.operators import links
+
+    rows = claims.featured(catalog.merged(spark, d)).select("claim_id", "group_id", "statement", "finding_type", "toks", "nums")
+    a, b = (rows.select([F.col(c).alias(f"{s}_{c}") for c in rows.columns]) for s in "ab")
+    found = a.join(b, (F.col("a_group_id") == F.col("b_group_id")) & (F.col("a_claim_id") < F.col("b_claim_id"))).where(claims.duplicate("a_", "b_"))
+    found = found.withColumn("c", links.conflict(F.col("a_statement"), F.col("b_statement"), F.col("a_finding_type"), F.col("b_finding_type"))).where("c is not null")
+    rank = {"low": 0.04, "medium": 0.08, "high": 0.15}
+    out = {}
+    for r in found.select("a_group_id", "c.severity").collect():
+        out[r.a_group_id] = max(out.get(r.a_group_id, 0.0), rank[r.severity])
+    return out
+
+
+def test_penalty_of_all_members(spark, tmp_path):
+    base = "Output of steel mills rose"
+    first = f"{base} across many northern towns. Nothing else is said of pumps here"  # in chain, but in no conflict
+    others = [f"{base} across many northern towns in China. Wind farms need rare metals and long cables", f"{base} across many northern towns in India. Rivers carry sand and gravel to wide deltas", "Rivers carry sand and gravel to wide deltas. Old bridges need fresh paint each spring"]
+    d = written(spark, tmp_path, [first, *others])
+    got = {r.group_id: r.contradiction_penalty for r in catalog.QUERIES["f17_calibrate_groups"](spark, d).collect()}
+    want = brute_conflicts(spark, d)
+    assert got == {g: want.get(g, 0.0) for g in got}
+    assert sorted(want.values()) == [0.04, 0.08] and got[2] == 0.04
