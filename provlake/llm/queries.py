@@ -47,7 +47,7 @@ OP3_HOST_RULE_SQL = r"""
 WITH p AS (SELECT doc_id, coalesce(source, '') AS host, source, text FROM documents),
 t AS (SELECT host, count(DISTINCT coalesce(text, '')) AS total FROM p GROUP BY host),
 l AS (SELECT DISTINCT host, text, trim(line, ' ') AS line FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS line FROM p) WHERE trim(line, ' ') <> ''),
-o AS (SELECT line FROM l WHERE len(regexp_extract_all(line, '[^ ]+')) >= 50 GROUP BY line HAVING count(DISTINCT host) >= 10),
+o AS (SELECT line FROM l WHERE len(regexp_extract_all(line, '[^ ]+')) >= 50 GROUP BY line HAVING count(DISTINCT host) >= 10 AND count(DISTINCT text) >= 10),
 h AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM l GROUP BY host, line) JOIN t USING (host) WHERE n >= 3 AND n > total * 0.01::DOUBLE UNION SELECT DISTINCT host, line FROM l SEMI JOIN o USING (line)),
 b AS (SELECT host, list(line) AS lines FROM h GROUP BY host),
 a AS (SELECT doc_id, source, string_split(text, chr(10)) AS every, coalesce(b.lines, []) AS gone FROM p LEFT JOIN b USING (host)),

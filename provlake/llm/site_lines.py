@@ -62,7 +62,7 @@ def passages(docs: DataFrame, hosts: int, host: str = "source") -> DataFrame:
     """__page, __passages: the hashes of each page's lines of PASSAGE_WORDS words or more that are on so many hosts; pages without any have no row."""
     lines = docs.select(host_of(host).alias("__host"), page_of().alias("__page"), F.explode(F.split("text", "\n")).alias("line"))
     long = lines.where((F.length("line") >= 2 * PASSAGE_WORDS - 1) & (F.regexp_count("line", F.lit("[^ ]+")) >= PASSAGE_WORDS)).select("__host", "__page", key_of(F.col("line")).alias("line"))
-    found = long.select("line", "__host").distinct().groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= hosts).select("line")
+    found = long.groupBy("line").agg(F.countDistinct("__host").alias("n"), F.countDistinct("__page").alias("texts")).where(F.least("n", "texts") >= hosts).select("line")
     return long.join(maybe_broadcast(checkpointed(found), BROADCAST_LINES), "line", "left_semi").groupBy("__page").agg(F.collect_set("line").alias("__passages"))
 
 

@@ -20,6 +20,7 @@ def planted():
             own += [PASSAGE] * (i == 7) + [COPIED] * (i == 8 and h < 9)
             rows.append((h * 1000 + i, f"host{h}", "\n".join(own)))
     rows += [(99_000 + k, "host1", "A page\nits copies") for k in range(9)]
+    rows += [(98_000 + h, f"host{h}", COPIED.replace("copied", "same")) for h in range(12)]
     return rows
 
 
@@ -28,6 +29,7 @@ def test_planted_boilerplate_goes(spark):
     out = [x for r in corpus_pipeline.lines(spark, docs, "").select("text").collect() for x in r.text.split("\n")]
     assert out.count("Menu of the site") == 0 and out.count(PASSAGE) == 0
     assert out.count("On two pages") == 2 and out.count(COPIED) == 9 and out.count("its copies") == 9
+    assert out.count(COPIED.replace("copied", "same")) == 12  # one text on all hosts
     assert len([x for x in out if x.startswith("own line")]) == 1800
 
 
