@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from provlake.functions import rules, text
 from provlake.operators import claims, content, links, provenance, questions, retrieval, urls
+from provlake.plans.session import checkpointed, shared_folder, table
 from provlake.sources import entities
 from provlake.streaming import streams
 
@@ -30,17 +31,6 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(streams.folder(df.sparkSession))
-    return df.checkpoint()
-
-
 # --- SQL pieces that several queries share
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in rules.STOP_WORDS) + "]"
@@ -158,7 +148,7 @@ def a05_meta_get(spark, d):
 @query("SELECT source AS run_id, count(*) AS n FROM documents GROUP BY source")
 def a06_write_run(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("run_id"), "n_chars")
-    at = streams.folder(spark)
+    at = shared_folder(spark, "run")
     entities.write_run({"contents": docs}, at)
     entities.write_run({"contents": docs.where("run_id = 'src1'")}, at)  # again, one run only
     return spark.read.parquet(f"{at}/contents").groupBy("run_id").agg(F.count("*").alias("n"))
@@ -166,7 +156,7 @@ def a06_write_run(spark, d):
 
 @query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
 def a07_export_summary(spark, d):
-    at = streams.folder(spark) + "/summary"
+    at = shared_folder(spark, "run") + "/summary"
     entities.export_summary(table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), at)
     return spark.read.schema("source string, n long, chars long").json(at)
 

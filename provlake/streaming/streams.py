@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def folder(spark: SparkSession) -> str:
-    """A new folder where the cluster shares checkpoints; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+from provlake.plans.session import shared_folder
 
 
 def drained(sdf: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives from the input there is now: written as Parquet, then read."""
-    spark, at = sdf.sparkSession, folder(sdf.sparkSession)
+    spark, at = sdf.sparkSession, shared_folder(sdf.sparkSession, "stream")
     if mode == "append":
         query = sdf.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     else:
