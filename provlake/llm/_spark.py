@@ -1,22 +1,24 @@
-"""Session helpers: where lineage is cut, and size-checked broadcasts."""
+"""Session helpers: size-checked broadcasts, bounded Arrow batches, names that are free."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_BYTES = 4 << 20
+
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, materialised in the shared folder named by spark.checkpoint.dir.
+def bounded_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
+    """Lets no Arrow batch that goes to a Python worker grow far beyond `most` bytes; a lower bound of the session stays.
 
-    The folder comes from the session. Where none is set (tests, a laptop), a local one is.
+    Spark's own bound is made for narrow rows; whole texts fill such a batch twice over, in
+    the executor and in its worker.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return df.checkpoint()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    bytes_now = None if now is None or not now.lower().removesuffix("b").isdigit() else int(now.lower().removesuffix("b"))
+    if bytes_now is None or bytes_now <= 0 or bytes_now > most:
+        spark.conf.set(name, str(most))
 
 
 def small(df: DataFrame, rows: int) -> bool:
@@ -29,8 +31,15 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores before it until no column of df has it, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(col):

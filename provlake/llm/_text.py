@@ -1,9 +1,10 @@
 """Vectorised text helpers used inside Arrow tasks.
 
 Tokens are found and fingerprinted with numpy over the raw UTF-8 buffer of an Arrow
-column, a megabyte at a time, so that memory stays bounded whatever the row count.
-A fingerprint is 64 bits wide: two different tokens share one with a probability of
-about 2**-64 a pair.
+column. Rows are taken some kilobytes of text at a time (batches_of), and within one long
+text the arrays of 64-bit values are made segment by segment, so that what a task holds is
+a few bytes for each byte of its longest text. A fingerprint is 64 bits wide: two different
+tokens share one with a probability of about 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -21,19 +22,20 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[65:91] += 32
 
-CHUNK_BYTES = 1 << 20
+#: text taken at once, and bytes fingerprinted at once
+CHUNK_BYTES = 1 << 18
+SEGMENT = 1 << 16
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd multiplier and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES)
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, dtype=np.uint64), np.full(size - 1, p, dtype=np.uint64)))) for p in (_P, _PINV)]
-    return _powers[0][:n], _powers[1][:n]
+def _powers(p: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate((np.ones(1, dtype=np.uint64), np.full(SEGMENT, p, dtype=np.uint64))))
+
+
+#: powers of an odd multiplier and of its inverse, modulo 2**64
+_POWER, _INVERSE = _powers(_P), _powers(_PINV)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,26 +59,66 @@ def joined(parts: list[np.ndarray]) -> np.ndarray:
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
-    column = column.cast(pa.large_string())
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
     if column.null_count:
         column = column.fill_null("")
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    offsets = np.frombuffer(offsets, dtype=width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def spans_of(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of runs of rows with about `limit` bytes of text, one row at least."""
+    if not len(column):
+        return
+    _, offsets = text_buffers(column)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield at, end
+        at = end
+
+
 def batches_of(batches, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about `limit` bytes of text, one row at least."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        for at, end in spans_of(batch.column(batch.schema.get_field_index(text)), limit):
             yield batch.slice(at, end - at)
-            at = end
+
+
+def _long_print(token: np.ndarray) -> np.uint64:
+    """The sum over one long token, by segments."""
+    total, power = np.zeros(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(token), SEGMENT):
+            part = token[at : at + SEGMENT].astype(np.uint64) + np.uint64(1)
+            total += power * (part * _POWER[: len(part)]).sum(dtype=np.uint64)
+            power *= _POWER[len(part)]
+    return total[0]
+
+
+def fingerprints(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A fingerprint of each token raw[start:end]; tokens are in order and apart."""
+    out = np.empty(len(start), dtype=np.uint64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(start):
+            low = start[at]
+            upto = int(np.searchsorted(end, low + SEGMENT, side="right"))  # tokens within a segment
+            if upto == at:
+                out[at] = _long_print(raw[low : end[at]])
+                upto = at + 1
+            else:
+                part = raw[low : end[upto - 1]].astype(np.uint64) + np.uint64(1)
+                sums = np.zeros(len(part) + 1, dtype=np.uint64)
+                np.cumsum(part * _POWER[: len(part)], out=sums[1:])
+                a, b = start[at:upto] - low, end[at:upto] - low
+                out[at:upto] = (sums[b] - sums[a]) * _INVERSE[a]
+            at = upto
+        return mix(out + (end - start).astype(np.uint64))
 
 
 class Tokens:
@@ -96,25 +138,22 @@ class Tokens:
         if apart:
             one, other = apart[0][raw], apart[1][raw]
             cut[1:-1] |= (one[:-1] & other[1:]) | (other[:-1] & one[1:])
-        edge = word[1:] != word[:-1]
-        self.start = np.flatnonzero((edge | cut) & word[1:])
-        self.end = np.flatnonzero((edge | cut) & word[:-1])
+        cut |= word[1:] != word[:-1]
+        self.start = np.flatnonzero(cut & word[1:])
+        self.end = np.flatnonzero(cut & word[:-1])
         self.n = np.diff(np.searchsorted(self.start, offsets))  # tokens of each row
         self.first = np.concatenate(([0], np.cumsum(self.n)))
         self.doc = np.repeat(np.arange(self.docs), self.n)
-        power, inverse = powers(len(raw) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-            np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-            self.h = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
-        self.sums, self.inverse = sums, inverse
+        self.h = fingerprints(self.raw, self.start, self.end)
 
     def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, fingerprint) of the first n bytes of each token that is longer."""
         at = np.flatnonzero(self.end - self.start > n)
-        start = self.start[at]
+        start, h = self.start[at], np.full(len(at), n, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            return self.doc[at], mix((self.sums[start + n] - self.sums[start]) * self.inverse[start] + np.uint64(n << 32))
+            for k in range(n):
+                h = h * np.uint64(_P) + self.raw[start + k]
+        return self.doc[at], mix(h)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, fingerprint) of each run of n tokens within one text, in order."""
@@ -125,6 +164,20 @@ class Tokens:
         return self.doc[:m][ok], joined([self.h[i : i + m] for i in range(n)])[ok]
 
 
+def windows(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, fingerprint) of each run of n <= 8 bytes within one text, by segments."""
+    for low in range(0, max(0, len(raw) - n + 1), SEGMENT):
+        part = raw[low : low + SEGMENT + n - 1].astype(np.uint64)
+        m = len(part) - n + 1
+        value = np.zeros(m, dtype=np.uint64)
+        for k in range(n):
+            value |= part[k : k + m] << np.uint64(8 * k)
+        place = np.arange(low, low + m)
+        row = np.searchsorted(offsets, place, side="right") - 1
+        inside = place + n <= offsets[row + 1]
+        yield row[inside], mix(value[inside])
+
+
 def distinct_by_row(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (row, h) pairs, sorted."""
     order = np.lexsort((h, row))
@@ -132,10 +185,3 @@ def distinct_by_row(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndar
     new = np.ones(len(row), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     return row[new], h[new]
-
-
-def crc_mod(ids: pa.Array, modulus: int) -> np.ndarray:
-    """crc32 of the id as text, modulo; -1 for a null id."""
-    import zlib
-
-    return np.array([-1 if x is None else zlib.crc32(str(x).encode()) % modulus for x in ids.to_pylist()], dtype=np.int64)

@@ -25,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provlake.llm._spark import bounded_batches
 from provlake.llm._text import LOWER, SAME, Tokens, batches_of, text_buffers
 
 MAX_TOKENS = 2048
 END_ID = 1
-BUFFER_SEQUENCES = 512
+BUFFER_SEQUENCES = 256
 #: words whose ids a worker keeps, over all the tasks it runs
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
+ENCODED_AT_ONCE = 5_000
 #: letters and digits of ASCII, and its signs but for the apostrophe, which can belong to a word, and those of special tokens
 _ALNUM, _SIGN = (np.array([x < 128 and f(chr(x)) for x in range(256)]) for f in (str.isalnum, lambda c: "!" <= c <= "~" and not c.isalnum() and c not in "'<|>"))
 #: cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n
@@ -87,11 +89,12 @@ class Encoder:
     def learn(self, prints: np.ndarray, words: list[str]) -> np.ndarray:
         """Encodes new words; their places."""
         places = np.arange(len(self.start), len(self.start) + len(words))
-        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            ids = e.ids
-            self.start.append(len(self.flat))
-            self.length.append(len(ids))
-            self.flat.extend(ids)
+        for at in range(0, len(words), ENCODED_AT_ONCE):
+            for e in self.tokenizer.encode_batch_fast(words[at : at + ENCODED_AT_ONCE], add_special_tokens=False):
+                ids = e.ids
+                self.start.append(len(self.flat))
+                self.length.append(len(ids))
+                self.flat.extend(ids)
         self.latest = self.union(self.latest, (prints, places))
         if len(self.latest[0]) > CACHE_WORDS // 10:
             self.most, self.latest = self.union(self.most, self.latest), (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
@@ -107,13 +110,12 @@ class Encoder:
         found = self.find(self.most, distinct)
         found = np.where(found < 0, self.find(self.latest, distinct), found)
         new = np.flatnonzero(found < 0)
-        raw, begin, end = t.raw.tobytes(), t.start[first[new]].tolist(), t.end[first[new]].tolist()
-        found[new] = self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(begin, end, strict=True)])
-        words = found[place]
-        words = np.insert(words, t.first[1:], 0)
-        start, length = np.array(self.start)[words], np.array(self.length)[words]
+        begin, end = t.start[first[new]].tolist(), t.end[first[new]].tolist()
+        found[new] = self.learn(distinct[new], [t.raw[a:b].tobytes().decode() for a, b in zip(begin, end, strict=True)])
+        words = np.insert(found[place], t.first[1:], 0)
+        start, length = np.frombuffer(self.start, dtype=np.int64)[words], np.frombuffer(self.length, dtype=np.int64)[words]  # copies: no view is kept
         ends = np.cumsum(length)
-        ids = np.array(self.flat, dtype=np.uint32)[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
+        ids = np.frombuffer(self.flat, dtype=np.uint32)[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
         return ids, np.concatenate(([0], ends[np.cumsum(t.n + 1) - 1]))
 
 
@@ -146,6 +148,7 @@ def pack(docs: DataFrame, vocabulary_path: str, max_tokens: int = MAX_TOKENS, li
     if len(content) > MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary exceeds the broadcast bound")
     vocabulary = docs.sparkSession.sparkContext.broadcast(content)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         encoder, task, made = Encoder.of(vocabulary.value), TaskContext.get().partitionId(), 0

@@ -7,13 +7,20 @@ mixture that holds toxic texts too. With class prior p, losses l and scores z, t
 
 corrects the unlabelled part for the toxic share in it, and is kept from going negative.
 Features are hashed words, beginnings of words and 5-byte windows of the lower-cased text
-(ASCII signs count as a space), present or absent; those that are most certainly more
-frequent in the confirmed sample are used, with weights of zero or more. Both samples are bounded, by parameters; scoring covers every text whole.
+(ASCII signs count as a space), present or absent. Those are used that are at least LIFT
+times as frequent in confirmed texts as in the others, and so by more than chance: tails of
+the binomial distribution, with at most FALSE_DISCOVERIES of them false (Benjamini and
+Hochberg), which asks of few confirmed texts no more than they can show. Their frequencies
+are counted over all training texts. The fit takes at most MAX_POSITIVE confirmed rows, and
+as many unlabelled rows as keep the standard error of their mean loss, which lies between 0
+and 1, within RISK_ERROR. Weights are zero or more. Scoring covers every text whole.
 
 Defined results: a null or empty text has no features and gets the score of the intercept;
 a null label is no label; a null doc_id is never learnt from and is not held out; repeated
-rows each get their score; without a single confirmed example all scores are 0; an empty
-table gives no rows; other columns are ignored.
+rows each get their score; of equally telling features the lower bucket comes first; without
+a single confirmed example, or with none that tells anything, all scores are 0; very long
+texts are taken whole, by segments; an empty table gives no rows; other columns, whatever
+their names, are ignored (without_toxic keeps them).
 """
 
 from __future__ import annotations
@@ -22,22 +29,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from provlake.llm._text import LOWER, Tokens, batches_of, mix
+from provlake.llm._spark import bounded_batches
+from provlake.llm._text import LOWER, Tokens, batches_of, spans_of, windows
 
 WINDOW = 5
 PREFIXES = (4, 6, 8)
 BUCKETS = 1 << 20
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: bounds of the two samples, in rows
-MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
+#: bound of the confirmed sample, in rows, and of the sampling error of the unlabelled risk
+MAX_POSITIVE = 8_000
+RISK_ERROR = 0.004
 MAX_FEATURES = 2_000
-#: features less certain than so many standard errors are left out: some of so many look telling by chance
-MIN_CERTAINTY = 5.0
+LIFT = 3.0
+FALSE_DISCOVERIES = 0.02
 
 #: other ASCII signs than letters and digits end a word
 NO_WORD = np.zeros(256, dtype=bool)
@@ -53,31 +61,22 @@ class Model:
     bias: float = float("-inf")
 
 
-def features_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every word, word beginning and window of the texts."""
+def present(column: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (row, bucket) with wanted[bucket] of every word, word beginning and window of the texts."""
     t = Tokens(column, _FOLD, NO_WORD)
-    rows, hashes = [t.doc], [t.h]
-    for n in PREFIXES:
-        row, h = t.prefixes(n)
-        rows.append(row)
-        hashes.append(h)
-    raw, m = t.raw.astype(np.uint64), len(t.raw) - WINDOW + 1
-    if m > 0:
-        value = np.zeros(m, dtype=np.uint64)
-        for k in range(WINDOW):
-            value |= raw[k : k + m] << np.uint64(8 * k)
-        row = np.repeat(np.arange(t.docs), np.diff(t.offsets))
-        inside = row[:m] == row[WINDOW - 1 :]
-        rows.append(row[:m][inside])
-        hashes.append(mix(value[inside]))
-    return np.concatenate(rows), (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)
+    keys = []
 
+    def add(row, h):
+        bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
+        hit = wanted[bucket]
+        keys.append(np.unique(row[hit] * BUCKETS + bucket[hit]))
 
-def present(column: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (row, bucket) with wanted[bucket]."""
-    row, bucket = features_of(column)
-    hit = wanted[bucket]
-    both = np.unique(row[hit] * BUCKETS + bucket[hit])
+    add(t.doc, t.h)
+    for n in PREFIXES:
+        add(*t.prefixes(n))
+    for row, h in windows(t.raw, t.offsets, WINDOW):
+        add(row, h)
+    both = np.unique(np.concatenate(keys))
     return both // BUCKETS, both % BUCKETS
 
 
@@ -85,7 +84,7 @@ def fold_of(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def train(rows_p, cols_p, n_p, rows_u, cols_u, n_u, start, prior, steps=300, rate=0.05, decay=1e-5):
+def train(rows_p, cols_p, n_p, rows_u, cols_u, n_u, start, prior, steps=30, rate=0.05, decay=1e-5):
     """Weights and intercept by full-batch Adam on the non-negative risk with the sigmoid loss l(z) = 1 / (1 + exp(z))."""
     mean = np.bincount(rows_p, weights=start[cols_p], minlength=n_p).mean()
     w = np.append(start * (10 / mean if mean else 0.0), -2.0)  # the last is the intercept; confirmed texts begin at 8
@@ -110,51 +109,97 @@ def train(rows_p, cols_p, n_p, rows_u, cols_u, n_u, start, prior, steps=300, rat
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES, prior: float | None = None) -> Model:
+def telling(p: np.ndarray, n_p: int, others: np.ndarray, n_others: int, most: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, log odds) of the features that are surely more frequent in the confirmed texts, most certain first.
+
+    p of n_p confirmed texts and others of n_others have each feature.
+    """
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n_p + 1)))))
+    rate = (others + 1) / (n_others + 2)
+    ratio = (n_p - p) / (p + 1) * rate / (1 - rate)  # of each term of the tail to the one before, at most
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tail = logs[n_p] - logs[p] - logs[n_p - p] + p * np.log(rate) + (n_p - p) * np.log1p(-rate) - np.log(1 - ratio)
+    tail = np.where((ratio < 1) & (p > rate * n_p), np.minimum(tail, 0), 0)
+    order = np.argsort(tail, kind="stable")
+    passed = np.flatnonzero(tail[order] <= np.log(FALSE_DISCOVERIES * np.arange(1, len(p) + 1) / max(len(p), 1)))
+    best = order[: passed[-1] + 1] if len(passed) else order[:0]
+    odds = np.log((p + 0.5) / (n_p + 1)) - np.log((p + others + 0.5) / (n_p + n_others + 1))
+    best = best[odds[best] >= np.log(LIFT)][:most]
+    return best, odds[best]
+
+
+def _hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.lit(10))
+
+
+def _sample(ids: DataFrame, rows: int, bound: int) -> DataFrame:
+    """At most `bound` of the distinct ids, by a hash; rows: how many there are, so that few are ever sorted."""
+    if rows > 2 * bound:
+        ids = ids.where(_hash() < -(2**63) + int(2**64 * 1.5 * bound / rows))
+    return ids.distinct().orderBy(_hash(), "doc_id").limit(bound)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, risk_error: float = RISK_ERROR, max_features: int = MAX_FEATURES, prior: float | None = None) -> Model:
     """Learns from rows outside the held-out fold. prior: share of toxic texts; by default that of the labelled rows."""
+    bounded_batches(docs.sparkSession)
     learnt = F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != HELD_OUT)
-    order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(10))
     labels = labels.select("doc_id", "toxic").where(learnt & F.col("toxic").isNotNull())
-    if prior is None:
-        prior = labels.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    prior = float(np.clip(prior, 0.01, 0.9))
-    positive = labels.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive).withColumn("positive", F.lit(True))
-    unlabelled = docs.select("doc_id").where(learnt).orderBy(order, "doc_id").limit(max_unlabelled).distinct().withColumn("positive", F.lit(False))
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select("positive", "text")  # at most max_positive + max_unlabelled ids
-
-    def frequencies(batches):
-        counts = np.zeros((2, BUCKETS + 1), dtype=np.int64)
-        for batch in batches_of(batches, "text"):
-            kind = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            row, bucket = present(batch.column(1), np.ones(BUCKETS, dtype=bool))
-            np.add.at(counts, (kind[row], bucket), 1)
-            counts[:, BUCKETS] += [(kind == 0).sum(), kind.sum()]
-        used = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0, used]), pa.array(counts[1, used])], names=["bucket", "u", "p"])
-
-    table = sample.mapInArrow(frequencies, "bucket long, u long, p long").groupBy("bucket").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).where(f"p >= 2 or bucket = {BUCKETS}").toPandas()  # at most BUCKETS rows
-    size = table[table.bucket == BUCKETS]
-    n_u, n_p = (int(size.u.sum()), int(size.p.sum())) if len(size) else (0, 0)
-    if not n_p or not n_u:
+    share, confirmed = labels.agg(F.avg((F.col("toxic") == 1).cast("double")), F.count_if(F.col("toxic") == 1)).first()
+    if not confirmed:
+        return Model()
+    prior = float(np.clip(share if prior is None else prior, 0.01, 0.9))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(learnt)
+    positive = _sample(labels.where("toxic = 1").select("doc_id"), confirmed, max_positive)
+
+    def frequencies(wanted):
+        def run(batches):
+            counts, rows = np.zeros(BUCKETS, dtype=np.int64), 0
+            for batch in batches_of(batches, "text"):
+                counts += np.bincount(present(batch.column(0), wanted())[1], minlength=BUCKETS)
+                rows += batch.num_rows
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], rows))], names=["bucket", "n"])
+
+        return run
+
+    def counted(rows: DataFrame, wanted) -> DataFrame:
+        """bucket, n; bucket -1 counts the rows."""
+        return rows.select("text").mapInArrow(frequencies(wanted), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+    found = counted(texts.join(F.broadcast(positive), "doc_id", "left_semi"), lambda: np.ones(BUCKETS, dtype=bool)).where("n >= 2 or bucket = -1").toPandas().sort_values("bucket")  # at most BUCKETS rows; max_positive ids
+    n_p = int(found.n[found.bucket == -1].sum())
+    found = found[found.bucket >= 0]
+    candidates, p = found.bucket.to_numpy(), found.n.to_numpy()
+    if not len(candidates):
         return Model()
-    table = table[table.bucket != BUCKETS].sort_values("bucket")
-    odds = np.log((table.p + 0.5) / (n_p + 1)) - np.log((table.u + 0.5) / (n_u + 1))
-    certain = (odds / np.sqrt(1 / (table.p + 0.5) + 1 / (table.u + 0.5))).to_numpy()
-    odds = odds.to_numpy()
-    best = np.argsort(-certain, kind="stable")[:max_features]
-    best = best[certain[best] >= MIN_CERTAINTY]
-    chosen, start = table.bucket.to_numpy()[best], odds[best]
-    index = np.full(BUCKETS, -1, dtype=np.int64)
-    index[chosen] = np.arange(len(chosen))
+
+    marked = np.zeros(BUCKETS, dtype=bool)
+    marked[candidates] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
+    every = counted(texts, lambda: np.unpackbits(shared.value).astype(bool)).toPandas()  # at most BUCKETS rows
+    n = int(every.n[every.bucket == -1].sum())
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    every = every[every.bucket >= 0]
+    counts[every.bucket] = every.n
+    best, start = telling(p, n_p, counts[candidates] - p, n - n_p, max_features)
+    if not len(best):
+        return Model()
+    chosen = candidates[best]
+    order = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    unlabelled = _sample(texts.select("doc_id"), n, int(np.ceil(0.25 / risk_error**2)))
+    ids = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
+    sample = texts.join(F.broadcast(ids), "doc_id").select("positive", "text")  # ids bounded by both samples
 
     def features(batches):
+        index = np.full(BUCKETS, -1, dtype=np.int32)
+        index[order.value] = np.arange(len(order.value))
         for batch in batches_of(batches, "text"):
             row, bucket = present(batch.column(1), index >= 0)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(index[bucket].astype(np.int32)))], names=["positive", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(index[bucket]))], names=["positive", "features"])
 
-    held = sample.mapInArrow(features, "positive boolean, features array<int>").toPandas()  # bounded by the samples
+    held = sample.mapInArrow(features, "positive boolean, features array<int>").toPandas()  # rows bounded by both samples, features by max_features
 
     def sparse(x):
         n = [len(f) for f in x]
@@ -166,29 +211,36 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     return model
 
 
-def score(docs: DataFrame, model: Model, name: str = "toxic_score") -> DataFrame:
-    """docs with a column of scores."""
+def scores(column: pa.Array, model: Model) -> np.ndarray:
+    """The score of each text."""
+    if not np.isfinite(model.bias):
+        return np.zeros(len(column))
+    used = model.weights != 0
+    z = np.zeros(len(column))
+    for a, b in spans_of(column):
+        row, bucket = present(column.slice(a, b - a), used)
+        z[a:b] = np.bincount(row, weights=model.weights[bucket].astype(np.float64), minlength=b - a)
+    return 1 / (1 + np.exp(-np.clip(z + model.bias, -60, 60)))
+
+
+def score_of(docs: DataFrame, model: Model) -> Column:
+    """The score of docs' texts as a column: a text goes to Python once, and only its score comes back."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
 
-    def run(batches):
-        model = shared.value
-        used = model.weights != 0
-        for batch in batches_of(batches, "__text"):
-            row, bucket = present(batch.column(batch.num_columns - 1), used)
-            z = np.bincount(row, weights=model.weights[bucket].astype(np.float64), minlength=batch.num_rows) + model.bias
-            p = 1 / (1 + np.exp(-np.clip(z, -60, 60))) if np.isfinite(model.bias) else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], name])
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(scores(text, shared.value))
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return score(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every text."""
-    out = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = docs.select("doc_id", score_of(docs, fit(docs, labels)).alias("score"))
+    return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that score below the threshold."""
-    return score(docs, fit(docs, labels), "__score").where(F.col("__score") < THRESHOLD).drop("__score")
+    return docs.where(score_of(docs, fit(docs, labels)) < THRESHOLD)
