@@ -8,15 +8,12 @@ costs more than a stage.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlake.llm import decontamination, near_duplicates, packing, site_lines, toxicity
-from provlake.llm._spark import table
 from provlake.llm.queries import vocabulary
+from provlake.plans.session import shared_folder, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-", dir="/tmp")
+    folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(at := f"{folder}/pipeline-{uuid.uuid4().hex}")
+            docs.write.parquet(at := f"{folder}/stage{k}")
             docs = spark.read.parquet(at)
     return docs
