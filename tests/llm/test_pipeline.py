@@ -37,13 +37,17 @@ def test_toxicity_stage(spark, stages):
 def test_line_stage(stages):
     before, after = stages["line dedup"]
     before, after = before.collect(), {r.doc_id: r for r in after.collect()}
-    pages, lines = defaultdict(set), defaultdict(set)
+    pages, lines, hosts, texts = (defaultdict(set) for _ in range(4))
     for r in before:
         pages[r.source].add(r.text)
         for x in r.text.split("\n"):
             lines[r.source, x.strip(" ")].add(r.text)
+            if len(x.split()) >= 50:
+                hosts[x.strip(" ")].add(r.source)
+                texts[x.strip(" ")].add(r.text)
     for r in before:
-        gone = lambda x, s=r.source: x.strip(" ") and len(lines[s, x.strip(" ")]) >= 5 and len(lines[s, x.strip(" ")]) > 0.1 * len(pages[s])
+        often = lambda x, s=r.source: len(lines[s, x]) >= 3 and len(lines[s, x]) > 0.01 * len(pages[s])
+        gone = lambda x: x.strip(" ") and (often(x.strip(" ")) or min(len(hosts[x.strip(" ")]), len(texts[x.strip(" ")])) >= 10)
         want = "\n".join(x for x in r.text.split("\n") if not gone(x))
         assert after[r.doc_id].text == want and after[r.doc_id].n_chars == len(want)
 
