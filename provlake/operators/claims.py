@@ -12,26 +12,39 @@ from provlake.functions.text import PLAIN_NUMBER, RANGE, numbers, statement_toke
 JACCARD, CONTAINMENT, MIN_CONTAINED = 0.55, 0.65, 3
 
 
-def pack_batches(df: DataFrame, key: str, order: list[str], n: int = 3) -> DataFrame:
-    """Adds batch: rows of a key in groups of n, in order (F1)."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / n))
+def pack_batches(df: DataFrame, key: str, ident: str, keep, n: int = 3) -> DataFrame:
+    """key, ident, batch: the ids of a key in groups of n, in order (F1). Ids are unique within a key.
+
+    Ids alone are ranged over all tasks, ranked where they lie, and moved up by the counts of
+    the tasks before, so that a run of any size is spread. keep holds the ranges fast, e.g.
+    a checkpoint.
+    """
+    ranged = keep(df.select(key, ident).repartitionByRange(key, ident).withColumn("__part", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(key, "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))  # a row for each task of a run
+    place = F.row_number().over(Window.partitionBy(key, "__part").orderBy(ident)) - 1
+    same = F.col("x.__part").eqNullSafe(F.col("y.__part")) & F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}"))
+    placed = ranged.withColumn("__place", place).alias("x").join(counts.alias("y"), same)
+    return placed.select(f"x.{key}", ident, F.floor((F.col("__place") + F.col("__before")) / n).alias("batch"))
 
 
-def assemble_batches(df: DataFrame, key: str, order: str, n: int = 3, max_chars: int = 6000, single_chars: int = 8000) -> DataFrame:
+def assemble_batches(df: DataFrame, key: str, ident: str, keep, n: int = 3, max_chars: int = 6000, single_chars: int = 8000) -> DataFrame:
     """key, batch, n_sources, prompt: a header and the cut text of each source, a blank line between (F2).
 
-    df(key, order, title, content). Batches have at most n sources, so a prompt is bounded.
+    df(key, ident, title, content). Batches have at most n sources, so a prompt is bounded;
+    texts are cut before they are moved.
     """
-    batched = pack_batches(df, key, [order], n)
-    each = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.format_string("SOURCE %s: %s\n", F.col(order).cast("string"), F.col("title")).alias("h"), F.substring("content", 1, max(max_chars, single_chars)).alias("c"))))
-    grouped = batched.groupBy(key, "batch").agg(each.alias("s"))
+    cut = df.select(key, F.col(ident).alias("o"), F.format_string("SOURCE %s: %s\n", F.col(ident).cast("string"), F.col("title")).alias("h"), F.substring("content", 1, max(max_chars, single_chars)).alias("c"))
+    batched = pack_batches(df, key, ident, keep, n).select(F.col(key).alias("__key"), F.col(ident).alias("__id"), "batch")
+    rows = cut.join(batched, F.col(key).eqNullSafe(F.col("__key")) & (F.col("o") == F.col("__id")))
+    grouped = rows.groupBy(key, "batch").agg(F.sort_array(F.collect_list(F.struct("o", "h", "c"))).alias("s"))
     limit = F.when(F.size("s") == 1, single_chars).otherwise(max_chars)
     text = F.array_join(F.transform("s", lambda x: F.concat(x["h"], F.substring(x["c"], F.lit(1), limit))), "\n\n")
     return grouped.select(key, "batch", F.size("s").alias("n_sources"), text.alias("prompt"))
 
 
-def extract_claims(df: DataFrame, mode: str = "sentences", ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """ident, seq, statement, excerpt, finding_type, importance, confidence, relevance.
+def extract_claims(df: DataFrame, mode: str = "sentences", ident: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """ident, the columns to keep, seq, statement, excerpt, finding_type, importance, confidence, relevance.
 
     sentences: the first two of more than 20 characters, a fact and a risk. line: the first
     line of more than 30 characters, a fact.
@@ -39,13 +52,14 @@ def extract_claims(df: DataFrame, mode: str = "sentences", ident: str = "doc_id"
     text = F.coalesce(F.col(text), F.lit(""))
     if mode == "line":
         lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 30)
-        out = df.select(ident, F.get(lines, F.lit(0)).alias("excerpt")).where("excerpt is not null")
-        return out.select(ident, F.lit(1).alias("seq"), F.substring("excerpt", 1, 200).alias("statement"), F.substring("excerpt", 1, 200).alias("excerpt"), F.lit("fact").alias("finding_type"), F.lit("medium").alias("importance"), F.lit(0.60).alias("confidence"), F.lit(0.90).alias("relevance"))
+        out = df.select(ident, *keep, F.get(lines, F.lit(0)).alias("excerpt")).where("excerpt is not null")
+        return out.select(ident, *keep, F.lit(1).alias("seq"), F.substring("excerpt", 1, 200).alias("statement"), F.substring("excerpt", 1, 200).alias("excerpt"), F.lit("fact").alias("finding_type"), F.lit("medium").alias("importance"), F.lit(0.60).alias("confidence"), F.lit(0.90).alias("relevance"))
     found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"([^.\n]+)"), 1), lambda x: F.trim(x)), lambda x: F.length(x) > 20)
-    out = df.select(ident, F.posexplode(F.slice(found, 1, 2)).alias("pos", "excerpt"))
+    out = df.select(ident, *keep, F.posexplode(F.slice(found, 1, 2)).alias("pos", "excerpt"))
     fact = F.col("pos") == 0
     return out.select(
         ident,
+        *keep,
         (F.col("pos") + 1).alias("seq"),
         F.substring("excerpt", 1, 150).alias("statement"),
         "excerpt",
@@ -126,38 +140,44 @@ def texts_of(claims: DataFrame, run: str = "run_id", ident: str = "claim_id") ->
     return claims.groupBy(run, F.lower(F.trim("statement")).alias("folded")).agg(F.min(ident).alias(ident), F.min_by("statement", ident).alias("statement"), F.count("*").alias("copies"))
 
 
-def claim_pairs(claims: DataFrame, run: str = "run_id", ident: str = "claim_id", threshold: float = JACCARD, containment: float | None = CONTAINMENT) -> DataFrame:
-    """run, id_a < id_b: the duplicate pairs of different statements within a run.
+def claim_pairs(claims: DataFrame, run: str = "run_id", ident: str = "claim_id", threshold: float = JACCARD, containment: float | None = CONTAINMENT, keep=None) -> DataFrame:
+    """run, id_a < id_b: the duplicate pairs of different statements within a run (F13, F15). keep: materialises the statements, e.g. a checkpoint."""
+    texts = featured(texts_of(claims, run, ident))
+    return text_pairs(keep(texts) if keep else texts, run, ident, threshold, containment)
+
 
-    Equal statements fall together first (texts_of). With a run's tokens ordered by rarity,
-    two similar sets share one of their first n - ceil(t n) + 1 tokens; of two sets, one
-    contained in the other, the smaller's first tokens meet any token of the larger.
+def text_pairs(texts: DataFrame, run: str, ident: str, threshold: float = JACCARD, containment: float | None = CONTAINMENT) -> DataFrame:
+    """claim_pairs of texts(run, ident, statement, toks, nums), one row for each different statement (texts_of, featured).
+
+    With a run's tokens ordered by rarity, two similar sets share one of their first
+    n - ceil(t n) + 1 tokens; of two sets, one contained in the other, the smaller's first
+    tokens meet any token of the larger. All shared tokens come after the first shared one
+    in both sets, so that what is left there must suffice for the overlap asked.
     """
-    base = featured(texts_of(claims, run, ident)).where(F.size("toks") > 0).select(run, ident, "toks", F.size("toks").alias("n"))
+    base = texts.where(F.size("toks") > 0).select(run, ident, "toks", F.size("toks").alias("n"))
     each = base.select(run, ident, "n", F.explode("toks").alias("tok"))
     common = each.groupBy(run, "tok").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy(run, ident).orderBy("df", "tok"))
     ranked = each.join(common, [run, "tok"]).withColumn("r", place)
     prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-    side = lambda d, s: d.select(run, "tok", F.col(ident).alias(f"id_{s}"), F.col("n").alias(f"n_{s}"))
-    fits = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    found = side(prefix, "a").join(side(prefix, "b"), [run, "tok"]).where("id_a < id_b").where(fits)
+    side = lambda d, s: d.select(run, "tok", F.col(ident).alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), (F.col("n") - F.col("r") + 1).alias(f"left_{s}"))
+    left = F.least("left_a", "left_b")
+    fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (left >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    found = side(prefix, "a").join(side(prefix, "b"), [run, "tok"]).where("id_a < id_b").where(fits).select(run, "id_a", "id_b")
     if containment is not None:
         small = ranked.where((F.col("n") >= MIN_CONTAINED) & (F.col("r") <= F.col("n") - F.ceil(containment * F.col("n") - 1e-9) + 1))
-        found = found.unionByName(side(small, "a").join(side(ranked, "b"), [run, "tok"]).where("id_a <> id_b and n_a <= n_b"))
+        contained = side(small, "a").join(side(ranked, "b"), [run, "tok"]).where("id_a <> id_b and n_a <= n_b").where(left >= containment * F.col("n_a") - 1e-9)
+        found = found.unionByName(contained.select(run, "id_a", "id_b"))
     candidates = found.select(run, F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
-    rows = featured(texts_of(claims, run, ident)).select(run, ident, "statement", "toks", "nums")
+    rows = texts.select(run, ident, "statement", "toks", "nums")
     named = lambda s: rows.select(run, *[F.col(c).alias(f"id_{s}" if c == ident else f"{s}_{c}") for c in (ident, "statement", "toks", "nums")])
     return candidates.join(named("a"), [run, "id_a"]).join(named("b"), [run, "id_b"]).where(duplicate("a_", "b_", threshold, containment)).select(run, "id_a", "id_b")
 
 
-def label_components(nodes: DataFrame, pairs: DataFrame, keep, max_rounds: int = 50) -> DataFrame:
-    """node, component (smallest node reachable): minimum labels with pointer jumping.
-
-    nodes(node), pairs(a, b); `keep` cuts lineage, e.g. by a checkpoint.
-    """
+def label_components(pairs: DataFrame, keep, max_rounds: int = 50) -> DataFrame:
+    """node, component (smallest node reachable) of the nodes of pairs(a, b): minimum labels with pointer jumping. keep cuts lineage, e.g. by a checkpoint."""
     both = keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = keep(nodes.select("node", F.col("node").alias("component")))
+    labels = keep(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     for _ in range(max_rounds):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         stepped = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", F.coalesce("near", "component")).alias("next"), "component")
@@ -172,15 +192,16 @@ def label_components(nodes: DataFrame, pairs: DataFrame, keep, max_rounds: int =
     return labels
 
 
-def merge_claims(claims: DataFrame, keep, run: str = "run_id", ident: str = "claim_id", threshold: float = JACCARD, containment: float | None = CONTAINMENT, max_chars: int = 300) -> DataFrame:
+def merge_claims(claims: DataFrame, keep, run: str = "run_id", ident: str = "claim_id", threshold: float = JACCARD, containment: float | None = CONTAINMENT) -> DataFrame:
     """claim ids, unique over runs, with group_id: the smallest id of a chain of duplicates (F14, components).
 
-    The result does not depend on order. canonical(...) makes the merged rows of it.
+    The result does not depend on order. canonical(...) makes the merged rows of it. Only
+    statements with a duplicate take part in the rounds; the others are their own groups.
     """
-    texts = texts_of(claims, run, ident)
-    pairs = claim_pairs(claims, run, ident, threshold, containment).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    labels = label_components(texts.select(F.col(ident).alias("node")), pairs, keep)
-    named = texts.select(run, "folded", F.col(ident).alias("__rep")).join(labels, F.col("__rep") == F.col("node")).select(run, "folded", F.col("component").alias("group_id"))
+    texts = keep(featured(texts_of(claims, run, ident)))
+    pairs = text_pairs(texts, run, ident, threshold, containment).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    labels = label_components(pairs, keep)
+    named = texts.select(run, "folded", F.col(ident).alias("__rep")).join(labels, F.col("__rep") == F.col("node"), "left").select(run, "folded", F.coalesce("component", "__rep").alias("group_id"))
     return claims.withColumn("folded", F.lower(F.trim("statement"))).join(named, [run, "folded"]).drop("folded")
 
 

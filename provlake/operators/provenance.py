@@ -111,9 +111,8 @@ def consolidate(projects: DataFrame, questions: DataFrame) -> tuple[DataFrame, D
 
     projects(id, name, created_at), questions(question_id, project_id).
     """
-    newest = Window.partitionBy(folded("name")).orderBy(F.desc("created_at"), F.desc("id"))
-    every = Window.partitionBy(folded("name"))
-    named = projects.withColumns({"primary_id": F.first_value("id").over(newest), "merged": F.count("*").over(every) - 1})
+    chosen = projects.groupBy(folded("name").alias("__name")).agg(F.max_by("id", F.struct("created_at", "id")).alias("primary_id"), (F.count("*") - 1).alias("merged"))
+    named = projects.join(chosen, folded("name").eqNullSafe(F.col("__name"))).drop("__name")
     moved = questions.join(named.select(F.col("id").alias("project_id"), "primary_id"), "project_id", "left").select("question_id", F.coalesce("primary_id", "project_id").alias("project_id"))
     return named.where("id = primary_id").drop("primary_id"), moved
 

@@ -20,11 +20,12 @@ def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """query_id, doc_id, hits, rank: the k documents that share most distinct tokens with each query.
 
     queries(query_id, query), corpus(doc_id, text). Both sides meet on tokens; only the
-    queries' tokens are looked for, and a pair is summed where the join puts it first.
+    queries' tokens are looked for. Distinct tokens are dealt by document once, so that each
+    pair is summed where its document lies, and of the pairs only k of a query leave a task.
     Ties go to the smaller doc_id.
     """
     wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
-    present = corpus.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
+    present = corpus.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("tokens")).repartition("doc_id").select("doc_id", F.explode("tokens").alias("token"))
     hits = present.join(wanted, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
     best = Window.partitionBy("query_id").orderBy(F.desc("hits"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -519,13 +519,13 @@ def e09_lifecycle_breakdown(spark, d):
 
 @query("WITH r AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3 AS batch FROM documents) SELECT source, doc_id, batch::BIGINT AS batch FROM r")
 def f01_pack_batches(spark, d):
-    return claims.pack_batches(table(spark, d, "documents"), "source", ["doc_id"]).select("source", "doc_id", "batch")
+    return claims.pack_batches(table(spark, d, "documents"), "source", "doc_id", checkpointed)
 
 
 @query("WITH r AS (SELECT source, doc_id, lang, text, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3 AS batch FROM documents), g AS (SELECT source, batch, count(*) AS n FROM r GROUP BY ALL) SELECT r.source, r.batch::BIGINT AS batch, any_value(n)::INT AS n_sources, string_agg('SOURCE ' || doc_id || ': ' || lang || chr(10) || substr(text, 1, CASE WHEN n = 1 THEN 8000 ELSE 6000 END), chr(10) || chr(10) ORDER BY doc_id) AS prompt FROM r JOIN g ON r.source = g.source AND r.batch = g.batch GROUP BY r.source, r.batch")
 def f02_assemble_batches(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", F.col("lang").alias("title"), F.col("text").alias("content"))
-    return claims.assemble_batches(docs, "source", "doc_id")
+    return claims.assemble_batches(docs, "source", "doc_id", checkpointed)
 
 
 SQL_CLAIMS = r"claims AS (SELECT doc_id, source AS run_id, seq, substr(x, 1, 150) AS statement, x AS excerpt, CASE WHEN seq = 1 THEN 'fact' ELSE 'risk' END AS finding_type, CASE WHEN seq = 1 THEN 'high' ELSE 'medium' END AS importance, CASE WHEN seq = 1 THEN 0.88::DOUBLE ELSE 0.82::DOUBLE END AS confidence, CASE WHEN seq = 1 THEN 0.95::DOUBLE ELSE 0.90::DOUBLE END AS relevance, doc_id * 2 + seq - 1 AS claim_id FROM (SELECT doc_id, source, unnest(s[1:2]) AS x, unnest(range(1, least(2, len(s)) + 1))::INT AS seq FROM (SELECT doc_id, source, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.\n]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 20) AS s FROM documents)))"
@@ -543,9 +543,8 @@ def f03_extract_first_line(spark, d):
 
 def all_claims(spark, d):
     """Claims of all documents: run_id is the source, claim_id comes from document and place."""
-    found = claims.extract_claims(table(spark, d, "documents"))
-    runs = table(spark, d, "documents").select("doc_id", F.col("source").alias("run_id"))
-    return found.join(runs, "doc_id").withColumns({"claim_id": F.col("doc_id") * 2 + F.col("seq") - 1, "source_id": F.col("doc_id")})
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("run_id"))
+    return claims.extract_claims(docs, keep=("run_id",)).withColumns({"claim_id": F.col("doc_id") * 2 + F.col("seq") - 1, "source_id": F.col("doc_id")})
 
 
 @query(f"WITH {SQL_CLAIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY confidence DESC, claim_id) AS n FROM claims) SELECT run_id, claim_id FROM r WHERE n <= 5")
@@ -642,7 +641,7 @@ pairs AS (SELECT run_id, id_a, id_b FROM j WHERE NOT (len(ma) > 0 AND len(mb) >
 
 @query(f"WITH {SQL_PAIRS} SELECT run_id, id_a, id_b FROM pairs")
 def f13_duplicate_pairs(spark, d):
-    return claims.claim_pairs(all_claims(spark, d))
+    return claims.claim_pairs(all_claims(spark, d), keep=checkpointed)
 
 
 SQL_GROUPS = f"""{SQL_PAIRS}, both_ways AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
@@ -698,7 +697,7 @@ def f17_calibrate_groups(spark, d):
     grouped = merged(spark, d)
     rows = grouped.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("credibility")), "doc_id", "left")
     rolled = claims.evidence_rollup(rows)
-    conflicts = links.group_conflict(claims.claim_pairs(all_claims(spark, d)), grouped)
+    conflicts = links.group_conflict(claims.claim_pairs(all_claims(spark, d), keep=checkpointed), grouped)
     c = claims.calibrate(F.lit(1.0), F.col("mean_relevance"), F.col("mean_credibility"), F.col("n_sources"), F.lit("SUPPORTING"), F.col("is_contradicted"), F.col("severity"))
     return rolled.join(conflicts, "group_id", "left").withColumn("c", c).select("group_id", "c.confidence", "c.corroboration_bonus", "c.contradiction_penalty")
 
@@ -748,7 +747,7 @@ def contradictions(spark, d):
     c = all_claims(spark, d)
     region = F.element_at(text.literal_array(TOLD), (F.col("claim_id") % 6 + 1).cast("int"))
     told = c.withColumn("statement", F.concat("statement", region))
-    return links.detect_contradictions(claims.claim_pairs(told), told), told
+    return links.detect_contradictions(claims.claim_pairs(told, keep=checkpointed), told), told
 
 
 TOLD = ["", " in China", " in India", " by 2030", " by 2040", " forecast"]
