@@ -14,18 +14,57 @@ def run_counts(runs: DataFrame, children: dict[str, DataFrame], key: str = "run_
     return out.fillna(0, [f"n_{n}" for n in children])
 
 
-def run_detail(runs: DataFrame, sources: DataFrame, findings: DataFrame, evidence: DataFrame, key: str = "run_id") -> DataFrame:
+def _listed(child: DataFrame, key: str, name: str) -> DataFrame:
+    """key and an ordered array of the child's rows; a run has some tens of them."""
+    rest = [c for c in child.columns if c != key]
+    return child.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+
+
+def run_detail(
+    runs: DataFrame, sources: DataFrame, findings: DataFrame, evidence: DataFrame, key: str = "run_id", *,
+    sub_questions: DataFrame | None = None, contents: DataFrame | None = None, contradictions: DataFrame | None = None,
+    conclusions: DataFrame | None = None, conclusion_findings: DataFrame | None = None, questions: DataFrame | None = None, projects: DataFrame | None = None,
+) -> DataFrame:
     """A nested document for each run (H2): its sources, and its findings with their evidence, in order.
 
     sources(run_id, source_id, title, url), findings(run_id, finding_id, statement),
-    evidence(finding_id, evidence_id, source_id, excerpt).
-    """
+    evidence(finding_id, evidence_id, source_id, excerpt). What else is given is added:
+    sub_questions(run_id, sequence_number, question) in order; the first of
+    contents(source_id, content_id, content) to each source; contradictions(run_id,
+    contradiction_id, id_a, id_b, severity, category) with both statements, null where a
+    finding is missing; conclusions(run_id, conclusion_id, statement, confidence) with the
+    finding_ids of conclusion_findings(conclusion_id, finding_id); question_text and
+    project_name by runs.question_id, questions(question_id, question_text, project_id) and
+    projects(project_id, project_name), "Unknown ..." where there is none; and counts.
+    Children that a run lacks are null, but counted as 0.
+    """
+    if contents is not None:
+        first = contents.groupBy("source_id").agg(F.min(F.struct("content_id", "content")).alias("content"))
+        sources = sources.join(first, "source_id", "left")
     titled = evidence.join(sources.select("source_id", "title", "url").dropDuplicates(["source_id"]), "source_id", "left")
     of_finding = titled.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "source_id", "title", "url", "excerpt"))).alias("evidence"))
     full = findings.join(of_finding, "finding_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(of_finding.schema["evidence"].dataType)))
-    by_run = full.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("finding_id", "statement", "evidence"))).alias("findings"))
-    of_sources = sources.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_id", "title", "url"))).alias("sources"))
-    return runs.join(of_sources, key, "left").join(by_run, key, "left")
+    children = {"sources": sources.select(key, "source_id", "title", "url", *(["content"] if contents is not None else [])), "findings": full.select(key, "finding_id", "statement", "evidence")}
+    if sub_questions is not None:
+        children["sub_questions"] = sub_questions.select(key, "sequence_number", "question")
+    if contradictions is not None:
+        told = lambda s: findings.select(F.col("finding_id").alias(f"id_{s}"), F.col("statement").alias(f"statement_{s}"))
+        children["contradictions"] = contradictions.join(told("a"), "id_a", "left").join(told("b"), "id_b", "left").select(key, "contradiction_id", "id_a", "id_b", "statement_a", "statement_b", "severity", "category")
+    if conclusions is not None:
+        chosen = conclusion_findings.groupBy("conclusion_id").agg(F.array_sort(F.collect_set("finding_id")).alias("finding_ids"))
+        children["conclusions"] = conclusions.join(chosen, "conclusion_id", "left").select(key, "conclusion_id", "statement", "confidence", F.coalesce("finding_ids", F.array().cast(chosen.schema["finding_ids"].dataType)).alias("finding_ids"))
+    out = runs
+    for name, child in children.items():
+        out = out.join(_listed(child, key, name), key, "left")
+    if questions is not None:
+        named = questions if projects is None else questions.join(projects, "project_id", "left")
+        out = out.join(named, "question_id", "left").withColumn("question_text", F.coalesce("question_text", F.lit("Unknown Question")))
+        if projects is not None:
+            out = out.withColumn("project_name", F.coalesce("project_name", F.lit("Unknown Project")))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    counted = [F.when(F.col(c).isNull(), 0).otherwise(n(F.col(c))).alias(c) for c in children]
+    held = F.when(F.col("findings").isNull(), 0).otherwise(F.aggregate("findings", F.lit(0), lambda total, f: total + F.size(f["evidence"])))
+    return out.withColumn("counts", F.struct(*counted, held.alias("evidence")))
 
 
 def provenance(conclusion_findings: DataFrame, evidence: DataFrame, contents: DataFrame) -> DataFrame:
@@ -64,6 +103,46 @@ def run_telemetry(telemetry: DataFrame, existing: DataFrame, key: str = "run_id"
     return both.select(key, F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new).alias("metadata"))
 
 
+#: fixed values: the names of a run's counters in its record; some counters have several
+TELEMETRY = {
+    "sub_questions": ["subquestions_count"],
+    "queries": ["search_query_count"],
+    "search_successes": ["search_success_count"],
+    "search_failures": ["search_failure_count"],
+    "batches": ["extraction_batch_count"],
+    "discovered": ["discovered_sources"],
+    "selected": ["selected_sources", "relevant_sources"],
+    "rejected": ["rejected_sources_count", "rejected_irrelevant_count"],
+    "fetched": ["successful_sources_count"],
+    "failed": ["failed_sources_count"],
+    "eligible": ["evidence_eligible_count", "extraction_source_count"],
+    "claims": ["findings_before_deduplication"],
+    "merged": ["duplicate_findings_merged"],
+    "grounded": ["findings_after_deduplication", "finding_count", "findings_count", "grounded_findings_count"],
+    "unsupported": ["unsupported_findings_count"],
+    "evidence": ["evidence_count"],
+    "contradictions": ["contradiction_count", "contradictions_count"],
+    "conclusions": ["conclusions_count"],
+    "seconds": ["duration_seconds", "total_runtime"],
+}
+
+
+def telemetry_record(counters: DataFrame, nested: dict[str, DataFrame] | None = None, settings: dict[str, str] | None = None, key: str = "run_id") -> DataFrame:
+    """key, metadata map<string, string>: a run's record from its counters (H6).
+
+    counters: key and any columns named in TELEMETRY. nested: name to (key, name, value)
+    rows, such as contradictions by category, source types or seconds of stages, each kept
+    as a JSON object. settings: values that all runs share, such as parallelism and models.
+    """
+    names = [(column, name) for column, many in TELEMETRY.items() if column in counters.columns for name in many]
+    out = counters.select(key, F.create_map(*[x for column, name in names for x in (F.lit(name), F.col(column).cast("string"))], *[F.lit(x) for kv in (settings or {}).items() for x in kv]).alias("metadata"))
+    for name, rows in (nested or {}).items():
+        as_json = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("name"), F.col("value"))))))
+        out = out.join(rows.groupBy(key).agg(as_json.alias("__json")), key, "left")
+        out = out.select(key, F.map_concat("metadata", F.create_map(F.lit(name), F.coalesce("__json", F.lit("{}")))).alias("metadata"))
+    return out
+
+
 def stage_timing(events: DataFrame, run: str, stage: str, ts: str) -> DataFrame:
     """run, stage, n, seconds from first to last event (H7)."""
     return events.groupBy(run, stage).agg(F.count("*").alias("n"), (F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))).alias("micros"))
@@ -164,6 +243,22 @@ def compare_runs(summaries: DataFrame, key: str, metrics: list[str]) -> DataFram
     return summaries.select(key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select(key, "x.metric", "x.value")
 
 
+def comparison(key: str, **summaries: DataFrame) -> DataFrame:
+    """key, kind, metric, value: all numbers of several summaries of runs, as rows, to lay runs side by side.
+
+    A summary has the key and columns of numbers or truth values (counts, metrics), or the
+    key, name and value (seconds of stages). Pivot on metric for a table of one row a run.
+    """
+    out = None
+    for kind, df in summaries.items():
+        if set(df.columns) == {key, "name", "value"}:
+            part = df.select(key, F.lit(kind).alias("kind"), F.col("name").alias("metric"), F.col("value").cast("double").alias("value"))
+        else:
+            part = compare_runs(df, key, [c for c in df.columns if c != key]).select(key, F.lit(kind).alias("kind"), "metric", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def execution_mode(provider: Column, fallback: Column) -> Column:
     """real, fallback or mock."""
     return F.when(provider == "mock", "mock").when(F.coalesce(fallback, F.lit(False)), "fallback").otherwise("real")

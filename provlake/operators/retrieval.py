@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +19,59 @@ WEIGHTS = {"title": 0.35, "snippet": 0.30, "concept": 0.20, "domain": 0.15}
 TITLE_BOOST, SNIPPET_BOOST = 1.2, 1.1
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 5, broadcast_tokens: int = 1_000_000) -> DataFrame:
     """query_id, doc_id, hits, rank: the k documents that share most distinct tokens with each query.
 
-    queries(query_id, query), corpus(doc_id, text). Both sides meet on tokens; only the
-    queries' tokens are looked for. Distinct tokens are dealt by document once, so that each
-    pair is summed where its document lies, and of the pairs only k of a query leave a task.
-    Ties go to the smaller doc_id.
+    queries(query_id, query), corpus(doc_id, text). Ties go to the smaller doc_id; a document
+    that shares none is no hit; null ids take no part. Queries of up to broadcast_tokens
+    distinct tokens in all are sent to the scan of the corpus, where k documents a query are
+    kept for each task, so that no pair beyond these is ever written. Beyond the bound both
+    sides meet on tokens, dealt by document once.
     """
-    wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
-    present = corpus.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("tokens")).repartition("doc_id").select("doc_id", F.explode("tokens").alias("token"))
-    hits = present.join(wanted, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+    wanted = queries.where("query_id is not null").select("query_id", F.explode(tokens(F.col("query"))).alias("token")).distinct()
+    present = corpus.where("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("tokens"))
     best = Window.partitionBy("query_id").orderBy(F.desc("hits"), "doc_id")
+    if wanted.limit(broadcast_tokens + 1).count() <= broadcast_tokens:
+        hits = _best_in_scan(wanted, present, k)
+    else:
+        hits = present.repartition("doc_id").select("doc_id", F.explode("tokens").alias("token")).join(wanted, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _best_in_scan(wanted: DataFrame, present: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, hits: the k best documents of each query in each task."""
+    rows = wanted.toPandas()  # bounded by retrieve
+    ids, names = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+    words, places = np.unique(rows["token"].to_numpy(dtype=str), return_inverse=True)
+    order = np.argsort(places, kind="stable")
+    shared = present.sparkSession.sparkContext.broadcast((words.tolist(), names[order], np.searchsorted(places[order], np.arange(len(words) + 1)), ids))
+
+    def run(batches):
+        words, names, ends, ids = shared.value
+        words, best = pa.array(words, pa.string()), None
+        for batch in batches:
+            for at in range(0, batch.num_rows, step := max(1, 4_000_000 // max(len(ids), 1))):
+                part = batch.slice(at, step)
+                lists = part.column(1)
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                word = pc.index_in(lists.flatten(), words)
+                known = word.is_valid().to_numpy(zero_copy_only=False)
+                row, word = row[known], word.drop_null().to_numpy()
+                n = ends[word + 1] - ends[word]
+                asked = names[np.repeat(ends[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                hits = np.bincount(np.repeat(row, n) * len(ids) + asked, minlength=0)
+                pair = np.flatnonzero(hits)
+                now = np.stack([pair % max(len(ids), 1), hits[pair], part.column(0).to_numpy()[pair // max(len(ids), 1)]])
+                now = now if best is None else np.concatenate((best, now), axis=1)
+                now = now[:, np.lexsort((now[2], -now[1], now[0]))]
+                best = now[:, np.arange(now.shape[1]) - np.searchsorted(now[0], now[0]) < k]
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "doc_id", "hits"])
+
+    types = {"query_id": wanted.schema["query_id"].dataType.simpleString()}
+    return present.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(run, f"query_id {types['query_id']}, doc_id long, hits long")
+
+
 def score(df: DataFrame, min_score: float = 0.0, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Adds the relevance score and its parts to hits(query, sub_question, title, snippet, url)."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))

@@ -121,6 +121,23 @@ def a01_entity_scan(spark, d):
     return spark.read.schema(schema).parquet(f"{d}/orders.parquet")
 
 
+@query("SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS question_id, o_orderstatus AS status, count(l_orderkey) AS n_findings, round(avg(l_discount), 6) AS mean_confidence FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+def a01_load_entities(spark, d):
+    """Runs and findings written as entity tables, and loaded by their fixed schemas."""
+    at = shared_folder(spark, "entities")
+    null = lambda t: F.lit(None).cast(t)
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    made = {
+        "research_runs": o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("question_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("started_at"), null("timestamp").alias("completed_at"), null("string").alias("error_message"), null("string").alias("metadata_json"), F.col("o_orderdate").cast("timestamp").alias("created_at")),
+        "findings": li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").cast("string").alias("research_run_id"), F.col("l_returnflag").alias("statement"), F.lit("fact").alias("finding_type"), F.col("l_discount").cast("double").alias("confidence"), F.lit("medium").alias("importance"), null("timestamp").alias("created_at"), null("timestamp").alias("updated_at")),
+    }
+    for name, df in made.items():
+        df.write.parquet(f"{at}/{name}")
+    runs, found = (entities.load(spark, at, name) for name in made)
+    rolled = found.groupBy(F.col("research_run_id").alias("id")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return runs.join(rolled, "id", "left").select("id", "question_id", "status", F.coalesce("n", F.lit(0)).alias("n_findings"), "mean_confidence")
+
+
 @query(f"WITH {SQL_HITS}, c AS (SELECT page_id, {sql_canonical()} AS url, title, snippet FROM hits) SELECT page_id, url, title, snippet, {SQL_AUTHORITY.format(u='url')} AS publisher, {sql_class('url', 0)} AS source_type, {sql_class('url', 1)} AS credibility FROM c WHERE url <> ''")
 def a02_ingest_hits(spark, d):
     return entities.ingest_hits(hits(spark, d).drop("run_id"))
@@ -149,9 +166,10 @@ def a05_meta_get(spark, d):
 def a06_write_run(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("run_id"), "n_chars")
     at = shared_folder(spark, "run")
-    entities.write_run({"contents": docs}, at)
-    entities.write_run({"contents": docs.where("run_id = 'src1'")}, at)  # again, one run only
-    return spark.read.parquet(f"{at}/contents").groupBy("run_id").agg(F.count("*").alias("n"))
+    entities.write_run({"contents": docs}, at, docs)
+    one = docs.where("run_id = 'src1'")
+    entities.write_run({"contents": one}, at, one)  # again, one run only
+    return entities.read_run(spark, at, "contents").groupBy("run_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
@@ -282,16 +300,38 @@ def sql_concepts(c: str) -> str:
 
 
 def planned(spark, d):
-    subs = F.array(F.lit("What is the demand?"), F.lit("How do costs develop in China?"))
+    subs = text.literal_array(PLANNED)
     return asked(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("run_id"), "question", subs.alias("sub_questions"))
 
 
-@query(None)
+PLANNED = ["What is the demand?", "How do costs develop in China?"]
+PLANNED_TEXT = " ".join(PLANNED).lower()
+PLANNED_CUES = sum(c in PLANNED_TEXT for c in rules.PAIR_CUES)
+GEOGRAPHY_HEAD, GEOGRAPHY_TAIL = rules.GEOGRAPHY_QUESTION.split("{regions}{time}")
+
+
+def _sql_added(test: str, questions_: str, one: str) -> str:
+    """A question put last, or in the last place at the cap of 4."""
+    return f"CASE WHEN {test} THEN list_append(CASE WHEN len({questions_}) >= 4 THEN {questions_}[1:3] ELSE {questions_} END, {one}) ELSE {questions_} END"
+
+
+SQL_PLAN_TIMES = "list_concat(regexp_extract_all(question, '\\b(20[2-5][0-9])\\b', 1), " + ", ".join(f"regexp_extract_all(lower(question), '{p}')" for p in rules.RELATIVE_TIMES) + ")"
+SQL_AUGMENTED = f"""{SQL_ASKED},
+e AS (SELECT conv_id || '-' || turn AS run_id, {SQL_LIST(PLANNED)} AS qs, {SQL_PLAN_TIMES} AS temporal, {sql_named('lower(question)', rules.GEOGRAPHIES)} AS geo, {sql_pairs('lower(question)')} AS pairs, {' OR '.join(f'contains(lower(question), {chr(39)}{t}{chr(39)})' for t in rules.COMPARATIVE_TERMS)} AS is_comparative FROM asked),
+e1 AS (SELECT *, temporal[1] AS first, '{q(GEOGRAPHY_HEAD)}' || array_to_string(geo[1:len(geo) - 1], ', ') || ', and ' || geo[-1] || CASE WHEN len(temporal) > 0 THEN ' through ' || temporal[1] ELSE '' END || '{q(GEOGRAPHY_TAIL)}' AS one FROM e),
+e2 AS (SELECT * REPLACE ({_sql_added(f"len(geo) >= 2 AND len(list_filter(geo, lambda g: NOT list_contains({SQL_LIST([n for n, a in rules.GEOGRAPHIES if any(x in PLANNED_TEXT for x in a)] or ['-'])}, g))) > 0", 'qs', 'one')} AS qs) FROM e1),
+"""
+for _k, (_name, _words, _template) in enumerate(rules.COMPARATIVE_PAIRS):
+    SQL_AUGMENTED += f"e{_k + 3} AS (SELECT * REPLACE ({_sql_added(f'list_contains(pairs, {chr(39)}{_name}{chr(39)}) AND {PLANNED_CUES} < 2', 'qs', f'{chr(39)}{q(_template)}{chr(39)}')} AS qs) FROM e{_k + 2}),\n"
+SQL_AUGMENTED += rf"""augmented AS (SELECT * REPLACE (CASE WHEN first IS NULL THEN qs ELSE list_transform(qs, lambda x: CASE WHEN regexp_matches(lower(x), '{'|'.join(rules.FORWARD_TERMS)}') AND NOT (regexp_matches(x, '{'|'.join(rules.LISTED_YEARS)}') OR contains(x, first)) THEN regexp_replace(x, '\?+$', '') || ' through ' || first || '?' ELSE x END) END AS qs) FROM e{len(rules.COMPARATIVE_PAIRS) + 2})""".replace("\\\\", "\\")
+
+
+@query(f"WITH {SQL_AUGMENTED} SELECT run_id, unnest(range(len(qs)))::INT AS pos, unnest(qs) AS question FROM augmented")
 def c02_augment_questions(spark, d):
     return questions.augment_questions(planned(spark, d), 4).select("run_id", F.posexplode("sub_questions").alias("pos", "question"))
 
 
-@query(None)
+@query(f"WITH {SQL_AUGMENTED}, s AS (SELECT *, lower(array_to_string(qs, ' ')) AS said FROM augmented) SELECT run_id, len(list_filter(temporal, lambda t: NOT contains(said, lower(t)))) = 0 AS temporal_preserved, len(list_filter(geo, lambda g: NOT list_contains([{', '.join('CASE WHEN ' + ' OR '.join(f'contains(said, {chr(39)}{x}{chr(39)})' for x in [n.lower(), *a]) + f' THEN {chr(39)}{n}{chr(39)} END' for n, a in rules.GEOGRAPHIES)}], g))) = 0 AS geographic_preserved, is_comparative, len(qs)::INT AS n_questions FROM s")
 def c03_constraint_summary(spark, d):
     out = questions.constraint_summary(questions.augment_questions(planned(spark, d), 4))
     return out.select("run_id", "temporal_preserved", "geographic_preserved", "is_comparative", "n_questions")
@@ -831,6 +871,46 @@ def _detail(spark, d):
     return provenance.run_detail(runs, sources, findings, evidence)
 
 
+SQL_LINES = "l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL)"
+
+
+@query(f"""WITH {SQL_LINES},
+f AS (SELECT l_orderkey AS o, l_orderkey || '-' || l_linenumber AS f, l_linenumber AS n, l_partkey, l_returnflag AS s FROM l),
+fs AS (SELECT o, count(*) AS n_findings, string_agg(n || ':' || s, ',' ORDER BY n) AS subs, string_agg(CASE WHEN s = 'R' THEN f END, ',' ORDER BY f) AS chosen FROM f GROUP BY o),
+ss AS (SELECT o, count(*) AS n_sources, string_agg(p_partkey || ':' || least('a' || p_type, 'b' || p_brand), ',' ORDER BY p_partkey) AS sources FROM (SELECT DISTINCT o, p_partkey, p_type, p_brand FROM f JOIN part ON l_partkey = p_partkey) GROUP BY o),
+cs AS (SELECT a.o, count(*) AS n_contradictions, string_agg(a.s || '/' || coalesce(b.s, ''), ',' ORDER BY a.f) AS told FROM f a LEFT JOIN f b ON a.o = b.o AND b.n = a.n + 1 WHERE a.n < 3 GROUP BY a.o)
+SELECT o_orderkey AS run_id, coalesce(c_name, 'Unknown Question') AS question_text, coalesce(n_name, 'Unknown Project') AS project_name, coalesce(n_findings, 0)::INT AS n_sub_questions, coalesce(n_sources, 0)::INT AS n_sources, coalesce(n_findings, 0)::INT AS n_findings, coalesce(n_findings, 0)::INT AS n_evidence, coalesce(n_contradictions, 0)::INT AS n_contradictions, 1 AS n_conclusions, coalesce(subs, '') AS sub_questions, coalesce(sources, '') AS sources, coalesce(told, '') AS contradictions, coalesce(chosen, '') AS finding_ids
+FROM orders LEFT JOIN fs ON o_orderkey = fs.o LEFT JOIN ss ON o_orderkey = ss.o LEFT JOIN cs ON o_orderkey = cs.o LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_regionkey > 0) ON c_nationkey = n_nationkey""")
+def h02_run_document(spark, d):
+    """All parts of a run's document, told flat."""
+    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_returnflag", "l_linestatus")])
+    part, run = table(spark, d, "part"), F.col("l_orderkey").alias("run_id")
+    key = lambda k: F.concat_ws("-", "l_orderkey", F.col("l_linenumber") + k)
+    contents = part.select(F.col("p_partkey").alias("source_id"), F.explode(F.array(F.concat(F.lit("b"), "p_brand"), F.concat(F.lit("a"), "p_type"))).alias("content_id")).withColumn("content", F.col("content_id"))
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("question_id"))
+    out = provenance.run_detail(
+        runs,
+        items.select(run, F.col("l_partkey").alias("source_id")).distinct().join(part.select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("url")), "source_id"),
+        items.select(run, key(0).alias("finding_id"), F.col("l_returnflag").alias("statement")),
+        items.select(key(0).alias("finding_id"), key(0).alias("evidence_id"), F.col("l_partkey").alias("source_id"), F.col("l_linestatus").alias("excerpt")),
+        sub_questions=items.select(run, F.col("l_linenumber").alias("sequence_number"), F.col("l_returnflag").alias("question")),
+        contents=contents,
+        contradictions=items.where("l_linenumber < 3").select(run, key(0).alias("contradiction_id"), key(0).alias("id_a"), key(1).alias("id_b"), F.lit("low").alias("severity"), F.lit("SCOPE_DIFFERENCE").alias("category")),
+        conclusions=runs.select("run_id", F.col("run_id").alias("conclusion_id"), F.lit("").alias("statement"), F.lit(0.5).alias("confidence")),
+        conclusion_findings=items.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("conclusion_id"), key(0).alias("finding_id")),
+        questions=table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("question_id"), F.col("c_name").alias("question_text"), F.col("c_nationkey").alias("project_id")),
+        projects=table(spark, d, "nation").where("n_regionkey > 0").select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("project_name")),
+    )
+    told = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ","), F.lit(""))
+    return out.select(
+        "run_id", "question_text", "project_name", *[F.col(f"counts.{c}").alias(f"n_{c}") for c in ("sub_questions", "sources", "findings", "evidence", "contradictions", "conclusions")],
+        told("sub_questions", lambda x: F.concat(x["sequence_number"].cast("string"), F.lit(":"), x["question"])).alias("sub_questions"),
+        told("sources", lambda x: F.concat(x["source_id"].cast("string"), F.lit(":"), x["content"]["content_id"])).alias("sources"),
+        told("contradictions", lambda x: F.concat(x["statement_a"], F.lit("/"), F.coalesce(x["statement_b"], F.lit("")))).alias("contradictions"),
+        F.array_join(F.col("conclusions")[0]["finding_ids"], ",").alias("finding_ids"),
+    )
+
+
 @query("WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL), i AS (SELECT l_orderkey, l_orderkey || '-' || l_linenumber AS f, l_partkey, l_returnflag, l_linestatus, p_name FROM l LEFT JOIN part ON l_partkey = p_partkey), s AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM l JOIN part ON l_partkey = p_partkey GROUP BY 1), g AS (SELECT l_orderkey, count(*) AS n, string_agg(f || l_returnflag || l_linestatus || coalesce(p_name, ''), ',' ORDER BY f) AS txt FROM i GROUP BY 1) SELECT o_orderkey AS run_id, o_orderstatus, s.n::INT AS n_sources, g.n::INT AS n_findings, g.txt AS findings FROM orders LEFT JOIN s ON o_orderkey = s.l_orderkey LEFT JOIN g ON o_orderkey = g.l_orderkey")
 def h02_run_detail(spark, d):
     told = F.array_join(F.transform("findings", lambda f: F.concat(f["finding_id"], f["statement"], f["evidence"][0]["excerpt"], F.coalesce(f["evidence"][0]["title"], F.lit("")))), ",")
@@ -877,6 +957,25 @@ def h06_run_telemetry(spark, d):
     return m.select("run_id", *[F.col("metadata")[k].alias(k) for k in ("status", "priority", "items")])
 
 
+SQL_TIMING = "timing AS (SELECT 'src' || (user_id % 20) AS run_id, event_type AS name, (epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1000000 AS value FROM events GROUP BY ALL)"
+
+
+def timing(spark, d):
+    """run_id, name, value: seconds of the stages of the documents' runs, from the log."""
+    out = provenance.stage_timing(table(spark, d, "events").withColumn("run_id", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"))), "run_id", "event_type", "ts")
+    return out.select("run_id", F.col("event_type").alias("name"), (F.col("micros") / 1_000_000).alias("value"))
+
+
+@query(f"WITH {SQL_COUNTERS}, langs AS (SELECT source AS run_id, string_agg('\"' || lang || '\":' || n, ',' ORDER BY lang) AS l FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source) SELECT run_id, discovered::VARCHAR AS discovered_sources, selected::VARCHAR AS relevant_sources, eligible::VARCHAR AS extraction_source_count, grounded::VARCHAR AS findings_count, conclusions::VARCHAR AS conclusions_count, '4' AS search_parallelism, '{{' || l || '}}' AS source_types, CASE WHEN run_id = 'src1' THEN 'old' END AS note FROM counters JOIN langs USING (run_id)")
+def h06_telemetry_record(spark, d):
+    mix = table(spark, d, "documents").groupBy(F.col("source").alias("run_id"), F.col("lang").alias("name")).agg(F.count("*").alias("value"))
+    c = counters(spark, d)
+    record = provenance.telemetry_record(c, {"source_types": mix}, {"search_parallelism": "4"})
+    old = c.where("run_id = 'src1'").select("run_id", F.create_map(F.lit("note"), F.lit("old"), F.lit("findings_count"), F.lit("-1")).alias("metadata"))
+    m = provenance.run_telemetry(record, old)
+    return m.select("run_id", *[F.col("metadata")[k].alias(k) for k in ("discovered_sources", "relevant_sources", "extraction_source_count", "findings_count", "conclusions_count", "search_parallelism", "source_types", "note")])
+
+
 @query("SELECT user_id, event_type, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts)))::BIGINT AS micros FROM events GROUP BY user_id, event_type")
 def h07_stage_timing(spark, d):
     return provenance.stage_timing(table(spark, d, "events"), "user_id", "event_type", "ts")
@@ -957,6 +1056,12 @@ def h18_compare_runs(spark, d):
     return provenance.compare_runs(counters(spark, d), "run_id", ["discovered", "fetched", "grounded"])
 
 
+@query(f"WITH {SQL_COUNTERS}, {SQL_TIMING}, m AS (SELECT run_id, {_sql_rate('fetched', 'discovered')} AS source_coverage, {_sql_rate('grounded', 'findings')} AS evidence_coverage, (conclusions > 0 AND conclusions = linked_conclusions)::INT::DOUBLE AS traced FROM counters) SELECT run_id, 'counts' AS kind, unnest(['discovered', 'fetched', 'grounded']) AS metric, unnest([discovered, fetched, grounded])::DOUBLE AS value FROM counters UNION ALL SELECT run_id, 'metrics', unnest(['source_coverage', 'evidence_coverage', 'conclusion_traceability']), unnest([source_coverage, evidence_coverage, traced]) FROM m UNION ALL SELECT run_id, 'seconds', name, value FROM timing")
+def h18_comparison(spark, d):
+    c = counters(spark, d)
+    return provenance.comparison("run_id", counts=c.select("run_id", "discovered", "fetched", "grounded"), metrics=provenance.quality_metrics(c).select("run_id", "source_coverage", "evidence_coverage", "conclusion_traceability"), seconds=timing(spark, d))
+
+
 @query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'mock' WHEN event_type = 'error' THEN 'fallback' ELSE 'real' END AS mode FROM events")
 def h19_execution_mode(spark, d):
     provider = F.when(F.col("event_type") == "view", "mock").otherwise("live")
@@ -996,9 +1101,12 @@ def s01_stream_dedup(spark, d):
     return streams.drained(streams.stream_dedup(stream(spark, d), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type"))
 
 
-@query(None)
+@query("SELECT user_id AS key, max_by(event_type, {'t': ts, 'e': event_type}) AS status, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY user_id")
 def s02_run_tracker(spark, d):
-    return streams.drained(streams.run_tracker(stream(spark, d), "user_id", "ts", "event_type", 3_600_000))
+    """The last state of each run; the stream gives it whenever it changes, and once more when it stalls."""
+    rows = streams.drained(streams.run_tracker(stream(spark, d), "user_id", "ts", "event_type", 3_600_000))
+    last = F.max_by(F.struct("status", "last_seen", "n"), F.struct("n", "stalled")).alias("x")
+    return rows.groupBy("key").agg(last).select("key", "x.status", F.col("x.last_seen").cast("timestamp_ntz").alias("last_seen"), "x.n")
 
 
 @query("WITH w AS (SELECT date_trunc('hour', ts) AS window_start, event_type FROM events), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events) SELECT window_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_failed, round(count(*) FILTER (WHERE event_type = 'error') / count(*)::DOUBLE, 6) AS rate FROM w, m WHERE window_start + INTERVAL 1 HOUR <= mark GROUP BY window_start")

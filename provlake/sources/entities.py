@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,18 +62,43 @@ def meta_get(column: Column, path: str, default: float) -> Column:
     return F.coalesce(F.get_json_object(column, path).try_cast("double"), F.lit(default))
 
 
-def write_run(tables: dict[str, DataFrame], path: str, key: str = "run_id") -> None:
-    """Replaces the runs held in the tables, and no others, at path.
+COMMIT = "run_id string, version string, committed_at long, status string, error_message string"
+
+
+def write_run(tables: dict[str, DataFrame], path: str, runs: DataFrame, key: str = "run_id") -> None:
+    """Writes the runs' rows of all tables as one: all are seen, or none is.
 
-    All tables are staged whole before any is moved to its place; a run's partition is then
-    overwritten as one. A failure while staging changes nothing.
+    Tables go to a version of their own first; the runs(key) then become visible by one
+    small commit, written last. On an error nothing of the version is ever read, the runs
+    get a failed row with the message, and the error goes on. read_run gives what was
+    committed last for each run; a run without rows in a table has none there afterwards.
     """
-    staged = {}
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/_staging/{name}")
-        staged[name] = df.sparkSession.read.parquet(f"{path}/_staging/{name}")
-    for name, df in staged.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(f"{path}/{name}")
+    spark, version = runs.sparkSession, uuid.uuid4().hex
+
+    def commit(status: str, message: str | None) -> None:
+        rows = runs.select(F.col(key).cast("string").alias("run_id"), F.lit(version).alias("version"), F.lit(time.time_ns()).alias("committed_at"), F.lit(status).alias("status"), F.lit(message).cast("string").alias("error_message"))
+        rows.distinct().coalesce(1).write.mode("append").parquet(f"{path}/_commits")
+
+    try:
+        for name, df in tables.items():
+            df.write.mode("errorifexists").parquet(f"{path}/{name}/version={version}")
+    except Exception as e:
+        commit("failed", str(e).splitlines()[0] if str(e) else type(e).__name__)
+        raise
+    commit("completed", None)
+
+
+def run_states(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, status, error_message, committed_at: the last commit of each run, failed ones too."""
+    last = F.max_by(F.struct("status", "error_message", "committed_at"), "committed_at").alias("x")
+    return spark.read.schema(COMMIT).parquet(f"{path}/_commits").groupBy("run_id").agg(last).select("run_id", "x.*")
+
+
+def read_run(spark: SparkSession, path: str, name: str, key: str = "run_id") -> DataFrame:
+    """The rows of a table that were committed last for each run; a later failure takes nothing away."""
+    done = spark.read.schema(COMMIT).parquet(f"{path}/_commits").where("status = 'completed'").groupBy("run_id").agg(F.max_by("version", "committed_at").alias("__version")).withColumnRenamed("run_id", "__run")
+    rows = spark.read.parquet(f"{path}/{name}")
+    return rows.join(done, (F.col("version") == F.col("__version")) & (F.col(key).cast("string") == F.col("__run")), "left_semi").drop("version")
 
 
 def export_summary(df: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 """Sources, sinks and rollups on rows written for them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from provlake.operators import provenance
@@ -35,9 +36,23 @@ def test_responses_are_parsed_or_quarantined(spark):
 
 def test_writing_a_run_replaces_only_that_run(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, x int")
-    entities.write_run({"t": df}, str(tmp_path))
-    entities.write_run({"t": df.where("run_id = 'a'").withColumn("x", F.lit(9))}, str(tmp_path))
-    assert sorted((r.run_id, r.x) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [("a", 9), ("b", 2)]
+    at = str(tmp_path)
+    entities.write_run({"t": df}, at, df)
+    entities.write_run({"t": df.where("run_id = 'a'").withColumn("x", F.lit(9))}, at, df.where("run_id = 'a'"))
+    assert sorted((r.run_id, r.x) for r in entities.read_run(spark, at, "t").collect()) == [("a", 9), ("b", 2)]
+
+
+def test_a_failed_run_leaves_nothing_but_its_state(spark, tmp_path):
+    """The second table fails after the first is written: neither is seen, and the run has a failed row."""
+    df, at = spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, x int"), str(tmp_path)
+    entities.write_run({"t": df, "u": df}, at, df)
+    bad = df.withColumn("x", F.raise_error(F.lit("no such number")).cast("int"))
+    with pytest.raises(Exception, match="no such number"):
+        entities.write_run({"t": df.withColumn("x", F.lit(9)), "u": bad}, at, df.where("run_id = 'a'"))
+    for name in ("t", "u"):
+        assert sorted((r.run_id, r.x) for r in entities.read_run(spark, at, name).collect()) == [("a", 1), ("b", 2)]
+    states = {r.run_id: (r.status, r.error_message) for r in entities.run_states(spark, at).collect()}
+    assert states["b"] == ("completed", None) and states["a"][0] == "failed" and "no such number" in states["a"][1]
 
 
 def test_cascade_and_consolidation(spark):
