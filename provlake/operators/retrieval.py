@@ -59,9 +59,14 @@ def _best_in_scan(wanted: DataFrame, present: DataFrame, k: int) -> DataFrame:
                 row, word = row[known], word.drop_null().to_numpy()
                 n = ends[word + 1] - ends[word]
                 asked = names[np.repeat(ends[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                hits = np.bincount(np.repeat(row, n) * len(ids) + asked, minlength=0)
-                pair = np.flatnonzero(hits)
-                now = np.stack([pair % max(len(ids), 1), hits[pair], part.column(0).to_numpy()[pair // max(len(ids), 1)]])
+                hits = np.bincount(np.repeat(row, n) * len(ids) + asked, minlength=part.num_rows * len(ids)).reshape(part.num_rows, -1)
+                doc = part.column(0).to_numpy()
+                place = np.empty(len(doc), dtype=np.int64)
+                place[np.argsort(doc, kind="stable")] = np.arange(len(doc))
+                worth = hits * len(doc) - place[:, None]  # more hits, then the smaller id
+                top = np.argpartition(-worth, min(k, len(doc)) - 1, axis=0)[:k]
+                of = np.broadcast_to(np.arange(len(ids)), top.shape)
+                now = np.stack([of[hits[top, of] > 0], hits[top, of][hits[top, of] > 0], doc[top][hits[top, of] > 0]])
                 now = now if best is None else np.concatenate((best, now), axis=1)
                 now = now[:, np.lexsort((now[2], -now[1], now[0]))]
                 best = now[:, np.arange(now.shape[1]) - np.searchsorted(now[0], now[0]) < k]
