@@ -1,29 +1,43 @@
 """Connected components and bounded group comparison, shared by near-duplicate stages.
 
-connect() compares the rows of each group with one another by a test given as a function
-over numpy arrays, and returns edges that span what the test connects. A group of up to
-BLOCK rows is one task's work. A larger group first meets its centre, the row with most
-copies, in a join that Spark can split; rows that fail against the centre are dealt with
-the whole group in blocks, so that no task ever holds more than BLOCK rows, and rows that
-passed are never compared with each other.
+connect() compares the rows of each group with one another by a test over Arrow columns,
+and returns edges that span what the test connects. A group of up to BLOCK rows and MOST
+units of weight is one task's work. A larger group first meets its centre, the row with
+most copies, which is broadcast if all centres are few and light, and otherwise joined in
+a way that Spark can split; rows that fail against the centre are dealt with the whole
+group in blocks, so that no task ever holds more than a block, and rows that passed are
+never compared with each other.
+
+Defined results: rows of no or of one-row groups have no edges; of equal numbers of copies
+the largest node is the centre; without rows there are no edges and no components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm._spark import checkpointed
+from provlake.llm._spark import maybe_broadcast
+from provlake.plans.session import checkpointed
 
 BLOCK = 1024
+MOST = 4_000_000
+BROADCAST_GROUPS = 10_000
 EDGES = "u long, v long"
 
-#: (columns of the rows as numpy or Arrow arrays) -> symmetric boolean matrix
-Test = Callable[[pa.Table], np.ndarray]
+
+class Test(Protocol):
+    """Whether rows belong together, by their payload columns; symmetric."""
+
+    def every(self, rows: pa.Table) -> np.ndarray:
+        """A matrix: each row against each."""
+
+    def paired(self, left: pa.Table, right: pa.Table) -> np.ndarray:
+        """Each row of one table against the same row of the other."""
 
 
 def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +64,7 @@ def _edges_of(test: Test):
     def run(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
         if len(node) > 1:
-            linked = test(table)
+            linked = test.every(table)
             passed = table.column("passed").to_numpy(zero_copy_only=False).astype(bool)
             linked &= ~(passed[:, None] & passed[None, :])
             u, v = spanning(linked)
@@ -61,40 +75,43 @@ def _edges_of(test: Test):
     return run
 
 
-def _passes_centre(test: Test, columns: list[str], schema):
+def _passes_centre(test: Test, payload: list[str], out: list[str]):
     def run(batches):
         for batch in batches:
-            ok = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                pair = {c: pa.concat_arrays([batch.column(batch.schema.get_field_index(p + c)).slice(i, 1) for p in ("", "centre_")]) for c in columns}
-                ok[i] = test(pa.table(pair))[0, 1]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(schema) - 1)], pa.array(ok)], names=schema)
+            if batch.num_rows:
+                side = lambda before: pa.table({c: batch.column(batch.schema.get_field_index(before + c)) for c in payload})  # noqa: B023, E731
+                ok = test.paired(side(""), side("centre_"))
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in out[:-1]], pa.array(ok)], names=out)
 
     return run
 
 
-def connect(rows: DataFrame, payload: list[str], test: Test, block: int = BLOCK) -> DataFrame:
-    """u, v. rows: grp (long), node (long, once in a group), copies (long) and the payload columns that the test reads."""
-    counts = rows.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.struct("copies", "node"))["node"].alias("centre")).where("n > 1")
+def connect(rows: DataFrame, payload: list[str], test: Test, weight: str | None = None, block: int = BLOCK, most: int = MOST) -> DataFrame:
+    """u, v. rows: grp (long), node (long, once in a group), copies (long), the payload columns that the test reads, and weight: what a row adds to a block besides itself."""
+    w = F.lit(0) if weight is None else F.col(weight)
+    rows = rows.select("grp", "node", "copies", *payload, w.cast("long").alias("weight"))
+    counts = rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max(F.struct("copies", "node"))["node"].alias("centre")).where("n > 1")
     counts = checkpointed(counts)
-    columns = ["grp", "node", *payload]
-    whole = rows.join(counts.where(F.col("n") <= block), "grp").select(*columns, F.lit(False).alias("passed"))
+    columns = ["grp", "node", "weight", *payload]
+    fits = (F.col("n") <= block) & (F.col("total") <= most)
+    whole = rows.join(counts.where(fits).select("grp"), "grp").select("grp", "node", *payload, F.lit(False).alias("passed"))
     edges = whole.groupBy("grp").applyInArrow(_edges_of(test), EDGES)
-    large = counts.where(F.col("n") > block)
+    large = counts.where(~fits).select("grp", "centre")
     if large.isEmpty():
         return edges
-    members = rows.join(large, "grp").select(*columns, "centre")
-    centres = rows.join(large, "grp").where("node = centre").select("grp", *[F.col(c).alias(f"centre_{c}") for c in payload])
-    names = [*columns, "centre", *[f"centre_{c}" for c in payload]]
-    tested = members.join(centres, "grp").select(*names)
+    members = rows.join(maybe_broadcast(large, BROADCAST_GROUPS), "grp").select(*columns, "centre")
+    centres = checkpointed(members.where("node = centre").select("grp", F.col("weight").alias("centre_weight"), *[F.col(c).alias(f"centre_{c}") for c in payload]))
+    n, total = centres.agg(F.count("*"), F.coalesce(F.sum("centre_weight"), F.lit(0))).first()
+    centres = centres.drop("centre_weight")
+    tested = members.join(F.broadcast(centres) if n <= BROADCAST_GROUPS and total <= most else centres, "grp")
     types = {f.name: f.dataType.simpleString() for f in tested.schema.fields}
     out = [*columns, "centre", "passed"]
     tested = tested.mapInArrow(_passes_centre(test, payload, out), ", ".join(f"`{c}` {'boolean' if c == 'passed' else types[c]}" for c in out))
     tested = checkpointed(tested.withColumn("passed", F.col("passed") | (F.col("node") == F.col("centre"))))
     star = tested.where("passed and node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))
-    half = block // 2
-    sizes = tested.groupBy("grp").agg(F.ceil(F.count_if(~F.col("passed")) / half).alias("n_rest"), F.ceil(F.count_if("passed") / half).alias("n_passed"))
-    dealt = tested.join(sizes.where("n_rest > 0"), "grp")
+    parts = lambda test: F.ceil(F.greatest(F.count_if(test) / (block // 2), F.sum(F.when(test, F.col("weight")).otherwise(0)) / (most / 2)))
+    sizes = checkpointed(tested.groupBy("grp").agg(parts(~F.col("passed")).alias("n_rest"), F.greatest(parts(F.col("passed")), F.lit(1)).alias("n_passed"), F.count_if(~F.col("passed")).alias("rest")).where("rest > 0"))
+    dealt = tested.join(maybe_broadcast(sizes, BROADCAST_GROUPS), "grp")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("passed"), F.col("n_passed")).otherwise(F.col("n_rest")))
     rest = F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1)
     with_rest = F.transform(rest, lambda j: F.xxhash64("grp", F.lit(0), F.least(own, j), F.greatest(own, j)))

@@ -7,36 +7,44 @@ of their collections agree; n is the least number for which a pair exactly at th
 threshold fails to do so with a probability of at most MISS (for 0.85: 16 collections,
 48 hashes, 120 tables; as many tables with hashes of their own would need 720).
 
-Nodes are brought together by single collections, and the second half of the key is
-compared inside these groups: nothing is written for each of the tables. What meets in a
-table and is not far too unlike by its minhashes (SLACK standard deviations) forms
-clusters; within clusters exact sets, made again from the texts of these few nodes,
-confirm links; components of the links are the result. Groups are compared in bounded
-blocks (components.py), so that large groups of near copies do not meet in one task.
+Nodes meet by single collections first, and in a group of up to BLOCK nodes the second half
+of the key is compared inside the group: its tables' keys are never written. Where a
+collection's group is larger (a template's pages share one), its nodes are dealt by whole
+keys, the pairs of collections of which both have large groups. What meets in a table and
+is not far too unlike by its minhashes (SLACK standard deviations) forms clusters; within
+clusters exact sets, made again from the texts of these few nodes, confirm links;
+components of the links are the result. Groups are compared in blocks of bounded rows and
+shingles (components.py), so that large groups of near copies do not meet in one task, and
+rows with a set of many copies get their result by a broadcast.
 
 Defined results: a null, empty or blank text has no shingles, is linked with nothing and
 is kept; a text of fewer than five words has one shingle, all its words; component_id is
 the smallest id not null; a row with a null id is kept only if its component has no other
-id; repeated rows share their result; an empty table gives no rows; other columns are
-ignored (unique_documents keeps them). Set hashes are 64 bits wide.
+id; repeated rows share their result; ties cannot arise, since the smallest id stands for
+a component; very long texts are taken whole; an empty table gives no rows; other columns,
+whatever their names, are ignored (unique_documents keeps them). Set hashes are 64 bits wide.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provlake.llm._spark import checkpointed, small
+from provlake.llm._spark import bounded_batches, maybe_broadcast, small, unused
 from provlake.llm._text import Tokens, batches_of, distinct_by_row, joined, mix
-from provlake.llm.components import components, connect
+from provlake.llm.components import BLOCK, components, connect
+from provlake.plans.session import checkpointed
 
 WORDS = 5
 HASHES = 3
 MISS = 1e-5
 SLACK = 5.0
 BROADCAST_IDS = 1_000_000
+HOT_COPIES = 64
 
 
 def collections_for(percent: int, miss: float = MISS) -> int:
@@ -120,37 +128,59 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, halves array<long>, bytes binary")
 
 
-def same_table(percent: int, n: int):
+@dataclass
+class SameTable:
     """The test for candidates: in one table, sizes within bounds, and minhashes not far too unlike."""
-    t = percent / 100
-    least = n * HASHES * t - SLACK * np.sqrt(n * HASHES * t * (1 - t))
-
-    def test(table: pa.Table) -> np.ndarray:
-        halves = np.array(table.column("halves").to_pylist(), dtype=np.int64)
-        signs = np.frombuffer(b"".join(table.column("bytes").to_pylist()), dtype=np.uint8).reshape(len(halves), -1)
-        size = table.column("n_shingles").to_numpy()
-        out = np.zeros((len(halves), len(halves)), dtype=bool)
-        for i in range(len(halves)):
-            ok = (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])) & ((signs == signs[i]).sum(axis=1) >= least)
-            at = np.flatnonzero(ok)
-            out[i, at] = (halves[at] == halves[i]).sum(axis=1) >= 2
+
+    percent: int
+    collections: int
+
+    @property
+    def least(self) -> float:
+        """The fewest minhashes in which candidates agree."""
+        t, n = self.percent / 100, self.collections * HASHES
+        return n * t - SLACK * float(np.sqrt(n * t * (1 - t)))
+
+    @staticmethod
+    def columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        halves = rows.column("halves").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        signs = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), dtype=np.uint8).reshape(rows.num_rows, -1)
+        return halves, signs, rows.column("n_shingles").to_numpy()
+
+    def close(self, halves, signs, size, halves2, signs2, size2) -> np.ndarray:
+        ok = (100 * np.minimum(size, size2) >= self.percent * np.maximum(size, size2)) & ((signs == signs2).sum(axis=1) >= self.least)
+        return ok & ((halves == halves2).sum(axis=1) >= 2)
+
+    def every(self, rows: pa.Table) -> np.ndarray:
+        halves, signs, size = self.columns(rows)
+        out = np.stack([self.close(halves, signs, size, halves[i], signs[i], size[i]) for i in range(len(size))])
         np.fill_diagonal(out, False)
         return out
 
-    return test
+    def paired(self, left: pa.Table, right: pa.Table) -> np.ndarray:
+        return self.close(*self.columns(left), *self.columns(right))
 
 
-def same_sets(percent: int):
+@dataclass
+class SameSets:
     """The exact test on whole sets."""
 
-    def test(table: pa.Table) -> np.ndarray:
-        column = table.column("shingles").combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks)
-        size = np.array([len(x) for x in column], dtype=np.int64)
+    percent: int
+
+    @staticmethod
+    def columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(size of each set, row and shingle of each member)."""
+        column = rows.column("shingles").combine_chunks()
+        size = column.value_lengths().to_numpy().astype(np.int64)
+        return size, np.repeat(np.arange(len(size)), size), column.flatten().to_numpy()
+
+    def close(self, shared: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return (100 * shared >= self.percent * (size + other - shared)) & (shared > 0)
+
+    def every(self, rows: pa.Table) -> np.ndarray:
+        size, row, h = self.columns(rows)
         m = len(size)
-        row = np.repeat(np.arange(m), size)
-        _, at, seen = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        _, at, seen = np.unique(h, return_inverse=True, return_counts=True)
         shared = np.cumsum(seen > 1) - 1
         keep = seen[at] > 1
         row, col = row[keep], shared[at[keep]]
@@ -163,12 +193,18 @@ def same_sets(percent: int):
             x = np.zeros((m, step), dtype=np.float32)
             x[row[a:b], col[a:b] - low] = 1
             both += x @ x.T
-        inter = both.astype(np.int64)
-        out = (100 * inter >= percent * (size[:, None] + size[None, :] - inter)) & (inter > 0)
+        out = self.close(both.astype(np.int64), size[:, None], size[None, :])
         np.fill_diagonal(out, False)
         return out
 
-    return test
+    def paired(self, left: pa.Table, right: pa.Table) -> np.ndarray:
+        size, row, h = self.columns(left)
+        other, row2, h2 = self.columns(right)
+        row, h = np.concatenate((row, row2)), np.concatenate((h, h2))
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        twice = (row[1:] == row[:-1]) & (h[1:] == h[:-1])  # a set has each shingle once
+        return self.close(np.bincount(row[1:][twice], minlength=len(size)), size, other)
 
 
 def shingles_again(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -188,24 +224,49 @@ def shingles_again(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def linked(docs: DataFrame, percent: int = 85) -> DataFrame:
+def meetings(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """grp, node: the groups in which nodes meet, by one collection, or by a table's key where that group is larger than block."""
+    halves = nodes.select("node", F.explode("halves").alias("grp"))
+    sizes = checkpointed(halves.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"))
+    out = halves.join(sizes.where(F.col("n") <= block), "grp", "left_semi").select("grp", "node")
+    large = sizes.where(F.col("n") > block).select("grp")
+    if large.isEmpty():
+        return out
+    # both halves of a key are in large groups: otherwise its nodes meet in the smaller one
+    held = halves.join(maybe_broadcast(large, BROADCAST_IDS), "grp", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("grp")).alias("g"))
+    keys = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.xxhash64(x, y))))
+    tables = checkpointed(held.select("node", F.explode(keys).alias("grp")))
+    met = tables.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    return out.unionByName(tables.join(met, "grp", "left_semi").select("grp", "node"))
+
+
+def with_component(rows: DataFrame, per_node: DataFrame) -> DataFrame:
+    """rows with component_id(of their node). per_node(node, copies, component_id): nodes of many copies are broadcast, if they are few."""
+    hot = per_node.where(F.col("copies") > HOT_COPIES).select("node", F.col("component_id").alias("hot_id"))
+    rest = per_node.select("node", "component_id")
+    if not small(hot, BROADCAST_IDS):
+        return rows.join(rest, "node", "left")
+    marked = rows.join(F.broadcast(hot), "node", "left")
+    found = marked.where("hot_id is not null").withColumnRenamed("hot_id", "component_id")
+    return marked.where("hot_id is null").drop("hot_id").join(rest, "node", "left").unionByName(found)
+
+
+def linked(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept of every row."""
+    bounded_batches(docs.sparkSession)
     n = collections_for(percent)
     rows = checkpointed(sketches(docs, n))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("halves").alias("halves"), F.any_value("bytes").alias("bytes"))
     nodes = checkpointed(nodes)
-    halves = nodes.select("node", F.explode("halves").alias("grp"))
-    shared = halves.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-    meeting = halves.join(shared, "grp", "left_semi").join(nodes.select("node", "copies", "n_shingles", "halves", "bytes"), "node")
-    meeting = checkpointed(meeting)
-    clusters = checkpointed(components(connect(meeting, ["n_shingles", "halves", "bytes"], same_table(percent, n))))
-    members = clusters.join(nodes.select("node", "first_id", "copies"), "node")
-    sets = members.join(shingles_again(docs, members), "node").select(F.col("component").alias("grp"), "node", "copies", "shingles")
-    links = components(connect(checkpointed(sets), ["shingles"], same_sets(percent)))
+    meeting = checkpointed(meetings(nodes, block).join(nodes.select("node", "copies", "n_shingles", "halves", "bytes"), "node"))
+    clusters = checkpointed(components(connect(meeting, ["n_shingles", "halves", "bytes"], SameTable(percent, n), block=block)))
+    members = clusters.join(nodes.select("node", "first_id", "copies", "n_shingles"), "node")
+    sets = members.join(shingles_again(docs, members), "node").select(F.col("component").alias("grp"), "node", "copies", "n_shingles", "shingles")
+    links = components(connect(checkpointed(sets), ["shingles"], SameSets(percent), "n_shingles", block))
     firsts = links.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("smallest"))
     named = links.join(firsts, "component").select("node", "smallest")
-    per_node = nodes.select("node", "first_id").join(named, "node", "left").select("node", F.coalesce("smallest", "first_id").alias("component_id"))
-    out = rows.select("doc_id", "text_key", "n_shingles", "node").join(per_node, "node", "left")
+    per_node = checkpointed(nodes.select("node", "first_id", "copies").join(named, "node", "left").select("node", "copies", F.coalesce("smallest", "first_id").alias("component_id")))
+    out = with_component(rows.select("doc_id", "text_key", "n_shingles", "node"), per_node)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -215,13 +276,13 @@ def unique_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     judged = checkpointed(linked(docs, percent))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(text, F.length(text))
-    gone = judged.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    gone = F.broadcast(gone) if small(gone, BROADCAST_IDS) else gone
-    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
-    again = judged.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
+    ident, other, place = unused(docs, "id", "key", "place")
+    gone = judged.where("not kept").select(F.col("doc_id").alias(ident), F.col("text_key").alias(other)).distinct()
+    out = docs.join(maybe_broadcast(gone, BROADCAST_IDS), F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (key == F.col(other)), "left_anti")
+    again = judged.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(ident))
     if again.isEmpty():
         return out
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(ident))
     once = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(key)
-    repeated = out.join(again, same, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    repeated = out.join(again, same, "left_semi").withColumn(place, F.row_number().over(once)).where(F.col(place) == 1).drop(place)
     return out.join(again, same, "left_anti").unionByName(repeated)
