@@ -11,18 +11,21 @@ binned to quarters of a power of two. Counts then cover all training texts again
 
 Texts stay where they are read until the end. A task gathers chunks of some megabytes of
 texts, and for each asks for the counts of its distinct words and pairs: sorted
-fingerprints, cut by value into shards. A shard adds the counts of all chunks and answers
+fingerprints, cut by value into shards, of which there are as many as the bytes of all
+texts ask for (SHARD_BYTES of keys each). A shard adds the counts of all chunks and answers
 every chunk in the order asked. A chunk's texts then meet its answers, which fit its sorted
 fingerprints one to one. So what is shuffled is fingerprints already summed by chunk, a
 frequent pair is no hot key, and no model is ever whole in one place.
 
 Chunks are dealt by the order in which a task reads its rows, so docs must be read the same
-way twice, as tables are; checkpoint anything else first. Fingerprints are 63 bits wide.
+way twice, as tables are; checkpoint anything else first. Answers carry a hash of the keys
+they are for, so that a chunk read otherwise is an error. Fingerprints are 63 bits wide.
 
 Defined results: a null or empty text is its end alone; a null doc_id is trained on, in no
 fold; repeated rows count and score each; contexts never trained on use words alone;
-without training texts every estimate is the uniform one; an empty table gives no rows;
-other columns are ignored.
+without training texts every estimate is the uniform one; ties cannot arise; a very long
+text is a chunk of its own, taken whole; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm._spark import checkpointed
-from provlake.llm._text import Tokens, batches_of, joined
+from provlake.llm._spark import bounded_batches
+from provlake.llm._text import Tokens, batches_of, joined, mix
+from provlake.plans.session import checkpointed
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 CHUNK_BYTES = 8 << 20
+#: keys of one shard, about, and bytes of keys that a byte of text brings
+SHARD_BYTES = 16 << 20
+KEY_BYTES = 2.5
 CONTEXT_BUCKETS = 26
 STEP = 4.0
 ROUNDS = 100
@@ -92,6 +99,17 @@ def asked(now: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, place[: len(now)], place[len(now) : -1], int(place[-1])
 
 
+def proof(keys: np.ndarray) -> int:
+    """A hash of keys."""
+    return int(np.bitwise_xor.reduce(mix(keys)).view(np.int64))
+
+
+def shards_for(rows: DataFrame) -> int:
+    """A power of two, by the bytes of all texts."""
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return 1 << max(4, int(KEY_BYTES * size / SHARD_BYTES).bit_length())
+
+
 def packed(values: np.ndarray) -> bytes:
     """Counts in a byte each, and large ones after them."""
     large = values[values >= 255].astype("<u8").tobytes()
@@ -133,8 +151,8 @@ def questions(rows: DataFrame, shards: int) -> DataFrame:
     return rows.mapInArrow(run, "chunk long, shard long, keys binary, counts binary")
 
 
-def answers(asking: DataFrame) -> DataFrame:
-    """chunk, shard, n (keys asked), every and rest (counts of all training texts, and without the deleted fold), and once a shard its sums: tokens and types of both."""
+def answers(asking: DataFrame, shards: int) -> DataFrame:
+    """chunk, shard, n (keys asked), proof (their hash), every and rest (counts of all training texts, and without the deleted fold), and once a shard its sums: tokens and types of both."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk").to_numpy()
@@ -150,13 +168,13 @@ def answers(asking: DataFrame) -> DataFrame:
         ends = np.concatenate(([0], np.cumsum(size)))
         once = np.zeros(len(size), dtype=np.int64)
         once[0] = 1
-        out = {"chunk": chunk, "shard": table.column("shard").to_numpy(), "n": size.astype(np.int64)}
+        out = {"chunk": chunk, "shard": table.column("shard").to_numpy(), "n": size.astype(np.int64), "proof": np.array([proof(x) for x in keys], dtype=np.int64)}
         for name, values in (("every", every), ("rest", rest)):
             out[name] = pa.array([packed(values[place[ends[i] : ends[i + 1]]]) for i in range(len(size))], type=pa.binary())
         out |= {name: once * int(x) for name, x in zip(("tokens", "types", "rest_tokens", "rest_types"), sums, strict=True)}
         return pa.table(out)
 
-    return asking.groupBy("shard").applyInArrow(run, "chunk long, shard long, n long, every binary, rest binary, tokens long, types long, rest_tokens long, rest_types long")
+    return asking.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "chunk long, shard long, n long, proof long, every binary, rest binary, tokens long, types long, rest_tokens long, rest_types long")
 
 
 def boxed(batch: pa.RecordBatch) -> bytes:
@@ -188,7 +206,8 @@ def counted(parts: list[pa.RecordBatch], right: pa.Table, name: str) -> tuple[np
     keys, word, pair, begin = asked(now, before)
     right = right.sort_by("shard")
     values = np.concatenate([unpacked(x, n) for x, n in zip(right.column(name).to_pylist(), right.column("n").to_pylist(), strict=True)])
-    if len(values) != len(keys):
+    ends = np.cumsum(right.column("n").to_numpy())
+    if len(values) != len(keys) or [proof(keys[b - n : b]) for b, n in zip(ends, right.column("n").to_pylist(), strict=True)] != right.column("proof").to_pylist():
         raise ValueError("a chunk's texts were read in another order than before: checkpoint the input")
     context = np.full(len(row), begin)
     inner = np.flatnonzero(before != BEGIN)
@@ -225,11 +244,12 @@ def learn(histogram: np.ndarray, types: int, rounds: int = ROUNDS) -> np.ndarray
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
+    bounded_batches(docs.sparkSession)
     rows = source(docs)
-    shards = 1 << max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    replies = checkpointed(answers(questions(rows, shards)))
+    shards = shards_for(rows)
+    replies = checkpointed(answers(questions(rows, shards), shards))
     tokens, types, rest_tokens, rest_types = (int(x or 0) for x in replies.agg(*[F.sum(c) for c in ("tokens", "types", "rest_tokens", "rest_types")]).first())
-    replies = replies.select("chunk", "shard", "n", "every", "rest")
+    replies = replies.select("chunk", "shard", "n", "proof", "every", "rest")
 
     def bins(left, right):
         if not left.num_rows:
