@@ -1,11 +1,11 @@
-"""The dealt operators as queries over whole tables, and their SQL where SQL can express them."""
+"""The operators as queries over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from provlake.llm import decontamination, importance, interpolation, near_duplicates, packing, pseudonyms, rules_list, site_lines, toxicity, url_rules
-from provlake.llm._spark import table
+from provlake.plans.session import table
 
 #: (host, path, verdict)
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -25,14 +25,14 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_lines.dropped(table(spark, sf_dir, "documents"))
+    return site_lines.dropped(table(spark, sf_dir, "documents"), ratio=0.1, min_pages=2, copies=True)
 
 
 OP3_SQL = r"""
 WITH p AS (SELECT doc_id, coalesce(source, '') AS host, source, text FROM documents),
-t AS (SELECT host, count(DISTINCT coalesce(text, '')) AS total FROM p GROUP BY host),
-l AS (SELECT DISTINCT host, text, trim(line, ' ') AS line FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS line FROM p) WHERE trim(line, ' ') <> ''),
-b AS (SELECT host, list(line) AS lines FROM (SELECT host, line, count(*) AS n FROM l GROUP BY host, line) JOIN t USING (host) WHERE n >= 5 AND n > total * 0.1::DOUBLE GROUP BY host),
+t AS (SELECT host, count(*) AS total FROM (SELECT DISTINCT host, doc_id, text FROM p) GROUP BY host),
+l AS (SELECT DISTINCT host, doc_id, text, trim(line, ' ') AS line FROM (SELECT host, doc_id, text, unnest(string_split(text, chr(10))) AS line FROM p) WHERE trim(line, ' ') <> ''),
+b AS (SELECT host, list(line) AS lines FROM (SELECT host, line, count(*) AS n FROM l GROUP BY host, line) JOIN t USING (host) WHERE n >= 2 AND n > total * 0.1::DOUBLE GROUP BY host),
 a AS (SELECT doc_id, source, string_split(text, chr(10)) AS every, coalesce(b.lines, []) AS gone FROM p LEFT JOIN b USING (host)),
 k AS (SELECT doc_id, source, every, list_filter(every, lambda x: trim(x, ' ') = '' OR NOT list_contains(gone, trim(x, ' '))) AS kept FROM a)
 SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, coalesce(len(list_filter(every, lambda x: trim(x, ' ') <> '')), 0)::BIGINT AS n_lines, coalesce(len(every) - len(kept), 0)::BIGINT AS n_dropped FROM k
