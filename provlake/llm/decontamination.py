@@ -14,8 +14,10 @@ shuffle of narrow rows, and words are fetched for candidates afterwards.
 Defined results: a null or empty document has no words, no hits and is clean; an item
 without words has no window; an item with a null id still marks words but is not counted;
 equal items count each by its id; repeated document rows each get the same row; an empty
-table of documents gives no rows, an empty benchmark marks nothing; other columns are
-ignored. Native: DataFrame functions only.
+table of documents gives no rows, an empty benchmark marks nothing; of equally rare
+shingles the first of the window is its anchor; very long texts are taken whole; other
+columns, whatever their names, are ignored (clean keeps them). Native: DataFrame functions
+only.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm._spark import ascii_lower, checkpointed, small
+from provlake.llm._spark import ascii_lower, maybe_broadcast, small, unused
+from provlake.plans.session import checkpointed
 
 WINDOW = 13
 SHINGLE = 5
@@ -131,6 +134,6 @@ def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents, all columns, that are not contaminated."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    bad = judged(docs, items).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    bad = F.broadcast(bad) if small(checked := checkpointed(bad), 1_000_000) else checked
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text, F.length(text)) == F.col("__key")), "left_anti")
+    ident, key = unused(docs, "id", "key")
+    bad = checkpointed(judged(docs, items).where("contaminated").select(F.col("doc_id").alias(ident), F.col("text_key").alias(key)).distinct())
+    return docs.join(maybe_broadcast(bad, 1_000_000), F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64(text, F.length(text)) == F.col(key)), "left_anti")

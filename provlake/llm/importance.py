@@ -4,8 +4,8 @@ Two bags of hashed words and word pairs, one of all raw texts and one of the tar
 give each text a log ratio of its probabilities. Sampling without replacement in
 proportion to the ratios is a top-k of log ratio plus Gumbel noise. The noise of a row
 comes from a hash of its id, text and a seed, so that a lost task repeats it. The ratio is
-taken per word and scaled to a common length (length: the number of words at which a text
-counts as its plain ratio), since plain ratios grow with length and would rank by it.
+that of the two models for the whole text; with `length` it is taken per word or pair and
+scaled to so many of them, for a choice that does not grow with the length of texts.
 
 The k-th largest key is found by histograms, each within the bin of the one before, so
 that nothing is sorted in one place.
@@ -13,7 +13,9 @@ that nothing is sorted in one place.
 Defined results: null and empty texts have a log ratio of 0; a null label makes no target;
 repeated rows share one key and so are kept or left together (the kept number can exceed k
 by these); equal keys of different ids are kept by the smaller id; without target texts all
-ratios are 0; an empty table gives no rows; other columns are ignored.
+ratios are 0; very long texts are taken whole; an empty table gives no rows; other columns,
+whatever their names, are ignored. Beyond 1,000,000 targets, texts are shuffled once by id
+to be told from the rest.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm._spark import checkpointed, maybe_broadcast
+from provlake.llm._spark import bounded_batches, maybe_broadcast
 from provlake.llm._text import Tokens, batches_of
+from provlake.plans.session import checkpointed
 
 BUCKETS = 10_000
 SEED = 1
-#: share of the rows that the sample keeps, and the common length in words
+#: share of the rows that the sample keeps
 KEEP = 0.85
-LENGTH = 300.0
 BINS = 2_000
 EXACT = 5_000
 
@@ -63,7 +65,7 @@ def fit(docs: DataFrame, target: DataFrame) -> np.ndarray:
     return np.log((wanted + 1) / (wanted.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray, length: float = LENGTH, seed: int = SEED) -> DataFrame:
+def weighted(docs: DataFrame, ratios: np.ndarray, length: float | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight and gumbel_key of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     uniform = (F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text")).cast("double") + F.lit(2.0**63) + 0.5) / F.lit(2.0**64)
@@ -74,8 +76,9 @@ def weighted(docs: DataFrame, ratios: np.ndarray, length: float = LENGTH, seed:
         table = shared.value
         for batch in batches_of(batches, "text"):
             row, bucket = buckets(batch.column(1))
-            n = np.bincount(row, minlength=batch.num_rows)
-            weight = np.bincount(row, weights=table[bucket], minlength=batch.num_rows) / np.maximum(n, 1) * length
+            weight = np.bincount(row, weights=table[bucket], minlength=batch.num_rows)
+            if length is not None:
+                weight *= length / np.maximum(np.bincount(row, minlength=batch.num_rows), 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(weight + batch.column(2).to_numpy())], names=["doc_id", "log_weight", "gumbel_key"])
 
     return rows.mapInArrow(run, "doc_id long, log_weight double, gumbel_key double")
@@ -105,8 +108,9 @@ def kth_largest(rows: DataFrame, key: str, tie: str, k: int) -> tuple[float, int
         live = live.where(F.col(key).between(low, high))
 
 
-def resample(docs: DataFrame, target: DataFrame, keep: float = KEEP, length: float = LENGTH, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, keep: float = KEEP, length: float | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight, gumbel_key, kept of every row; kept marks the sample of keep * rows."""
+    bounded_batches(docs.sparkSession)
     rows = checkpointed(weighted(docs, fit(docs, target), length, seed))
     n = rows.count()
     key, last = kth_largest(rows, "gumbel_key", "doc_id", max(1, round(keep * n))) if n else (0.0, None)

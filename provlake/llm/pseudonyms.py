@@ -19,8 +19,9 @@ A d-m-y date becomes a d-m-y date; it stays linked, but as text may equal the ps
 an m-d-y date.
 
 Defined results: a null text stays null and an empty one empty; numbers that fail their
-validation stay as they are; repeated rows each get theirs; an empty table gives no rows;
-other columns are kept. Native: DataFrame functions only.
+validation stay as they are; repeated rows each get theirs; of overlapping matches the
+first counts; very long texts are taken whole; an empty table gives no rows; other columns,
+whatever their names, are kept. Native: DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provlake.llm._spark import unused
+
 ROUNDS = 10
 #: days of 1900 to 2099: DATE_LEFT * DATE_RIGHT
 DATE_LEFT, DATE_RIGHT = 17, 4297
@@ -180,12 +183,13 @@ def pseudonym(key: str, x: Column) -> Column:
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
-    """docs with text in pseudonyms, and n_replaced: how many values were."""
-    text = F.col("text")
-    names = [c for c in docs.columns if c not in ("n_replaced",)]
-    found = docs.select(*names, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("__found"))
-    made = found.withColumn("__made", F.when(F.size("__found") > 0, F.transform("__found", lambda x: pseudonym(key, x))))
-    joined = F.array_join(F.zip_with(F.split("text", ANY, -1), F.concat("__made", F.array(F.lit(""))), lambda p, v: F.concat(p, v)), "")
-    new = F.when(F.col("__made").isNotNull(), joined).otherwise(text)
-    changed = F.size(F.filter(F.zip_with("__found", "__made", lambda a, b: a != b), lambda x: x))
-    return made.select(*[new.alias("text") if c == "text" else c for c in names], F.when(F.col("__made").isNotNull(), changed).otherwise(0).cast("long").alias("n_replaced"))
+    """docs with text in pseudonyms, and how many values were replaced: n_replaced, or with underscores before it if docs has such a column."""
+    text = F.col("row.text")
+    rows = docs.select(F.struct("*").alias("row"))
+    found = rows.select("row", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("found"))
+    made = found.withColumn("made", F.when(F.size("found") > 0, F.transform("found", lambda x: pseudonym(key, x))))
+    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat("made", F.array(F.lit(""))), lambda p, v: F.concat(p, v)), "")
+    new = F.when(F.col("made").isNotNull(), joined).otherwise(text)
+    changed = F.size(F.filter(F.zip_with("found", "made", lambda a, b: a != b), lambda x: x))
+    (counted,) = unused(docs, "n_replaced")
+    return made.select(*[new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.when(F.col("made").isNotNull(), changed).otherwise(0).cast("long").alias(counted))

@@ -1,15 +1,16 @@
 """Operator 4, quality rules: a decision list learnt by sequential covering.
 
 Statistics of each text are compared with thresholds. Labelled statistics (a bounded
-sample) are split in two: a rule, a conjunction of thresholds, grows on the first part by
+sample, without texts that fail the base rules anyway) are split in two: a rule, a conjunction of thresholds, grows on the first part by
 information gain and is pruned on the second by precision; the texts it covers leave, and
 the next rule is learnt from the rest. The list is emitted as ordered Spark conditional
 expressions, so that judging all texts is one projection.
 
 Defined results: a null or empty text has no words and fails the base rules; null labels
 are not learnt from; repeated rows each get their row; without labels of both kinds the
-list is empty and the base rules alone decide; an empty table gives no rows; other columns
-are ignored.
+list is empty and the base rules alone decide; of conditions with equal gain the first
+counts, of labels of one id the lowest; very long texts are taken whole; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm._spark import maybe_broadcast
+from provlake.llm._spark import bounded_batches
 from provlake.llm._text import SAME, Tokens, batches_of
 
 MAX_LABELLED = 20_000
@@ -96,6 +97,7 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS of every text."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS)
 
@@ -193,17 +195,24 @@ def expression(rules: list[list[Condition]]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[list[Condition]]:
-    """Learns from at most max_labelled rows, chosen by a hash of the id; stats: as of statistics()."""
-    x = stats.join(labels.select("doc_id", "quality"), "doc_id").select("quality", *[F.expr(e).alias(n) for n, e in FEATURES.items()]).toPandas()
+BASE_FAILED = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words"
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[list[Condition]]:
+    """Learns from at most max_labelled labelled ids, chosen by a hash, as far as their texts pass the base rules."""
+    order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(4))
+    known = labels.where("doc_id is not null and quality is not null")
+    n = known.count()
+    if n > 2 * max_labelled:  # so that few are ever sorted
+        known = known.where(order < -(2**63) + int(2**64 * 1.5 * max_labelled / n))
+    chosen = F.broadcast(known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(max_labelled))  # max_labelled rows
+    sample = statistics(docs.select("doc_id", "text").join(chosen.select("doc_id"), "doc_id")).where(~F.expr(BASE_FAILED))
+    x = sample.join(chosen, "doc_id").select("quality", *[F.expr(e).alias(n) for n, e in FEATURES.items()]).toPandas()
     return learn(x[list(FEATURES)].to_numpy(dtype=float), (x.quality == 0).to_numpy(), list(FEATURES))
 
 
 def judged(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every text."""
-    order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(4))
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(max_labelled)
-    sample = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id"))  # at most max_labelled ids
-    rules = fit(sample, maybe_broadcast(chosen, max_labelled))
-    out = statistics(docs).withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words"))
+    rules = fit(docs, labels, max_labelled)
+    out = statistics(docs).withColumn("base_failed", F.expr(BASE_FAILED))
     return out.withColumn("kept", ~F.col("base_failed") & expression(rules))

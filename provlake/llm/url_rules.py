@@ -6,14 +6,15 @@ sorted rules are swept together, keeping a stack of the rules whose interval is
 stack at a host is exactly the rules that fit it. Of those whose path starts the url's
 path, the longest (host and path together, then host) wins.
 
-Rules are read in blocks of a bounded number; each block is broadcast and swept over the
-urls, and the best rule so far goes on to the next block, so no number of rules is too
+Rules are dealt by host and path into blocks of a bounded number, so that no host's rules
+are one block; each block is broadcast and swept over the urls, and the best rule so far goes on to the next block, so no number of rules is too
 large. Urls never move: there is no shuffle and no hot host.
 
 Defined results: a null url, or one without "://", has an empty host and path and fits no
 rule with a host; urls without a rule get the default verdict; repeated rows each get
 theirs; of equal rules with different verdicts "block" wins; null rule hosts, paths count
-as empty; an empty table gives no rows.
+as empty; very long urls are taken whole; an empty table gives no rows; other columns of
+pages, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm._spark import ascii_lower, checkpointed
+from provlake.llm._spark import ascii_lower, bounded_batches
+from provlake.plans.session import checkpointed
 
 BLOCK_RULES = 200_000
 END = "\x01"
@@ -88,6 +90,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", block_rule
 
     rules(host, path, verdict): host in lower case; path from its first slash on.
     """
+    bounded_batches(pages.sparkSession)
     rules = rules.select(F.coalesce(F.lower("host"), F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     blocks = -(-rules.count() // block_rules) or 1
     out = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(-1).alias("rule_chars"), F.lit(-1).alias("host_chars"))
@@ -110,7 +113,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", block_rule
         return run
 
     for k in range(blocks):
-        block = rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("host"), F.lit(blocks)) == k)
+        block = rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("host", "path"), F.lit(blocks)) == k)
         held = grouped([tuple(r) for r in block.collect()])  # bounded by block_rules on average
         out = out.mapInArrow(swept(pages.sparkSession.sparkContext.broadcast(held)), schema)
         if blocks > 1:
