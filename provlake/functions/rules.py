@@ -83,10 +83,10 @@ GEOGRAPHIES = [
     ("Middle East", ["middle east", "mena", "gulf"]),
 ]
 COMPARATIVE_PAIRS = [
-    ("pharma_vs_biotech", ["pharmaceutical companies", "biotechnology firms", "biotech", "pharma"], "How do the economics, implementation capabilities, and risk profiles differ between large pharmaceutical companies and smaller biotechnology firms?"),
-    ("tier1_vs_regional", ["large banks", "regional banks", "community banks", "fintechs"], "How do adoption strategies, implementation costs, and risk tolerance differ between large global institutions and smaller regional firms?"),
+    ("pharma_vs_biotech", ["pharmaceutical companies", "biotechnology firms", "biotech", "pharma"], "Where do large pharmaceutical companies and smaller biotech firms differ in cost, ability to deliver and exposure to risk?"),
+    ("tier1_vs_regional", ["large banks", "regional banks", "community banks", "fintechs"], "Where do large institutions and smaller regional ones differ in strategy, cost of rollout and appetite for risk?"),
 ]
-GEOGRAPHY_QUESTION = "How do the adoption dynamics, measurable impacts, regulatory approaches, and operational risks compare across {regions}{time}?"
+GEOGRAPHY_QUESTION = "Which differences in uptake, results, rules and risks stand out across {regions}{time}?"
 COMPARATIVE_TERMS = ["compare", "comparison", "differ", "differences between", "versus", " vs "]
 PAIR_CUES = ["differ", "biotech", "pharma", "regional", "smaller"]
 FORWARD_TERMS = ["trend", "forecast", "future", "expansion", "reshap", "projection", "demand", "grow"]

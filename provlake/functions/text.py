@@ -10,6 +10,7 @@ from provlake.functions import rules
 WORD = "([a-z0-9]+)"
 #: an edge of a word of ASCII letters, digits and _, as engines without look-around have it
 START, STOP = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: fixed values: what counts as a number, a range, a percentage, an amount of money or a ratio
 NUMBER = r"(?i)(?:\$\s*[\d,.]+(?:\s*(?:billion|million|trillion|k|m|b))?|\b\d+(?:[.,]\d+)?\s*(?:%|percent|x|months?|years?|weeks?|days?|hours?|bps)?)"
 PLAIN_NUMBER = r"\b\d+(?:\.\d+)?\b"
 RANGE = r"(?i)(\d+(?:\.\d+)?)\s*(?:-|–|—|to)\s*(\d+(?:\.\d+)?)\s*(%|percent|x|billion|million|trillion|k|m|b|months?|years?|weeks?|days?|hours?)?"

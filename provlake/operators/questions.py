@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlake.functions import rules
-from provlake.functions.text import clean_query, literal_array, tokens
+from provlake.functions.text import clean_query, literal_array
 
 YEAR = r"\b(20[2-5][0-9])\b"
 TERM = r"([a-z0-9]+(?:-[a-z0-9]+)*)"
@@ -118,6 +118,3 @@ def expand_questions(df: DataFrame, templates: list[str] = TEMPLATES, ident: str
     subject = F.regexp_replace(F.trim(F.col(text)), r"[?.!]+$", "")
     each = F.array(*[F.concat(F.lit(t.split("{}")[0]), subject, F.lit(t.split("{}")[1])) for t in templates])
     return df.select(ident, F.posexplode(each).alias("pos", "question")).select(ident, (F.col("pos") + 1).alias("sequence_number"), "question")
-
-
-__all__ = ["augment_questions", "constraint_summary", "expand_questions", "extract_constraints", "focused_queries", "query_plan", "tokens"]
