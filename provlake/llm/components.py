@@ -27,6 +27,8 @@ from provlake.plans.session import checkpointed
 BLOCK = 1024
 MOST = 4_000_000
 BROADCAST_GROUPS = 10_000
+HUB = 256
+HUBS = 100_000
 EDGES = "u long, v long"
 
 
@@ -94,12 +96,15 @@ def connect(rows: DataFrame, payload: list[str], test: Test, weight: str | None
     counts = checkpointed(counts)
     columns = ["grp", "node", "weight", *payload]
     fits = (F.col("n") <= block) & (F.col("total") <= most)
-    whole = rows.join(counts.where(fits).select("grp"), "grp").select("grp", "node", *payload, F.lit(False).alias("passed"))
-    edges = whole.groupBy("grp").applyInArrow(_edges_of(test), EDGES)
     large = counts.where(~fits).select("grp", "centre")
-    if large.isEmpty():
+    none = large.isEmpty()
+    large = maybe_broadcast(large, BROADCAST_GROUPS)
+    whole = rows if none else rows.join(large, "grp", "left_anti")
+    whole = whole.join(counts.where(fits).select("grp"), "grp").select("grp", "node", *payload, F.lit(False).alias("passed"))
+    edges = whole.groupBy("grp").applyInArrow(_edges_of(test), EDGES)
+    if none:
         return edges
-    members = rows.join(maybe_broadcast(large, BROADCAST_GROUPS), "grp").select(*columns, "centre")
+    members = rows.join(large, "grp").select(*columns, "centre")
     centres = checkpointed(members.where("node = centre").select("grp", F.col("weight").alias("centre_weight"), *[F.col(c).alias(f"centre_{c}") for c in payload]))
     n, total = centres.agg(F.count("*"), F.coalesce(F.sum("centre_weight"), F.lit(0))).first()
     centres = centres.drop("centre_weight")
@@ -122,23 +127,41 @@ def connect(rows: DataFrame, payload: list[str], test: Test, weight: str | None
     return edges.unionByName(star).unionByName(blocks.groupBy("grp").applyInArrow(_edges_of(test), EDGES))
 
 
+def dealt(rows: DataFrame, values: DataFrame, key: str, name: str, n_rows: int) -> DataFrame:
+    """rows with the column name of values(key, name, n: rows of that key), one for each key of rows.
+
+    Hubs, keys with more than HUB rows and more than one HUBS-th of all, get their value by
+    broadcast, and their rows are dealt over all tasks. They are fewer than HUBS, since each
+    has more than n_rows / HUBS of the n_rows rows that n was counted over.
+    """
+    hub = F.col("n") > max(HUB, n_rows // HUBS)
+    hubs = values.where(hub).select(key, F.col(name).alias("of_hub"))
+    rest = values.where(~hub).select(F.col(key).alias("dealt_by"), name)
+    marked = rows.join(F.broadcast(hubs), key, "left")
+    marked = marked.withColumn("dealt_by", F.when(F.col("of_hub").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    return marked.join(rest, "dealt_by", "left").select(*rows.columns, F.coalesce("of_hub", name).alias(name))
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """Number and hash of edges."""
+    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of the edges, by alternating large and small stars.
 
-    Every round is joins and sums by node with partial results; a hub is split like any
-    skewed join. The rounds end when the edges stay the same.
+    Every round is joins and sums by node with partial results; a hub's edges are dealt over
+    all tasks. The rounds end when the edges stay the same.
     """
     e = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+    before, now = None, _state(e)
+    while now != before:
+        n = 2 * now[0]  # no node has more edges in the second half of a round than in both directions of the first
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        e = dealt(both.where("v > u"), least, "u", "m", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        e = dealt(e, least, "u", "m", n).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
         e = checkpointed(e)
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-        if now == before:
-            break
-        before = now
+        before, now = now, _state(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

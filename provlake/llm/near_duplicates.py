@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from provlake.llm._spark import bounded_batches, maybe_broadcast, small, unused
 from provlake.llm._text import Tokens, batches_of, distinct_by_row, joined, mix
-from provlake.llm.components import BLOCK, components, connect
+from provlake.llm.components import BLOCK, components, connect, dealt
 from provlake.plans.session import checkpointed
 
 WORDS = 5
@@ -228,12 +228,15 @@ def meetings(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """grp, node: the groups in which nodes meet, by one collection, or by a table's key where that group is larger than block."""
     halves = nodes.select("node", F.explode("halves").alias("grp"))
     sizes = checkpointed(halves.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"))
-    out = halves.join(sizes.where(F.col("n") <= block), "grp", "left_semi").select("grp", "node")
     large = sizes.where(F.col("n") > block).select("grp")
-    if large.isEmpty():
+    none = large.isEmpty()
+    large = maybe_broadcast(large, BROADCAST_IDS)
+    rest = halves if none else halves.join(large, "grp", "left_anti")
+    out = rest.join(sizes.where(F.col("n") <= block), "grp", "left_semi").select("grp", "node")
+    if none:
         return out
     # both halves of a key are in large groups: otherwise its nodes meet in the smaller one
-    held = halves.join(maybe_broadcast(large, BROADCAST_IDS), "grp", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("grp")).alias("g"))
+    held = halves.join(large, "grp", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("grp")).alias("g"))
     keys = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.xxhash64(x, y))))
     tables = checkpointed(held.select("node", F.explode(keys).alias("grp")))
     met = tables.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
@@ -263,8 +266,8 @@ def linked(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
     members = clusters.join(nodes.select("node", "first_id", "copies", "n_shingles"), "node")
     sets = members.join(shingles_again(docs, members), "node").select(F.col("component").alias("grp"), "node", "copies", "n_shingles", "shingles")
     links = components(connect(checkpointed(sets), ["shingles"], SameSets(percent), "n_shingles", block))
-    firsts = links.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("smallest"))
-    named = links.join(firsts, "component").select("node", "smallest")
+    firsts = links.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("smallest"), F.count("*").alias("n"))
+    named = dealt(links, firsts, "component", "smallest", links.count()).select("node", "smallest")
     per_node = checkpointed(nodes.select("node", "first_id", "copies").join(named, "node", "left").select("node", "copies", F.coalesce("smallest", "first_id").alias("component_id")))
     out = with_component(rows.select("doc_id", "text_key", "n_shingles", "node"), per_node)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -370,6 +370,26 @@ def test_blocks_are_bounded_by_weight(spark):
     assert one == two and len({c for _, c in one}) == 8
 
 
+@pytest.mark.parametrize("hub", [256, 3])
+def test_components_match_brute_force(spark, monkeypatch, hub):
+    """Chains, stars and repeated edges; with a low bound nearly every node is a hub."""
+    from provlake.llm import components
+
+    monkeypatch.setattr(components, "HUB", hub)
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(30)] + [(500, 501 + i) for i in range(40)] + [(2000 - i, 900) for i in range(40)] + [(7, 7), (501, 500)]
+    edges += [(rng.randrange(3000, 3300), rng.randrange(3000, 3300)) for _ in range(150)]
+    group = {}
+    find = lambda i: i if group.setdefault(i, i) == i else find(group[i])
+    for u, v in edges:
+        if u != v:
+            a, b = sorted((find(u), find(v)))
+            group[b] = a
+    got = components.components(spark.createDataFrame(edges, components.EDGES)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, find(i)) for i in group)
+    assert components.components(spark.createDataFrame([], components.EDGES)).count() == 0
+
+
 def test_unique_documents_leave_one_of_each(docs, empty):
     out = near_duplicates.unique_documents(docs, 80)
     assert out.columns == docs.columns
