@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,22 +68,30 @@ def blocked_ranges(networks=rules.BLOCKED_V4) -> list[tuple[int, int]]:
     return [(int(n.network_address), int(n.broadcast_address)) for n in nets]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def url_safety(url: Column) -> Column:
     """struct(safe, reason): whether a url may be fetched from outside (B2)."""
-    name, value = host_name(url), ipv4_value(host_name(url))
-    bare = F.regexp_replace(name, r"[\[\]]", "")
-    inside = F.lit(False)
-    for low, high in blocked_ranges():
-        inside = inside | value.between(low, high)
-    reason = (
-        F.when(F.coalesce(F.trim(url), F.lit("")) == "", "empty")
-        .when(~scheme(url).isin("http", "https"), "scheme")
-        .when(name == "", "no_host")
-        .when(name.isin(rules.BLOCKED_HOSTS) | name.endswith(".local") | name.endswith(".internal"), "internal_host")
-        .when(F.coalesce(inside, F.lit(False)) | (name.startswith("[") & bare.rlike(rules.BLOCKED_V6)), "internal_address")
-        .otherwise("safe")
-    )
-    return F.struct((reason == "safe").alias("safe"), reason.alias("reason"))
+
+    def judged(name: Column, value: Column) -> Column:
+        bare = F.regexp_replace(name, r"[\[\]]", "")
+        inside = F.lit(False)
+        for low, high in blocked_ranges():
+            inside = inside | value.between(low, high)
+        return (
+            F.when(F.coalesce(F.trim(url), F.lit("")) == "", "empty")
+            .when(~scheme(url).isin("http", "https"), "scheme")
+            .when(name == "", "no_host")
+            .when(name.isin(rules.BLOCKED_HOSTS) | name.endswith(".local") | name.endswith(".internal"), "internal_host")
+            .when(F.coalesce(inside, F.lit(False)) | (name.startswith("[") & bare.rlike(rules.BLOCKED_V6)), "internal_address")
+            .otherwise("safe")
+        )
+
+    reason = once(host_name(url), lambda name: once(ipv4_value(name), lambda value: judged(name, value)))
+    return once(reason, lambda r: F.struct((r == "safe").alias("safe"), r.alias("reason")))
 
 
 def of_domains(name: Column, domains: list[str]) -> Column:
