@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from provlake.llm import decontamination, importance, interpolation, near_duplicates, packing, pseudonyms, rules_list, site_lines, toxicity, url_rules
-from provlake.plans.session import table
+from provlake.llm import collocations, decontamination, importance, interpolation, near_duplicates, packing, prefix_trie, pseudonyms, rules_list, site_lines, token_planes, toxicity, url_rules
+from provlake.plans.session import shared_folder, table
 
 #: (host, path, verdict)
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -118,6 +119,66 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m
 """
 
+def grafted(seqs: DataFrame) -> DataFrame:
+    """Each conversation c with its first h turns replaced by those of c - c % 100, h = crc32(decimal c) % 6."""
+    base = seqs.where("conv_id % 100 = 0").select(F.col("conv_id").alias("root"), F.slice("turns", 1, 5).alias("head"))
+    own = seqs.withColumn("h", (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")).withColumn("root", F.expr("conv_id - conv_id % 100"))
+    turns = F.when(F.col("head").isNull(), F.slice("turns", F.col("h") + 1, F.size("turns") + 1)).otherwise(F.concat(F.slice("head", F.lit(1), F.col("h")), F.slice("turns", F.col("h") + 1, F.size("turns") + 1)))
+    return own.join(base, "root", "left").select("conv_id", turns.alias("turns"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(grafted(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, 4294967295::BIGINT), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND k <= h UNION ALL SELECT c.conv_id, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND k > h),
+p AS (SELECT conv_id, row_number() OVER w AS d, list([role, text]) OVER (w ROWS UNBOUNDED PRECEDING) AS prefix, length(text) AS size FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY k) UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+n AS (SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM p GROUP BY d, prefix),
+k AS (SELECT prefix[1:d - 1] AS prefix, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+s AS (SELECT DISTINCT a.prefix AS top, b.prefix AS prefix FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.d <= b.d),
+u AS (SELECT s.top AS prefix, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved FROM s JOIN n ON n.prefix = s.prefix LEFT JOIN k ON k.prefix = s.prefix GROUP BY s.top),
+l AS (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id),
+e AS (SELECT p.prefix, string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) AS ends FROM p JOIN l USING (conv_id, d) GROUP BY p.prefix)
+SELECT n.conv_id, n.d::BIGINT AS depth, o.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM n LEFT JOIN n o ON o.d = n.d - 1 AND o.prefix = n.prefix[1:n.d - 1] LEFT JOIN k ON k.prefix = n.prefix JOIN u ON u.prefix = n.prefix LEFT JOIN e ON e.prefix = n.prefix
+"""
+
+
+def byte_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op12_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "tokens")
+    token_planes.write(table(spark, sf_dir, "documents"), byte_vocabulary(), folder)
+    return token_planes.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_stripe_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2),
+x AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, a, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM (SELECT lang, a, w, s, unnest(range(1, m - s + 2)) AS i FROM c, (SELECT unnest([2, 3, 4]) AS s) WHERE s < m)) GROUP BY lang, phrase),
+k AS (SELECT c.lang, c.phrase, c.a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS j FROM c) c LEFT JOIN x USING (lang, phrase) WHERE coalesce(longest, 0) < c.a),
+s AS (SELECT k.lang, k.phrase, k.a, j, h.a AS l, r.a AS r, n.n, (1000::HUGEINT * k.a * n.n::HUGEINT) // (h.a::HUGEINT * r.a) AS score FROM k JOIN f h ON h.lang = k.lang AND h.phrase = head JOIN f r ON r.lang = k.lang AND r.phrase = rest JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_deleted_interpolation": op2_deleted_interpolation,
@@ -130,5 +191,8 @@ QUERIES = {
     "op8_cost_balanced_packing": op8_cost_balanced_packing,
     "op9_url_range_rules": op9_url_range_rules,
     "op10_nonnegative_pu_toxicity": op10_nonnegative_pu_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_planes": op12_token_planes,
+    "op13_stripe_collocations": op13_stripe_collocations,
 }
-ORACLE_SQL = {"op3_site_relative_lines": OP3_SQL, "op3_host_rule_lines": OP3_HOST_RULE_SQL, "op5_prefix_filtered_windows": OP5_SQL, "op9_url_range_rules": OP9_SQL}
+ORACLE_SQL = {"op3_site_relative_lines": OP3_SQL, "op3_host_rule_lines": OP3_HOST_RULE_SQL, "op5_prefix_filtered_windows": OP5_SQL, "op9_url_range_rules": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_stripe_collocations": OP13_SQL}
