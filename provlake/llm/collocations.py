@@ -6,8 +6,8 @@ bounded size, equal prefixes meet by a shuffle of whole stripes, and are merged
 elementwise. A merged stripe holds the frequent extensions of its prefix, the prefix's own
 number of occurrences (its sum, for which occurrences without a frequent extension are
 counted under an empty word), and its largest extension, which tells whether the prefix
-is subsumed. A stripe is cut by hashes of the next word, so that a prefix before every
-word is merged by many tasks.
+is subsumed. The stripe of a prefix with a thousandth of all words or more is cut by
+hashes of the next word, so that many tasks merge it.
 
 A phrase can be frequent only if both phrases left by cutting its first or last word are.
 Which those are is told to the next level by a table of 2**26 bits, so that what is sent
@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,70 +39,107 @@ MIN_COUNT = 100
 TOP = 2000
 #: bits of the table of frequent phrases, and of one part of it
 BITS, PART = 1 << 26, 1 << 19
-#: entries of a task's table
-HELD = 400_000
-#: parts of a stripe by the number of words of its prefix
-PARTS = {0: 64, 1: 16}
+#: entries of a task's table, and words of its vocabulary
+HELD, WORDS = 2_000_000, 2_000_000
+#: parts of the stripe of a hot prefix: the empty one, and those with at least a HOT-th of all words, of which there are HOT at most
+PARTS, HOT = 64, 1000
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 _APART = _BREAK.copy()
 _APART[[9, 32]] = True
 #: languages of the rows that are counted here: their number is small
 MAX_LANGS = 100_000
-SCHEMA = "lang string, prefix string, part int, words array<string>, counts array<long>"
+#: words and counts are joined by spaces
+SCHEMA = "lang string, prefix string, part int, words string, counts string"
 
 
 def _lang_print(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
+class Known:
+    """Places of 64-bit keys in the order in which they came."""
+
+    def __init__(self):
+        self.keys, self.order = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    def find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each key, whether it is new); new keys get the next places."""
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
+        new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), dtype=bool)
+        place = np.empty(len(distinct), dtype=np.int64)
+        place[~new] = self.order[at[~new]]
+        place[new] = np.arange(len(self.keys), len(self.keys) + int(new.sum()))
+        if new.any():
+            keys = np.concatenate((self.keys, distinct[new]))
+            sort = np.argsort(keys, kind="stable")
+            self.keys, self.order = keys[sort], np.concatenate((self.order, place[new]))[sort]
+        return place, new
+
+
 class Stripes:
     """A task's stripes: entries (language, prefix, next word) with their counts."""
 
     def __init__(self, level: int):
-        self.level = level
+        self.level, self.langs = level, {}
         self.clear()
+        self.forget()
 
     def clear(self) -> None:
-        self.keys, self.order = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.counts, self.prefix_print, self.part = (np.zeros(0, dtype=k) for k in (np.int64, np.uint64, np.int32))
-        self.lang: list[str] = []
-        self.prefix: list[str] = []
-        self.word: list[str] = []
+        self.known, self.counts = Known(), np.zeros(0, dtype=np.int64)
+        self.prefix, self.part, self.lang = (np.zeros(0, dtype=k) for k in (np.uint64, np.int32, np.int32))
+        self.ids = np.zeros((0, self.level), dtype=np.int32)
+
+    def forget(self) -> None:
+        """Place 0 is no word."""
+        self.vocabulary, self.words = Known(), [""]
 
-    def add(self, keys: np.ndarray, spelled) -> None:
-        """Counts entries by fingerprint; spelled(places) gives language, prefix, word, prefix fingerprint and part of new ones."""
+    def add(self, keys: np.ndarray, entries) -> None:
+        """Counts entries by fingerprint; entries(places) gives language, word fingerprints (0: none), spelling of a word by row and column, prefix fingerprint and part."""
         distinct, first, n = np.unique(keys, return_index=True, return_counts=True)
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-        known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), dtype=bool)
-        self.counts[self.order[at[known]]] += n[known]
-        new = ~known
-        if new.any():
-            lang, prefix, word, prints, part = spelled(first[new])
-            places = np.arange(len(self.counts), len(self.counts) + int(new.sum()))
-            keys = np.concatenate((self.keys, distinct[new]))
-            sort = np.argsort(keys, kind="stable")
-            self.keys, self.order = keys[sort], np.concatenate((self.order, places))[sort]
-            self.counts = np.concatenate((self.counts, n[new]))
-            self.prefix_print, self.part = np.concatenate((self.prefix_print, prints)), np.concatenate((self.part, part.astype(np.int32)))
-            self.lang += lang
-            self.prefix += prefix
-            self.word += word
+        place, new = self.known.find(distinct)
+        self.counts[place[~new]] += n[~new]
+        if not new.any():
+            return
+        lang, prints, spelled, prefix, part = entries(first[new])
+        self.counts = np.concatenate((self.counts, n[new]))
+        self.prefix, self.part = np.concatenate((self.prefix, prefix)), np.concatenate((self.part, part.astype(np.int32)))
+        self.lang = np.concatenate((self.lang, np.array([self.langs.setdefault(x, len(self.langs)) for x in lang], dtype=np.int32)))
+        words, at, back = np.unique(prints, return_index=True, return_inverse=True)
+        real = words != 0
+        ids = np.zeros(len(words), dtype=np.int64)
+        where, unseen = self.vocabulary.find(words[real])
+        ids[real] = where + 1
+        self.words += [spelled(*divmod(x, self.level)) for x in at[real][unseen].tolist()]
+        self.ids = np.concatenate((self.ids, ids[back].reshape(-1, self.level).astype(np.int32)))
+
+    def full(self) -> bool:
+        return len(self.counts) >= HELD or len(self.words) >= WORDS
 
     def rows(self):
         """A row for each prefix and part; the table is empty afterwards."""
         if len(self.counts):
-            sort = np.lexsort((self.part, self.prefix_print))
-            prints, part = self.prefix_print[sort], self.part[sort]
-            start = np.flatnonzero(np.concatenate(([True], (prints[1:] != prints[:-1]) | (part[1:] != part[:-1]))))
-            ends = np.append(start[1:], len(sort)).astype(np.int32)
-            offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
-            words, heads = pa.array(self.word, type=pa.string()).take(pa.array(sort)), pa.array(sort[start])
-            lang, prefix = (pa.array(x, type=pa.string()).take(heads) for x in (self.lang, self.prefix))
-            out = pa.RecordBatch.from_arrays([lang, prefix, pa.array(part[start]), pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(self.counts[sort]))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            sort = np.lexsort((self.part, self.prefix))
+            prefix, part = self.prefix[sort], self.part[sort]
+            start = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1]))))
+            vocabulary = pa.array(self.words, type=pa.string())
+            heads = self.ids[sort[start]]
+            lang = pa.array(list(self.langs), type=pa.string()).take(pa.array(self.lang[sort[start]]))
+            before = [vocabulary.take(pa.array(heads[:, k])) for k in range(self.level - 1)]
+            prefixes = pc.binary_join_element_wise(*before, " ") if before else pa.array([""] * len(start), type=pa.string())
+            ends = np.append(start[1:], len(sort))
+            for at in range(0, len(start), 5_000):
+                low, high = int(start[at]), int(ends[min(at + 5_000, len(start)) - 1])
+                some, stop = sort[low:high], min(at + 5_000, len(start))
+                offsets = pa.array(np.append(start[at:stop], high) - low, type=pa.int32())
+                words = pa.ListArray.from_arrays(offsets, vocabulary.take(pa.array(self.ids[some, -1])))
+                counts = pa.ListArray.from_arrays(offsets, pc.cast(pa.array(self.counts[some]), pa.string()))
+                yield pa.RecordBatch.from_arrays(
+                    [lang[at:stop], prefixes[at:stop], pa.array(part[start[at:stop]]), pc.binary_join(words, " "), pc.binary_join(counts, " ")], names=[x.split()[0] for x in SCHEMA.split(", ")]
+                )
             self.clear()
-            for at in range(0, out.num_rows, 5_000):
-                yield out.slice(at, 5_000)
+        if len(self.words) >= WORDS:
+            self.forget()
 
 
 class Phrases:
@@ -111,7 +149,6 @@ class Phrases:
         self.t = t = Tokens(text, fold=LOWER, separator=_APART)
         breaks = np.concatenate(([0], np.cumsum(_BREAK[t.raw])))
         self.follows = (t.doc[1:] == t.doc[:-1]) & (breaks[t.start[1:]] == breaks[t.end[:-1]]) if len(t.h) else np.zeros(0, dtype=bool)
-        self.near = (t.start[1:] == t.end[:-1] + 1) & (t.raw[t.end[:-1]] == 32) if len(t.h) else np.zeros(0, dtype=bool)  # by one space
         self.langs = ["und" if x is None else x for x in lang.to_pylist()]
         prints = {x: _lang_print(x) for x in set(self.langs)}
         self.lang_print = np.array([prints[x] for x in self.langs], dtype=np.uint64)[t.doc]
@@ -128,17 +165,8 @@ class Phrases:
         m = max(0, len(self.t.h) - n + 1)
         return joined([self.lang_print[:m], *(self.t.h[k : k + m] for k in range(n))])
 
-    def spelled(self, places: np.ndarray, n: int) -> list[str]:
-        """The n words from each place on, joined by one space."""
-        if not n:
-            return [""] * len(places)
-        t, plain = self.t, np.ones(len(places), dtype=bool)
-        for k in range(n - 1):
-            plain &= self.near[places + k]
-        out = []
-        for at, start, end, whole in zip(places.tolist(), t.start[places].tolist(), t.end[places + n - 1].tolist(), plain.tolist(), strict=True):
-            out.append((t.raw[start:end].tobytes() if whole else b" ".join(t.raw[t.start[k] : t.end[k]].tobytes() for k in range(at, at + n))).decode())
-        return out
+    def word(self, at: int) -> str:
+        return self.t.raw[self.t.start[at] : self.t.end[at]].tobytes().decode()
 
 
 def _set(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -146,9 +174,8 @@ def _set(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def stripes(docs: DataFrame, level: int, frequent) -> DataFrame:
-    """The stripes of prefixes of level - 1 words, in parts; frequent: a broadcast table of bits, none at level 1."""
-    parts = PARTS.get(level - 1, 1)
+def stripes(docs: DataFrame, level: int, frequent, hot: np.ndarray) -> DataFrame:
+    """The stripes of prefixes of level - 1 words, in parts; frequent: a broadcast table of bits, none at level 1; hot: fingerprints of hot prefixes, in order."""
 
     def run(batches):
         table = Stripes(level)
@@ -171,16 +198,18 @@ def stripes(docs: DataFrame, level: int, frequent) -> DataFrame:
                 whole, prefix_prints = ok[prefix], shorter[prefix]
                 every = np.append(p.prints(level), np.zeros(1, dtype=np.uint64))  # the last prefix has no next word
                 prints = np.where(whole, every[prefix], joined([prefix_prints, np.zeros(len(prefix), dtype=np.uint64)]))
-            place = np.minimum(prefix + n, len(t.h) - 1)
 
-            def spelled(i, p=p, prefix=prefix, whole=whole, place=place, prefix_prints=prefix_prints, n=n):
-                words = np.array(p.spelled(place[i], 1), dtype=object)
-                words[~whole[i]] = ""
-                part = np.where(whole[i], p.t.h[place[i]] % np.uint64(parts), 0)
-                return [p.langs[k] for k in p.t.doc[prefix[i]].tolist()], p.spelled(prefix[i], n), words.tolist(), prefix_prints[i], part
-
-            table.add(prints, spelled)
-            if len(table.counts) >= HELD:
+            def entries(i, p=p, prefix=prefix, whole=whole, prefix_prints=prefix_prints):
+                last = len(p.t.h) - 1
+                places = np.minimum(prefix[i][:, None] + np.arange(level), last)
+                words = p.t.h[places]
+                words[~whole[i], -1] = 0
+                split = np.ones(len(i), dtype=bool) if level == 1 else np.isin(prefix_prints[i], hot)
+                part = np.where(split, words[:, -1] % np.uint64(PARTS), np.uint64(0))
+                return [p.langs[k] for k in p.t.doc[prefix[i]].tolist()], words, lambda r, c: p.word(places[r, c]), prefix_prints[i], part
+
+            table.add(prints, entries)
+            if table.full():
                 yield from table.rows()
         yield from table.rows()
 
@@ -189,8 +218,9 @@ def stripes(docs: DataFrame, level: int, frequent) -> DataFrame:
 
 def merged(some: DataFrame, least: int) -> DataFrame:
     """Equal prefixes' stripes, elementwise: total, largest extension, and the extensions that are frequent."""
-    each = some.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.explode(F.arrays_zip("words", "counts")).alias("e"))
-    entries = each.groupBy("lang", "prefix", "part", F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("f"))
+    both = some.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.split("words", " ").alias("word"), F.split("counts", " ").alias("f"))
+    each = both.select("lang", "prefix", "part", F.explode(F.arrays_zip("word", "f")).alias("e")).select("lang", "prefix", "part", "e.word", F.col("e.f").cast("long").alias("f"))
+    entries = each.groupBy("lang", "prefix", "part", "word").agg(F.sum("f").alias("f"))
     real = F.when((F.col("word") != "") & (F.col("f") >= least), F.struct("word", "f"))
     return entries.groupBy("lang", "prefix", "part").agg(F.sum("f").alias("total"), F.max(F.when(F.col("word") != "", F.col("f"))).alias("most"), F.collect_list(real).alias("frequent"))
 
@@ -222,16 +252,23 @@ def levels(docs: DataFrame, max_words: int = MAX_WORDS, least: int = MIN_COUNT)
     """The merged stripes of prefixes of 0, 1, ... words, written to the shared folder."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    folder, bits, out = shared_folder(spark, "stripes"), None, []
+    folder, bits, hot, out = shared_folder(spark, "stripes"), None, np.zeros(0, dtype=np.uint64), []
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for level in range(1, max_words + 1):
-        merged(stripes(texts, level, bits), least).write.parquet(f"{folder}/{level}")
+        merged(stripes(texts, level, bits, hot), least).write.parquet(f"{folder}/{level}")
         out.append(spark.read.parquet(f"{folder}/{level}"))
         if level < max_words:
             table = _table_of(phrases(out[-1]), level)
             if table is None:
                 break
             bits = spark.sparkContext.broadcast(table)
+            n = out[0].agg(F.sum("total")).first()[0]
+            often = phrases(out[-1]).where(F.col("a") * HOT >= n).toArrow().combine_chunks()  # HOT rows at most
+            if often.num_rows:
+                found = Phrases(often.column("phrase").combine_chunks(), often.column("lang").combine_chunks())
+                hot = np.sort(found.prints(level)[found.t.first[:-1]])
+            else:
+                hot = np.zeros(0, dtype=np.uint64)
     return out
 
 
