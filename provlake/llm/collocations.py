@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provlake.llm._spark import bounded_batches, maybe_broadcast
-from provlake.llm._text import LOWER, Tokens, batches_of, joined
+from provlake.llm._text import LOWER, Tokens, batches_of, joined, mix
 from provlake.plans.session import shared_folder
 
 MAX_WORDS = 5
@@ -49,8 +49,10 @@ _APART = _BREAK.copy()
 _APART[[9, 32]] = True
 #: languages of the rows that are counted here: their number is small
 MAX_LANGS = 100_000
-#: words and counts are joined by spaces
-SCHEMA = "lang string, prefix string, part int, words string, counts string"
+#: stripes travel in rows by hashes of their prefixes
+BUCKETS = 2048
+#: words and counts of a stripe are joined by spaces
+SCHEMA = "bucket int, langs array<string>, prefixes array<string>, words array<string>, counts array<string>"
 
 
 def _lang_print(lang: str) -> int:
@@ -87,7 +89,7 @@ class Stripes:
 
     def clear(self) -> None:
         self.known, self.counts = Known(), np.zeros(0, dtype=np.int64)
-        self.prefix, self.part, self.lang = (np.zeros(0, dtype=k) for k in (np.uint64, np.int32, np.int32))
+        self.prefix, self.bucket, self.lang = (np.zeros(0, dtype=k) for k in (np.uint64, np.int32, np.int32))
         self.ids = np.zeros((0, self.level), dtype=np.int32)
 
     def forget(self) -> None:
@@ -95,15 +97,15 @@ class Stripes:
         self.vocabulary, self.words = Known(), [""]
 
     def add(self, keys: np.ndarray, entries) -> None:
-        """Counts entries by fingerprint; entries(places) gives language, word fingerprints (0: none), spelling of a word by row and column, prefix fingerprint and part."""
+        """Counts entries by fingerprint; entries(places) gives language, word fingerprints (0: none), spelling of a word by row and column, prefix fingerprint and bucket."""
         distinct, first, n = np.unique(keys, return_index=True, return_counts=True)
         place, new = self.known.find(distinct)
         self.counts[place[~new]] += n[~new]
         if not new.any():
             return
-        lang, prints, spelled, prefix, part = entries(first[new])
+        lang, prints, spelled, prefix, bucket = entries(first[new])
         self.counts = np.concatenate((self.counts, n[new]))
-        self.prefix, self.part = np.concatenate((self.prefix, prefix)), np.concatenate((self.part, part.astype(np.int32)))
+        self.prefix, self.bucket = np.concatenate((self.prefix, prefix)), np.concatenate((self.bucket, bucket.astype(np.int32)))
         self.lang = np.concatenate((self.lang, np.array([self.langs.setdefault(x, len(self.langs)) for x in lang], dtype=np.int32)))
         words, at, back = np.unique(prints, return_index=True, return_inverse=True)
         real = words != 0
@@ -117,26 +119,25 @@ class Stripes:
         return len(self.counts) >= HELD or len(self.words) >= WORDS
 
     def rows(self):
-        """A row for each prefix and part; the table is empty afterwards."""
+        """The stripes, those of a bucket in one row; the table is empty afterwards."""
         if len(self.counts):
-            sort = np.lexsort((self.part, self.prefix))
-            prefix, part = self.prefix[sort], self.part[sort]
-            start = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1]))))
-            vocabulary = pa.array(self.words, type=pa.string())
-            heads = self.ids[sort[start]]
-            lang = pa.array(list(self.langs), type=pa.string()).take(pa.array(self.lang[sort[start]]))
-            before = [vocabulary.take(pa.array(heads[:, k])) for k in range(self.level - 1)]
-            prefixes = pc.binary_join_element_wise(*before, " ") if before else pa.array([""] * len(start), type=pa.string())
-            ends = np.append(start[1:], len(sort))
-            for at in range(0, len(start), 5_000):
-                low, high = int(start[at]), int(ends[min(at + 5_000, len(start)) - 1])
-                some, stop = sort[low:high], min(at + 5_000, len(start))
-                offsets = pa.array(np.append(start[at:stop], high) - low, type=pa.int32())
-                words = pa.ListArray.from_arrays(offsets, vocabulary.take(pa.array(self.ids[some, -1])))
-                counts = pa.ListArray.from_arrays(offsets, pc.cast(pa.array(self.counts[some]), pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [lang[at:stop], prefixes[at:stop], pa.array(part[start[at:stop]]), pc.binary_join(words, " "), pc.binary_join(counts, " ")], names=[x.split()[0] for x in SCHEMA.split(", ")]
-                )
+            sort = np.lexsort((self.prefix, self.bucket))
+            prefix, bucket = self.prefix[sort], self.bucket[sort]
+            start = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (bucket[1:] != bucket[:-1]))))
+            first = np.flatnonzero(np.concatenate(([True], bucket[start[1:]] != bucket[start[:-1]])))  # stripe of each bucket
+            vocabulary, langs = pa.array(self.words, type=pa.string()), pa.array(list(self.langs), type=pa.string())
+            start, first = np.append(start, len(sort)), np.append(first, len(start))
+            for at in range(0, len(first) - 1, 64):
+                rows = first[at : at + 65]
+                stripe = start[rows[0] : rows[-1] + 1]
+                some, heads = sort[stripe[0] : stripe[-1]], sort[stripe[:-1]]
+                inner, outer = pa.array(stripe - stripe[0], type=pa.int32()), pa.array(rows - rows[0], type=pa.int32())
+                before = [vocabulary.take(pa.array(self.ids[heads, k])) for k in range(self.level - 1)]
+                prefixes = pc.binary_join_element_wise(*before, " ") if before else pa.array([""] * len(heads), type=pa.string())
+                words = pc.binary_join(pa.ListArray.from_arrays(inner, vocabulary.take(pa.array(self.ids[some, -1]))), " ")
+                counts = pc.binary_join(pa.ListArray.from_arrays(inner, pc.cast(pa.array(self.counts[some]), pa.string())), " ")
+                lists = [pa.ListArray.from_arrays(outer, x) for x in (langs.take(pa.array(self.lang[heads])), prefixes, words, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(self.bucket[sort[start[rows[:-1]]]]), *lists], names=[x.split()[0] for x in SCHEMA.split(", ")])
             self.clear()
         if len(self.words) >= WORDS:
             self.forget()
@@ -175,7 +176,7 @@ def _set(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 
 def stripes(docs: DataFrame, level: int, frequent, hot: np.ndarray) -> DataFrame:
-    """The stripes of prefixes of level - 1 words, in parts; frequent: a broadcast table of bits, none at level 1; hot: fingerprints of hot prefixes, in order."""
+    """The stripes of prefixes of level - 1 words, by buckets; frequent: a broadcast table of bits, none at level 1; hot: fingerprints of hot prefixes, in order."""
 
     def run(batches):
         table = Stripes(level)
@@ -206,7 +207,8 @@ def stripes(docs: DataFrame, level: int, frequent, hot: np.ndarray) -> DataFrame
                 words[~whole[i], -1] = 0
                 split = np.ones(len(i), dtype=bool) if level == 1 else np.isin(prefix_prints[i], hot)
                 part = np.where(split, words[:, -1] % np.uint64(PARTS), np.uint64(0))
-                return [p.langs[k] for k in p.t.doc[prefix[i]].tolist()], words, lambda r, c: p.word(places[r, c]), prefix_prints[i], part
+                bucket = mix(prefix_prints[i] ^ part) % np.uint64(BUCKETS)
+                return [p.langs[k] for k in p.t.doc[prefix[i]].tolist()], words, lambda r, c: p.word(places[r, c]), prefix_prints[i], bucket
 
             table.add(prints, entries)
             if table.full():
@@ -218,11 +220,12 @@ def stripes(docs: DataFrame, level: int, frequent, hot: np.ndarray) -> DataFrame
 
 def merged(some: DataFrame, least: int) -> DataFrame:
     """Equal prefixes' stripes, elementwise: total, largest extension, and the extensions that are frequent."""
-    both = some.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.split("words", " ").alias("word"), F.split("counts", " ").alias("f"))
-    each = both.select("lang", "prefix", "part", F.explode(F.arrays_zip("word", "f")).alias("e")).select("lang", "prefix", "part", "e.word", F.col("e.f").cast("long").alias("f"))
-    entries = each.groupBy("lang", "prefix", "part", "word").agg(F.sum("f").alias("f"))
+    stripe = lambda s: F.transform(F.arrays_zip(F.split(s["words"], " ").alias("word"), F.split(s["counts"], " ").alias("f")), lambda e: F.struct(s["langs"].alias("lang"), s["prefixes"].alias("prefix"), e["word"].alias("word"), e["f"].cast("long").alias("f")))
+    packed = F.arrays_zip("langs", "prefixes", "words", "counts")
+    each = some.repartition("bucket").select("bucket", F.explode(F.flatten(F.transform(packed, stripe))).alias("e")).select("bucket", "e.*")
+    entries = each.groupBy("bucket", "lang", "prefix", "word").agg(F.sum("f").alias("f"))
     real = F.when((F.col("word") != "") & (F.col("f") >= least), F.struct("word", "f"))
-    return entries.groupBy("lang", "prefix", "part").agg(F.sum("f").alias("total"), F.max(F.when(F.col("word") != "", F.col("f"))).alias("most"), F.collect_list(real).alias("frequent"))
+    return entries.groupBy("bucket", "lang", "prefix").agg(F.sum("f").alias("total"), F.max(F.when(F.col("word") != "", F.col("f"))).alias("most"), F.collect_list(real).alias("frequent"))
 
 
 def _table_of(phrases: DataFrame, words: int) -> bytes | None:

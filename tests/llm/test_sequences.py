@@ -259,9 +259,10 @@ def test_stripe_totals_and_flushes(monkeypatch):
     def emptied():
         for batch in table.rows():
             for r in batch.to_pylist():
-                for w, c in zip(r["words"].split(" "), r["counts"].split(" "), strict=True):
-                    assert r["part"] == (int(w) % 2 if w else 0)
-                    got[r["lang"], r["prefix"], w] += int(c)
+                for lang, prefix, words, counts in zip(r["langs"], r["prefixes"], r["words"], r["counts"], strict=True):
+                    for w, c in zip(words.split(" "), counts.split(" "), strict=True):
+                        assert r["bucket"] == (int(w) % 2 if w else 0)
+                        got[lang, prefix, w] += int(c)
 
     for _ in range(9):
         pairs = [(rng.randrange(1, 5), rng.randrange(8)) for _ in range(60)]
