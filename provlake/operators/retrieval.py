@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -144,27 +141,6 @@ def dedup_titles(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     return kept.select(*df.columns)
 
 
-def dedup_titles_ordered(df: DataFrame, key: str, order: str, threshold: float = 0.85) -> DataFrame:
-    """Rows whose title is not similar, by matching blocks, to an earlier kept one of the key and publisher (D5, ordered form).
-
-    Sequential by definition: one publisher of one run is one group, for runs of bounded
-    size (a run has some tens of hits). dedup_titles is the form for large groups.
-    """
-    rows = df.withColumn("__p", F.lower(F.coalesce("publisher", F.lit(""))))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        kept, keep = [], []
-        for publisher, title in zip(pdf["__p"], pdf["title"].fillna("").str.lower().str.strip(), strict=True):
-            new = not publisher or all(SequenceMatcher(None, title, other).ratio() < threshold for other in kept)
-            keep.append(new)
-            if new:
-                kept.append(title)
-        return pdf[keep]
-
-    return rows.groupBy(key, "__p").applyInPandas(greedy, rows.schema).drop("__p")
-
-
 def select_sources(scored: DataFrame, key: str, per_domain: int = 2, n: int = 12, order: list | None = None) -> DataFrame:
     """The n best per key with at most per_domain of a host (D6); adds rank.
 

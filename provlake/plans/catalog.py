@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlake.functions import rules, text
-from provlake.operators import claims, content, links, provenance, questions, retrieval, urls
+from provlake.operators import claims, content, links, provenance, questions, retrieval, titles, urls
 from provlake.plans.session import checkpointed, shared_folder, table
 from provlake.sources import entities
 from provlake.streaming import streams
@@ -430,7 +430,18 @@ def d05_dedup_titles(spark, d):
 @query(None)
 def d05_dedup_titles_ordered(spark, d):
     runs = hits(spark, d).select(F.floor(F.col("page_id") / 40).alias("run"), "page_id", urls.host(F.col("url")).alias("publisher"), "title")  # forty hits a run
-    return retrieval.dedup_titles_ordered(runs, "run", "page_id").select("run", "page_id")
+    return titles.dedup_titles_ordered(runs, "run", "page_id", keep=checkpointed).select("run", "page_id")
+
+
+@query(rf"""WITH RECURSIVE {SQL_HITS}, t AS (SELECT page_id, {sql_host()} AS p, regexp_replace(lower(title), '^\s+|\s+$', '', 'g') AS t FROM hits),
+f AS (SELECT p, t, min(page_id) AS page_id FROM t WHERE p <> '' GROUP BY p, t), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY page_id) AS n FROM f),
+k AS (SELECT DISTINCT p, 0::BIGINT AS n, []::VARCHAR[] AS kept, NULL::BIGINT AS page_id FROM f
+  UNION ALL SELECT k.p, n.n, CASE WHEN len(w) = 0 THEN list_append(kept, n.t) ELSE kept END, CASE WHEN len(w) = 0 THEN n.page_id END FROM k JOIN n ON n.p = k.p AND n.n = k.n + 1, LATERAL (SELECT list_filter(k.kept, lambda x: 1 - levenshtein(x, n.t)::DOUBLE / greatest(length(x), length(n.t), 1) >= 0.85::DOUBLE) AS w))
+SELECT page_id, p AS publisher FROM k WHERE page_id IS NOT NULL UNION ALL SELECT page_id, p FROM t WHERE p = ''""")
+def d05_dedup_titles_kept(spark, d):
+    """All pages of a publisher in one order, by edits; blocks are small, so that small tables have several."""
+    rows = hits(spark, d).select(F.lit(0).alias("run"), "page_id", urls.host(F.col("url")).alias("publisher"), "title")
+    return titles.dedup_titles_ordered(rows, "run", "page_id", similarity="edits", keep=checkpointed, first_block=8).select("page_id", "publisher")
 
 
 def ranked_pages(spark, d):

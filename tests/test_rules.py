@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provlake.functions import text
-from provlake.operators import claims, content, links, questions, retrieval, urls
+from provlake.operators import claims, content, links, questions, retrieval, titles, urls
 
 
 def each(spark, values, column):
@@ -62,7 +62,7 @@ def test_similar_titles(spark):
     rows = [(1, "a.b", "Annual report on water use"), (2, "a.b", "Annual report on water uses"), (3, "c.d", "Annual report on water use"), (4, "", "Annual report on water use"), (5, "A.B", "annual report on water use "), (6, "a.b", "Other")]
     out = retrieval.dedup_titles(spark.createDataFrame(rows, "id int, publisher string, title string"))
     assert sorted(r.id for r in out.collect()) == [1, 3, 4, 6]
-    ordered = retrieval.dedup_titles_ordered(spark.createDataFrame(rows, "id int, publisher string, title string").withColumn("run", F.lit(1)), "run", "id")
+    ordered = titles.dedup_titles_ordered(spark.createDataFrame(rows, "id int, publisher string, title string").withColumn("run", F.lit(1)), "run", "id")
     assert sorted(r.id for r in ordered.collect()) == [1, 3, 4, 6]
 
 
