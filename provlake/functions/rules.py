@@ -14,7 +14,7 @@ TRACKING_NAMES = "ref ref_src fbclid gclid msclkid twclid igshid spm from_source
 
 # Networks and host names that are not external
 BLOCKED_V4 = "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4".split()
-BLOCKED_V6 = r"^(::1$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+BLOCKED_V6 = ["::1/128", "fc00::/7", "fe80::/10"]
 BLOCKED_HOSTS = ["localhost", "loopback", "internal", "local", "metadata.google.internal"]
 
 # Domains never used as sources, by class

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: rows of a group decided in one task, one after the other, and the most decided in one step later on
-FIRST_BLOCK, MOST_BLOCK = 256, 1 << 14
+FIRST_BLOCK, MOST_BLOCK = 1024, 1 << 14
 #: from this length on, the matching-blocks ratio passes over frequent characters, and a title need not resemble itself
 LONG_TITLE = 200
 

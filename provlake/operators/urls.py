@@ -68,29 +68,92 @@ def blocked_ranges(networks=rules.BLOCKED_V4) -> list[tuple[int, int]]:
     return [(int(n.network_address), int(n.broadcast_address)) for n in nets]
 
 
+def address_key(name: Column) -> Column:
+    """A literal address, IPv4 or bracketed IPv6 in any form, as 32 hex digits that sort like the address; null for any other name.
+
+    IPv4 is keyed as its mapped IPv6 form, so that ::ffff:10.0.0.1 and 10.0.0.1 are one address.
+    """
+    hexed = lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")
+    bare = F.regexp_extract(name, r"^\[([0-9a-f:.]*)(?:%[^\]]*)?\]$", 1)
+
+    def undotted(text: Column) -> Column:
+        """A dotted end as the two groups that it stands for."""
+        tail = F.regexp_extract(text, r":([0-9.]*\.[0-9.]*)$", 1)
+        joined = once(hexed(ipv4_value(tail)), lambda h: F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(tail)), F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4)))
+        return F.when(text.contains("."), joined).otherwise(text)
+
+    def expanded(plain: Column) -> Column:
+        gap = F.instr(plain, "::")
+        groups = lambda c: F.filter(F.split(c, ":"), lambda g: g != "")
+        left = groups(F.when(gap > 0, F.substr(plain, F.lit(1), gap - 1)).otherwise(plain))
+        right = groups(F.when(gap > 0, F.substr(plain, gap + 2, F.length(plain))).otherwise(""))
+
+        def filled(two: Column) -> Column:
+            n = F.size(two[0]) + F.size(two[1])
+            full = F.concat(two[0], F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - n)), two[1])
+            return F.when(F.when(gap > 0, n <= 7).otherwise(n == 8), F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+        groups_in_form = plain.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$")
+        return F.when(groups_in_form, once(F.array(left, right), filled))
+
+    v4 = F.concat(F.lit("0" * 20 + "ffff"), hexed(ipv4_value(name)))
+    return F.when(name.startswith("["), once(once(bare, undotted), expanded)).otherwise(v4)
+
+
+def address_intervals(networks) -> list[tuple[str, str]]:
+    """Sorted, disjoint intervals of address keys; networks that touch or overlap become one."""
+    ends = []
+    for n in map(ipaddress.ip_network, networks):
+        mapped = 0xFFFF << 32 if n.version == 4 else 0
+        ends.append((mapped + int(n.network_address), mapped + int(n.broadcast_address)))
+    out: list[list[int]] = []
+    for low, high in sorted(ends):
+        if out and low <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return [(f"{low:032x}", f"{high:032x}") for low, high in out]
+
+
+def in_intervals(key: Column, intervals: list[tuple[str, str]]) -> Column:
+    """Whether a key lies in one of the sorted, disjoint intervals: a search by halving, so that a table of thousands costs some steps a row."""
+    if not intervals:
+        return F.lit(False)
+    lows, highs = (F.split(F.lit(",".join(x)), ",") for x in zip(*intervals, strict=True))
+    steps, size = [], 1 << (len(intervals).bit_length() - 1)
+    while size:
+        steps.append(size)
+        size >>= 1
+    # at: how many intervals begin at the key or before it
+    at = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= len(intervals)) & (F.get(lows, at + s - 1) <= key), at + s).otherwise(at))
+    return once(at, lambda n: F.coalesce((n > 0) & (F.get(highs, n - 1) >= key), F.lit(False)))
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once a row however often it is used."""
     return F.transform(F.array(value), use)[0]
 
 
-def url_safety(url: Column) -> Column:
-    """struct(safe, reason): whether a url may be fetched from outside (B2)."""
+def url_safety(url: Column, networks=(*rules.BLOCKED_V4, *rules.BLOCKED_V6)) -> Column:
+    """struct(safe, reason): whether a url may be fetched from outside (B2).
+
+    A literal address, in any form, must lie outside the networks; a bracketed host that is
+    no address is not safe. A mapped IPv4 address counts as the IPv4 address.
+    """
+    intervals = address_intervals(networks)
 
-    def judged(name: Column, value: Column) -> Column:
-        bare = F.regexp_replace(name, r"[\[\]]", "")
-        inside = F.lit(False)
-        for low, high in blocked_ranges():
-            inside = inside | value.between(low, high)
+    def judged(name: Column, key: Column) -> Column:
         return (
             F.when(F.coalesce(F.trim(url), F.lit("")) == "", "empty")
             .when(~scheme(url).isin("http", "https"), "scheme")
             .when(name == "", "no_host")
             .when(name.isin(rules.BLOCKED_HOSTS) | name.endswith(".local") | name.endswith(".internal"), "internal_host")
-            .when(F.coalesce(inside, F.lit(False)) | (name.startswith("[") & bare.rlike(rules.BLOCKED_V6)), "internal_address")
+            .when(name.startswith("[") & key.isNull(), "bad_address")
+            .when(key.isNotNull() & in_intervals(key, intervals), "internal_address")
             .otherwise("safe")
         )
 
-    reason = once(host_name(url), lambda name: once(ipv4_value(name), lambda value: judged(name, value)))
+    reason = once(host_name(url), lambda name: once(address_key(name), lambda key: judged(name, key)))
     return once(reason, lambda r: F.struct((r == "safe").alias("safe"), r.alias("reason")))
 
 

@@ -199,6 +199,32 @@ def b02_url_safety(spark, d):
     return df.withColumn("safe", urls.url_safety(F.col("url"))["safe"])
 
 
+#: first groups of addresses, in and outside the networks that are not external
+HEADS = [0xFC00, 0xFD12, 0xFE80, 0xFEBF, 0x2001, 0, 0xFEC0, 0xFB00]
+SQL_V6 = f"{SQL_IPS}, h AS (SELECT *, [{', '.join(map(str, HEADS))}][(v % 8 + 1)::BIGINT] AS head FROM ip)"
+SQL_V6_URL = "CASE l_linenumber % 4 WHEN 0 THEN printf('%x', head) || ':' || array_to_string(list_transform(range(1, 8), lambda i: printf('%x', (v >> i) % 65536)), ':') WHEN 1 THEN printf('%x::%x', head, v % 65536) WHEN 2 THEN '::ffff:' || a ELSE '::' || (v % 3) END"
+
+
+@query(f"""WITH {SQL_V6} SELECT l_orderkey, l_linenumber, 'https://[' || {SQL_V6_URL} || ']:443/' AS url,
+NOT CASE WHEN l_linenumber % 4 = 2 THEN {' OR '.join(f'v BETWEEN {low} AND {high}' for low, high in urls.blocked_ranges())} WHEN l_linenumber % 4 = 3 THEN v % 3 = 1
+ELSE head BETWEEN 64512 AND 65023 OR head BETWEEN 65152 AND 65215 OR (l_linenumber % 4 = 1 AND head = 0 AND v % 65536 = 1) END AS safe FROM h""")
+def b02_ipv6_safety(spark, d):
+    """Full, compressed and mapped forms of addresses."""
+    v = F.expr("(((l_orderkey * 7919 + l_linenumber * 104729) % 4294967296) * 2654435761) % 4294967296")
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", v.alias("v"), F.element_at(text.literal_array(HEADS), (F.pmod(v, F.lit(8)) + 1).cast("int")).alias("head"))
+    low_hex = lambda c: F.lower(F.hex(c))
+    part = lambda k: F.pmod(F.floor(F.col("v") / k), F.lit(256)).cast("string")
+    full = F.concat_ws(":", low_hex("head"), *[low_hex(F.pmod(F.shiftright("v", i), F.lit(65536))) for i in range(1, 8)])
+    form = (
+        F.when(F.col("l_linenumber") % 4 == 0, full)
+        .when(F.col("l_linenumber") % 4 == 1, F.concat(low_hex("head"), F.lit("::"), low_hex(F.col("v") % 65536)))
+        .when(F.col("l_linenumber") % 4 == 2, F.concat(F.lit("::ffff:"), F.concat_ws(".", part(16777216), part(65536), part(256), part(1))))
+        .otherwise(F.concat(F.lit("::"), (F.col("v") % 3).cast("string")))
+    )
+    df = df.select("l_orderkey", "l_linenumber", F.concat(F.lit("https://["), form, F.lit("]:443/")).alias("url"))
+    return df.withColumn("safe", urls.url_safety(F.col("url"))["safe"])
+
+
 @query(f"WITH {SQL_VARIED} SELECT page_id, url, {sql_exclusion('url')} AS reason FROM varied")
 def b03_exclusion(spark, d):
     return varied(spark, d).withColumn("reason", urls.exclusion(F.col("url"))["reason"])
