@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,45 +61,112 @@ def meta_get(column: Column, path: str, default: float) -> Column:
     return F.coalesce(F.get_json_object(column, path).try_cast("double"), F.lit(default))
 
 
-COMMIT = "run_id string, version string, committed_at long, status string, error_message string"
+COMMIT = "run_id string, status string, error_message string, version string"
+LOG = "value string"
 
 
-def write_run(tables: dict[str, DataFrame], path: str, runs: DataFrame, key: str = "run_id") -> None:
-    """Writes the runs' rows of all tables as one: all are seen, or none is.
+def _files(spark: SparkSession, path: str):
+    """(file system of a path, the path's own constructor) of any store that Spark reads."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of
 
-    Tables go to a version of their own first; the runs(key) then become visible by one
-    small commit, written last. On an error nothing of the version is ever read, the runs
-    get a failed row with the message, and the error goes on. read_run gives what was
-    committed last for each run; a run without rows in a table has none there afterwards.
+
+def _publish(spark: SparkSession, path: str, version: str) -> int:
+    """Gives a version the next number: a file of that name, created only if no writer has it; the loser takes the one after.
+
+    A store must refuse to create a file twice for two writers to be told apart.
+    """
+    fs, of = _files(spark, path)
+    fs.mkdirs(of(f"{path}/_log"))
+    number = max((int(x.getPath().getName()) for x in fs.listStatus(of(f"{path}/_log")) if x.getPath().getName().isdigit()), default=0)
+    while True:
+        number += 1
+        try:
+            out = fs.create(of(f"{path}/_log/{number:020d}"), False)
+        except Exception as e:
+            if "AlreadyExists" not in str(e) and "already exists" not in str(e):
+                raise
+            continue
+        out.write(bytearray(version.encode()))
+        out.close()
+        return number
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, status, error_message, version, commit: what each published commit says; the order is that of the numbers."""
+    number = F.regexp_extract(F.input_file_name(), "([0-9]+)$", 1).cast("long").alias("commit")
+    log = spark.read.schema(LOG).text(f"{path}/_log").select(number, F.col("value").alias("version"))  # a row for each write
+    return spark.read.schema(COMMIT).parquet(f"{path}/_commits").join(log, "version")
+
+
+def write_run(tables: dict[str, DataFrame], path: str, runs: DataFrame, key: str = "run_id") -> int:
+    """Writes the runs' rows of all tables as one: all are seen, or none is (A6). The number of the commit.
+
+    The run ids and the tables go to a version of their own first; the runs(key) then become
+    visible by one small file, created last. On an error nothing of the version is ever
+    read, the runs get a failed row with the message, and the error goes on; if the ids
+    themselves can't be made, the failed row has none. read_run gives what was committed
+    last for each run; a run without rows in a table has none there afterwards. Of two
+    writers at a time, the one with the higher number is the later.
     """
     spark, version = runs.sparkSession, uuid.uuid4().hex
 
-    def commit(status: str, message: str | None) -> None:
-        rows = runs.select(F.col(key).cast("string").alias("run_id"), F.lit(version).alias("version"), F.lit(time.time_ns()).alias("committed_at"), F.lit(status).alias("status"), F.lit(message).cast("string").alias("error_message"))
-        rows.distinct().coalesce(1).write.mode("append").parquet(f"{path}/_commits")
+    def commit(ids: DataFrame, status: str, message: str | None) -> int:
+        ids.select("run_id", F.lit(status).alias("status"), F.lit(message).cast("string").alias("error_message")).write.parquet(f"{path}/_commits/version={version}")
+        return _publish(spark, path, version)
 
+    said = lambda e: str(e).splitlines()[0] if str(e) else type(e).__name__
+    try:
+        runs.select(F.col(key).cast("string").alias("run_id")).distinct().write.parquet(f"{path}/_ids/version={version}")
+    except Exception as e:
+        commit(spark.createDataFrame([(None,)], "run_id string"), "failed", said(e))
+        raise
+    ids = spark.read.schema("run_id string").parquet(f"{path}/_ids/version={version}")
     try:
         for name, df in tables.items():
             df.write.mode("errorifexists").parquet(f"{path}/{name}/version={version}")
     except Exception as e:
-        commit("failed", str(e).splitlines()[0] if str(e) else type(e).__name__)
+        commit(ids, "failed", said(e))
         raise
-    commit("completed", None)
+    return commit(ids, "completed", None)
 
 
 def run_states(spark: SparkSession, path: str) -> DataFrame:
-    """run_id, status, error_message, committed_at: the last commit of each run, failed ones too."""
-    last = F.max_by(F.struct("status", "error_message", "committed_at"), "committed_at").alias("x")
-    return spark.read.schema(COMMIT).parquet(f"{path}/_commits").groupBy("run_id").agg(last).select("run_id", "x.*")
+    """run_id, status, error_message, commit: the last commit of each run, failed ones too."""
+    last = F.max_by(F.struct("status", "error_message", "commit"), "commit").alias("x")
+    return _commits(spark, path).groupBy("run_id").agg(last).select("run_id", "x.*")
+
+
+def _live(spark: SparkSession, path: str) -> DataFrame:
+    """run_id and the version that was committed last for it."""
+    return _commits(spark, path).where("status = 'completed'").groupBy("run_id").agg(F.max_by("version", "commit").alias("version"))
 
 
 def read_run(spark: SparkSession, path: str, name: str, key: str = "run_id") -> DataFrame:
-    """The rows of a table that were committed last for each run; a later failure takes nothing away."""
-    done = spark.read.schema(COMMIT).parquet(f"{path}/_commits").where("status = 'completed'").groupBy("run_id").agg(F.max_by("version", "committed_at").alias("__version")).withColumnRenamed("run_id", "__run")
-    rows = spark.read.parquet(f"{path}/{name}")
+    """The rows of a table that were committed last for each run; a later failure takes nothing away. Only folders that hold such rows are opened."""
+    live = _live(spark, path)
+    fs, of = _files(spark, path)
+    folders = [f"{path}/{name}/version={r.version}" for r in live.select("version").distinct().collect()]  # one for each write that still counts
+    folders = [f for f in folders if fs.exists(of(f))]
+    rows = spark.read.option("basePath", f"{path}/{name}").parquet(*folders)
+    done = live.select(F.col("run_id").alias("__run"), F.col("version").alias("__version"))
     return rows.join(done, (F.col("version") == F.col("__version")) & (F.col(key).cast("string") == F.col("__run")), "left_semi").drop("version")
 
 
+def expire(spark: SparkSession, path: str, retain: int = 10) -> list[str]:
+    """Deletes the folders of versions that no run reads any more and that are older than the last `retain` commits; their names."""
+    commits = _commits(spark, path)
+    newest = commits.agg(F.max("commit")).first()[0] or 0
+    live = {r.version for r in _live(spark, path).select("version").distinct().collect()}
+    old = {r.version for r in commits.where(F.col("commit") <= newest - retain).select("version").distinct().collect()} - live
+    fs, of = _files(spark, path)
+    for top in fs.listStatus(of(path)):
+        if top.isDirectory() and not top.getPath().getName() in ("_log", "_commits"):
+            for version in sorted(old):
+                fs.delete(of(f"{top.getPath()}/version={version}"), True)
+    return sorted(old)
+
+
 def export_summary(df: DataFrame, path: str) -> None:
     """A summary as JSON lines."""
     df.write.mode("overwrite").json(path)

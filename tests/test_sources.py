@@ -55,6 +55,38 @@ def test_a_failed_run_leaves_nothing_but_its_state(spark, tmp_path):
     assert states["b"] == ("completed", None) and states["a"][0] == "failed" and "no such number" in states["a"][1]
 
 
+def test_ids_that_fail_leave_a_failed_row(spark, tmp_path):
+    df, at = spark.createDataFrame([("a", 1)], "run_id string, x int"), str(tmp_path)
+    bad = df.withColumn("run_id", F.raise_error(F.lit("no ids")).cast("string"))
+    with pytest.raises(Exception, match="no ids"):
+        entities.write_run({"t": df}, at, bad)
+    assert [(r.run_id, r.status, "no ids" in r.error_message) for r in entities.run_states(spark, at).collect()] == [(None, "failed", True)]
+    entities.write_run({"t": df}, at, df)
+    assert [r.x for r in entities.read_run(spark, at, "t").collect()] == [1]
+
+
+def test_two_writers_and_expiry(spark, tmp_path):
+    """Writers at a time get numbers of their own, their versions never mix, and what no run reads goes."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    at = str(tmp_path)
+
+    def wrote(k):
+        df = spark.createDataFrame([("a", k, i) for i in range(3)], "run_id string, k int, i int")
+        return entities.write_run({"t": df}, at, df)
+
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(wrote, range(6)))
+    assert sorted(numbers) == list(range(1, 7))
+    last = numbers.index(6)
+    got = [(r.k, r.i) for r in entities.read_run(spark, at, "t").collect()]
+    assert sorted(got) == [(last, i) for i in range(3)]
+    read = entities.read_run(spark, at, "t").inputFiles()
+    assert len({f.split("version=")[1].split("/")[0] for f in read if "/t/version=" in f}) == 1
+    assert len(entities.expire(spark, at, retain=2)) == 4 and len(list((tmp_path / "t").glob("version=*"))) == 2
+    assert sorted((r.k, r.i) for r in entities.read_run(spark, at, "t").collect()) == sorted(got)
+
+
 def test_cascade_and_consolidation(spark):
     projects = spark.createDataFrame([(1, "A "), (2, "a"), (3, "b")], "id int, name string").withColumn("created_at", F.col("id"))
     asked = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "question_id int, project_id int")
