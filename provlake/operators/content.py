@@ -111,7 +111,11 @@ def fetch_outcome(sources: DataFrame, snapshots: DataFrame, key: str = "url") ->
     snapshots(url, http_status, content, failure_type). A 2xx answer whose content was
     refused is named by its failure type.
     """
-    both = sources.join(snapshots, key, "left")
+    return with_outcome(sources.join(snapshots, key, "left"))
+
+
+def with_outcome(both: DataFrame) -> DataFrame:
+    """The states of sources that have met their snapshots already, in a batch or in a stream (E5)."""
     ok = F.coalesce(F.col("failure_type").isNull() & (F.trim(F.coalesce("content", F.lit(""))) != ""), F.lit(False))
     refused = F.upper(F.coalesce("failure_type", F.lit("empty_content")))
     code = F.col("http_status")

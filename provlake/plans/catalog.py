@@ -546,11 +546,15 @@ SQL_SNAPS = f"snaps AS (SELECT page_id, nullif([200, 403, 200, 500, 0][(page_id
 
 
 def snapshots(spark, d):
+    return snapshots_of(table(spark, d, "pages"))
+
+
+def snapshots_of(pages):
     """A fetch log with every kind of outcome; one page in eleven has no entry, as a fetch that never came back."""
     k = F.col("page_id") % 5
     kind = F.when(k == 2, F.when(F.col("page_id") % 2 == 0, "content_validation_failed")).when(k == 4, "timeout").when(k != 0, "http_error")
     code = F.nullif(F.element_at(F.array(*[F.lit(s) for s in STATUS]), (k + 1).cast("int")), F.lit(0))
-    return table(spark, d, "pages").where("page_id % 11 <> 0").select("page_id", code.alias("http_status"), kind.alias("failure_type"), F.when(k.isin(0, 2), F.col("html")).otherwise("").alias("content"))
+    return pages.where("page_id % 11 <> 0").select("page_id", code.alias("http_status"), kind.alias("failure_type"), F.when(k.isin(0, 2), F.col("html")).otherwise("").alias("content"))
 
 
 SQL_OUTCOME = f"{SQL_SNAPS}, o AS (SELECT p.page_id, p.page_id % 7 AS run_id, http_status, failure_type, content, coalesce(failure_type IS NULL AND trim(coalesce(content, ''), ' ') <> '', false) AS ok FROM pages p LEFT JOIN snaps s ON p.page_id = s.page_id), s AS (SELECT page_id, run_id, CASE WHEN ok THEN 'EVIDENCE_ELIGIBLE' ELSE 'FETCH_FAILED' END AS lifecycle_state, CASE WHEN ok THEN NULL WHEN http_status NOT BETWEEN 200 AND 299 THEN 'HTTP_' || http_status ELSE 'FETCH_FAILED_' || upper(coalesce(failure_type, 'empty_content')) END AS state_reason FROM o)"
@@ -1141,11 +1145,43 @@ def s01_stream_dedup(spark, d):
 @query("SELECT user_id AS key, max_by(event_type, {'t': ts, 'e': event_type}) AS status, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY user_id")
 def s02_run_tracker(spark, d):
     """The last state of each run; the stream gives it whenever it changes, and once more when it stalls."""
-    rows = streams.drained(streams.run_tracker(stream(spark, d), "user_id", "ts", "event_type", 3_600_000))
+    rows = streams.drained(streams.run_tracker(stream(spark, d), "user_id", "ts", "event_type", 3_600_000), "update")
     last = F.max_by(F.struct("status", "last_seen", "n"), F.struct("n", "stalled")).alias("x")
     return rows.groupBy("key").agg(last).select("key", "x.status", F.col("x.last_seen").cast("timestamp_ntz").alias("last_seen"), "x.n")
 
 
+@query("""WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events), m AS (SELECT max(ts) - INTERVAL 1 MINUTE AS mark FROM events)
+SELECT user_id AS key, before AS last_seen FROM e WHERE ts - before > INTERVAL 1 HOUR UNION ALL SELECT user_id, max(ts) FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT mark FROM m)""")
+def s02_run_stalls(spark, d):
+    """Every silence of more than an hour, each once."""
+    rows = streams.drained(streams.run_tracker(stream(spark, d), "user_id", "ts", "event_type", 3_600_000), "update")
+    return rows.where("stalled").select("key", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
+
+
+SQL_TIMED = f"{SQL_OUTCOME}, t AS (SELECT page_id, 86400 + page_id * 60 AS asked, 86400 + page_id * 60 + page_id % 5 * 60 + 1 AS answered FROM pages), m AS (SELECT least(max(asked), max(answered) FILTER (page_id % 11 <> 0)) - 330 AS mark FROM t)"
+
+
+@query(f"WITH {SQL_TIMED} SELECT s.page_id, lifecycle_state, state_reason FROM s JOIN t ON s.page_id = t.page_id, m WHERE s.page_id % 11 <> 0 OR asked + 600 < mark")
+def e05_fetch_stream(spark, d):
+    """Fetch outcomes as hits and answers come in: a hit without an answer within ten minutes has failed."""
+    pages = spark.readStream.schema(table(spark, d, "pages").schema).parquet(f"{d}/pages.parque[t]")
+    hits_in = pages.select("page_id", F.timestamp_seconds(F.col("page_id") * 60 + 86400).alias("hit_ts"))
+    came = F.timestamp_seconds(F.col("page_id") * 60 + F.col("page_id") % 5 * 60 + 86401)
+    answers = snapshots_of(pages).withColumn("answer_ts", came)
+    met = streams.fetched(hits_in, answers, "page_id", "10 minutes", "330 seconds", "330 seconds")
+    return content.with_outcome(streams.drained(met)).select("page_id", "lifecycle_state", "state_reason")
+
+
+SQL_SLIDES = "WITH w AS (SELECT to_timestamp(floor(epoch(ts) / 900) * 900 - 900 * unnest([0, 1, 2, 3]))::TIMESTAMP AS window_start, event_type FROM events), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)"
+
+
+@query(f"{SQL_SLIDES} SELECT window_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_failed, round(count(*) FILTER (WHERE event_type = 'error') / count(*)::DOUBLE, 6) AS rate FROM w, m WHERE window_start + INTERVAL 1 HOUR <= mark GROUP BY window_start")
+def s03_sliding_rates(spark, d):
+    """Rates of each hour, every quarter of an hour."""
+    out = streams.drained(streams.windowed_rates(stream(spark, d), "ts", "1 hour", "10 minutes", "event_type", ["error"], "15 minutes"))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("WITH w AS (SELECT date_trunc('hour', ts) AS window_start, event_type FROM events), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events) SELECT window_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_failed, round(count(*) FILTER (WHERE event_type = 'error') / count(*)::DOUBLE, 6) AS rate FROM w, m WHERE window_start + INTERVAL 1 HOUR <= mark GROUP BY window_start")
 def s03_windowed_rates(spark, d):
     return streams.drained(streams.windowed_rates(stream(spark, d), "ts", "1 hour", "10 minutes", "event_type", ["error"]))
