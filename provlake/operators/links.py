@@ -108,5 +108,5 @@ def summary_conclusion(runs: DataFrame, claims: DataFrame, run: str = "run_id",
         run,
         F.when(none, "The evidence gathered does not support a conclusion.").otherwise(F.format_string("The evidence supports %d findings.", F.size("claim_ids"))).alias("statement"),
         F.when(none, 0.30).otherwise(0.65).alias("confidence"),
-        F.coalesce("claim_ids", F.array().cast(claims.schema["claim_id"].dataType.simpleString() and f"array<{claims.schema['claim_id'].dataType.simpleString()}>")).alias("claim_ids"),
+        F.coalesce("claim_ids", F.array().cast(f"array<{claims.schema['claim_id'].dataType.simpleString()}>")).alias("claim_ids"),
     )

@@ -35,20 +35,25 @@ def host(url: Column) -> Column:
     return F.regexp_replace(authority(url), r"^www\.", "")
 
 
+def parameter_stays(p: Column) -> Column:
+    """Whether a query parameter is neither blank nor for tracking."""
+    name = F.lower(F.split_part(p, F.lit("="), F.lit(1)))
+    blank = ~p.contains("=") | p.endswith("=") & (F.length(name) + 1 == F.length(p))
+    tracked = name.isin(rules.TRACKING_NAMES)
+    for prefix in rules.TRACKING_PREFIXES:
+        tracked = tracked | name.startswith(prefix)
+    return ~blank & ~tracked
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, no default port, tracking or blank parameters, fragment or trailing slash; '' for no host (B1)."""
     url = F.trim(F.coalesce(url, F.lit("")))
-    site = F.regexp_replace(authority(url), r":(80|443)$", "")
+    return with_query(url, F.array_join(F.filter(F.split(F.regexp_extract(url, QUERY, 1), "&"), parameter_stays), "&"))
 
-    def stays(p: Column) -> Column:
-        name = F.lower(F.split_part(p, F.lit("="), F.lit(1)))
-        blank = ~p.contains("=") | p.endswith("=") & (F.length(name) + 1 == F.length(p))
-        tracked = name.isin(rules.TRACKING_NAMES)
-        for prefix in rules.TRACKING_PREFIXES:
-            tracked = tracked | name.startswith(prefix)
-        return ~blank & ~tracked
 
-    query = F.array_join(F.filter(F.split(F.regexp_extract(url, QUERY, 1), "&"), stays), "&")
+def with_query(url: Column, query: Column) -> Column:
+    """The canonical url with the parameters that stay (B1)."""
+    site = F.regexp_replace(authority(url), r":(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(url, PATH, 1), "/+$", "")
     named = F.when(scheme(url) == "", "https").otherwise(scheme(url))
     return F.when(site == "", "").otherwise(F.concat(named, F.lit("://"), site, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))

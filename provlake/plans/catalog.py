@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.functions import rules, text
+from provlake.functions import rules, sql, text
 from provlake.operators import claims, content, links, provenance, questions, retrieval, titles, urls
 from provlake.plans.session import checkpointed, shared_folder, table
 from provlake.sources import entities
@@ -494,6 +494,26 @@ def d08_source_audit(spark, d):
     return retrieval.source_audit(rows, "run_id").select("run_id", "page_id", "lifecycle_state", "audit_reason")
 
 
+SQL_LABEL = f"CASE reason {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in rules.AUDIT_LABELS.items())} ELSE upper(reason) END"
+
+
+@query(f"""WITH {SQL_VARIED}, e AS (SELECT page_id, page_id % 7 AS run_id, length(url) AS score, {sql_host()} AS host, {sql_exclusion('url')} AS reason FROM varied),
+c AS (SELECT *, row_number() OVER (PARTITION BY run_id, host ORDER BY score DESC, page_id) AS n FROM e WHERE reason = 'allowed'), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, page_id) AS rank FROM c WHERE n <= 2)
+SELECT e.run_id, e.page_id, CASE WHEN rank <= 12 THEN 'ELIGIBLE' ELSE 'REJECTED' END AS lifecycle_state, CASE WHEN reason <> 'allowed' THEN {SQL_LABEL.replace('CASE reason', 'CASE e.reason').replace('upper(reason)', 'upper(e.reason)')} WHEN rank <= 12 THEN '' ELSE 'RANK_BELOW_TOP_N' END AS audit_reason FROM e LEFT JOIN r ON r.page_id = e.page_id""".replace("WHEN reason <>", "WHEN e.reason <>"))
+def d08_audit_excluded(spark, d):
+    """Hits of which some are excluded by policy, some capped, some below the top, some selected."""
+    policy = urls.exclusion(F.col("url"))
+    rows = varied(spark, d).select("page_id", "url", (F.col("page_id") % 7).alias("run_id"), F.col("page_id").alias("ord"), (F.length("url") * 1.0).alias("relevance_score"), policy["excluded"].alias("is_hard_excluded"), policy["reason"].alias("exclusion_reason"))
+    return retrieval.source_audit(rows, "run_id").select("run_id", "page_id", "lifecycle_state", "audit_reason")
+
+
+@query(f"SELECT page_id, {sql_canonical()} AS canonical, {sql_host()} AS host FROM pages")
+def b01_sql_functions(spark, d):
+    """The functions of the session, called from SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT page_id, canonical_url(url) AS canonical, url_host(url) AS host FROM {pages}", pages=table(spark, d, "pages"))
+
+
 @query(f"WITH {SQL_VARIED}, e AS (SELECT page_id, {sql_exclusion('url')} AS reason FROM varied) SELECT page_id, CASE reason {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in rules.AUDIT_LABELS.items())} ELSE upper(reason) END AS label FROM e")
 def d09_audit_label(spark, d):
     return varied(spark, d).select("page_id", retrieval.audit_label(urls.exclusion(F.col("url"))["reason"]).alias("label"))
@@ -1065,10 +1085,17 @@ def h13_unique_names(spark, d):
     return provenance.unique_names(_projects(spark, d).select("id", "name"), ["id"])
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'an') OR n_nationkey IN (SELECT c_nationkey FROM customer WHERE contains(lower(c_mktsegment), 'auto'))")
+@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), '17') OR n_nationkey IN (SELECT c_nationkey FROM customer WHERE contains(lower(c_name), '17'))")
 def h14_search(spark, d):
-    children = table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
-    return provenance.search(table(spark, d, "nation").select("n_nationkey", "n_name"), "AN", ["n_name"], children.where("lower(c_mktsegment) like '%auto%'").withColumn("c_mktsegment", F.lit("an")), "n_nationkey", "c_mktsegment")
+    children = table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_name")
+    return provenance.search(table(spark, d, "nation").select("n_nationkey", "n_name"), "17", ["n_name"], children, "n_nationkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '77') OR c_custkey IN (SELECT o_custkey FROM orders WHERE contains(o_orderkey::VARCHAR, '77'))")
+def h14_search_children(spark, d):
+    """Few names hold the term; most rows come by a child."""
+    children = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").cast("string").alias("text"))
+    return provenance.search(table(spark, d, "customer").select("c_custkey", "c_name"), "77", ["c_name"], children, "c_custkey", "text")
 
 
 @query("WITH r AS (SELECT o_custkey, max(o_orderdate) AS last, count(*) AS n FROM orders GROUP BY 1), j AS (SELECT c_nationkey AS w, greatest(TIMESTAMP '1992-01-01', coalesce(last, TIMESTAMP '1992-01-01')) AS t, coalesce(n, 0) AS n FROM customer LEFT JOIN r ON c_custkey = o_custkey) SELECT w AS workspace_id, max(t) AS latest, count(*) AS n_questions, sum(n)::BIGINT AS n_runs FROM j GROUP BY ROLLUP (w)")
