@@ -151,10 +151,17 @@ def select_sources(scored: DataFrame, key: str, per_domain: int = 2, n: int = 12
     return capped.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n).drop("__host", "__n")
 
 
-def diversity_split(df: DataFrame, key: str, order: list, cap: int = 2) -> DataFrame:
-    """Adds accepted and rejection_reason: the first `cap` of a host are accepted."""
-    place = F.row_number().over(Window.partitionBy(key, host(F.col("url"))).orderBy(*order))
-    return df.withColumn("accepted", place <= cap).withColumn("rejection_reason", F.when(F.col("accepted"), "").otherwise("DOMAIN_DIVERSITY_CAP"))
+def diversity_split(df: DataFrame, key: str, order: list, cap: int = 2, ident: str = "page_id") -> DataFrame:
+    """Adds accepted and rejection_reason: the first `cap` of a host are accepted (D7). ident is unique within a key.
+
+    Each task finds its first rows of a host before any row moves, so that a large host is
+    never gathered; all rows then meet the accepted ids.
+    """
+    place = F.row_number().over(Window.partitionBy(key, "__host").orderBy(*order))
+    first = df.withColumn("__host", host(F.col("url"))).withColumn("__n", place).where(F.col("__n") <= cap).select(key, ident, F.lit(True).alias("__in"))
+    out = df.alias("x").join(first.alias("y"), F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}")) & (F.col(f"x.{ident}") == F.col(f"y.{ident}")), "left")
+    accepted = F.coalesce("__in", F.lit(False))
+    return out.select("x.*", accepted.alias("accepted"), F.when(accepted, "").otherwise("DOMAIN_DIVERSITY_CAP").alias("rejection_reason"))
 
 
 def source_audit(scored: DataFrame, key: str, per_domain: int = 2, n: int = 12) -> DataFrame:
@@ -180,6 +187,18 @@ def source_mix(df: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key, "source_type").agg(F.count("*").alias("n")).join(hosts, key)
 
 
+def domain_sketches(df: DataFrame, key: str, day: str, lg_k: int = 12) -> DataFrame:
+    """key, day, n and a sketch of the hosts of its hits: a few kilobytes however many there are (D10, approximate)."""
+    hits = df.select(key, day, host(F.col("url")).alias("host"))
+    return hits.groupBy(key, day).agg(F.count("*").alias("n"), F.hll_sketch_agg("host", F.lit(lg_k)).alias("hosts"))
+
+
+def merged_domains(sketches: DataFrame, key: str | None = None) -> DataFrame:
+    """n and unique_domains over the sketches of each key, or over all of them: any choice of runs and days, without the hits."""
+    some = sketches.groupBy(key) if key else sketches.groupBy()
+    return some.agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("hosts")).alias("unique_domains"))
+
+
 def search_stats(df: DataFrame, key: str, query: str, error: str) -> DataFrame:
     """Successful and failed searches of each key, with the failures' messages in order."""
     failed = F.col(error).isNotNull()

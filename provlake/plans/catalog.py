@@ -162,6 +162,15 @@ def a05_meta_get(spark, d):
     return table(spark, d, "events").select("event_id", entities.meta_get(F.col("props"), "$.k", 0.70).alias("k"), entities.meta_get(F.col("props"), "$.relevance.score", 0.70).alias("missing"))
 
 
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k')::DOUBLE, 0.7::DOUBLE) AS k, 0.7::DOUBLE AS missing FROM events")
+def a05_variant_meta(spark, d):
+    """Metadata written as variant once, then read by paths."""
+    at = shared_folder(spark, "variant")
+    table(spark, d, "events").select("event_id", entities.as_variant(F.col("props")).alias("meta")).write.parquet(at)
+    kept = spark.read.parquet(at)
+    return kept.select("event_id", entities.variant_meta(F.col("meta"), "$.k", 0.70).alias("k"), entities.variant_meta(F.col("meta"), "$.relevance.score", 0.70).alias("missing"))
+
+
 @query("SELECT source AS run_id, count(*) AS n FROM documents GROUP BY source")
 def a06_write_run(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("run_id"), "n_chars")
@@ -524,6 +533,13 @@ def d10_source_mix(spark, d):
     return retrieval.source_mix(varied(spark, d).withColumn("run_id", F.col("page_id") % 7), "run_id")
 
 
+@query(f"WITH {SQL_VARIED}, c AS (SELECT page_id % 7 AS run_id, {sql_host()} AS host FROM varied WHERE page_id // 100 % 2 = 0) SELECT run_id, count(*) AS n, count(DISTINCT host) AS unique_domains FROM c GROUP BY run_id")
+def d10_merged_domains(spark, d):
+    """Sketches by run and day, of which every other day is merged. With so few hosts the estimate is exact."""
+    days = varied(spark, d).select("url", (F.col("page_id") % 7).alias("run_id"), F.floor(F.col("page_id") / 100).alias("day"))
+    return retrieval.merged_domains(retrieval.domain_sketches(days, "run_id", "day").where("day % 2 = 0"), "run_id")
+
+
 @query("SELECT user_id, count(*) FILTER (WHERE event_type <> 'error') AS succeeded, count(*) FILTER (WHERE event_type = 'error') AS failed, coalesce(string_agg(event_id::VARCHAR || ': error', '|' ORDER BY event_id) FILTER (WHERE event_type = 'error'), '') AS warnings FROM events GROUP BY user_id")
 def d11_search_stats(spark, d):
     ev = table(spark, d, "events").withColumn("err", F.when(F.col("event_type") == "error", F.col("event_type")))

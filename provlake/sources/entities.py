@@ -61,6 +61,16 @@ def meta_get(column: Column, path: str, default: float) -> Column:
     return F.coalesce(F.get_json_object(column, path).try_cast("double"), F.lit(default))
 
 
+def as_variant(column: Column) -> Column:
+    """A JSON text as a variant value, parsed once where it is written; null if it is no JSON (A5)."""
+    return F.try_parse_json(column)
+
+
+def variant_meta(column: Column, path: str, default: float) -> Column:
+    """A number inside a variant column, with a default for what is missing or no number (A5)."""
+    return F.coalesce(F.try_variant_get(column, path, "double"), F.lit(default))
+
+
 COMMIT = "run_id string, status string, error_message string, version string"
 LOG = "value string"
 
