@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from provlake.functions import rules
 from provlake.functions.text import PLAIN_NUMBER, RANGE, numbers, statement_tokens
 
 JACCARD, CONTAINMENT, MIN_CONTAINED = 0.55, 0.65, 3
+#: a group's text is the longest of its claims' under so many characters
+MAX_STATEMENT = 300
+#: chains of duplicates of at most so many claims are merged in order within one task
+LOOP_CLAIMS = 4096
 
 
 def pack_batches(df: DataFrame, key: str, ident: str, keep, n: int = 3) -> DataFrame:
@@ -199,13 +206,20 @@ def merge_claims(claims: DataFrame, keep, run: str = "run_id", ident: str = "cla
     statements with a duplicate take part in the rounds; the others are their own groups.
     """
     texts = keep(featured(texts_of(claims, run, ident)))
-    pairs = text_pairs(texts, run, ident, threshold, containment).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return _merged(claims, texts, _linked(texts, run, ident, threshold, containment), keep, run, ident)
+
+
+def _linked(texts: DataFrame, run: str, ident: str, threshold: float, containment: float | None = CONTAINMENT) -> DataFrame:
+    return text_pairs(texts, run, ident, threshold, containment).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def _merged(claims: DataFrame, texts: DataFrame, pairs: DataFrame, keep, run: str, ident: str) -> DataFrame:
     labels = label_components(pairs, keep)
     named = texts.select(run, "folded", F.col(ident).alias("__rep")).join(labels, F.col("__rep") == F.col("node"), "left").select(run, "folded", F.coalesce("component", "__rep").alias("group_id"))
     return claims.withColumn("folded", F.lower(F.trim("statement"))).join(named, [run, "folded"]).drop("folded")
 
 
-def canonical(merged: DataFrame, run: str = "run_id", ident: str = "claim_id", max_chars: int = 300) -> DataFrame:
+def canonical(merged: DataFrame, run: str = "run_id", ident: str = "claim_id", max_chars: int = MAX_STATEMENT) -> DataFrame:
     """A row for each group: the longest statement under max_chars (else the first), the first claim's type and importance, sums."""
     short = F.when(F.length("statement") < max_chars, F.struct(F.length("statement").alias("n"), (-F.col(ident)).alias("i"), F.col("statement").alias("s")))
     first = F.min(F.struct(F.col(ident).alias("i"), F.col("statement").alias("s"), F.col("finding_type").alias("t"), F.col("importance").alias("m")))
@@ -230,7 +244,7 @@ def merge_ordered(claims: DataFrame, run: str = "run_id", ident: str = "claim_id
                 both, least = len(toks & g[2]), min(len(toks), len(g[2]))
                 near = least and (both / len(toks | g[2]) >= threshold or (least >= MIN_CONTAINED and both / least >= CONTAINMENT))
                 if text.lower() == g[1].lower() or (near and not (nums and g[3] and not nums & g[3])):
-                    if len(g[1]) < len(text) < 300:
+                    if len(g[1]) < len(text) < MAX_STATEMENT:
                         g[1:] = [text, toks, nums]
                     break
             else:
@@ -242,20 +256,88 @@ def merge_ordered(claims: DataFrame, run: str = "run_id", ident: str = "claim_id
     return rows.groupBy(*keys).applyInPandas(greedy, f"{run} {kinds[run]}, {ident} {kinds[ident]}, group_id {kinds[ident]}")
 
 
-def merge_ordered_parts(claims: DataFrame, keep, run: str = "run_id", ident: str = "claim_id", order: str = "seq", threshold: float = JACCARD) -> DataFrame:
+def merge_rounds(rows: DataFrame, pairs: DataFrame, keep) -> DataFrame:
+    """t, g of rows(part, x, n, t): the greedy rule for chains of any size, in rounds over the pairs (a, b) of similar texts x.
+
+    t orders a chain's claims; a group g is named by the t of its first one. A text stands
+    for a group from one claim to another, which is a longer similar text's. So a claim
+    can be decided when no earlier claim of a similar text waits, nor one that could take
+    over from a similar text. Each round decides the first such claim of every text, with
+    the copies that follow it before anything near can change. A group that no waiting text
+    can take over is settled; if all groups below it are, and no waiting claim is older, the texts
+    next to it join it at once. There are as many rounds as claims that wait for each other in a row.
+    """
+    sizes = rows.select("x", "n").distinct()
+    linked = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    linked = linked.unionByName(sizes.select("x", F.col("x").alias("y")))
+    near = keep(linked.join(sizes, "x").join(sizes.select(F.col("x").alias("y"), F.col("n").alias("m")), "y"))
+    takes = near.where(f"m > n and m < {MAX_STATEMENT}").select("x", "y")  # y could take over from x
+    kind = rows.schema["t"].dataType
+    spans = rows.sparkSession.createDataFrame([], StructType([rows.schema["part"], StructField("y", rows.schema["x"].dataType), *[StructField(c, kind) for c in ("g", "since", "till")]]))
+    waiting, done = keep(rows.select("part", "x", "n", "t")), []
+    while not waiting.isEmpty():
+        first = keep(waiting.groupBy("part", "x").agg(F.min("t").alias("u")))
+        of = first.select(F.col("x").alias("y"), F.col("u").alias("v"))
+        ranked = takes.join(of, "y").withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("v"))).where("r <= 2")
+        taken = ranked.groupBy(F.col("x").alias("y")).agg(F.min("v").alias("one"), F.min(F.when(F.col("r") == 2, F.col("v"))).alias("two"))
+        around = near.join(first, "x").join(of, "y", "left").join(taken, "y", "left")
+        other = F.when(F.col("one") != F.col("u"), F.col("one")).otherwise(F.col("two"))  # a text does not wait for itself
+        bound = around.groupBy("part", "x", "n", "u").agg(F.min(F.when(F.col("x") != F.col("y"), F.col("v"))).alias("b1"), F.min(other).alias("b2"))
+        ready = bound.withColumn("bound", F.least("b1", "b2")).where("bound is null or bound > u").drop("b1", "b2")
+        open_now = near.select("x", "y", "m").join(spans.drop("part"), "y")
+        met = ready.join(open_now, "x", "left").withColumn("on", F.coalesce((F.col("since") < F.col("u")) & (F.col("till").isNull() | (F.col("till") > F.col("u"))), F.lit(False)))
+        least = F.min(F.when(F.col("on"), F.struct("g", "y", "m"))).alias("best")
+        chosen = met.groupBy("part", "x", "n", "u", "bound").agg(least, F.min(F.when(F.col("on"), F.col("till"))).alias("change"))
+        longer = (F.col("best.m") < F.col("n")) & (F.col("n") < MAX_STATEMENT)
+        chosen = keep(chosen.select("part", "x", "u", F.coalesce("best.g", "u").alias("g"), F.least("bound", "change").alias("until"), F.when(longer, F.col("best.y")).alias("over"), (F.col("best").isNull() | longer).alias("stands")))
+        ended = chosen.where("over is not null").select(F.col("over").alias("y"), "g", F.col("u").alias("ends"))
+        began = chosen.where("stands").select("part", F.col("x").alias("y"), "g", F.col("u").alias("since"), F.lit(None).cast(kind).alias("till"))
+        spans = keep(spans.join(ended, ["y", "g"], "left").select("part", "y", "g", "since", F.coalesce("till", "ends").alias("till")).unionByName(began))
+        now = keep(waiting.join(chosen.select("x", "g", "until"), "x", "left").withColumn("g", F.when(F.col("until").isNull() | (F.col("t") < F.col("until")), F.col("g"))))
+        done.append(now.where("g is not null").select("t", "g"))
+        waiting = now.where("g is null").select("part", "x", "n", "t")
+
+        first = keep(waiting.groupBy("part", "x").agg(F.min("t").alias("u")))
+        live = spans.where("till is null")
+        moving = takes.join(first.select(F.col("x").alias("y")), "y", "left_semi").select(F.col("x").alias("y")).distinct()
+        oldest = live.join(moving, "y", "left_semi").select("part", "g").unionByName(first.select("part", F.col("u").alias("g"))).groupBy("part").agg(F.min("g").alias("oldest"))
+        settled = live.join(moving, "y", "left_anti").select("y", "g").withColumn("settled", F.lit(True))
+        past = spans.where("till is not null").select("y", "g", "till").withColumn("settled", F.lit(False))
+        beside = first.join(near.select("x", "y"), "x").join(settled.withColumn("till", F.lit(None).cast(kind)).unionByName(past), "y").where("settled or till > u")
+        joins = beside.groupBy("part", "x").agg(F.min(F.when(F.col("settled"), F.col("g"))).alias("g"), F.min(F.when(~F.col("settled"), F.col("g"))).alias("was"))
+        joins = keep(joins.join(oldest, "part").where("g < oldest and (was is null or g <= was)").select("x", "g"))
+        done.append(waiting.join(joins, "x").select("t", "g"))
+        waiting = keep(waiting.join(joins, "x", "left_anti"))
+        if len(done) > 30:
+            done = [keep(reduce(DataFrame.unionByName, done))]
+    return reduce(DataFrame.unionByName, done, rows.select("t", F.col("t").alias("g")).limit(0))
+
+
+def merge_ordered_parts(claims: DataFrame, keep, run: str = "run_id", ident: str = "claim_id", order: str = "seq", threshold: float = JACCARD, most: int = LOOP_CLAIMS) -> DataFrame:
     """merge_ordered for runs of any size, with the same result; claim ids are unique over runs.
 
     A group's current text is one of its claims', so a claim only ever joins a group of its
-    own chain of duplicates (merge_claims): each chain is one task's work. In a chain of one
-    text all claims join the first, without Python.
+    own chain of duplicates (merge_claims). In a chain of one text all claims join the
+    first, without Python; one of at most `most` claims is one task's work; longer ones go
+    through merge_rounds.
     """
-    chains = keep(merge_claims(claims, keep, run, ident, threshold).withColumnRenamed("group_id", "__part").select(run, "__part", ident, order, "statement"))
+    texts = keep(featured(texts_of(claims, run, ident)))
+    pairs = keep(_linked(texts, run, ident, threshold))
+    chains = keep(_merged(claims, texts, pairs, keep, run, ident).withColumnRenamed("group_id", "__part").select(run, "__part", ident, order, "statement"))
     first = F.min(F.struct(order, ident))[ident].alias("group_id")
-    texts = F.lower(F.trim("statement"))
-    sizes = chains.groupBy("__part").agg(first, (F.min(texts) == F.max(texts)).alias("__one"))
+    folded = F.lower(F.trim("statement"))
+    sizes = keep(chains.groupBy("__part").agg(first, (F.min(folded) == F.max(folded)).alias("__one"), F.count("*").alias("__n")))
     placed = chains.join(sizes, "__part")
-    mixed = merge_ordered(placed.where("not __one").drop("group_id"), run, ident, order, threshold, "__part")
-    return placed.where("__one").select(run, ident, "group_id").unionByName(mixed)
+    mixed = merge_ordered(placed.where(f"not __one and __n <= {most}").drop("group_id"), run, ident, order, threshold, "__part")
+    out = placed.where("__one").select(run, ident, "group_id").unionByName(mixed)
+    long = placed.where(f"not __one and __n > {most}")
+    if sizes.where(f"not __one and __n > {most}").isEmpty():
+        return out
+    named = texts.select(run, "folded", F.col(ident).alias("x"), F.length(F.trim("statement")).alias("n"))
+    rows = keep(long.withColumn("folded", folded).join(named, [run, "folded"]).select(run, F.col("__part").alias("part"), "x", "n", F.struct(order, ident).alias("t")))
+    nodes = rows.select(F.col("x").alias("a")).distinct()
+    found = merge_rounds(rows, pairs.join(nodes, "a", "left_semi"), keep)
+    return out.unionByName(rows.select(run, "t").join(found, "t").select(run, F.col(f"t.{ident}").alias(ident), F.col(f"g.{ident}").alias("group_id")))
 
 
 def evidence_rollup(evidence: DataFrame, key: str = "group_id") -> DataFrame:

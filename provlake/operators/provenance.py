@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,6 +184,53 @@ def cascade_delete(tables: dict[str, DataFrame], ids: DataFrame, key: str, chain
     return out
 
 
+class ForeignKey(NamedTuple):
+    """child.column names a row of parent; own: what the child's own children name (None: nothing does)."""
+
+    child: str
+    column: str
+    own: str | None
+    parent: str
+    on_delete: str = "cascade"
+
+
+def reachable(edges: DataFrame, roots: DataFrame, keep) -> DataFrame:
+    """kind, id of the roots and of all that edges(parent_kind, parent_id, kind, id) reach from them, at any depth and over cycles.
+
+    A round follows the edges of what the last one found; there are as many rounds as levels.
+    """
+    found = front = keep(roots.select("kind", "id").distinct())
+    while not front.isEmpty():
+        below = edges.join(front.select(F.col("kind").alias("parent_kind"), F.col("id").alias("parent_id")), ["parent_kind", "parent_id"], "left_semi")
+        front = keep(below.select("kind", "id").distinct().join(found, ["kind", "id"], "left_anti"))
+        found = keep(found.unionByName(front))
+    return found
+
+
+def cascade_graph(tables: dict[str, DataFrame], keys: list[ForeignKey], own: dict[str, str], roots: DataFrame, keep) -> dict[str, DataFrame]:
+    """Tables without the roots(kind, id) and all that hang on them by any of the keys (H11); keys with on_delete "null" lose the name alone.
+
+    own: the own keys of tables that are nobody's child. Ids are compared as strings; a null
+    key names nothing. Only tables that are parents themselves are followed row by row.
+    """
+    own = own | {k.child: k.own for k in keys if k.own}
+    name = lambda c: F.col(c).cast("string")
+    edges = [tables[k.child].select(F.lit(k.parent).alias("parent_kind"), name(k.column).alias("parent_id"), F.lit(k.child).alias("kind"), name(k.own).alias("id")) for k in keys if k.own and k.on_delete == "cascade"]
+    gone = reachable(reduce(DataFrame.unionByName, edges), roots, keep) if edges else keep(roots.select("kind", "id").distinct())
+    of = lambda ids, kind: ids.where(F.col("kind") == kind).select(F.col("id").alias("__id")).distinct()
+    out = dict(tables)
+    for kind, column in own.items():
+        out[kind] = out[kind].join(of(roots, kind), name(column) == F.col("__id"), "left_anti")
+    for k in keys:
+        rows, at = out[k.child], name(k.column) == F.col("__id")
+        if k.on_delete == "null":
+            lost = rows.join(of(gone, k.parent), at, "left").withColumn(k.column, F.when(F.col("__id").isNull(), F.col(k.column)))
+            out[k.child] = lost.select(*tables[k.child].columns)
+        else:
+            out[k.child] = rows.join(of(gone, k.parent), at, "left_anti")
+    return out
+
+
 def folded(name: str) -> Column:
     return F.lower(F.trim(name))
 

@@ -8,12 +8,14 @@ finding, and events are a status log.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlake.functions import rules, sql, text
 from provlake.operators import claims, content, links, provenance, questions, retrieval, titles, urls
-from provlake.plans.session import checkpointed, shared_folder, table
+from provlake.plans.session import checkpointed, shared_folder, table, written
 from provlake.sources import entities
 from provlake.streaming import streams
 
@@ -778,7 +780,7 @@ def f14_merge_claims(spark, d):
 
 @query(None)
 def f14_merge_ordered(spark, d):
-    return claims.merge_ordered_parts(all_claims(spark, d).withColumn("seq", F.col("claim_id")), checkpointed)
+    return claims.merge_ordered_parts(all_claims(spark, d).withColumn("seq", F.col("claim_id")), written)
 
 
 @query(f"WITH RECURSIVE {SQL_GROUPS}, g AS (SELECT run_id, group_id, count(*) AS merged_count FROM merged GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY group_id) AS n FROM g) SELECT run_id, group_id, merged_count FROM r WHERE n <= 40")
@@ -1086,6 +1088,30 @@ def h11_cascade_delete(spark, d):
     return out
 
 
+KEYS = [
+    provenance.ForeignKey("nation", "n_regionkey", "n_nationkey", "region"),
+    provenance.ForeignKey("customer", "c_nationkey", "c_custkey", "nation"),
+    provenance.ForeignKey("supplier", "s_nationkey", "s_suppkey", "nation"),
+    provenance.ForeignKey("orders", "o_custkey", "o_orderkey", "customer"),
+    provenance.ForeignKey("lineitem", "l_orderkey", None, "orders"),
+    provenance.ForeignKey("lineitem", "l_suppkey", None, "supplier", "null"),
+]
+
+
+@query(
+    "WITH n AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 2), c AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey IN (SELECT k FROM n)), s AS (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey IN (SELECT k FROM n)), o AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT k FROM c)) "
+    "SELECT 'region' AS kind, count(*) AS n, 0::BIGINT AS n_nulled FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 'nation', count(*), 0 FROM nation WHERE n_nationkey NOT IN (SELECT k FROM n) UNION ALL SELECT 'customer', count(*), 0 FROM customer WHERE c_custkey NOT IN (SELECT k FROM c) UNION ALL SELECT 'supplier', count(*), 0 FROM supplier WHERE s_suppkey NOT IN (SELECT k FROM s) "
+    "UNION ALL SELECT 'orders', count(*), 0 FROM orders WHERE o_orderkey NOT IN (SELECT k FROM o) UNION ALL SELECT 'lineitem', count(*), count(*) FILTER (WHERE l_suppkey IN (SELECT k FROM s)) FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM o)"
+)
+def h11_cascade_graph(spark, d):
+    """A region is deleted: what hangs on it goes, at any depth, and what names a deleted supplier loses the name."""
+    tables = {n: table(spark, d, n) for n in ("region", "nation", "customer", "supplier", "orders", "lineitem")}
+    roots = tables["region"].where("r_regionkey = 2").select(F.lit("region").alias("kind"), F.col("r_regionkey").cast("string").alias("id"))
+    left = provenance.cascade_graph(tables, KEYS, {"region": "r_regionkey"}, roots, written)
+    counts = [df.agg(F.lit(n).alias("kind"), F.count("*").alias("n"), (F.count_if(F.col("l_suppkey").isNull()) if n == "lineitem" else F.lit(0).cast("long")).alias("n_nulled")) for n, df in left.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def _projects(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), F.col("p_retailprice").alias("created_at"))
 
@@ -1096,6 +1122,12 @@ def h12_consolidate(spark, d):
     return provenance.consolidate(_projects(spark, d), asked_of)[1]
 
 
+@query("WITH p AS (SELECT p_partkey AS id, p_type AS name, p_retailprice AS created_at, lower(trim(p_type, ' ')) AS k FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY created_at DESC, id DESC) AS n, count(*) OVER (PARTITION BY k) - 1 AS merged FROM p) SELECT id, name, created_at, merged FROM r WHERE n = 1")
+def h12_kept_projects(spark, d):
+    asked_of = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("project_id")).withColumnRenamed("l_orderkey", "question_id")
+    return provenance.consolidate(_projects(spark, d), asked_of)[0].select("id", "name", "created_at", "merged")
+
+
 @query("SELECT id, name FROM (SELECT p_partkey AS id, p_type AS name, row_number() OVER (PARTITION BY lower(trim(p_type, ' ')) ORDER BY p_partkey) AS n FROM part) WHERE n = 1")
 def h13_unique_names(spark, d):
     return provenance.unique_names(_projects(spark, d).select("id", "name"), ["id"])

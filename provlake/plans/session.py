@@ -33,3 +33,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, as Parquet in the shared folder.
+
+    For steps that go on from round to round: a checkpoint keeps the size and the constraints
+    that its plan was estimated to have, and these multiply with every join of every round.
+    """
+    df.write.parquet(at := shared_folder(df.sparkSession, "round"))
+    return df.sparkSession.read.schema(df.schema).parquet(at)

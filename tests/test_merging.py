@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provlake.operators import claims
-from provlake.plans import catalog
+from provlake.plans import catalog, session
 
 
 def written(spark, at, texts, source="run"):
@@ -34,6 +34,22 @@ def test_ordered_merging_takes_all_claims(spark, many):
     assert any(chains[c] != g for c, (_, g) in got.items())
 
 
+@pytest.mark.parametrize("seed, n", [(1, 110), (2, 60)])
+def test_rounds_of_long_chains(spark, seed, n):
+    """Chains through rounds, without the loop: hot copies, texts that grow, texts past the length bound, several runs."""
+    rng = random.Random(seed)
+    words = [f"word{c}" for c in "abcdefghijkl"]
+    some = [" ".join(rng.sample(words, rng.randrange(2, 9))) for _ in range(14)]
+    some += [f"{some[0]} {'x' * 290}", f"{some[1]} {'y' * 230}", f"{some[1]} about 7 mills", f"{some[1]} about 9 mills", ""]
+    picked = [some[0] if rng.random() < 0.3 else rng.choice(some) for _ in range(n)]
+    rows = [(i, f"r{i % 2}", rng.randrange(60), t.upper() if rng.random() < 0.2 else t) for i, t in enumerate(picked, 1)]
+    made = spark.createDataFrame(rows, "claim_id long, run_id string, seq long, statement string")
+    want = {r.claim_id: (r.run_id, r.group_id) for r in claims.merge_ordered(made).collect()}
+    got = claims.merge_ordered_parts(made, session.written, most=0).collect()
+    assert len(got) == n and {r.claim_id: (r.run_id, r.group_id) for r in got} == want
+    assert len({g for _, g in want.values()}) > 2
+
+
 def test_cap_falls_on_groups(spark, tmp_path):
     d = written(spark, tmp_path, ["Copies of one statement stand first"] * 50 + [f"zebra{i} lion{i} tiger{i} otter{i} whale{i}" for i in range(60)])
     rows = sorted((r.group_id, r.merged_count) for r in catalog.QUERIES["f18_cap_groups"](spark, d).collect())
