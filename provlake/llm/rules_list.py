@@ -3,7 +3,9 @@
 Statistics of each text are compared with thresholds. Labelled statistics (a bounded
 sample, without texts that fail the base rules anyway) are split in two: a rule, a conjunction of thresholds, grows on the first part by
 information gain and is pruned on the second by precision; the texts it covers leave, and
-the next rule is learnt from the rest. The list is emitted as ordered Spark conditional
+the next rule is learnt from the rest. Every value between two others is tried as a
+threshold, and a hash of its id says which part a text is in, so that the rules do not
+depend on how rows are ordered or dealt. The list is emitted as ordered Spark conditional
 expressions, so that judging all texts is one projection.
 
 Defined results: a null or empty text has no words and fails the base rules; null labels
@@ -136,7 +138,6 @@ def _grow(x: np.ndarray, y: np.ndarray, names: list[str], most: int) -> list[Con
             cut = np.flatnonzero(v[1:] > v[:-1]) + 1
             if not len(cut):
                 continue
-            cut = cut[np.unique(np.linspace(0, len(cut) - 1, 256).astype(int))]
             below_p, below = np.cumsum(t)[cut - 1], cut
             for sign, p, n in (("<", below_p, below - below_p), (">=", p0 - below_p, n0 - (below - below_p))):
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -162,13 +163,13 @@ def _prune(rule: list[Condition], x: np.ndarray, y: np.ndarray, names: list[str]
     return rule[: max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))]
 
 
-def learn(x: np.ndarray, low: np.ndarray, names: list[str], max_rules: int = 16, max_conditions: int = 4, min_precision: float = MIN_PRECISION) -> list[list[Condition]]:
-    """Ordered rules, each of which says that a text is of low quality."""
+def learn(x: np.ndarray, low: np.ndarray, names: list[str], deal: np.ndarray, max_rules: int = 16, max_conditions: int = 4, min_precision: float = MIN_PRECISION) -> list[list[Condition]]:
+    """Ordered rules, each of which says that a text is of low quality; deal: the third (0 to 2) that each row is in."""
     rules: list[list[Condition]] = []
     live = np.ones(len(x), dtype=bool)
     for k in range(max_rules):
         rows = np.flatnonzero(live)
-        growing = rows % 3 != k % 3  # another third is set aside for each rule
+        growing = deal[rows] != k % 3  # another third is set aside for each rule
         grow, prune = rows[growing], rows[~growing]
         if not low[grow].any() or not (~low[grow]).any():
             break
@@ -207,8 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         known = known.where(order < -(2**63) + int(2**64 * 1.5 * max_labelled / n))
     chosen = F.broadcast(known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(max_labelled))  # max_labelled rows
     sample = statistics(docs.select("doc_id", "text").join(chosen.select("doc_id"), "doc_id")).where(~F.expr(BASE_FAILED))
-    x = sample.join(chosen, "doc_id").select("quality", *[F.expr(e).alias(n) for n, e in FEATURES.items()]).toPandas()
-    return learn(x[list(FEATURES)].to_numpy(dtype=float), (x.quality == 0).to_numpy(), list(FEATURES))
+    third = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(5)), F.lit(3)).alias("third")
+    x = sample.join(chosen, "doc_id").select("quality", third, *[F.expr(e).alias(n) for n, e in FEATURES.items()]).toPandas()
+    return learn(x[list(FEATURES)].to_numpy(dtype=float), (x.quality == 0).to_numpy(), list(FEATURES), x.third.to_numpy())
 
 
 def judged(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:

@@ -13,7 +13,7 @@ large. Urls never move: there is no shuffle and no hot host.
 Defined results: a null url, or one without "://", has an empty host and path and fits no
 rule with a host; urls without a rule get the default verdict; repeated rows each get
 theirs; of equal rules with different verdicts "block" wins; null rule hosts, paths count
-as empty; very long urls are taken whole; an empty table gives no rows; other columns of
+as empty, and a rule with an empty host fits empty hosts alone; very long urls are taken whole; an empty table gives no rows; other columns of
 pages, whatever their names, are ignored.
 """
 
@@ -44,7 +44,7 @@ def path_of(url: Column) -> Column:
 
 def key_of(host: str) -> str:
     """Labels in reverse, each closed, so that a key starts with the keys of its parents."""
-    return END.join(reversed(host.split("."))) + END
+    return END.join(reversed(host.split("."))) + END if host else "\x00"
 
 
 def sweep(hosts: list[str], rules: list[tuple[str, dict]]) -> Iterable[tuple[str, list]]:
@@ -88,10 +88,10 @@ def grouped(rules: list[tuple[str, str, str]]) -> list[tuple[str, dict]]:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", block_rules: int = BLOCK_RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages(page_id, url).
 
-    rules(host, path, verdict): host in lower case; path from its first slash on.
+    rules(host, path, verdict): host, A-Z in any case; path from its first slash on.
     """
     bounded_batches(pages.sparkSession)
-    rules = rules.select(F.coalesce(F.lower("host"), F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+    rules = rules.select(F.coalesce(ascii_lower(F.col("host")), F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     blocks = -(-rules.count() // block_rules) or 1
     out = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(-1).alias("rule_chars"), F.lit(-1).alias("host_chars"))
     schema = out.schema

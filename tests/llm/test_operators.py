@@ -186,13 +186,27 @@ def test_decision_list_learns_and_explains(spark):
     rng = np.random.default_rng(3)
     x = rng.random((600, 3))
     low = (x[:, 0] > 0.8) | ((x[:, 1] < 0.2) & (x[:, 2] > 0.5))
-    found = rules_list.learn(x, low, ["a", "b", "c"])
+    found = rules_list.learn(x, low, ["a", "b", "c"], rng.integers(0, 3, 600))
     said = np.zeros(600, dtype=bool)
     for rule in found:
         said |= rules_list._matches(x, ["a", "b", "c"], rule)
     assert (said == low).mean() > 0.97 and 2 <= len(found) <= 6
 
 
+def test_rules_do_not_depend_on_the_order_of_rows(spark):
+    d, lab = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rules = rules_list.fit(d, lab)
+    assert rules == rules_list.fit(d.repartition(16), lab.orderBy("doc_id", ascending=False)) == rules_list.fit(d.orderBy("text").coalesce(1), lab.repartition(3))
+    assert rules
+
+
+def test_every_threshold_is_tried():
+    import numpy as np
+
+    x = np.arange(3000, dtype=float)[:, None]
+    assert rules_list._grow(x, x[:, 0] >= 1234, ["a"], 4) == [("a", ">=", 1233.5)]
+
+
 def test_rules_on_awkward_rows(docs, labels, empty):
     out = rules_list.judged(docs, labels)
     assert out.count() == len(rows()) and out.where("doc_id = 57 and kept").count() == 0
@@ -442,6 +456,12 @@ def test_dealing_balances_cost():
 # --- 9
 
 
+def test_rule_hosts_are_folded_as_url_hosts(spark):
+    pages = spark.createDataFrame([(1, "http://x.\u00c4B.org/p"), (2, "http://org./p"), (3, "none"), (4, "http:///p")], "page_id long, url string")
+    rules = spark.createDataFrame([("\u00c4b.ORG", "/", "block"), (None, "", "block")], "host string, path string, verdict string")
+    assert {r.page_id: r.verdict for r in url_rules.judge(pages, rules).collect()} == {1: "block", 2: "allow", 3: "block", 4: "block"}
+
+
 def test_url_rules_match_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     hosts = ["a.org", "b.a.org", "c.b.a.org", "ba.org", "org", "x.com", "com", "EX.com", "", "a.org:80"]
