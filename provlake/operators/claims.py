@@ -206,14 +206,15 @@ def merge_claims(claims: DataFrame, keep, run: str = "run_id", ident: str = "cla
     statements with a duplicate take part in the rounds; the others are their own groups.
     """
     texts = keep(featured(texts_of(claims, run, ident)))
-    return _merged(claims, texts, _linked(texts, run, ident, threshold, containment), keep, run, ident)
+    return merge_texts(claims, texts, _linked(texts, run, ident, threshold, containment), keep, run, ident)
 
 
 def _linked(texts: DataFrame, run: str, ident: str, threshold: float, containment: float | None = CONTAINMENT) -> DataFrame:
     return text_pairs(texts, run, ident, threshold, containment).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def _merged(claims: DataFrame, texts: DataFrame, pairs: DataFrame, keep, run: str, ident: str) -> DataFrame:
+def merge_texts(claims: DataFrame, texts: DataFrame, pairs: DataFrame, keep, run: str, ident: str) -> DataFrame:
+    """claims with group_id, by texts (texts_of, featured) and their duplicate pairs(a, b): merge_claims for callers that have both."""
     labels = label_components(pairs, keep)
     named = texts.select(run, "folded", F.col(ident).alias("__rep")).join(labels, F.col("__rep") == F.col("node"), "left").select(run, "folded", F.coalesce("component", "__rep").alias("group_id"))
     return claims.withColumn("folded", F.lower(F.trim("statement"))).join(named, [run, "folded"]).drop("folded")
@@ -323,7 +324,7 @@ def merge_ordered_parts(claims: DataFrame, keep, run: str = "run_id", ident: str
     """
     texts = keep(featured(texts_of(claims, run, ident)))
     pairs = keep(_linked(texts, run, ident, threshold))
-    chains = keep(_merged(claims, texts, pairs, keep, run, ident).withColumnRenamed("group_id", "__part").select(run, "__part", ident, order, "statement"))
+    chains = keep(merge_texts(claims, texts, pairs, keep, run, ident).withColumnRenamed("group_id", "__part").select(run, "__part", ident, order, "statement"))
     first = F.min(F.struct(order, ident))[ident].alias("group_id")
     folded = F.lower(F.trim("statement"))
     sizes = keep(chains.groupBy("__part").agg(first, (F.min(folded) == F.max(folded)).alias("__one"), F.count("*").alias("__n")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlake.functions import rules, sql, text
-from provlake.operators import claims, content, links, provenance, questions, retrieval, titles, urls
+from provlake.operators import claims, content, findings, links, provenance, questions, retrieval, titles, urls
 from provlake.plans.session import checkpointed, shared_folder, table, written
 from provlake.sources import entities
 from provlake.streaming import streams
@@ -882,10 +882,11 @@ def _sql_parts(s: str) -> str:
     return f"{sql_named(f'lower({s})', rules.GEOGRAPHIES)} AS g_{s}, list_distinct(regexp_extract_all({s}, '\\b(20[2-5][0-9])\\b', 1)) AS y_{s}, {n} AS n_{s}".replace("\\\\", "\\")
 
 
+SQL_CONFLICT = f"""CASE WHEN {_sql_differ('g_sa', 'g_sb')} THEN 'SCOPE_DIFFERENCE/low' WHEN {_sql_differ('y_sa', 'y_sb')} THEN 'TIME_PERIOD_DIFFERENCE/low' WHEN {_sql_differ('n_sa', 'n_sb')} AND len(list_intersect(n_sa, n_sb)) = 0 THEN 'DIRECT_CONTRADICTION/high'
+  {' '.join(f"WHEN regexp_matches(lower(sa), '{p}') <> regexp_matches(lower(sb), '{p}') THEN '{c}/{s}'" for c, s, p in links.CUES)} WHEN ta <> tb THEN 'CONTEXTUAL_TENSION/medium' END"""
 SQL_CONFLICTS = f"""{SQL_TOLD}, w AS (SELECT p.run_id, id_a, id_b, a.statement AS sa, b.statement AS sb, a.finding_type AS ta, b.finding_type AS tb FROM pairs p JOIN claims a ON id_a = a.claim_id JOIN claims b ON id_b = b.claim_id),
 parts AS (SELECT *, {_sql_parts('sa')}, {_sql_parts('sb')} FROM w),
-conflicts AS (SELECT run_id, id_a, id_b, CASE WHEN {_sql_differ('g_sa', 'g_sb')} THEN 'SCOPE_DIFFERENCE/low' WHEN {_sql_differ('y_sa', 'y_sb')} THEN 'TIME_PERIOD_DIFFERENCE/low' WHEN {_sql_differ('n_sa', 'n_sb')} AND len(list_intersect(n_sa, n_sb)) = 0 THEN 'DIRECT_CONTRADICTION/high'
-  {' '.join(f"WHEN regexp_matches(lower(sa), '{p}') <> regexp_matches(lower(sb), '{p}') THEN '{c}/{s}'" for c, s, p in links.CUES)} WHEN ta <> tb THEN 'CONTEXTUAL_TENSION/medium' END AS c FROM parts)"""
+conflicts AS (SELECT run_id, id_a, id_b, {SQL_CONFLICT} AS c FROM parts)"""
 
 
 @query(f"WITH {SQL_CONFLICTS} SELECT run_id, id_a, id_b, split_part(c, '/', 1) AS category, split_part(c, '/', 2) AS severity FROM conflicts WHERE c IS NOT NULL")
@@ -929,6 +930,69 @@ def g08_summary_conclusion(spark, d):
     return links.summary_conclusion(runs, c).select("run_id", "confidence", F.array_join("claim_ids", ",").alias("claim_ids"))
 
 
+# --- the whole way from candidates to findings
+
+
+def candidates(spark, d):
+    """Claims of all documents in batches of three, some as templates, without a source, with an empty or an altered excerpt, or named by url."""
+    k = F.col("claim_id")
+    return all_claims(spark, d).withColumns({
+        "batch": F.floor(F.col("doc_id") / 3),
+        "statement": F.when(k % 13 == 0, "Global industry report").otherwise(F.col("statement")),
+        "source_id": F.when(k % 7 != 0, F.col("doc_id")),
+        "source_url": F.when(k % 14 == 0, F.concat(F.lit("u"), F.col("doc_id").cast("string"))),
+        "excerpt": F.when(k % 17 == 0, "  ").when(k % 9 == 0, F.concat(F.lit("#"), "excerpt")).otherwise(F.col("excerpt")),
+    })
+
+
+def found(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("credibility")), "doc_id", "left")
+    relevance = F.col("doc_id") % 8 / 8
+    role = urls.source_role(F.lit("general_web"), F.coalesce("credibility", F.lit(0.75)), relevance)
+    sources = docs.select(F.floor(F.col("doc_id") / 3).alias("batch"), F.col("doc_id").alias("source_id"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("content"), relevance.alias("relevance"), "credibility", role.alias("role"))
+    return findings.run_findings(candidates(spark, d), sources, checkpointed)
+
+
+SQL_USED = SQL_CLAIMS.replace("claims AS (", "raw AS (", 1) + f""", p AS (SELECT * REPLACE (CASE WHEN claim_id % 13 = 0 THEN 'Global industry report' ELSE statement END AS statement, CASE WHEN claim_id % 17 = 0 THEN '  ' WHEN claim_id % 9 = 0 THEN '#' || excerpt ELSE excerpt END AS excerpt), doc_id // 3 AS batch, CASE WHEN claim_id % 7 <> 0 OR claim_id % 14 = 0 THEN doc_id END AS known FROM raw),
+o AS (SELECT doc_id // 3 AS batch, count(*) AS k, min(doc_id) AS only_id FROM documents GROUP BY 1),
+s AS (SELECT p.*, coalesce(known, CASE WHEN k = 1 THEN only_id END) AS source_id FROM p LEFT JOIN o USING (batch)),
+e AS (SELECT s.*, trim(excerpt, ' ') AS x, coalesce(contains(text, trim(excerpt, ' ')) OR contains(text, substr(trim(excerpt, ' '), 1, 100)), false) AS held FROM s LEFT JOIN documents t ON s.source_id = t.doc_id),
+every AS (SELECT *, CASE WHEN trim(statement, ' ') = '' OR regexp_matches(trim(statement, ' '), '(?i)^(?:{'|'.join(rules.TEMPLATE_PHRASES)})') THEN 'template' WHEN source_id IS NULL THEN 'unresolved' WHEN x = '' THEN 'empty_excerpt' WHEN NOT held THEN 'ungrounded' END AS cause FROM e),
+claims AS (SELECT * FROM every WHERE cause IS NULL)"""
+SQL_FOUND = SQL_USED + SQL_GROUPS.removeprefix(SQL_CLAIMS).replace("c.*, c.doc_id AS source_id, r.group_id", "c.*, r.group_id") + f""",
+g AS (SELECT run_id, group_id, coalesce(max(CASE WHEN length(statement) < 300 THEN {{'n': length(statement), 'i': -claim_id, 's': statement}} END).s, min_by(statement, claim_id)) AS statement, min_by(finding_type, claim_id) AS finding_type, min_by(importance, claim_id) AS importance, count(*) AS merged_count FROM merged GROUP BY run_id, group_id),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY group_id) AS n FROM g) WHERE n <= 40)"""
+SQL_STANDING = f""",
+known AS (SELECT group_id, count(DISTINCT source_id) AS k, count(*) AS n_evidence, round(avg(source_id % 8 / 8.0::DOUBLE), 6) AS rel, round(avg(coalesce(quality::DOUBLE, 0.75)), 6) AS cred, min(CASE {SQL_ROLE.format(q="coalesce(quality::DOUBLE, 0.75)", t="'general_web'", r="(source_id % 8 / 8.0::DOUBLE)")} WHEN 'PRIMARY' THEN 1 WHEN 'SECONDARY' THEN 2 WHEN 'SUPPORTING' THEN 3 ELSE 4 END) AS place FROM merged m LEFT JOIN labels l ON m.source_id = l.doc_id GROUP BY group_id),
+reps AS (SELECT run_id, lower(trim(statement, ' ')) AS folded, min(claim_id) AS rep FROM merged GROUP BY ALL),
+typed AS (SELECT run_id, lower(trim(statement, ' ')) AS folded, finding_type, min(claim_id) AS claim_id, min_by(statement, claim_id) AS statement, min(group_id) AS group_id FROM merged GROUP BY ALL),
+told AS (SELECT * FROM typed JOIN reps USING (run_id, folded)),
+w AS (SELECT a.group_id AS ga, b.group_id AS gb, a.statement AS sa, b.statement AS sb, a.finding_type AS ta, b.finding_type AS tb FROM (SELECT run_id, id_a, id_b FROM pairs UNION ALL SELECT run_id, rep, rep FROM reps) p JOIN told a ON p.run_id = a.run_id AND id_a = a.rep JOIN told b ON p.run_id = b.run_id AND id_b = b.rep WHERE a.claim_id <> b.claim_id),
+parts AS (SELECT *, {_sql_parts('sa')}, {_sql_parts('sb')} FROM w),
+conflicts AS (SELECT ga, gb, split_part({SQL_CONFLICT}, '/', 2) AS severity FROM parts),
+worst AS (SELECT group_id, ['low', 'medium', 'high'][max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)] AS severity FROM (SELECT ga AS group_id, severity FROM conflicts UNION ALL SELECT gb, severity FROM conflicts) WHERE severity IS NOT NULL GROUP BY group_id),
+r AS (SELECT kept.*, k, n_evidence, ['PRIMARY', 'SECONDARY', 'SUPPORTING', 'DISCOVERY_ONLY'][place] AS role, severity, CASE WHEN severity IS NULL THEN 0.0::DOUBLE WHEN severity = 'high' THEN 0.15::DOUBLE WHEN severity = 'medium' THEN 0.08::DOUBLE ELSE 0.04::DOUBLE END AS penalty, CASE WHEN k >= 3 THEN 0.15::DOUBLE WHEN k = 2 THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END AS bonus, rel, cred FROM kept JOIN known USING (group_id) LEFT JOIN worst USING (group_id)),
+z AS (SELECT *, 0.2::DOUBLE * 1 + 0.3::DOUBLE * least(1.0::DOUBLE, rel) + 0.3::DOUBLE * least(1.0::DOUBLE, cred) + bonus - penalty AS raw FROM r)"""
+
+
+@query(f"WITH RECURSIVE {SQL_FOUND}{SQL_STANDING} SELECT run_id, group_id, statement, finding_type, importance, merged_count, k AS n_sources, n_evidence, role, severity IS NOT NULL AS is_contradicted, severity, round(round(CASE WHEN role = 'DISCOVERY_ONLY' AND k <= 1 THEN least(0.5::DOUBLE, raw) ELSE least(0.95::DOUBLE, greatest(0.15::DOUBLE, raw)) END, 6)::DECIMAL(18, 6), 2)::DOUBLE AS confidence, bonus AS corroboration_bonus, penalty AS contradiction_penalty FROM z")
+def f21_run_findings(spark, d):
+    return found(spark, d).findings
+
+
+@query(f"WITH RECURSIVE {SQL_FOUND} SELECT group_id, claim_id, source_id, relevance, sha256(x) AS excerpt_sha256 FROM merged WHERE group_id IN (SELECT group_id FROM kept)")
+def f21_finding_evidence(spark, d):
+    return found(spark, d).evidence.withColumn("excerpt_sha256", F.sha2("excerpt", 256)).drop("excerpt")
+
+
+SQL_ALERT = r"len(list_filter(list_distinct(regexp_extract_all(statement, '\b\d+(?:\.\d+)?\b')), lambda n: NOT list_contains(regexp_extract_all(coalesce(x, ''), '\b\d+(?:\.\d+)?\b'), n) AND n::DOUBLE > 4)) > 0"
+
+
+@query(f"WITH RECURSIVE {SQL_FOUND}, t AS (SELECT run_id, count(*) AS candidates, count(cause) AS unsupported, count(*) FILTER (cause IS NULL) AS claims, count(*) FILTER (cause IS NULL AND {SQL_ALERT}) AS numeric_alerts FROM every GROUP BY run_id), m AS (SELECT run_id, count(*) - count(DISTINCT group_id) AS merged FROM merged GROUP BY run_id), a AS (SELECT run_id, count(*) AS grounded, sum(merged_count)::BIGINT AS evidence FROM kept GROUP BY run_id) SELECT run_id, candidates, unsupported, claims, numeric_alerts, coalesce(merged, 0) AS merged, coalesce(grounded, 0) AS grounded, coalesce(evidence, 0) AS evidence FROM t LEFT JOIN m USING (run_id) LEFT JOIN a USING (run_id)")
+def f21_finding_counts(spark, d):
+    return found(spark, d).counts
+
+
 # --- H
 
 
