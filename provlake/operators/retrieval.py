@@ -16,62 +16,136 @@ WEIGHTS = {"title": 0.35, "snippet": 0.30, "concept": 0.20, "domain": 0.15}
 TITLE_BOOST, SNIPPET_BOOST = 1.2, 1.1
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 5, broadcast_tokens: int = 1_000_000) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 5, broadcast_tokens: int = 1_000_000, keep=lambda df: df) -> DataFrame:
     """query_id, doc_id, hits, rank: the k documents that share most distinct tokens with each query.
 
     queries(query_id, query), corpus(doc_id, text). Ties go to the smaller doc_id; a document
-    that shares none is no hit; null ids take no part. Queries of up to broadcast_tokens
-    distinct tokens in all are sent to the scan of the corpus, where k documents a query are
-    kept for each task, so that no pair beyond these is ever written. Beyond the bound both
-    sides meet on tokens, dealt by document once.
+    that shares none is no hit; null ids take no part. A document with h hits of a query's n
+    tokens has one of any n - h + 1 of them: once k documents with h hits are known, others
+    are sought by the query's rarest n - h + 1 tokens alone. Queries of up to
+    broadcast_tokens distinct tokens in all are sent to the scan of the corpus; beyond the
+    bound both sides meet on tokens (best_by_tokens). keep holds what is used repeatedly there.
     """
     wanted = queries.where("query_id is not null").select("query_id", F.explode(tokens(F.col("query"))).alias("token")).distinct()
     present = corpus.where("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("tokens"))
     best = Window.partitionBy("query_id").orderBy(F.desc("hits"), "doc_id")
     if wanted.limit(broadcast_tokens + 1).count() <= broadcast_tokens:
-        hits = _best_in_scan(wanted, present, k)
+        hits = best_in_scan(wanted, present, k)
     else:
-        hits = present.repartition("doc_id").select("doc_id", F.explode("tokens").alias("token")).join(wanted, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+        hits = best_by_tokens(wanted, present, k, keep)
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _best_in_scan(wanted: DataFrame, present: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, hits: the k best documents of each query in each task."""
-    rows = wanted.toPandas()  # bounded by retrieve
-    ids, names = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
-    words, places = np.unique(rows["token"].to_numpy(dtype=str), return_inverse=True)
-    order = np.argsort(places, kind="stable")
-    shared = present.sparkSession.sparkContext.broadcast((words.tolist(), names[order], np.searchsorted(places[order], np.arange(len(words) + 1)), ids))
+class _Asked:
+    """Query tokens as arrays: entries (word, query) sorted by word, and the words of each query."""
+
+    def __init__(self, rows):
+        self.ids, query = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+        words, word = np.unique(rows["token"].to_numpy(dtype=str), return_inverse=True)
+        self.words = words.tolist()
+        by_word = np.lexsort((query, word))
+        self.word, self.query = word[by_word], query[by_word]
+        self.n = np.bincount(query, minlength=len(self.ids))
+        self.first = np.cumsum(self.n) - self.n
+        self.of_query = word[np.lexsort((word, query))]
+
+    def places(self, seen: np.ndarray) -> np.ndarray:
+        """The place of each entry among its query's tokens, the rarest first."""
+        order = np.lexsort((self.word, seen[self.word], self.query))
+        out = np.empty(len(order), dtype=np.int64)
+        out[order] = np.arange(len(order)) - self.first[self.query[order]]
+        return out
+
+
+def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ..., n of them, one run after the other."""
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _slices(sizes: np.ndarray, most: int):
+    """Ranges of rows whose sizes add up to about most."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, stop
+        at = stop
+
+
+def best_in_scan(wanted: DataFrame, present: DataFrame, k: int, most: int = 2_000_000) -> DataFrame:
+    """query_id, doc_id, hits: the k best documents of each query in each task. most: pairs held at a time."""
+    asked = present.sparkSession.sparkContext.broadcast(_Asked(wanted.toPandas()))  # bounded by retrieve
 
     def run(batches):
-        words, names, ends, ids = shared.value
-        words, best = pa.array(words, pa.string()), None
+        q = asked.value
+        words, n_words, n_queries = pa.array(q.words, pa.string()), len(q.words), len(q.ids)
+        least, seen, ranked_at = np.ones(n_queries, dtype=np.int64), np.zeros(n_words, dtype=np.int64), 0
+        best = np.zeros((3, 0), dtype=np.int64)  # query, hits, document
+        place = q.places(seen)
         for batch in batches:
-            for at in range(0, batch.num_rows, step := max(1, 4_000_000 // max(len(ids), 1))):
-                part = batch.slice(at, step)
-                lists = part.column(1)
-                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                word = pc.index_in(lists.flatten(), words)
-                known = word.is_valid().to_numpy(zero_copy_only=False)
-                row, word = row[known], word.drop_null().to_numpy()
-                n = ends[word + 1] - ends[word]
-                asked = names[np.repeat(ends[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                hits = np.bincount(np.repeat(row, n) * len(ids) + asked, minlength=part.num_rows * len(ids)).reshape(part.num_rows, -1)
-                doc = part.column(0).to_numpy()
-                place = np.empty(len(doc), dtype=np.int64)
-                place[np.argsort(doc, kind="stable")] = np.arange(len(doc))
-                worth = hits * len(doc) - place[:, None]  # more hits, then the smaller id
-                top = np.argpartition(-worth, min(k, len(doc)) - 1, axis=0)[:k]
-                of = np.broadcast_to(np.arange(len(ids)), top.shape)
-                now = np.stack([of[hits[top, of] > 0], hits[top, of][hits[top, of] > 0], doc[top][hits[top, of] > 0]])
-                now = now if best is None else np.concatenate((best, now), axis=1)
+            lists, doc = batch.column(1), batch.column(0).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
+            word = pc.index_in(lists.flatten(), words)
+            known = word.is_valid().to_numpy(zero_copy_only=False)
+            row, word = row[known], word.drop_null().to_numpy().astype(np.int64)
+            every = np.sort(row * n_words + word)
+            fan = np.bincount(q.word, minlength=n_words)
+            width = np.bincount(row, weights=fan[word], minlength=batch.num_rows).astype(np.int64)
+            for lo, hi in _slices(width, most if ranked_at else most // 16):
+                a, b = np.searchsorted(row, [lo, hi])
+                r, w = row[a:b], word[a:b]
+                open_ = place <= q.n[q.query] - least[q.query]
+                names, starts = q.query[open_], np.searchsorted(q.word[open_], np.arange(n_words + 1))
+                m = starts[w + 1] - starts[w]
+                pairs = np.unique(np.repeat(r, m) * n_queries + names[_spread(starts[w], m)])
+                r, of = pairs // n_queries, pairs % n_queries
+                hits = np.zeros(len(pairs), dtype=np.int64)
+                for lower, upper in _slices(q.n[of], most):
+                    m = q.n[of[lower:upper]]
+                    sought = np.repeat(r[lower:upper], m) * n_words + q.of_query[_spread(q.first[of[lower:upper]], m)]
+                    at = np.minimum(np.searchsorted(every, sought), len(every) - 1)
+                    hits[lower:upper] = np.add.reduceat((every[at] == sought).astype(np.int64), np.cumsum(m) - m)
+                good = hits >= least[of]
+                now = np.concatenate((best, np.stack([of[good], hits[good], doc[r[good]]])), axis=1)
                 now = now[:, np.lexsort((now[2], -now[1], now[0]))]
                 best = now[:, np.arange(now.shape[1]) - np.searchsorted(now[0], now[0]) < k]
-        if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "doc_id", "hits"])
+                last = np.flatnonzero(np.arange(best.shape[1]) - np.searchsorted(best[0], best[0]) == k - 1)
+                least[best[0, last]] = best[1, last]
+                seen += np.bincount(w, minlength=n_words)
+                if seen.sum() > 2 * ranked_at:
+                    place, ranked_at = q.places(seen), int(seen.sum())
+        if best.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(q.ids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "doc_id", "hits"])
+
+    kind = wanted.schema["query_id"].dataType.simpleString()
+    return present.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(run, f"query_id {kind}, doc_id long, hits long")
 
-    types = {"query_id": wanted.schema["query_id"].dataType.simpleString()}
-    return present.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(run, f"query_id {types['query_id']}, doc_id long, hits long")
+
+def best_by_tokens(wanted: DataFrame, present: DataFrame, k: int, keep=lambda df: df, part: int = 1_000_000) -> DataFrame:
+    """query_id, doc_id, hits: documents that can be among the k best of each query, all of the k best included.
+
+    First some documents of each query's rarest tokens are counted in full: the k-th of
+    these bounds the hits asked of all others. Then documents with one of the rarest
+    n - h + 1 tokens are counted in full too. A frequent token's documents are dealt in
+    parts of about `part` rows, and its queries go to each of them.
+    """
+    hits_of = lambda pairs: pairs.join(present, "doc_id").join(asked, "query_id").withColumn("hits", F.size(F.array_intersect("tokens", "words")).cast("long")).select("query_id", "doc_id", "hits")
+    asked = keep(wanted.groupBy("query_id").agg(F.collect_list("token").alias("words")))
+    met = present.select("doc_id", F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    df = met.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = Window.partitionBy("query_id").orderBy("df", "token")
+    entries = keep(wanted.join(df, "token").withColumn("parts", F.ceil(F.col("df") / part).cast("int")).withColumns({"place": F.row_number().over(ranked), "n": F.count("*").over(Window.partitionBy("query_id")), "before": F.sum("df").over(ranked.rowsBetween(Window.unboundedPreceding, -1))}))
+    dealt = keep(met.join(df, "token").select("token", "doc_id", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / part)).cast("int").alias("part")))
+    first = Window.partitionBy("token").orderBy("doc_id")
+    some = dealt.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= 4 * k).select("token", "doc_id")  # any documents do for a bound
+    seeds = entries.where(F.coalesce("before", F.lit(0)) < 4 * k).select("query_id", "token").join(some, "token").select("query_id", "doc_id").distinct()
+    kth = Window.partitionBy("query_id").orderBy(F.desc("hits"))
+    bound = hits_of(seeds).withColumn("__n", F.row_number().over(kth)).where(F.col("__n") == k).select("query_id", F.col("hits").alias("least"))
+    least = F.coalesce("least", F.lit(1))
+    open_ = entries.join(bound, "query_id", "left").where(F.col("place") <= F.col("n") - least + 1)
+    sent = open_.select("query_id", "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    near = keep(sent.join(dealt, ["token", "part"]).select("query_id", "doc_id").distinct())
+    return hits_of(near).join(bound, "query_id", "left").where(F.col("hits") >= least).select("query_id", "doc_id", "hits")
 
 
 def score(df: DataFrame, min_score: float = 0.0, weights: dict[str, float] = WEIGHTS) -> DataFrame:
