@@ -75,6 +75,27 @@ def provenance(conclusion_findings: DataFrame, evidence: DataFrame, contents: Da
     return conclusion_findings.join(evidence.select("finding_id", "evidence_id", "source_id"), "finding_id", "left").join(contents.select("source_id", "content_id"), "source_id", "left").select("conclusion_id", "finding_id", "evidence_id", "source_id", "content_id")
 
 
+def provenance_graph(conclusions: DataFrame, conclusion_findings: DataFrame, findings: DataFrame, evidence: DataFrame, sources: DataFrame, contents: DataFrame, run: str = "run_id") -> DataFrame:
+    """run, graph: the nested view of provenance (H3), conclusion > findings > evidence > source > contents.
+
+    conclusions(run, conclusion_id, statement, confidence), conclusion_findings(conclusion_id,
+    finding_id), findings(finding_id, statement, confidence), evidence(finding_id,
+    evidence_id, source_id, excerpt), sources(source_id, title, url), contents(source_id,
+    content_id). Lists are in the order of ids. A link to a finding that is not there is
+    left out, repeated links count once, a source that is not there is null, and lists
+    without members are empty. Each level is gathered by its own id before it moves up.
+    """
+    listed = lambda df, key, name, *columns: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    none = lambda df, name: F.coalesce(name, F.array().cast(df.schema[name].dataType)).alias(name)
+    held = listed(contents.where("content_id is not null"), "source_id", "contents", "content_id")
+    told = sources.join(held, "source_id", "left").select("source_id", F.struct("source_id", "title", "url", none(held, "contents")).alias("source"))
+    shown = listed(evidence.join(told, "source_id", "left"), "finding_id", "evidence", "evidence_id", "excerpt", "source")
+    full = findings.join(shown, "finding_id", "left").select("finding_id", "statement", "confidence", none(shown, "evidence"))
+    linked = listed(conclusion_findings.select("conclusion_id", "finding_id").distinct().join(full, "finding_id"), "conclusion_id", "findings", "finding_id", "statement", "confidence", "evidence")
+    nodes = conclusions.join(linked, "conclusion_id", "left").select(run, "conclusion_id", "statement", "confidence", none(linked, "findings"))
+    return listed(nodes, run, "graph", "conclusion_id", "statement", "confidence", "findings")
+
+
 def _rate(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 4)).otherwise(0.0)
 

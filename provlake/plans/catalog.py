@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from provlake.functions import rules, sql, text
 from provlake.operators import claims, content, findings, links, provenance, questions, retrieval, titles, urls
 from provlake.plans.session import checkpointed, shared_folder, table, written
-from provlake.sources import entities
+from provlake.sources import entities, layout
 from provlake.streaming import streams
 
 QUERIES: dict = {}
@@ -1069,6 +1069,31 @@ def h03_provenance(spark, d):
     return provenance.provenance(chosen, evidence, contents)
 
 
+@query(
+    f"""WITH {SQL_LINES}, i AS (SELECT l_orderkey, l_orderkey || '-' || l_linenumber AS f, l_returnflag || '[' || l_linestatus || coalesce('<' || p_name || '|' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END || '>', '') || ']' AS t FROM l LEFT JOIN part ON l_partkey = p_partkey AND p_size > 5),
+g AS (SELECT o_custkey, o_orderkey, coalesce(string_agg(f || t, ',' ORDER BY f), '') AS t FROM orders LEFT JOIN i ON l_orderkey = o_orderkey AND o_orderstatus = 'F' GROUP BY ALL)
+SELECT o_custkey AS run_id, count(*)::INT AS n, sha256(string_agg(o_orderkey || '{{' || t || '}}', ',' ORDER BY o_orderkey)) AS graph_sha256 FROM g GROUP BY o_custkey"""
+)
+def h03_provenance_graph(spark, d):
+    """Customers as runs, orders as conclusions, lines as findings and as their evidence, larger parts as sources, every second with a content."""
+    first = [F.min(c).alias(c) for c in ("l_partkey", "l_returnflag", "l_linestatus")]
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*first).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    orders, part = table(spark, d, "orders"), table(spark, d, "part").where("p_size > 5")
+    out = provenance.provenance_graph(
+        orders.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("conclusion_id"), F.lit("").alias("statement"), F.lit(0.5).alias("confidence")),
+        orders.where("o_orderstatus = 'F'").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("conclusion_id"), F.col("id").alias("finding_id")),
+        lines.select(F.col("id").alias("finding_id"), F.col("l_returnflag").alias("statement"), F.lit(0.5).alias("confidence")),
+        lines.select(F.col("id").alias("finding_id"), F.col("id").alias("evidence_id"), F.col("l_partkey").alias("source_id"), F.col("l_linestatus").alias("excerpt")),
+        part.select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("url")),
+        part.where("p_size % 2 = 0").select(F.col("p_partkey").alias("source_id"), F.col("p_brand").alias("content_id")),
+    )
+    joined = lambda c, f, by=",": F.array_join(F.transform(c, f), by)
+    source = lambda x: F.coalesce(F.concat(F.lit("<"), x["title"], F.lit("|"), joined(x["contents"], lambda c: c["content_id"]), F.lit(">")), F.lit(""))
+    finding = lambda x: F.concat(x["finding_id"], x["statement"], F.lit("["), joined(x["evidence"], lambda e: F.concat(e["excerpt"], source(e["source"]))), F.lit("]"))
+    told = joined("graph", lambda x: F.concat(x["conclusion_id"].cast("string"), F.lit("{"), joined(x["findings"], finding), F.lit("}")))
+    return out.select("run_id", F.size("graph").alias("n"), F.sha2(told, 256).alias("graph_sha256"))
+
+
 SQL_COUNTERS = "counters AS (SELECT source AS run_id, count(*) AS discovered, count(*) FILTER (WHERE n_chars > 100) AS selected, count(*) FILTER (WHERE n_chars > 500) AS fetched, count(*) FILTER (WHERE n_chars > 1500) AS eligible, count(*) FILTER (WHERE lang = 'en') AS findings, count(*) FILTER (WHERE lang = 'en' AND n_chars > 300) AS grounded, count(*) FILTER (WHERE lang = 'fr') AS conclusions, count(*) FILTER (WHERE lang = 'fr' AND n_chars > 50) AS linked_conclusions FROM documents GROUP BY source)"
 
 
@@ -1134,6 +1159,37 @@ def h09_page(spark, d):
     return provenance.page(table(spark, d, "orders"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 50, 20).select("o_orderkey", "o_custkey")
 
 
+ORDERED = ["o_orderdate", "o_orderkey"]
+
+
+def laid_out(spark, d):
+    """Orders as a list, newest first, that is written once for many pages and lookups."""
+    at = shared_folder(spark, "layout")
+    layout.write_sorted(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), at, ORDERED, lookup=("o_orderkey",))
+    return at
+
+
+@query("WITH m AS (SELECT max(o_orderkey) // 2 AS k FROM orders) SELECT o_orderkey, o_custkey FROM orders, m WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderkey <= k)")
+def h08_lookup_layout(spark, d):
+    orders = table(spark, d, "orders")
+    half = orders.agg(F.floor(F.max("o_orderkey") / 2)).first()[0]
+    middle = orders.where(F.col("o_orderkey") <= half).agg(F.max("o_orderkey")).first()[0]
+    return layout.lookup(spark, laid_out(spark, d), "o_orderkey", middle).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 500")
+def h09_page_layout(spark, d):
+    return layout.page_of(spark, laid_out(spark, d), ORDERED, 50, 500).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 550")
+def h09_next_page(spark, d):
+    """The page after that of h09_page_layout, by the last row of it."""
+    at = laid_out(spark, d)
+    last = layout.page_of(spark, at, ORDERED, 50, 500).tail(1)[0]
+    return layout.page_after(spark, at, ORDERED, 50, tuple(last[c] for c in ORDERED)).select("o_orderkey", "o_custkey")
+
+
 @query("SELECT c_custkey, coalesce(CASE WHEN n > 12 THEN 'BUSY' END, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def h10_merge_updates(spark, d):
     patch = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.when(F.count("*") > 12, "BUSY").alias("c_mktsegment"))
