@@ -181,14 +181,37 @@ def text_pairs(texts: DataFrame, run: str, ident: str, threshold: float = JACCAR
     return candidates.join(named("a"), [run, "id_a"]).join(named("b"), [run, "id_b"]).where(duplicate("a_", "b_", threshold, containment)).select(run, "id_a", "id_b")
 
 
-def label_components(pairs: DataFrame, keep, max_rounds: int = 50) -> DataFrame:
-    """node, component (smallest node reachable) of the nodes of pairs(a, b): minimum labels with pointer jumping. keep cuts lineage, e.g. by a checkpoint."""
+def looked_up(rows: DataFrame, key: str, values: DataFrame, ident: str, name: str, n_rows: int, hot: int) -> DataFrame:
+    """rows with the column name of values(ident, name), one for each key of rows.
+
+    Keys with more than hot rows, and more than one 100,000th of all, get their value by
+    broadcast, so that their rows stay where they are; there are fewer than 100,000 of them.
+    """
+    rest, held = rows, values.select(F.col(ident).alias("__id"), name)
+    if n_rows > hot:
+        often = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > max(hot, n_rows // 100_000)).select(F.col(key).alias("__id"))
+        hubs = F.broadcast(held.join(F.broadcast(often), "__id", "left_semi"))
+        at_hub = F.col(key) == F.col("__id")
+        rest = rows.join(hubs, at_hub, "left_anti").join(held, at_hub).unionByName(rows.join(hubs, at_hub))
+        return rest.drop("__id")
+    return rest.join(held, F.col(key) == F.col("__id")).drop("__id")
+
+
+def label_components(pairs: DataFrame, keep, max_rounds: int = 50, hot: int = 100_000) -> DataFrame:
+    """node, component (smallest node reachable) of the nodes of pairs(a, b): minimum labels with pointer jumping.
+
+    A node with more than hot edges, or one that more than hot nodes point to, is never one
+    task's work (looked_up). keep cuts lineage, e.g. by a checkpoint.
+    """
     both = keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = keep(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+    n_edges = both.count()
     for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
+        near = looked_up(both, "b", labels, "node", "component", n_edges, hot).groupBy("a").agg(F.min("component").alias("near"))
         stepped = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", F.coalesce("near", "component")).alias("next"), "component")
-        jumped = stepped.alias("x").join(stepped.select(F.col("node").alias("n2"), F.col("next").alias("far")).alias("y"), F.col("x.next") == F.col("y.n2")).select("node", "component", F.least("next", "far").alias("next"))
+        if n_edges > hot:
+            stepped = keep(stepped)
+        jumped = looked_up(stepped, "next", stepped.select("node", F.col("next").alias("far")), "node", "far", n_edges, hot).select("node", "component", F.least("next", "far").alias("next"))
         jumped = keep(jumped)
         changed = jumped.where("next <> component").limit(1).count()
         labels = jumped.select("node", F.col("next").alias("component"))

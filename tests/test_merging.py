@@ -50,6 +50,27 @@ def test_rounds_of_long_chains(spark, seed, n):
     assert len({g for _, g in want.values()}) > 2
 
 
+@pytest.mark.parametrize("hot", [100_000, 0, 5])
+def test_components_with_hubs(spark, hot):
+    """Two stars, a bridge between their leaves, a long path and pairs, with and without hubs by broadcast."""
+    rng = random.Random(3)
+    edges = [(1000, i) for i in range(1, 200)] + [(2000, i) for i in range(300, 400)] + [(150, 350)]
+    edges += [(i, i + 1) for i in range(5000, 5040)] + [(2 * i, 2 * i + 1) for i in range(4000, 4020)]
+    rng.shuffle(edges)
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    got = claims.label_components(spark.createDataFrame(edges + edges[:30], "a long, b long"), session.checkpointed, hot=hot)
+    assert {r.node: r.component for r in got.collect()} == {x: root(x) for x in parent}
+
+
 def test_cap_falls_on_groups(spark, tmp_path):
     d = written(spark, tmp_path, ["Copies of one statement stand first"] * 50 + [f"zebra{i} lion{i} tiger{i} otter{i} whale{i}" for i in range(60)])
     rows = sorted((r.group_id, r.merged_count) for r in catalog.QUERIES["f18_cap_groups"](spark, d).collect())
