@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlake.functions import rules, sql, text
-from provlake.operators import claims, content, findings, links, provenance, questions, retrieval, titles, urls
+from provlake.operators import claims, content, findings, links, provenance, questions, retrieval, telemetry, titles, urls
 from provlake.plans.session import checkpointed, shared_folder, table, written
 from provlake.sources import entities, layout
 from provlake.streaming import streams
@@ -1144,6 +1144,85 @@ def h06_telemetry_record(spark, d):
     return m.select("run_id", *[F.col("metadata")[k].alias(k) for k in ("discovered_sources", "relevant_sources", "extraction_source_count", "findings_count", "conclusions_count", "search_parallelism", "source_types", "note")])
 
 
+#: what the pages of a run stand for in its record
+RECORDED = {
+    "discovered": "true", "rejected": "state = 'REJECTED'", "selected": "state <> 'REJECTED'", "fetched": "state = 'EVIDENCE_ELIGIBLE'", "failed": "state = 'FETCH_FAILED'", "eligible": "state = 'EVIDENCE_ELIGIBLE'",
+    "sub_questions": "page_id % 8 = 0", "queries": "page_id % 4 = 0", "search_successes": "page_id % 4 = 0 AND page_id % 3 <> 0", "search_failures": "page_id % 12 = 0", "batches": "page_id % 9 = 0",
+    "claims": "page_id % 2 = 0", "merged": "page_id % 10 = 0", "findings": "page_id % 5 = 0", "grounded": "page_id % 5 = 0 AND page_id % 3 <> 0", "unsupported": "page_id % 7 = 0", "evidence": "page_id % 3 = 0",
+    "contradictions": "page_id % 6 = 0", "conclusions": "page_id % 13 = 0", "linked_conclusions": "page_id % 13 = 0", "seconds": "page_id % 2 = 1",
+}
+SHARED = {"ai_provider": "live", "ai_model": "m", "research_provider": "web", "prompt_versions": '{"findings":"2"}', "search_parallelism": "4", "extraction_parallelism": "3"}
+
+
+def recorded(spark, d):
+    """run_id and what run_record takes: forty pages are a run's hits, with hosts of every kind and every outcome."""
+    log = snapshots(spark, d).select("page_id", "http_status", "failure_type")
+    state = outcomes(spark, d).select("page_id", F.col("lifecycle_state").alias("fetched_state"))
+    rows = varied(spark, d).join(state, "page_id").join(log, "page_id", "left").withColumn("policy", urls.exclusion(F.col("url")))
+    out = F.col("policy.excluded")
+    return rows.select(
+        F.floor(F.col("page_id") / 40).alias("run_id"), "page_id", "url", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("title"), urls.classify_domain(F.col("url"))["source_type"].alias("source_type"),
+        F.when(out, "REJECTED").otherwise(F.col("fetched_state")).alias("state"), F.when(out, retrieval.audit_label(F.col("policy.reason"))).alias("reason"), "http_status", "failure_type", F.coalesce("failure_type", F.lit("none")).alias("error"), (F.col("page_id") % 100).alias("word_count"),
+    )
+
+
+def _sql_list(when: str, **columns: str) -> str:
+    fields = " || ','".join(f""" || '"{n}":' || {v}""" for n, v in columns.items()).removeprefix(" || ")
+    return f"""'[' || coalesce(string_agg('{{' || {fields} || '}}', ',' ORDER BY url) FILTER ({when}), '') || ']'"""
+
+
+def _sql_record() -> str:
+    text_ = lambda c: f"""'"' || {c} || '"'"""
+    orelse = lambda c: f"coalesce({c}, 'null')"
+    both = {"url": text_("url"), "title": text_("title")}
+    rejected = _sql_list("state = 'REJECTED'", **both, source_type=text_("kind"), reason=text_("reason"))
+    lists = {
+        "rejected_sources": rejected,
+        "rejected_irrelevant_sources": rejected,
+        "successful_sources": _sql_list("state = 'EVIDENCE_ELIGIBLE'", **both, http_status=orelse("http_status::VARCHAR"), word_count="(page_id % 100)::VARCHAR"),
+        "failed_sources": _sql_list("state = 'FETCH_FAILED'", **both, http_status=orelse("http_status::VARCHAR"), failure_type=orelse(text_("failure_type")), error=text_("coalesce(failure_type, 'none')")),
+        "search_duration_seconds": "(count(*) FILTER (page_id % 3 = 0) * 0.5::DOUBLE)::VARCHAR",
+        "extraction_duration_seconds": "(count(*) FILTER (page_id % 3 = 1) * 0.5::DOUBLE)::VARCHAR",
+        "warnings": """'[' || coalesce(string_agg('"' || title || ' failed"', ',' ORDER BY title) FILTER (state = 'FETCH_FAILED'), '') || ']'""",
+        "constraint_preservation": """'{"temporal_preserved":' || (run_id % 2 = 0)::VARCHAR || ',"n_questions":' || run_id || '}'""",
+        "execution_mode": "CASE run_id % 3 WHEN 0 THEN 'mock' WHEN 1 THEN 'fallback' ELSE 'real' END",
+    }
+    rates = {"source_coverage": ("fetched", "discovered"), "evidence_coverage": ("grounded", "findings"), "successful_fetch_rate": ("fetched", "selected"), "evidence_eligibility_rate": ("eligible", "fetched")}
+    parts = {n: f"g.{n}" for n in lists}
+    parts["quality_metrics"] = "'{" + ",".join(f""""{n}":' || ({_sql_rate(*ab)})::VARCHAR || '""" for n, ab in rates.items()) + ""","conclusion_traceability":' || (conclusions > 0 AND conclusions = linked_conclusions)::VARCHAR || '}'"""
+    parts["source_diversity"] = """'{"unique_domains_count":' || hosts || ',"max_sources_per_domain":2,"source_types":{' || coalesce(types, '') || '}}'"""
+    parts["contradictions_by_category"] = "'{' || coalesce(categories, '') || '}'"
+    parts |= {n: f"'{v}'" for n, v in SHARED.items()}
+    parts |= {name: f"{c}::VARCHAR" for c, many in provenance.TELEMETRY.items() for name in many}
+    record = " || chr(10) || ".join(f"'{n}=' || {parts[n]}" for n in sorted(parts))
+    counted = ", ".join(f"count(*) FILTER ({test}) AS {n}" for n, test in RECORDED.items())
+    return f"""WITH {SQL_OUTCOME}, {SQL_VARIED}, x AS (SELECT v.page_id // 40 AS run_id, v.page_id, v.url, 'p' || v.page_id AS title, {sql_class('v.url', 0)} AS kind, {sql_exclusion('v.url')} AS reason, {sql_host('v.url')} AS host, http_status, failure_type, lifecycle_state FROM varied v JOIN s ON v.page_id = s.page_id JOIN o ON v.page_id = o.page_id),
+y AS (SELECT * REPLACE ({SQL_LABEL} AS reason), CASE WHEN reason = 'allowed' THEN lifecycle_state ELSE 'REJECTED' END AS state FROM x),
+g AS (SELECT run_id, {counted}, {', '.join(f'{v} AS {n}' for n, v in lists.items())}, count(DISTINCT host) FILTER (state <> 'REJECTED') AS hosts FROM y GROUP BY run_id),
+t AS (SELECT run_id, string_agg('"' || kind || '":' || n, ',' ORDER BY kind) AS types FROM (SELECT run_id, kind, count(*) AS n FROM y WHERE state <> 'REJECTED' GROUP BY ALL) GROUP BY run_id),
+c AS (SELECT run_id, string_agg('"' || c || '":' || n, ',' ORDER BY c) AS categories FROM (SELECT run_id, CASE WHEN page_id % 12 = 0 THEN 'SCOPE_DIFFERENCE' ELSE 'DIRECT_CONTRADICTION' END AS c, count(*) AS n FROM y WHERE page_id % 6 = 0 GROUP BY ALL) GROUP BY run_id)
+SELECT g.run_id, {len(parts)} AS n_names, {record} AS record FROM g LEFT JOIN t ON g.run_id = t.run_id LEFT JOIN c ON g.run_id = c.run_id"""
+
+
+@query(_sql_record())
+def h06_run_record(spark, d):
+    """All names of a run's record, each from the operator that makes it."""
+    rows = recorded(spark, d)
+    runs = rows.select("run_id").distinct()
+    out = telemetry.run_record(
+        rows.groupBy("run_id").agg(*[F.count_if(F.expr(test)).alias(n) for n, test in RECORDED.items()]),
+        rows.withColumnRenamed("state", "lifecycle_state"),
+        rows.select("run_id", F.element_at(text.literal_array(["search_and_ranking", "extraction", "fetch"]), (F.col("page_id") % 3 + 1).cast("int")).alias("name"), F.lit(0.5).alias("value")),
+        rows.where("page_id % 6 = 0").select("run_id", F.when(F.col("page_id") % 12 == 0, "SCOPE_DIFFERENCE").otherwise("DIRECT_CONTRADICTION").alias("category")),
+        runs.select("run_id", (F.col("run_id") % 2 == 0).alias("temporal_preserved"), F.col("run_id").alias("n_questions")),
+        rows.where("state = 'FETCH_FAILED'").select("run_id", F.concat("title", F.lit(" failed")).alias("message")),
+        runs.select("run_id", F.when(F.col("run_id") % 3 == 0, "mock").otherwise("live").alias("provider"), (F.col("run_id") % 3 == 1).alias("fell_back")),
+        SHARED,
+    )
+    told = F.transform(F.array_sort(F.map_entries("metadata")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return out.select("run_id", F.size("metadata").alias("n_names"), F.array_join(told, "\n").alias("record"))
+
+
 @query("SELECT user_id, event_type, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts)))::BIGINT AS micros FROM events GROUP BY user_id, event_type")
 def h07_stage_timing(spark, d):
     return provenance.stage_timing(table(spark, d, "events"), "user_id", "event_type", "ts")
