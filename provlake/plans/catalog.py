@@ -962,15 +962,17 @@ claims AS (SELECT * FROM every WHERE cause IS NULL)"""
 SQL_FOUND = SQL_USED + SQL_GROUPS.removeprefix(SQL_CLAIMS).replace("c.*, c.doc_id AS source_id, r.group_id", "c.*, r.group_id") + f""",
 g AS (SELECT run_id, group_id, coalesce(max(CASE WHEN length(statement) < 300 THEN {{'n': length(statement), 'i': -claim_id, 's': statement}} END).s, min_by(statement, claim_id)) AS statement, min_by(finding_type, claim_id) AS finding_type, min_by(importance, claim_id) AS importance, count(*) AS merged_count FROM merged GROUP BY run_id, group_id),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY group_id) AS n FROM g) WHERE n <= 40)"""
-SQL_STANDING = f""",
-known AS (SELECT group_id, count(DISTINCT source_id) AS k, count(*) AS n_evidence, round(avg(source_id % 8 / 8.0::DOUBLE), 6) AS rel, round(avg(coalesce(quality::DOUBLE, 0.75)), 6) AS cred, min(CASE {SQL_ROLE.format(q="coalesce(quality::DOUBLE, 0.75)", t="'general_web'", r="(source_id % 8 / 8.0::DOUBLE)")} WHEN 'PRIMARY' THEN 1 WHEN 'SECONDARY' THEN 2 WHEN 'SUPPORTING' THEN 3 ELSE 4 END) AS place FROM merged m LEFT JOIN labels l ON m.source_id = l.doc_id GROUP BY group_id),
-reps AS (SELECT run_id, lower(trim(statement, ' ')) AS folded, min(claim_id) AS rep FROM merged GROUP BY ALL),
+#: group_id, severity: the worst conflict of each group
+SQL_WORST = f"""reps AS (SELECT run_id, lower(trim(statement, ' ')) AS folded, min(claim_id) AS rep FROM merged GROUP BY ALL),
 typed AS (SELECT run_id, lower(trim(statement, ' ')) AS folded, finding_type, min(claim_id) AS claim_id, min_by(statement, claim_id) AS statement, min(group_id) AS group_id FROM merged GROUP BY ALL),
 told AS (SELECT * FROM typed JOIN reps USING (run_id, folded)),
 w AS (SELECT a.group_id AS ga, b.group_id AS gb, a.statement AS sa, b.statement AS sb, a.finding_type AS ta, b.finding_type AS tb FROM (SELECT run_id, id_a, id_b FROM pairs UNION ALL SELECT run_id, rep, rep FROM reps) p JOIN told a ON p.run_id = a.run_id AND id_a = a.rep JOIN told b ON p.run_id = b.run_id AND id_b = b.rep WHERE a.claim_id <> b.claim_id),
 parts AS (SELECT *, {_sql_parts('sa')}, {_sql_parts('sb')} FROM w),
 conflicts AS (SELECT ga, gb, split_part({SQL_CONFLICT}, '/', 2) AS severity FROM parts),
-worst AS (SELECT group_id, ['low', 'medium', 'high'][max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)] AS severity FROM (SELECT ga AS group_id, severity FROM conflicts UNION ALL SELECT gb, severity FROM conflicts) WHERE severity IS NOT NULL GROUP BY group_id),
+worst AS (SELECT group_id, ['low', 'medium', 'high'][max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)] AS severity FROM (SELECT ga AS group_id, severity FROM conflicts UNION ALL SELECT gb, severity FROM conflicts) WHERE severity IS NOT NULL GROUP BY group_id)"""
+SQL_STANDING = f""",
+known AS (SELECT group_id, count(DISTINCT source_id) AS k, count(*) AS n_evidence, round(avg(source_id % 8 / 8.0::DOUBLE), 6) AS rel, round(avg(coalesce(quality::DOUBLE, 0.75)), 6) AS cred, min(CASE {SQL_ROLE.format(q="coalesce(quality::DOUBLE, 0.75)", t="'general_web'", r="(source_id % 8 / 8.0::DOUBLE)")} WHEN 'PRIMARY' THEN 1 WHEN 'SECONDARY' THEN 2 WHEN 'SUPPORTING' THEN 3 ELSE 4 END) AS place FROM merged m LEFT JOIN labels l ON m.source_id = l.doc_id GROUP BY group_id),
+{SQL_WORST},
 r AS (SELECT kept.*, k, n_evidence, ['PRIMARY', 'SECONDARY', 'SUPPORTING', 'DISCOVERY_ONLY'][place] AS role, severity, CASE WHEN severity IS NULL THEN 0.0::DOUBLE WHEN severity = 'high' THEN 0.15::DOUBLE WHEN severity = 'medium' THEN 0.08::DOUBLE ELSE 0.04::DOUBLE END AS penalty, CASE WHEN k >= 3 THEN 0.15::DOUBLE WHEN k = 2 THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END AS bonus, rel, cred FROM kept JOIN known USING (group_id) LEFT JOIN worst USING (group_id)),
 z AS (SELECT *, 0.2::DOUBLE * 1 + 0.3::DOUBLE * least(1.0::DOUBLE, rel) + 0.3::DOUBLE * least(1.0::DOUBLE, cred) + bonus - penalty AS raw FROM r)"""
 
@@ -993,6 +995,14 @@ def f21_finding_counts(spark, d):
     return found(spark, d).counts
 
 
+#: its pieces are those of the findings
+ORACLE_SQL["f17_calibrate_groups"] = f"""WITH RECURSIVE {SQL_GROUPS},
+known AS (SELECT group_id, count(DISTINCT source_id) AS k, round(avg(relevance), 6) AS rel, round(avg(coalesce(quality::DOUBLE, 0.75)), 6) AS cred FROM merged LEFT JOIN labels USING (doc_id) GROUP BY group_id),
+{SQL_WORST},
+r AS (SELECT known.*, CASE WHEN severity IS NULL THEN 0.0::DOUBLE WHEN severity = 'high' THEN 0.15::DOUBLE WHEN severity = 'medium' THEN 0.08::DOUBLE ELSE 0.04::DOUBLE END AS penalty, CASE WHEN k >= 3 THEN 0.15::DOUBLE WHEN k = 2 THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM known LEFT JOIN worst USING (group_id))
+SELECT group_id, round(round(least(0.95::DOUBLE, greatest(0.15::DOUBLE, 0.2::DOUBLE * 1 + 0.3::DOUBLE * least(1.0::DOUBLE, rel) + 0.3::DOUBLE * least(1.0::DOUBLE, cred) + bonus - penalty)), 6)::DECIMAL(18, 6), 2)::DOUBLE AS confidence, bonus AS corroboration_bonus, penalty AS contradiction_penalty FROM r"""
+
+
 # --- H
 
 
