@@ -9,7 +9,9 @@ shuffle: every task packs what it reads, whatever the sizes of sources or copies
 
 Defined results: a null text is an empty one and gives just the end id; a null doc_id and
 repeated rows are packed like any other row; an empty table gives no rows; other columns
-of the input are ignored. Very long texts become many full sequences.
+of the input are ignored. Very long texts become many full sequences. Ties: of pieces of
+one length the one read first is dealt first, and of sequences of one cost the first
+opened takes it, so that equal tasks give equal sequences.
 """
 
 from __future__ import annotations

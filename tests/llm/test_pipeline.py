@@ -99,3 +99,35 @@ def test_stages_on_awkward_and_empty_rows(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+CLASHING = ["tokens", "score", "grp", "node", "copies", "component_id", "kept", "predicted", "toxic", "quality", "item_id", "host", "line", "lines", "n", "win", "words", "text_key", "n_shingles", "n_hit", "pos", "col", "key", "value", "id", "ord"]
+PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
+AWKWARD = [(1, None, "en", "s", 0), (2, "", "en", None, 0), (3, "  \n\n ", None, "s", 4), (4, "one two three four five six seven eight nine ten", "en", "s", 9), (4, "one two three four five six seven eight nine ten", "en", "s", 9), (None, "a text whose id is not known to anyone here at all", "en", "s", 9), (None, None, None, None, None)]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_clashing_columns_keep_their_values(spark, name):
+    """Columns named as the operators' own ones pass through; nulls stay, and of repeated rows near-dedup alone keeps one."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(AWKWARD, PLAIN)
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = out.collect()
+    for r in got:
+        assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for c in CLASHING)
+    ids = Counter(r.doc_id for r in got)
+    assert ids == Counter({1: 1, 2: 1, 3: 1, 4: 1 if name == "near-dedup" else 2, None: 2})
+    assert next(r for r in got if r.doc_id == 1).text is None
+
+
+def test_packing_ignores_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(AWKWARD, PLAIN)
+    more = docs.withColumns({c: F.lit("x") for c in ("start", "length", "sequence_id", "offset", "ids_crc32", "doc_tokens", *CLASHING)})
+    counted = lambda df: Counter((r.doc_id, r.length, r.ids_crc32) for r in corpus_pipeline.pack(spark, df, DATA).collect())
+    assert counted(more) == counted(docs) and sum(counted(docs).values()) == 7
