@@ -53,12 +53,18 @@ def numeric_claims(text: Column) -> Column:
     return F.struct(*[F.regexp_extract_all(text, F.lit(p), 0).alias(n) for n, p in (("ranges", RANGE), ("percentages", PERCENTAGE), ("currencies", CURRENCY), ("ratios", RATIO))])
 
 
+#: fixed values: what is cut from a statement's start, the signs that stay in it, and what a token of it is
+LEADING = r"^[\s\d\-.*•\"'\[\]()]+"
+OTHER_SIGNS = r"[^\p{L}\p{N}_\s%$\-:]"
+STATEMENT_TOKEN = r"([a-z0-9%$:\-]+)"
+
+
 def normalize_statement(text: Column) -> Column:
     """Lower case, without leading bullets and digits, hedging phrases and other signs than % $ - :"""
-    out = F.regexp_replace(F.trim(F.lower(text)), r"^[\s\d\-.*•\"'\[\]()]+", "")
+    out = F.regexp_replace(F.trim(F.lower(text)), LEADING, "")
     for hedge in rules.HEDGES:
         out = F.trim(F.regexp_replace(out, rf"^{hedge}\s+", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}_\s%$\-:]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, OTHER_SIGNS, " "), r"\s+", " "))
 
 
 def stem(word: Column) -> Column:
@@ -72,7 +78,7 @@ def stem(word: Column) -> Column:
 
 def statement_tokens(text: Column) -> Column:
     """Distinct stemmed content words of a statement."""
-    found = F.regexp_extract_all(normalize_statement(text), F.lit(r"([a-z0-9%$:\-]+)"), 1)
+    found = F.regexp_extract_all(normalize_statement(text), F.lit(STATEMENT_TOKEN), 1)
     kept = F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(rules.STOP_WORDS))
     return F.array_distinct(F.transform(kept, stem))
 
