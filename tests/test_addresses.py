@@ -59,7 +59,7 @@ def test_safety_of_literal_addresses(spark):
     assert values(spark, list(others), lambda c: urls.url_safety(c)["reason"]) == list(others.values())
 
 
-@pytest.mark.parametrize("name", ["b02_ipv6_safety"])
+@pytest.mark.parametrize("name", ["b02_url_safety", "b02_ipv6_safety"])
 def test_queries_on_large_keys(spark, tmp_path, name):
     """Keys whose products pass 64 bits, against SQL with its key as a HUGEINT."""
     import duckdb
