@@ -51,7 +51,7 @@ def run_findings(candidates: DataFrame, sources: DataFrame, keep, run: str = "ru
     every = keep(judged(candidates, sources, inverted))
     used = every.where("cause is null").drop("cause")
     texts = keep(claims.featured(claims.texts_of(used, run)))
-    pairs = keep(claims.text_pairs(texts, run, "claim_id", threshold))
+    pairs = keep(claims.text_pairs(texts, run, "claim_id", threshold, keep=keep))
     merged = keep(claims.merge_texts(used, texts, pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), keep, run, "claim_id"))
     groups = claims.canonical(merged, run)
     kept = keep(claims.cap_per(groups, run, ["group_id"], most))

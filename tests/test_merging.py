@@ -101,3 +101,27 @@ def test_penalty_of_all_members(spark, tmp_path):
     want = brute_conflicts(spark, d)
     assert got == {g: want.get(g, 0.0) for g in got}
     assert sorted(want.values()) == [0.04, 0.08] and got[2] == 0.04
+
+
+@pytest.mark.parametrize("threshold, containment, meet", [(0.55, 0.65, 4096), (0.55, 0.65, 3), (0.75, None, 2), (0.3, 0.9, 3)])
+def test_pairs_are_judged_where_they_meet(spark, monkeypatch, threshold, containment, meet):
+    """All pairs as by comparing all, with tokens in shards; no pair is moved before it is known to hold."""
+    rng = random.Random(meet)
+    monkeypatch.setattr(claims, "MEET", meet)
+    words = [f"{c}{c}word" for c in "abcdefghijkl"]
+    rows = [(r, r * 1000 + i, " ".join(rng.sample(words, rng.randint(1, 7))) + rng.choice(["", "", "", " 12 mills", " 30%"])) for r in (1, 2) for i in range(120)]
+    texts = claims.featured(claims.texts_of(spark.createDataFrame(rows, "run_id int, claim_id long, statement string"))).cache()
+    got = claims.text_pairs(texts, "run_id", "claim_id", threshold, containment, session.checkpointed)
+    side = lambda s: texts.select(F.col("run_id").alias(f"{s}run"), *[F.col(c).alias(f"{s}{c}") for c in ("claim_id", "statement", "toks", "nums")])
+    want = side("a_").crossJoin(side("b_")).where("a_run = b_run and a_claim_id < b_claim_id").where(claims.duplicate("a_", "b_", threshold, containment))
+    found = sorted(map(tuple, got.collect()))
+    assert found and found == sorted(map(tuple, want.select("a_run", "a_claim_id", "b_claim_id").collect()))
+    assert "Exchange" not in got._jdf.queryExecution().optimizedPlan().toString() and got._jdf.queryExecution().sparkPlan().toString().split("Join")[0].count("Aggregate") == 0
+
+
+def test_edges_for_components_grow_with_nodes(spark):
+    every = spark.range(60).selectExpr("id as a").crossJoin(spark.range(60).selectExpr("id as b")).where("a < b and a % 3 = b % 3").coalesce(2)
+    few = claims.spanning(every)
+    assert few.count() <= 2 * 57 < every.count()
+    got = {r.node: r.component for r in claims.label_components(few, session.checkpointed).collect()}
+    assert got == {i: i % 3 for i in range(60)}
