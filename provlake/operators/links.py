@@ -26,26 +26,37 @@ def link_contradictions(candidates: DataFrame, table: DataFrame, run: str = "run
     return found.withColumns({"category": F.coalesce("category", F.lit("DIRECT_CONTRADICTION")), "severity": F.coalesce("severity", F.lit("medium"))})
 
 
+def traits(text: Column) -> Column:
+    """struct of what conflict() compares of a claim: regions, years, other numbers, and whether each cue is there."""
+    plain = F.filter(numbers(text), lambda x: ~x.rlike("^20[2-5][0-9]$"))
+    cues = F.array(*[F.lower(text).rlike(pattern) for _, _, pattern in CUES])
+    return F.struct(geographies(text).alias("regions"), years(text).alias("years"), plain.alias("numbers"), cues.alias("cues"))
+
+
 def conflict(a: Column, b: Column, type_a: Column, type_b: Column) -> Column:
     """struct(category, severity) of two claims on one topic, or null: one category, the first that fits."""
+    return traits_conflict(traits(a), traits(b), type_a, type_b)
+
+
+def traits_conflict(a: Column, b: Column, type_a: Column, type_b: Column) -> Column:
+    """conflict() of claims by their traits, which are read off a claim once, not once a pair."""
     other = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)) > 0)
-    plain = lambda t: F.filter(numbers(t), lambda x: ~x.rlike("^20[2-5][0-9]$"))
     out = (
-        F.when(other(geographies(a), geographies(b)), F.struct(F.lit("SCOPE_DIFFERENCE").alias("category"), F.lit("low").alias("severity")))
-        .when(other(years(a), years(b)), F.struct(F.lit("TIME_PERIOD_DIFFERENCE").alias("category"), F.lit("low").alias("severity")))
-        .when(other(plain(a), plain(b)) & ~F.arrays_overlap(plain(a), plain(b)), F.struct(F.lit("DIRECT_CONTRADICTION").alias("category"), F.lit("high").alias("severity")))
+        F.when(other(a["regions"], b["regions"]), F.struct(F.lit("SCOPE_DIFFERENCE").alias("category"), F.lit("low").alias("severity")))
+        .when(other(a["years"], b["years"]), F.struct(F.lit("TIME_PERIOD_DIFFERENCE").alias("category"), F.lit("low").alias("severity")))
+        .when(other(a["numbers"], b["numbers"]) & ~F.arrays_overlap(a["numbers"], b["numbers"]), F.struct(F.lit("DIRECT_CONTRADICTION").alias("category"), F.lit("high").alias("severity")))
     )
-    for category, severity, pattern in CUES:
-        out = out.when(F.lower(a).rlike(pattern) != F.lower(b).rlike(pattern), F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity")))
+    for k, (category, severity, _) in enumerate(CUES):
+        out = out.when(a["cues"][k] != b["cues"][k], F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity")))
     tension = ((type_a == "fact") & (type_b == "risk")) | ((type_a == "risk") & (type_b == "fact"))
     return out.when(tension, F.struct(F.lit("CONTEXTUAL_TENSION").alias("category"), F.lit("medium").alias("severity")))
 
 
 def detect_contradictions(pairs: DataFrame, claims: DataFrame, run: str = "run_id") -> DataFrame:
     """run, id_a, id_b, category, severity of same-topic pairs(run, id_a, id_b) that conflict (G3). claims(run, claim_id, statement, finding_type)."""
-    side = lambda s: claims.select(run, F.col("claim_id").alias(f"id_{s}"), F.col("statement").alias(f"s_{s}"), F.col("finding_type").alias(f"t_{s}"))
+    side = lambda s: claims.select(run, F.col("claim_id").alias(f"id_{s}"), traits(F.col("statement")).alias(f"s_{s}"), F.col("finding_type").alias(f"t_{s}"))
     both = pairs.join(side("a"), [run, "id_a"]).join(side("b"), [run, "id_b"])
-    found = both.withColumn("c", conflict(F.col("s_a"), F.col("s_b"), F.col("t_a"), F.col("t_b"))).where("c is not null")
+    found = both.withColumn("c", traits_conflict(F.col("s_a"), F.col("s_b"), F.col("t_a"), F.col("t_b"))).where("c is not null")
     return found.select(run, "id_a", "id_b", "c.category", "c.severity")
 
 
@@ -78,10 +89,10 @@ def group_conflict(pairs: DataFrame, merged: DataFrame, run: str = "run_id") ->
     named = folded.groupBy(run, "folded").agg(F.min("claim_id").alias("__rep"))
     typed = folded.groupBy(run, "folded", "finding_type").agg(F.min("claim_id").alias("claim_id"), F.min_by("statement", "claim_id").alias("statement"), F.min("group_id").alias("group_id"))
     said = typed.join(named, [run, "folded"])
-    side = lambda s: said.select(run, F.col("__rep").alias(f"id_{s}"), F.col("group_id").alias(f"g_{s}"), F.col("claim_id").alias(f"c_{s}"), F.col("statement").alias(f"s_{s}"), F.col("finding_type").alias(f"t_{s}"))
+    side = lambda s: said.select(run, F.col("__rep").alias(f"id_{s}"), F.col("group_id").alias(f"g_{s}"), F.col("claim_id").alias(f"c_{s}"), traits(F.col("statement")).alias(f"s_{s}"), F.col("finding_type").alias(f"t_{s}"))
     same = named.select(run, F.col("__rep").alias("id_a"), F.col("__rep").alias("id_b"))
     both = pairs.select(run, "id_a", "id_b").unionByName(same).join(side("a"), [run, "id_a"]).join(side("b"), [run, "id_b"]).where("c_a <> c_b")
-    found = both.withColumn("c", conflict(F.col("s_a"), F.col("s_b"), F.col("t_a"), F.col("t_b"))).where("c is not null")
+    found = both.withColumn("c", traits_conflict(F.col("s_a"), F.col("s_b"), F.col("t_a"), F.col("t_b"))).where("c is not null")
     return claim_conflict(found.select(F.col("g_a").alias("id_a"), F.col("g_b").alias("id_b"), "c.severity")).withColumnRenamed("claim_id", "group_id")
 
 

@@ -125,3 +125,13 @@ def test_edges_for_components_grow_with_nodes(spark):
     assert few.count() <= 2 * 57 < every.count()
     got = {r.node: r.component for r in claims.label_components(few, session.checkpointed).collect()}
     assert got == {i: i % 3 for i in range(60)}
+
+
+def test_a_claim_is_read_once_not_once_a_pair(spark):
+    from provlake.operators import links
+
+    said = spark.createDataFrame([(1, 1, "Output rose in China", "fact"), (1, 2, "Output rose in India", "fact"), (1, 3, "Output rose in India by 2030", "risk")], "run_id int, claim_id long, statement string, finding_type string")
+    pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 3)], "run_id int, id_a long, id_b long")
+    got = links.detect_contradictions(pairs, said)
+    assert sorted((r.id_a, r.id_b, r.category) for r in got.collect()) == [(1, 2, "SCOPE_DIFFERENCE"), (2, 3, "CONTEXTUAL_TENSION")]
+    assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0].upper()
