@@ -26,12 +26,6 @@ def matching_blocks(late: str, early: str, threshold: float) -> bool:
     return SequenceMatcher(None, late, early).ratio() >= threshold
 
 
-def edits(late: Column, early: Column) -> Column:
-    """1 minus the edit distance over the longer length."""
-    longest = F.greatest(F.length(late), F.length(early))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(late, early) / longest)
-
-
 def _edits(a: str, b: str) -> float:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -41,46 +35,105 @@ def _edits(a: str, b: str) -> float:
     return 1 - row[-1] / max(len(a), len(b)) if a or b else 1.0
 
 
-def _similar(pairs: DataFrame, threshold: float, similarity: str) -> DataFrame:
-    """The pairs (g, early, late, early_t, late_t) that are similar, without their titles."""
-    if similarity == "edits":
-        return pairs.where(edits(F.col("late_t"), F.col("early_t")) >= threshold).select("g", "early", "late")
+#: titles of a group in one cell: the most that a task holds of one side, each met by as many of the other
+CELL = 4096
+#: words of 64 bits that mark a title's pairs of characters, and its characters
+PAIR_WORDS, CHAR_WORDS = 4, 2
+
+
+def _numbered(parts: Column) -> Column:
+    """Hashes of an array's elements, each with its number among equal ones."""
+    return F.transform(parts, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(parts, F.lit(1), i), lambda y: y == x))))
 
-    def run(batches):
-        for batch in batches:
-            ok = [matching_blocks(a, b, threshold) for a, b in zip(batch.column("late_t").to_pylist(), batch.column("early_t").to_pylist(), strict=True)]
-            yield batch.select(["g", "early", "late"]).filter(pa.array(ok, type=pa.bool_()))
 
-    return pairs.mapInArrow(run, "g string, early long, late long")
+def marked(rows: DataFrame, t: str = "t") -> DataFrame:
+    """Adds n, the length of a title, and marks, words of 64 bits: a bit for each counted pair of characters, and for each counted character.
 
+    Where all but k of a title's pairs are in another, at most k of its marks are not.
+    """
+
+    def words(hashes: str, n: int) -> list[Column]:
+        one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return [F.aggregate(F.filter(hashes, lambda x: F.pmod(F.shiftright(x, 6), F.lit(n)) == k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x))) for k in range(n)]  # noqa: B023
+
+    cut = rows.withColumn("n", F.length(t)).withColumn("__c", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substr(t, i, F.lit(1)))).otherwise(F.array().cast("array<string>")))
+    cut = cut.withColumn("__p", F.transform(F.slice("__c", F.lit(1), F.greatest(F.size("__c") - 1, F.lit(0))), lambda c, i: F.concat(c, F.get("__c", i + 1))))
+    return cut.withColumns({"__c": _numbered(F.col("__c")), "__p": _numbered(F.col("__p"))}).withColumn("marks", F.struct(*[w.alias(f"p{k}") for k, w in enumerate(words("__p", PAIR_WORDS))], *[w.alias(f"c{k}") for k, w in enumerate(words("__c", CHAR_WORDS))])).drop("__c", "__p")
 
-def _pieces(rows: DataFrame, threshold: float) -> DataFrame:
-    """g, place, t, n, piece: the rarest counted pairs of characters of each title, of which two similar titles share one.
 
-    Of two similar titles of lengths n and m, at most (1 - threshold)(n + m) characters lie
-    outside their common blocks. Each breaks two of a title's own pairs or one of the
+def may_be_near(threshold: float, similarity: str, a: str = "late", b: str = "early") -> Column:
+    """A cheap necessary condition of the similarity of two titles, by columns {a}_n, {a}_marks, {b}_n and {b}_marks.
+
+    An edit changes two of a title's own pairs of characters and one character at most. Of
+    two titles of lengths n and m with blocks in common, at most (1 - threshold)(n + m)
+    characters lie outside of these; each breaks two of a title's own pairs or one of the
     other's, so that at most 4 (1 - threshold) n / (2 - threshold) pairs of a title are not
-    in common: one more of its rarest ones meet. Where that is all of them, a title also
-    has the empty piece.
+    in common.
+    """
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    gone = lambda x, y, kind, k: sum(F.bit_count(F.col(f"{x}_marks.{kind}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}_marks.{kind}{i}")))) for i in range(k))
+    if similarity == "edits":
+        most = F.floor((1 - threshold) * F.greatest(n, m) + 1e-6)
+        lost = {a: (2 * most, most), b: (2 * most, most)}
+        long_enough = F.abs(n - m) <= most
+    else:
+        lost = {x: (F.floor(4 * (1 - threshold) * k / (2 - threshold) + 1e-6), F.floor(k - threshold * (n + m) / 2 + 1e-6)) for x, k in ((a, n), (b, m))}
+        long_enough = 2 * F.least(n, m) >= threshold * (n + m) - 1e-6
+    out = long_enough
+    for x, y in ((a, b), (b, a)):
+        out = out & (gone(x, y, "p", PAIR_WORDS) <= lost[x][0]) & (gone(x, y, "c", CHAR_WORDS) <= lost[x][1])
+    return out
+
+
+def near_by_edits(threshold: float, a: str = "late", b: str = "early") -> Column:
+    """Whether two titles are similar by edits, by columns {a}_t, {a}_n, {b}_t and {b}_n; the distance is sought up to the most edits allowed."""
+    longest = F.greatest(f"{a}_n", f"{b}_n")
+    most = F.floor((1 - threshold) * longest + 1e-6).cast("int")
+    d = F.call_function("levenshtein", F.col(f"{a}_t"), F.col(f"{b}_t"), most)
+    return F.when(longest == 0, 1.0 >= F.lit(threshold)).otherwise((d >= 0) & (1 - d / longest >= threshold))
+
+
+def met(late: DataFrame, early: DataFrame, condition: Column, how: str) -> DataFrame:
+    """late joined with early on g and cell, where the condition holds: each pair of rows meets once, in a task that holds a cell of CELL rows at a time.
+
+    late(g, late_cells array<int>, late_cell, ...), early(g, early_cells, early_cell, ...):
+    a row goes to the cells of the other side. Partitions are asked for by number, so that
+    small but busy ones are not put together.
     """
-    lost = F.floor(4 * (1 - threshold) * F.col("n") / (2 - threshold) + 1e-9)
-    two = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substr("t", i, F.lit(2)))
-    counted = F.transform("two", lambda x, i: F.concat(x, F.size(F.filter(F.slice("two", F.lit(1), i), lambda y: y == x)).cast("string")))
-    cut = rows.select("g", "place", "t", F.length("t").alias("n")).withColumn("two", F.when(F.col("n") > 1, two).otherwise(F.array().cast("array<string>")))
-    each = cut.select("g", "place", "t", "n", F.explode(counted).alias("piece"))
-    often = each.groupBy("g", "piece").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("g", "place").orderBy("df", "piece"))
-    rare = each.join(often, ["g", "piece"]).withColumn("r", rank).where(F.col("r") <= lost + 1).select("g", "place", "t", "n", "piece")
-    return rare.unionByName(cut.where(F.col("n") - 1 <= lost).select("g", "place", "t", "n", F.lit("").alias("piece")))
+    n_tasks = int(late.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = late.withColumn("y", F.explode("late_cells")).withColumn("x", F.col("late_cell")).drop("late_cells", "late_cell").repartition(n_tasks, "g", "x", "y")
+    a = early.withColumn("x", F.explode("early_cells")).withColumn("y", F.col("early_cell")).drop("early_cells", "early_cell").repartition(n_tasks, "g", "x", "y")
+    a = a.withColumnsRenamed({"g": "__g", "x": "__x", "y": "__y"})
+    same = (F.col("g") == F.col("__g")) & (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y"))
+    return b.join(a.hint("merge"), same & condition, how)
+
+
+def _side(rows: DataFrame, name: str, first: int, last: int) -> DataFrame:
+    """rows(g, place, t, n, marks) as one side of met: they go to the cells of the places from first to last."""
+    cells = F.sequence(F.lit(first // CELL), F.lit(last // CELL))
+    return rows.select("g", F.col("place").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("t", "n", "marks")], cells.alias(f"{name}_cells"), F.floor(F.col("place") / CELL).cast("int").alias(f"{name}_cell"))
 
 
 def _edges(late: DataFrame, early: DataFrame, threshold: float, similarity: str) -> DataFrame:
-    """g, early, late: the similar pairs of two sets of pieces, earlier rows first."""
-    a = early.select("g", "piece", F.col("place").alias("early"), F.col("t").alias("early_t"), F.col("n").alias("m"))
-    b = late.select("g", "piece", F.col("place").alias("late"), F.col("t").alias("late_t"), "n")
-    shortest = threshold / (2 - threshold) if similarity == "blocks" else threshold
-    near = b.join(a, ["g", "piece"]).where("early < late").where(F.least("n", "m") >= shortest * F.greatest("n", "m") - 1e-9)
-    return _similar(near.select("g", "early", "late", "early_t", "late_t").distinct(), threshold, similarity)
+    """g, early, late: the similar pairs of two sides (_side), earlier rows first."""
+    near = (F.col("early") < F.col("late")) & may_be_near(threshold, similarity)
+    if similarity == "edits":
+        return met(late, early, near & near_by_edits(threshold), "inner").select("g", "early", "late")
+
+    def run(batches):
+        for batch in batches:
+            ok = [matching_blocks(a, b, threshold) for a, b in zip(batch.column("late_t").to_pylist(), batch.column("early_t").to_pylist(), strict=True)]
+            yield batch.select(["g", "early", "late"]).filter(pa.array(ok, type=pa.bool_()))
+
+    return met(late, early, near, "inner").select("g", "early", "late", "early_t", "late_t").mapInArrow(run, "g string, early long, late long")
+
+
+def _like_earlier(late: DataFrame, early: DataFrame, threshold: float, similarity: str) -> DataFrame:
+    """g, place: the rows of one side that are similar to a row of the other."""
+    if similarity == "edits":  # the first such row will do
+        near = (F.col("early") < F.col("late")) & may_be_near(threshold, similarity) & near_by_edits(threshold)
+        return met(late, early, near, "left_semi").select("g", F.col("late").alias("place")).distinct()
+    return _edges(late, early, threshold, similarity).select("g", F.col("late").alias("place")).distinct()
 
 
 def first_kept(rows: DataFrame, edges: DataFrame, keep) -> DataFrame:
@@ -90,6 +143,8 @@ def first_kept(rows: DataFrame, edges: DataFrame, keep) -> DataFrame:
     and their later neighbours dropped, until no edge is left between undecided rows.
     """
     edges = keep(edges)
+    if edges.isEmpty():
+        return rows.select("g", "place")
     kept = rows.join(edges.select("g", F.col("late").alias("place")).distinct(), ["g", "place"], "left_anti").select("g", "place")
     free, rounds = kept, [kept]
     while True:
@@ -130,6 +185,16 @@ def _placed(rows: DataFrame, keep, first: int, most: int) -> DataFrame:
     return placed.withColumn("block", (doubled + F.when(place >= last, F.floor((place - last) / most)).otherwise(0)).cast("long")).drop("part", "local", "before")
 
 
+def _bounds(block: int, first: int, most: int) -> tuple[int, int]:
+    """The places of a block: from the first, up to the second without it (_placed)."""
+    steps = 0
+    while first << steps < most:
+        steps += 1
+    if block <= steps:
+        return first << block - 1, first << block
+    return (first << steps) + (block - steps - 1) * most, (first << steps) + (block - steps) * most
+
+
 def dedup_titles_ordered(df: DataFrame, key: str, order: str, threshold: float = 0.85, similarity: str = "blocks", keep=None, first_block: int = FIRST_BLOCK, most_block: int = MOST_BLOCK) -> DataFrame:
     """Rows whose title is not similar to an earlier kept one of the key and publisher (D5, ordered form).
 
@@ -138,7 +203,7 @@ def dedup_titles_ordered(df: DataFrame, key: str, order: str, threshold: float =
     against the titles it has kept. Of equal titles only the first can be kept. A group's
     first rows are decided by such a loop in one task; the rows after them in blocks that
     double: those similar to a kept row are dropped, and of the rest first_kept decides.
-    Candidates meet on rare pairs of characters, so that a publisher of any size is spread.
+    Titles meet in cells of bounded size, where marks tell most pairs apart, so that a publisher of any size is spread.
     Rows without a publisher are kept; a null title is an empty one. keep materialises
     steps, e.g. by a checkpoint.
     """
@@ -170,14 +235,15 @@ def dedup_titles_ordered(df: DataFrame, key: str, order: str, threshold: float =
     blocks = placed.agg(F.max("block")).first()[0] or 0
     if blocks:
         large = placed.where("block > 0").select("g").distinct()
-        pieces = keep(_pieces(placed.join(large, "g", "left_semi"), threshold).join(placed.select("g", "place", "block"), ["g", "place"]))
+        titled = keep(marked(placed.join(large, "g", "left_semi").select("g", "place", "block", "t")))
         for b in range(1, blocks + 1):
-            now = pieces.where(F.col("block") == b)
-            earlier = pieces.where(F.col("block") < b).join(kept, ["g", "place"], "left_semi")
-            gone = _edges(now, earlier, threshold, similarity).select("g", F.col("late").alias("place")).distinct()
+            first, last = _bounds(b, first_block, most_block)
+            now = titled.where(F.col("block") == b)
+            earlier = titled.where(F.col("block") < b).join(kept, ["g", "place"], "left_semi").join(now.select("g").distinct(), "g", "left_semi")
+            gone = _like_earlier(_side(now, "late", 0, first - 1), _side(earlier, "early", first, last - 1), threshold, similarity)
             left = keep(now.join(gone, ["g", "place"], "left_anti"))
-            ids = keep(placed.where(F.col("block") == b).select("g", "place").join(gone, ["g", "place"], "left_anti"))
-            kept = keep(kept.unionByName(first_kept(ids, _edges(left, left, threshold, similarity), keep)))
+            edges = _edges(_side(left, "late", first, last - 1), _side(left, "early", first, last - 1), threshold, similarity)
+            kept = keep(kept.unionByName(first_kept(left.select("g", "place"), edges, keep)))
     chosen = placed.join(kept, ["g", "place"], "left_semi").select(F.col("g").alias("__g"), F.col("t").alias("__t"), F.col("o").alias("__o"))
     same = (F.col("a.__g") == F.col("b.__g")) & (F.col("a.__t") == F.col("b.__t")) & (F.col(f"a.{order}") == F.col("b.__o"))
     return named.where("__p <> ''").alias("a").join(chosen.alias("b"), same, "left_semi").select(*df.columns).unionByName(named.where("__p = ''").select(*df.columns))

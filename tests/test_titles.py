@@ -79,3 +79,19 @@ def test_lost_pairs_are_bounded(text, changes, threshold):
         shared = sum((pairs[0] & pairs[1]).values())
         for t in (text, other):
             assert max(0, len(t) - 1) - shared <= 4 * (1 - threshold) * len(t) / (2 - threshold) + 1e-9
+
+
+@pytest.mark.parametrize("similarity, threshold", [("edits", 0.85), ("edits", 0.5), ("blocks", 0.85), ("blocks", 0.6)])
+def test_marks_never_part_similar_titles(spark, similarity, threshold):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("aabthe né") for _ in range(rng.randrange(0, 70))) for _ in range(30)]
+    texts = sorted({"".join(rng.choice(["", "x", "é", c + "a"]) if rng.random() < 0.08 else c for c in rng.choice(base)) for _ in range(120)} | {"", "a"})
+    every = titles.marked(spark.createDataFrame([(t,) for t in texts], "t string"))
+    a, b = (every.select([F.col(c).alias(f"{s}_{c}") for c in every.columns]) for s in ("late", "early"))
+    both = a.crossJoin(b).select("late_t", "early_t", titles.may_be_near(threshold, similarity).alias("may"), titles.near_by_edits(threshold).alias("near")).collect()
+    if similarity == "edits":
+        near = {(r.late_t, r.early_t) for r in both if titles._edits(r.late_t, r.early_t) >= threshold}
+        assert near == {(r.late_t, r.early_t) for r in both if r.near}
+    else:
+        near = {(r.late_t, r.early_t) for r in both if titles.matching_blocks(r.late_t, r.early_t, threshold)}
+    assert near <= {(r.late_t, r.early_t) for r in both if r.may} and len(near) > len(texts)
