@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from provlake.functions import rules
 from provlake.functions.text import key_concepts, tokens
+from provlake.operators import titles
 from provlake.operators.urls import canonical_url, classify_domain, exclusion, host, source_role
 
 WEIGHTS = {"title": 0.35, "snippet": 0.30, "concept": 0.20, "domain": 0.15}
@@ -189,26 +190,20 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def dedup_titles(df: DataFrame, threshold: float = 0.85) -> DataFrame:
+def dedup_titles(df: DataFrame, threshold: float = 0.85, keep=lambda df: df) -> DataFrame:
     """Rows without an earlier row of one publisher with a similar title (D5, native form).
 
-    df(id, publisher, title). Equal titles fall together first. An edit touches three of a
-    title's 3-character pieces at most, so a title within e edits of another keeps one of
-    any 3 e + 1 of its pieces (repeats counted): pairs meet on the rarest of these, not on
-    the publisher alone, and only where lengths allow.
+    df(id, publisher, title). Equal titles fall together first. A publisher's titles are
+    dealt to cells, and each meets those of every cell in place: a task holds a cell, most
+    pairs are told apart by marks of their characters, and a title is done with at the first
+    earlier one that is similar. What is shuffled are titles, never pairs.
     """
     base = df.where(F.coalesce("publisher", F.lit("")) != "").select(F.lower("publisher").alias("p"), F.lower(F.trim("title")).alias("t"), "id").groupBy("p", "t").agg(F.min("id").alias("id"))
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - 2)), lambda i: F.substr("t", i, F.lit(3)))
-    counted = F.transform("g", lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice("g", F.lit(1), i), lambda y: y == x)).cast("string")))
-    grams = base.withColumn("g", pieces).select("p", "t", "id", F.length("t").alias("n"), F.explode(counted).alias("g"))
-    frequency = grams.groupBy("p", "g").agg(F.count("*").alias("df"))
-    ranked = grams.join(frequency, ["p", "g"]).withColumn("r", F.row_number().over(Window.partitionBy("p", "id").orderBy("df", "g")))
-    edits = F.floor((1 - threshold) * F.col("n") / threshold + 1e-9)  # against a title of any length within the threshold
-    prefix = ranked.where(F.col("r") <= 3 * edits + 1).select("p", "g", "t", "id", "n")
-    late = prefix.select("p", "g", F.col("t").alias("t2"), F.col("id").alias("id2"), F.col("n").alias("n2"))
-    early = grams.select("p", "g", F.col("t").alias("t1"), F.col("id").alias("id1"), F.col("n").alias("n1"))
-    close = late.join(early, ["p", "g"]).where("id1 < id2").where(F.least("n1", "n2") >= F.floor(threshold * F.greatest("n1", "n2"))).select("p", "id1", "t1", "id2", "t2").distinct()
-    gone = close.where(title_similarity(F.col("t1"), F.col("t2")) >= threshold).select(F.col("p"), F.col("t2").alias("t")).distinct()
+    cells = base.groupBy("p").agg(F.ceil(F.count("*") / titles.CELL).cast("int").alias("k"))
+    dealt = keep(titles.marked(base.join(cells, "p")).withColumn("cell", F.pmod(F.xxhash64("t"), F.col("k")).cast("int")))
+    side = lambda s: dealt.select(F.col("p").alias("g"), F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("t", "n", "marks", "cell")], F.sequence(F.lit(0), F.col("k") - 1).alias(f"{s}_cells"))
+    near = (F.col("early") < F.col("late")) & titles.may_be_near(threshold, "edits") & titles.near_by_edits(threshold)
+    gone = titles.met(side("late"), side("early"), near, "left_semi").select(F.col("g").alias("p"), F.col("late_t").alias("t")).distinct()
     firsts = base.select("p", "t", F.col("id").alias("first_id"))
     keyed = df.withColumns({"p": F.lower(F.coalesce("publisher", F.lit(""))), "t": F.lower(F.trim("title"))})
     kept = keyed.join(gone, ["p", "t"], "left_anti").join(firsts, ["p", "t"], "left").where((F.col("p") == "") | (F.col("id") == F.col("first_id")))

@@ -81,6 +81,24 @@ def test_lost_pairs_are_bounded(text, changes, threshold):
             assert max(0, len(t) - 1) - shared <= 4 * (1 - threshold) * len(t) / (2 - threshold) + 1e-9
 
 
+@pytest.mark.parametrize("cell", [1, 7])
+def test_titles_meet_in_cells(spark, monkeypatch, cell):
+    """Both forms over several cells, as by comparing all; no pair of titles leaves the task where it meets."""
+    from provlake.operators import retrieval
+
+    monkeypatch.setattr(titles, "CELL", cell)
+    rows = [r for r in made(11, 90) if r[0] == 1]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = titles.dedup_titles_ordered(df, "run", "id", 0.85, "edits", checkpointed, 2, 16)
+    assert sorted(r.id for r in got.collect()) == loop(rows, 0.85, "edits")
+    free = retrieval.dedup_titles(df, keep=checkpointed)
+    cut = [(i, (p or "").lower(), t.lower().strip(" ")) for _, i, p, t, *_ in rows if t is not None]
+    gone = {i for i, p, t in cut for j, o, u in cut if j < i and p and p == o and titles._edits(t, u) >= 0.85}
+    assert {r.id for r in free.where("title is not null").collect()} == {i for i, _, _ in cut} - gone
+    plan = free._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "Join Inner" not in plan
+
+
 @pytest.mark.parametrize("similarity, threshold", [("edits", 0.85), ("edits", 0.5), ("blocks", 0.85), ("blocks", 0.6)])
 def test_marks_never_part_similar_titles(spark, similarity, threshold):
     rng = random.Random(9)
