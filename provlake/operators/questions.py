@@ -18,26 +18,36 @@ def _word(term: str) -> str:
     return rf"(^|[^a-z0-9_]){escaped}($|[^a-z0-9_])"
 
 
+def _named(low: Column, terms: list[str]) -> Column:
+    """Whether a lower-case text names one of the terms; the pattern is tried only where its letters stand."""
+    out = F.lit(False)
+    for term in terms:
+        out = out | (low.contains(term) & low.rlike(_word(term)))
+    return out
+
+
+def _bound(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f names it: predicates on the result that Spark pushes down repeat it as a whole."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def years(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(YEAR), 1))
 
 
 def geographies(text: Column, table=rules.GEOGRAPHIES) -> Column:
     """The regions named in a text, in the table's order."""
-    low = F.lower(text)
-    return F.filter(F.array(*[F.when(low.rlike("|".join(_word(a) for a in aliases)), F.lit(name)) for name, aliases in table]), lambda x: x.isNotNull())
+    return _bound(F.lower(text), lambda low: F.filter(F.array(*[F.when(_named(low, aliases), F.lit(name)) for name, aliases in table]), lambda x: x.isNotNull()))
 
 
 def comparisons(text: Column, table=rules.COMPARATIVE_PAIRS) -> Column:
     """Pairs with two keywords in a text, or one and a word of comparison."""
-    low = F.lower(text)
-    either = low.contains("differ") | low.contains("compare")
 
-    def held(words):
-        n = sum((low.rlike(_word(w)).cast("int") for w in words), F.lit(0))
-        return (n >= 2) | ((n >= 1) & either)
+    def held(low, words):
+        need = F.when(low.contains("differ") | low.contains("compare"), 1).otherwise(2)
+        return sum((_named(low, [w]).cast("int") for w in words), F.lit(0)) >= need
 
-    return F.filter(F.array(*[F.when(held(words), F.lit(name)) for name, words, _ in table]), lambda x: x.isNotNull())
+    return _bound(F.lower(text), lambda low: F.filter(F.array(*[F.when(held(low, words), F.lit(name)) for name, words, _ in table]), lambda x: x.isNotNull()))
 
 
 def extract_constraints(df: DataFrame, text: str = "question") -> DataFrame:
@@ -56,33 +66,44 @@ def augment_questions(df: DataFrame, cap: int = 5) -> DataFrame:
     A missing region or comparative pair adds a question, or takes the last place at the
     cap; forward-looking questions without a listed year get the first year.
     """
-    out = extract_constraints(df).withColumn("__text", F.lower(F.array_join("sub_questions", " ")))
     names = [(n, a) for n, a in rules.GEOGRAPHIES]
-    covered = F.filter(F.array(*[F.when(sum((F.col("__text").contains(x).cast("int") for x in a), F.lit(0)) > 0, F.lit(n)) for n, a in names]), lambda x: x.isNotNull())
-    missing = F.size(F.array_except("geographic", covered)) > 0
-    first = F.get("temporal", F.lit(0))
-    n = F.size("geographic")
-    listed = F.concat(F.array_join(F.slice("geographic", F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.element_at("geographic", -1))
-    clause = F.when(first.isNotNull(), F.concat(F.lit(" through "), first)).otherwise("")
     head, tail = rules.GEOGRAPHY_QUESTION.split("{regions}{time}")
-    question = F.when(n >= 2, F.concat(F.lit(head), listed, clause, F.lit(tail)))
 
     def added(array: Column, text: Column) -> Column:
         kept = F.when(F.size(array) >= cap, F.slice(array, 1, cap - 1)).otherwise(array)
         return F.concat(kept, F.array(text))
 
-    present = lambda a, t: F.exists(a, lambda x: F.lower(x) == F.lower(t))
-    out = out.withColumn("sub_questions", F.when((n >= 2) & missing & ~present(F.col("sub_questions"), question), added(F.col("sub_questions"), question)).otherwise(F.col("sub_questions")))
-    cues = sum((F.col("__text").contains(c).cast("int") for c in rules.PAIR_CUES), F.lit(0))
-    for name, _, template in rules.COMPARATIVE_PAIRS:
-        out = out.withColumn("sub_questions", F.when(F.array_contains("comparative", name) & (cues < 2), added(F.col("sub_questions"), F.lit(template))).otherwise(F.col("sub_questions")))
-
-    def dated(q: Column) -> Column:
+    def regions(c: Column) -> Column:
+        """The question about all regions, null for fewer than two."""
+        n, first = F.size(c["geographic"]), F.get(c["temporal"], F.lit(0))
+        listed = F.concat(F.array_join(F.slice(c["geographic"], F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.element_at(c["geographic"], -1))
+        clause = F.when(first.isNotNull(), F.concat(F.lit(" through "), first)).otherwise("")
+        return F.when(n >= 2, F.concat(F.lit(head), listed, clause, F.lit(tail)))
+
+    def covering(c: Column) -> Column:
+        """The questions, with one about all regions where one is missing."""
+        covered = F.filter(F.array(*[F.when(F.exists(literal_array(a), lambda x: F.contains(c["text"], x)), F.lit(n)) for n, a in names]), lambda x: x.isNotNull())
+        missing = F.size(F.array_except(c["geographic"], covered)) > 0
+        present = lambda a, t: F.exists(a, lambda x: F.lower(x) == F.lower(t))
+        return _bound(F.struct(c["subs"].alias("s"), regions(c).alias("q")), lambda x: F.when(x["q"].isNotNull() & missing & ~present(x["s"], x["q"]), added(x["s"], x["q"])).otherwise(x["s"]))
+
+    def paired(c: Column, subs: Column) -> Column:
+        cues = sum((F.contains(c["text"], F.lit(x)).cast("int") for x in rules.PAIR_CUES), F.lit(0))
+        for name, _, template in rules.COMPARATIVE_PAIRS:
+            subs = _bound(subs, lambda a: F.when(F.array_contains(c["comparative"], F.lit(name)) & (cues < 2), added(a, F.lit(template))).otherwise(a))  # noqa: B023
+        return subs
+
+    def dated(q: Column, first: Column) -> Column:
         forward = F.lower(q).rlike("|".join(rules.FORWARD_TERMS))
-        has_year = q.rlike("|".join(rules.LISTED_YEARS)) | q.contains(first)
+        has_year = q.rlike("|".join(rules.LISTED_YEARS)) | F.contains(q, first)
         return F.when(forward & ~has_year, F.concat(F.regexp_replace(q, r"\?+$", ""), F.lit(" through "), first, F.lit("?"))).otherwise(q)
 
-    return out.withColumn("sub_questions", F.when(first.isNotNull(), F.transform("sub_questions", dated)).otherwise(F.col("sub_questions"))).drop("__text")
+    def augmented(c: Column) -> Column:
+        first = F.get(c["temporal"], F.lit(0))
+        return _bound(paired(c, covering(c)), lambda subs: F.when(first.isNotNull(), F.transform(subs, lambda q: dated(q, first))).otherwise(subs))
+
+    c = F.struct("temporal", "geographic", "comparative", F.lower(F.array_join("sub_questions", " ")).alias("text"), F.col("sub_questions").alias("subs"))
+    return extract_constraints(df).withColumn("sub_questions", _bound(c, augmented))
 
 
 def constraint_summary(augmented: DataFrame) -> DataFrame:
