@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,48 +58,50 @@ class _Tracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "seen_us long, status string, n long, due long, stalled boolean")
-        self.seen = handle.getMapState("seen", "status string", "n long")
+        # one value: each access to state is a round trip between the worker and Spark
+        self.last = handle.getValueState("last", "seen_us long, status string, n long, due long, stalled boolean, often map<string,long>")
 
-    def _rows(self, key, rows: list[tuple]) -> pd.DataFrame:
+    def _rows(self, key, rows: list[tuple], kinds: int) -> pd.DataFrame:
         """rows: (last seen in microseconds, status, n, stalled)."""
-        kinds, n = sum(1 for _ in self.seen.keys()), len(rows)
+        n = len(rows)
         seen = pd.to_datetime(pd.Series([r[0] for r in rows], dtype="int64"), unit="us")
         return pd.DataFrame({"key": [key[0]] * n, "status": [r[1] for r in rows], "last_seen": seen, "n": [r[2] for r in rows], "kinds": [kinds] * n, "stalled": [r[3] for r in rows]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        seen, status, n, due, stalled = self.last.get() if self.last.exists() else (None, None, 0, -1, False)
-        now = pd.concat(list(rows))
-        now = now.assign(us=now[self.ts].astype("datetime64[us]").astype("int64"), name=now[self.status].where(now[self.status].notna(), "")).sort_values(["us", "name"])
+        seen, status, n, due, stalled, often = self.last.get() or (None, None, 0, -1, False, {})
+        now = []
+        for some in rows:
+            names = some[self.status]
+            now += zip(some[self.ts].to_numpy().astype("datetime64[us]").astype("int64").tolist(), names.where(names.notna(), "").tolist(), strict=True)
+        now.sort()
         out = []
-        for us, name in zip(now["us"].tolist(), now["name"].tolist(), strict=True):
+        for us, name in now:
             if seen is not None and us - seen > 1000 * self.timeout_ms and not stalled:
                 out.append((seen, status, n, True))  # a silence that ended before its timer
             n += 1
             if seen is None or us >= seen:
                 seen, status, stalled = us, name, False
-        for name, more in now["name"].value_counts().items():
-            before = self.seen.getValue((name,))[0] if self.seen.containsKey((name,)) else 0
-            self.seen.updateValue((name,), (before + int(more),))
+        often = dict(often)
+        for name, more in Counter(name for _, name in now).items():
+            often[name] = often.get(name, 0) + more
         if due >= 0:
             self.handle.deleteTimer(due)
         due = max(seen // 1000 + self.timeout_ms, timerValues.getCurrentWatermarkInMs() + 1)
         self.handle.registerTimer(due)
-        self.last.update((seen, status, n, due, False))
-        yield self._rows(key, [*out, (seen, status, n, False)])
+        self.last.update((seen, status, n, due, False, often))
+        yield self._rows(key, [*out, (seen, status, n, False)], len(often))
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seen, status, n, _, stalled = self.last.get()
+        seen, status, n, _, stalled, often = self.last.get()
         if stalled:  # the second timer: the run is forgotten
             self.last.clear()
-            self.seen.clear()
             return
         due = -1
         if self.forget_ms is not None:
             due = max(seen // 1000 + self.forget_ms, timerValues.getCurrentWatermarkInMs() + 1)
             self.handle.registerTimer(due)
-        self.last.update((seen, status, n, due, True))
-        yield self._rows(key, [(seen, status, n, True)])
+        self.last.update((seen, status, n, due, True, often))
+        yield self._rows(key, [(seen, status, n, True)], len(often))
 
     def close(self) -> None:
         pass

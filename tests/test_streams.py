@@ -61,3 +61,47 @@ def test_hits_meet_answers_or_fail(spark, asked):
     """In time, too late, before the hit, and never; the newest hit without an answer would wait."""
     met = streams.drained(streams.fetched(*asked, "url", "10 minutes", "1 minute", "1 minute"))
     assert sorted((r.url, r.http_status) for r in met.collect()) == [("late", None), ("new", 404), ("x", 200), ("y", None), ("z", None)]
+
+
+def test_state_is_one_value_of_a_run():
+    """A batch of a run reads its state once and writes it once, whatever its statuses."""
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return value
+
+        def registerTimer(self, due):
+            pass
+
+        def deleteTimer(self, due):
+            pass
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    value, tracker = Value(), streams._Tracker("ts", "status", 3_600_000, None)
+    tracker.init(Handle())
+    day = pd.Timestamp("2024-01-01")
+    (out,) = tracker.handleInputRows(("a",), iter([pd.DataFrame({"ts": [day, day + pd.Timedelta("2h")], "status": [None, "end"]}), pd.DataFrame({"ts": [day + pd.Timedelta("1min")], "status": ["go"]})]), Times())
+    assert out[["status", "n", "kinds", "stalled"]].values.tolist() == [["go", 2, 3, True], ["end", 3, 3, False]]
+    assert calls == ["get", "update"]
+    assert value.held[-1] == {"": 1, "go": 1, "end": 1}
