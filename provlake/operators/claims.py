@@ -19,6 +19,8 @@ JACCARD, CONTAINMENT, MIN_CONTAINED = 0.55, 0.65, 3
 MAX_STATEMENT = 300
 #: chains of duplicates of at most so many claims are merged in order within one task
 LOOP_CLAIMS = 4096
+#: longer chains are merged in blocks of so many claims
+BLOCK = 8192
 #: about the most texts of one token that meet others in one task
 MEET = 4096
 
@@ -322,70 +324,75 @@ def merge_ordered(claims: DataFrame, run: str = "run_id", ident: str = "claim_id
     return rows.groupBy(*keys).applyInPandas(greedy, f"{run} {kinds[run]}, {ident} {kinds[ident]}, group_id {kinds[ident]}")
 
 
-def merge_rounds(rows: DataFrame, pairs: DataFrame, keep) -> DataFrame:
-    """t, g of rows(part, x, n, t): the greedy rule for chains of any size, in rounds over the pairs (a, b) of similar texts x.
+def merge_blocks(rows: DataFrame, pairs: DataFrame, keep, run: str, ident: str, order: str, size: int = BLOCK) -> DataFrame:
+    """run, ident, group_id of rows(run, part, x, n, order, ident): the greedy rule for chains of any size, over the pairs (a, b) of similar texts x.
 
-    t orders a chain's claims; a group g is named by the t of its first one. A text stands
-    for a group from one claim to another, which is a longer similar text's. So a claim
-    can be decided when no earlier claim of a similar text waits, nor one that could take
-    over from a similar text. Each round decides the first such claim of every text, with
-    the copies that follow it before anything near can change. A group that no waiting text
-    can take over is settled; if all groups below it are, and no waiting claim is older, the texts
-    next to it join it at once. There are as many rounds as claims that wait for each other in a row.
+    A chain's claims go in blocks of size, in order, all chains at once. A block is one task's
+    loop; it is given the pairs within it, at most size * size / 2, and those to texts that
+    groups of earlier blocks have now, and hands on what its groups' texts became. Places in
+    a chain are counted per task of a range, as in pack_batches.
     """
-    sizes = rows.select("x", "n").distinct()
-    linked = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    linked = linked.unionByName(sizes.select("x", F.col("x").alias("y")))
-    near = keep(linked.join(sizes, "x").join(sizes.select(F.col("x").alias("y"), F.col("n").alias("m")), "y"))
-    takes = near.where(f"m > n and m < {MAX_STATEMENT}").select("x", "y")  # y could take over from x
-    kind = rows.schema["t"].dataType
-    spans = rows.sparkSession.createDataFrame([], StructType([rows.schema["part"], StructField("y", rows.schema["x"].dataType), *[StructField(c, kind) for c in ("g", "since", "till")]]))
-    waiting, done = keep(rows.select("part", "x", "n", "t")), []
-    while not waiting.isEmpty():
-        first = keep(waiting.groupBy("part", "x").agg(F.min("t").alias("u")))
-        of = first.select(F.col("x").alias("y"), F.col("u").alias("v"))
-        ranked = takes.join(of, "y").withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("v"))).where("r <= 2")
-        taken = ranked.groupBy(F.col("x").alias("y")).agg(F.min("v").alias("one"), F.min(F.when(F.col("r") == 2, F.col("v"))).alias("two"))
-        around = near.join(first, "x").join(of, "y", "left").join(taken, "y", "left")
-        other = F.when(F.col("one") != F.col("u"), F.col("one")).otherwise(F.col("two"))  # a text does not wait for itself
-        bound = around.groupBy("part", "x", "n", "u").agg(F.min(F.when(F.col("x") != F.col("y"), F.col("v"))).alias("b1"), F.min(other).alias("b2"))
-        ready = bound.withColumn("bound", F.least("b1", "b2")).where("bound is null or bound > u").drop("b1", "b2")
-        open_now = near.select("x", "y", "m").join(spans.drop("part"), "y")
-        met = ready.join(open_now, "x", "left").withColumn("on", F.coalesce((F.col("since") < F.col("u")) & (F.col("till").isNull() | (F.col("till") > F.col("u"))), F.lit(False)))
-        least = F.min(F.when(F.col("on"), F.struct("g", "y", "m"))).alias("best")
-        chosen = met.groupBy("part", "x", "n", "u", "bound").agg(least, F.min(F.when(F.col("on"), F.col("till"))).alias("change"))
-        longer = (F.col("best.m") < F.col("n")) & (F.col("n") < MAX_STATEMENT)
-        chosen = keep(chosen.select("part", "x", "u", F.coalesce("best.g", "u").alias("g"), F.least("bound", "change").alias("until"), F.when(longer, F.col("best.y")).alias("over"), (F.col("best").isNull() | longer).alias("stands")))
-        ended = chosen.where("over is not null").select(F.col("over").alias("y"), "g", F.col("u").alias("ends"))
-        began = chosen.where("stands").select("part", F.col("x").alias("y"), "g", F.col("u").alias("since"), F.lit(None).cast(kind).alias("till"))
-        spans = keep(spans.join(ended, ["y", "g"], "left").select("part", "y", "g", "since", F.coalesce("till", "ends").alias("till")).unionByName(began))
-        now = keep(waiting.join(chosen.select("x", "g", "until"), "x", "left").withColumn("g", F.when(F.col("until").isNull() | (F.col("t") < F.col("until")), F.col("g"))))
-        done.append(now.where("g is not null").select("t", "g"))
-        waiting = now.where("g is null").select("part", "x", "n", "t")
-
-        first = keep(waiting.groupBy("part", "x").agg(F.min("t").alias("u")))
-        live = spans.where("till is null")
-        moving = takes.join(first.select(F.col("x").alias("y")), "y", "left_semi").select(F.col("x").alias("y")).distinct()
-        oldest = live.join(moving, "y", "left_semi").select("part", "g").unionByName(first.select("part", F.col("u").alias("g"))).groupBy("part").agg(F.min("g").alias("oldest"))
-        settled = live.join(moving, "y", "left_anti").select("y", "g").withColumn("settled", F.lit(True))
-        past = spans.where("till is not null").select("y", "g", "till").withColumn("settled", F.lit(False))
-        beside = first.join(near.select("x", "y"), "x").join(settled.withColumn("till", F.lit(None).cast(kind)).unionByName(past), "y").where("settled or till > u")
-        joins = beside.groupBy("part", "x").agg(F.min(F.when(F.col("settled"), F.col("g"))).alias("g"), F.min(F.when(~F.col("settled"), F.col("g"))).alias("was"))
-        joins = keep(joins.join(oldest, "part").where("g < oldest and (was is null or g <= was)").select("x", "g"))
-        done.append(waiting.join(joins, "x").select("t", "g"))
-        waiting = keep(waiting.join(joins, "x", "left_anti"))
+    ranged = keep(rows.repartitionByRange("part", order, ident).withColumn("__task", F.spark_partition_id()))
+    before = Window.partitionBy("part").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("part", "__task").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy("part", "__task").orderBy(order, ident)) - 1 + F.col("__before")
+    placed = ranged.join(counts, ["part", "__task"]).withColumn("place", place).withColumn("block", F.floor(F.col("place") / size))
+    placed = keep(placed.select(run, "part", "x", "n", ident, "place", "block"))
+
+    sides = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    stood = placed.groupBy(F.col("x").alias("y")).agg(F.min("block").alias("since"))
+    known = sides.join(stood, "y").unionByName(stood.select(F.col("y").alias("x"), "y", "since"))  # a text is next to itself
+    near = placed.select("part", "x", "block").distinct().join(known, "x").where("since <= block").select("part", "block", "x", "y")
+    n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = keep(near.repartition(n_tasks, "block", F.pmod(F.xxhash64("x"), F.lit(8))).sortWithinPartitions("block"))  # a block's rows lie together
+
+    kinds = {f.name: f.dataType for f in placed.schema.fields}
+    names = {"part": "part", "of": ident, "g": "place", "group_id": ident, "y": "x", "m": "n"}
+    made = StructType([StructField(c, kinds[k]) for c, k in names.items()])
+
+    def greedy(said: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        beside, at, name, changed, out = {}, {}, {}, {}, []
+        for x, y, g, group, m in met[["x", "y", "g", "group_id", "m"]].itertuples(index=False, name=None):
+            beside.setdefault(x, set()).add(y)
+            if g >= 0:
+                at.setdefault(y, {})[g], name[g] = m, group
+        part = said["part"].iat[0]
+        for place, x, n, i in said.sort_values("place")[["place", "x", "n", ident]].itertuples(index=False, name=None):
+            g, y = min(((min(at[y]), y) for y in beside[x] if at.get(y)), default=(None, None))
+            if g is None:
+                g, name[place] = place, i
+                at.setdefault(x, {})[g] = n
+                changed[g] = (x, n)
+            elif at[y][g] < n < MAX_STATEMENT:
+                del at[y][g]
+                at.setdefault(x, {})[g] = n
+                changed[g] = (x, n)
+            out.append((part, i, g, name[g], None, None))
+        out += [(part, None, g, name[g], x, n) for g, (x, n) in changed.items()]
+        return pd.DataFrame({c: pd.Series([r[k] for r in out], dtype=object) for k, c in enumerate(names)})
+
+    live, done = rows.sparkSession.createDataFrame([], StructType([f for f in made.fields if f.name != "of"])), []
+    for k in range(placed.agg(F.max("block")).first()[0] + 1):
+        said = placed.where(F.col("block") == k)
+        inside = said.select(F.col("x").alias("y")).distinct().withColumn("inside", F.lit(True))
+        met = near.where(F.col("block") == k).select("part", "x", "y").join(live.drop("part"), "y", "left").join(inside, "y", "left").where("inside or g is not null")
+        met = met.select("part", "x", "y", F.coalesce("g", F.lit(-1)).alias("g"), F.coalesce("group_id", "y").alias("group_id"), F.coalesce("m", F.lit(0)).alias("m"))  # without nulls ids stay whole numbers
+        out = keep(said.groupBy("part").cogroup(met.groupBy("part")).applyInPandas(greedy, made))
+        done.append(out.where("of is not null").select(F.col("of").alias(ident), "group_id"))
+        now = out.where("of is null").drop("of")
+        live = keep(live.join(now, ["part", "g"], "left_anti").unionByName(now))
         if len(done) > 30:
             done = [keep(reduce(DataFrame.unionByName, done))]
-    return reduce(DataFrame.unionByName, done, rows.select("t", F.col("t").alias("g")).limit(0))
+    return placed.select(run, ident).join(reduce(DataFrame.unionByName, done), ident)
 
 
-def merge_ordered_parts(claims: DataFrame, keep, run: str = "run_id", ident: str = "claim_id", order: str = "seq", threshold: float = JACCARD, most: int = LOOP_CLAIMS) -> DataFrame:
+def merge_ordered_parts(claims: DataFrame, keep, run: str = "run_id", ident: str = "claim_id", order: str = "seq", threshold: float = JACCARD, most: int = LOOP_CLAIMS, block: int = BLOCK) -> DataFrame:
     """merge_ordered for runs of any size, with the same result; claim ids are unique over runs.
 
     A group's current text is one of its claims', so a claim only ever joins a group of its
     own chain of duplicates (merge_claims). In a chain of one text all claims join the
     first, without Python; one of at most `most` claims is one task's work; longer ones go
-    through merge_rounds.
+    in blocks (merge_blocks).
     """
     texts = keep(featured(texts_of(claims, run, ident)))
     pairs = keep(_linked(texts, keep, run, ident, threshold))
@@ -400,10 +407,9 @@ def merge_ordered_parts(claims: DataFrame, keep, run: str = "run_id", ident: str
     if sizes.where(f"not __one and __n > {most}").isEmpty():
         return out
     named = texts.select(run, "folded", F.col(ident).alias("x"), F.length(F.trim("statement")).alias("n"))
-    rows = keep(long.withColumn("folded", folded).join(named, [run, "folded"]).select(run, F.col("__part").alias("part"), "x", "n", F.struct(order, ident).alias("t")))
+    rows = keep(long.withColumn("folded", folded).join(named, [run, "folded"]).select(run, F.col("__part").alias("part"), "x", "n", order, ident))
     nodes = rows.select(F.col("x").alias("a")).distinct()
-    found = merge_rounds(rows, pairs.join(nodes, "a", "left_semi"), keep)
-    return out.unionByName(rows.select(run, "t").join(found, "t").select(run, F.col(f"t.{ident}").alias(ident), F.col(f"g.{ident}").alias("group_id")))
+    return out.unionByName(merge_blocks(rows, pairs.join(nodes, "a", "left_semi"), keep, run, ident, order, block))
 
 
 def evidence_rollup(evidence: DataFrame, key: str = "group_id") -> DataFrame:

@@ -50,6 +50,23 @@ def test_rounds_of_long_chains(spark, seed, n):
     assert len({g for _, g in want.values()}) > 2
 
 
+@pytest.mark.parametrize("seed, block", [(3, 1), (4, 40), (5, 64)])
+def test_blocks_hand_their_groups_on(spark, monkeypatch, seed, block):
+    """Chains of several blocks, with ids past 2 ** 53: groups begin, grow and are joined across blocks; there are as many rounds as blocks."""
+    rng = random.Random(seed)
+    words = [f"word{c}" for c in "abcdefghij"]
+    some = [" ".join(rng.sample(words, rng.randrange(2, 8))) for _ in range(40)] + [f"{words[0]} {words[1]} {'x' * 290}", ""]
+    n = 8 if block == 1 else 150
+    rows = [(2**60 + i, f"r{i % 7 // 6}", rng.randrange(400), rng.choice(some)) for i in range(n)]
+    made = spark.createDataFrame(rows, "claim_id long, run_id string, seq long, statement string")
+    want = {r.claim_id: r.group_id for r in claims.merge_ordered(made).collect()}
+    loops = []
+    keep = lambda df: (loops.append(1) if "of" in df.columns else None, session.written(df))[1]
+    got = claims.merge_ordered_parts(made, keep, most=0, block=block).collect()
+    assert len(got) == n and {r.claim_id: r.group_id for r in got} == want
+    assert 1 < len(loops) <= -(-n // block)
+
+
 @pytest.mark.parametrize("hot", [100_000, 0, 5])
 def test_components_with_hubs(spark, hot):
     """Two stars, a bridge between their leaves, a long path and pairs, with and without hubs by broadcast."""
