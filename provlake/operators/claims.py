@@ -242,8 +242,10 @@ def looked_up(rows: DataFrame, key: str, values: DataFrame, ident: str, name: st
 
 
 def label_components(pairs: DataFrame, keep, max_rounds: int = 50, hot: int = 100_000) -> DataFrame:
-    """node, component (smallest node reachable) of the nodes of pairs(a, b): minimum labels with pointer jumping.
+    """node, component (smallest node reachable) of the nodes of pairs(a, b): minimum labels with hooking and pointer jumping.
 
+    What any node of a label hears from its neighbours its label's own node hears at once
+    (hooking), so that whole trees go over in a round and rounds grow with the logarithm of a path.
     A node with more than hot edges, or one that more than hot nodes point to, is never one
     task's work (looked_up). keep cuts lineage, e.g. by a checkpoint.
     """
@@ -253,9 +255,10 @@ def label_components(pairs: DataFrame, keep, max_rounds: int = 50, hot: int = 10
     for _ in range(max_rounds):
         near = looked_up(both, "b", labels, "node", "component", n_edges, hot).groupBy("a").agg(F.min("component").alias("near"))
         stepped = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", F.coalesce("near", "component")).alias("next"), "component")
-        if n_edges > hot:
-            stepped = keep(stepped)
-        jumped = looked_up(stepped, "next", stepped.select("node", F.col("next").alias("far")), "node", "far", n_edges, hot).select("node", "component", F.least("next", "far").alias("next"))
+        stepped = keep(stepped)
+        heard = stepped.where("next < component").groupBy(F.col("component").alias("a")).agg(F.min("next").alias("heard"))
+        hooked = stepped.join(heard, stepped.node == heard.a, "left").select("node", F.least("next", F.coalesce("heard", "next")).alias("next"), "component")
+        jumped = looked_up(hooked, "next", hooked.select("node", F.col("next").alias("far")), "node", "far", n_edges, hot).select("node", "component", F.least("next", "far").alias("next"))
         jumped = keep(jumped)
         changed = jumped.where("next <> component").limit(1).count()
         labels = jumped.select("node", F.col("next").alias("component"))

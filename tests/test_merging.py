@@ -88,6 +88,16 @@ def test_components_with_hubs(spark, hot):
     assert {r.node: r.component for r in got.collect()} == {x: root(x) for x in parent}
 
 
+def test_components_hook_whole_trees(spark):
+    """A path of 600 nodes in no order settles in a few rounds, also where its smallest node is at its end."""
+    nodes = [0, *random.Random(9).sample(range(1, 600), 599)]
+    rounds = []
+    keep = lambda df: (rounds.append(1) if df.columns == ["node", "component", "next"] else None, session.checkpointed(df))[1]
+    got = claims.label_components(spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "a long, b long"), keep)
+    assert {r.node: r.component for r in got.collect()} == dict.fromkeys(range(600), 0)
+    assert len(rounds) <= 10
+
+
 def test_cap_falls_on_groups(spark, tmp_path):
     d = written(spark, tmp_path, ["Copies of one statement stand first"] * 50 + [f"zebra{i} lion{i} tiger{i} otter{i} whale{i}" for i in range(60)])
     rows = sorted((r.group_id, r.merged_count) for r in catalog.QUERIES["f18_cap_groups"](spark, d).collect())
