@@ -242,31 +242,40 @@ def looked_up(rows: DataFrame, key: str, values: DataFrame, ident: str, name: st
 
 
 def label_components(pairs: DataFrame, keep, max_rounds: int = 50, hot: int = 100_000) -> DataFrame:
-    """node, component (smallest node reachable) of the nodes of pairs(a, b): minimum labels with hooking and pointer jumping.
-
-    What any node of a label hears from its neighbours its label's own node hears at once
-    (hooking), so that whole trees go over in a round and rounds grow with the logarithm of a path.
-    A node with more than hot edges, or one that more than hot nodes point to, is never one
-    task's work (looked_up). keep cuts lineage, e.g. by a checkpoint.
+    """node, component (smallest node reachable) of the nodes of pairs(a, b), by contraction.
+
+    A round lets each node go over to the neighbour first in an order by hash, which is another
+    one each round, then on to where that one went; edges follow their nodes, and those within
+    one node go. What is settled takes no part any more, so that all rounds together move a
+    few times what the first one moves, and rounds grow with the logarithm of a path. At
+    the end the rounds are followed back. A node with more than hot edges, or one that more
+    than hot nodes go to, is never one task's work (looked_up). keep cuts lineage: best by
+    files, since constraints that a checkpoint carries on make later rounds slow to plan.
     """
-    both = keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = keep(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
-    n_edges = both.count()
-    for _ in range(max_rounds):
-        near = looked_up(both, "b", labels, "node", "component", n_edges, hot).groupBy("a").agg(F.min("component").alias("near"))
-        stepped = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", F.coalesce("near", "component")).alias("next"), "component")
-        stepped = keep(stepped)
-        heard = stepped.where("next < component").groupBy(F.col("component").alias("a")).agg(F.min("next").alias("heard"))
-        hooked = stepped.join(heard, stepped.node == heard.a, "left").select("node", F.least("next", F.coalesce("heard", "next")).alias("next"), "component")
-        jumped = looked_up(hooked, "next", hooked.select("node", F.col("next").alias("far")), "node", "far", n_edges, hot).select("node", "component", F.least("next", "far").alias("next"))
-        jumped = keep(jumped)
-        changed = jumped.where("next <> component").limit(1).count()
-        labels = jumped.select("node", F.col("next").alias("component"))
-        if not changed:
-            break
-    else:
-        raise RuntimeError("the components did not settle")
-    return labels
+    edges = keep(pairs.select("a", "b"))
+    rounds, left = [], edges.count()
+    while left or not rounds:
+        if len(rounds) == max_rounds:
+            raise RuntimeError("the components did not settle")
+        place = lambda c, k=len(rounds): F.xxhash64(c, F.lit(k))
+        sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = sides.groupBy(F.col("a").alias("node")).agg(F.min_by("b", place("b")).alias("near"))
+        over = keep(near.select("node", F.when(place("near") < place("node"), F.col("near")).otherwise(F.col("node")).alias("component")))
+        gone = keep(looked_up(over, "component", over.select("node", F.col("component").alias("next")), "node", "next", left, hot))
+        rounds.append((gone.select("node", "next"), left))
+        ends = looked_up(edges, "a", gone.select("node", F.col("next").alias("x")), "node", "x", left, hot)
+        ends = keep(ends) if left > hot else ends  # looked_up reads it more than once
+        ends = looked_up(ends, "b", gone.select("node", F.col("next").alias("y")), "node", "y", left, hot).where("x <> y")
+        edges = keep(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = edges.count()
+    out, n = rounds.pop()
+    for steps, n in reversed(rounds):
+        far = out.select(F.col("node").alias("at"), F.col("next").alias("far"))
+        last = steps.select(F.col("next").alias("via")).distinct().join(far, F.col("via") == F.col("at"), "left").select("via", F.coalesce("far", "via").alias("last"))
+        out = looked_up(steps, "next", last, "via", "last", n, hot).select("node", F.col("last").alias("next"))
+        out = keep(out) if n > hot else out
+    first = out.groupBy(F.col("next").alias("last")).agg(F.min("node").alias("component"))
+    return keep(looked_up(out, "next", first, "last", "component", n, hot).select("node", "component"))
 
 
 def merge_claims(claims: DataFrame, keep, run: str = "run_id", ident: str = "claim_id", threshold: float = JACCARD, containment: float | None = CONTAINMENT) -> DataFrame:
@@ -285,7 +294,7 @@ def _linked(texts: DataFrame, keep, run: str, ident: str, threshold: float, cont
 
 def merge_texts(claims: DataFrame, texts: DataFrame, pairs: DataFrame, keep, run: str, ident: str) -> DataFrame:
     """claims with group_id, by texts (texts_of, featured) and their duplicate pairs(a, b): merge_claims for callers that have both."""
-    labels = label_components(keep(spanning(pairs)), keep)
+    labels = label_components(spanning(pairs), keep)
     named = texts.select(run, "folded", F.col(ident).alias("__rep")).join(labels, F.col("__rep") == F.col("node"), "left").select(run, "folded", F.coalesce("component", "__rep").alias("group_id"))
     return claims.withColumn("folded", F.lower(F.trim("statement"))).join(named, [run, "folded"]).drop("folded")
 

@@ -98,6 +98,22 @@ def test_components_hook_whole_trees(spark):
     assert len(rounds) <= 10
 
 
+def test_settled_components_leave_the_rounds(spark):
+    """A path in order among many pairs: the rounds after the first hold what the path comes to, not the pairs."""
+    edges = [(i, i + 1) for i in range(300)] + [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(3000)]
+    sizes = []
+
+    def keep(df):
+        out = session.checkpointed(df)
+        if df.columns == ["node", "component", "next"]:
+            sizes.append(out.count())
+        return out
+
+    got = {r.node: r.component for r in claims.label_components(spark.createDataFrame(edges, "a long, b long"), keep).collect()}
+    assert got == {i: 0 for i in range(301)} | {n: n & ~1 for n in range(10_000, 16_000)}
+    assert 2 < len(sizes) <= 10 and sizes[0] == len(got) and sum(sizes[1:]) < 600
+
+
 def test_cap_falls_on_groups(spark, tmp_path):
     d = written(spark, tmp_path, ["Copies of one statement stand first"] * 50 + [f"zebra{i} lion{i} tiger{i} otter{i} whale{i}" for i in range(60)])
     rows = sorted((r.group_id, r.merged_count) for r in catalog.QUERIES["f18_cap_groups"](spark, d).collect())
