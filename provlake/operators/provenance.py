@@ -20,13 +20,49 @@ def run_counts(runs: DataFrame, children: dict[str, DataFrame], key: str = "run_
 def _listed(child: DataFrame, key: str, name: str) -> DataFrame:
     """key and an ordered array of the child's rows; a run has some tens of them."""
     rest = [c for c in child.columns if c != key]
-    return child.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+    return child.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
+
+
+def _of_run(child: DataFrame, parent: DataFrame, on: str, key: str) -> DataFrame:
+    """child with the key of each run that has its parent, unless it names its run itself."""
+    if key in child.columns:
+        return child
+    return child.join(parent.groupBy(on).agg(F.collect_set(key).alias(key)).withColumn(key, F.explode(key)), on)
+
+
+def _named(rows: Column, field: str, value: Column) -> Column:
+    """The rows of an array in order of a field (nulls first) that have a value there, none for null; in long arrays found by halving."""
+
+    def place(before):
+        def half(x, _):
+            mid = F.shiftright(x["lo"] + x["hi"], 1)
+            right = F.coalesce(before(F.get(rows, mid)[field]), F.lit(True))
+            return F.when(x["lo"] >= x["hi"], x).when(right, F.struct((mid + 1).alias("lo"), x["hi"].alias("hi"))).otherwise(F.struct(x["lo"].alias("lo"), mid.alias("hi")))
+
+        steps = F.sequence(F.lit(1), F.length(F.bin(F.size(rows))))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(rows).alias("hi")), half, lambda x: x["lo"])
+
+    first = place(lambda x: x < value)
+    return F.when(F.size(rows) > 32, F.slice(rows, first + 1, place(lambda x: x <= value) - first)).otherwise(F.filter(rows, lambda x: x[field] == value))
+
+
+#: fixed values: what a document shows of the children of a run, and what it looks up by id
+CHILDREN = {
+    "sources": ["source_id", "title", "url"],
+    "findings": ["finding_id", "statement"],
+    "sub_questions": ["sequence_number", "question"],
+    "contradictions": ["contradiction_id", "id_a", "id_b", "severity", "category"],
+    "conclusions": ["conclusion_id", "statement", "confidence"],
+    "evidence": ["finding_id", "evidence_id", "source_id", "excerpt"],
+    "conclusion_findings": ["conclusion_id", "finding_id"],
+}
 
 
 def run_detail(
-    runs: DataFrame, sources: DataFrame, findings: DataFrame, evidence: DataFrame, key: str = "run_id", *,
+    runs: DataFrame, sources: DataFrame, findings: DataFrame | None = None, evidence: DataFrame | None = None, key: str = "run_id", *,
     sub_questions: DataFrame | None = None, contents: DataFrame | None = None, contradictions: DataFrame | None = None,
     conclusions: DataFrame | None = None, conclusion_findings: DataFrame | None = None, questions: DataFrame | None = None, projects: DataFrame | None = None,
+    gathered: DataFrame | None = None,
 ) -> DataFrame:
     """A nested document for each run (H2): its sources, and its findings with their evidence, in order.
 
@@ -40,32 +76,64 @@ def run_detail(
     project_name by runs.question_id, questions(question_id, question_text, project_id) and
     projects(project_id, project_name), "Unknown ..." where there is none; and counts.
     Children that a run lacks are null, but counted as 0.
+
+    Titles and statements are those of the run's own sources and findings. Each child goes
+    to its run once, and ids are looked up there, in the run's lists; evidence and
+    conclusion_findings that have run_id too need not meet their parents for that.
+    gathered(run_id, a list of rows for each child, named like it) takes the place of the
+    tables of children that lie together already, sources aside.
     """
+    own = [] if gathered is None else [c for c in gathered.columns if c != key]
     if contents is not None:
         first = contents.groupBy("source_id").agg(F.min(F.struct("content_id", "content")).alias("content"))
         sources = sources.join(first, "source_id", "left")
-    titled = evidence.join(sources.select("source_id", "title", "url").dropDuplicates(["source_id"]), "source_id", "left")
-    of_finding = titled.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "source_id", "title", "url", "excerpt"))).alias("evidence"))
-    full = findings.join(of_finding, "finding_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(of_finding.schema["evidence"].dataType)))
-    children = {"sources": sources.select(key, "source_id", "title", "url", *(["content"] if contents is not None else [])), "findings": full.select(key, "finding_id", "statement", "evidence")}
-    if sub_questions is not None:
-        children["sub_questions"] = sub_questions.select(key, "sequence_number", "question")
-    if contradictions is not None:
-        told = lambda s: findings.select(F.col("finding_id").alias(f"id_{s}"), F.col("statement").alias(f"statement_{s}"))
-        children["contradictions"] = contradictions.join(told("a"), "id_a", "left").join(told("b"), "id_b", "left").select(key, "contradiction_id", "id_a", "id_b", "statement_a", "statement_b", "severity", "category")
-    if conclusions is not None:
-        chosen = conclusion_findings.groupBy("conclusion_id").agg(F.array_sort(F.collect_set("finding_id")).alias("finding_ids"))
-        children["conclusions"] = conclusions.join(chosen, "conclusion_id", "left").select(key, "conclusion_id", "statement", "confidence", F.coalesce("finding_ids", F.array().cast(chosen.schema["finding_ids"].dataType)).alias("finding_ids"))
-    out = runs
-    for name, child in children.items():
-        out = out.join(_listed(child, key, name), key, "left")
-    if questions is not None:
+    tables = {"sources": sources, "findings": findings, "sub_questions": sub_questions, "contradictions": contradictions, "conclusions": conclusions}
+    if evidence is not None:
+        tables["evidence"] = _of_run(evidence, findings, "finding_id", key)
+    if conclusion_findings is not None:
+        tables["conclusion_findings"] = _of_run(conclusion_findings, conclusions, "conclusion_id", key)
+    fields = CHILDREN | {"sources": CHILDREN["sources"] + ["content"] * (contents is not None)}
+    out, names = runs, []
+    if questions is not None:  # before the lists, which would move with the names
         named = questions if projects is None else questions.join(projects, "project_id", "left")
+        names = [c for c in named.columns if c != "question_id"]
         out = out.join(named, "question_id", "left").withColumn("question_text", F.coalesce("question_text", F.lit("Unknown Question")))
         if projects is not None:
             out = out.withColumn("project_name", F.coalesce("project_name", F.lit("Unknown Project")))
+    if own:
+        row = lambda c: lambda x: F.struct(*[x[f].alias(f) for f in fields[c]])
+        out = out.join(gathered.select(key, *[F.when(F.size(c) > 0, F.sort_array(F.transform(c, row(c)))).alias(f"__{c}") for c in own]), key, "left")
+    for c, child in tables.items():
+        if child is not None and c not in own:
+            out = out.join(_listed(child.select(key, *fields[c]), key, f"__{c}"), key, "left")
+
+    children = [c for c in CHILDREN if f"__{c}" in out.columns]
+    rows = {c: F.coalesce(f"__{c}", F.array().cast(out.schema[f"__{c}"].dataType)) for c in children}
+    one = lambda c, field, x: F.get(_named(rows[c], field, x), F.lit(0))
+    kept = lambda c, x: [x[f].alias(f) for f in CHILDREN[c]]
+
+    def titled(e):
+        with_source = lambda s: F.struct(e["evidence_id"].alias("evidence_id"), e["source_id"].alias("source_id"), s["title"].alias("title"), s["url"].alias("url"), e["excerpt"].alias("excerpt"))
+        return F.get(F.transform(F.array(one("sources", "source_id", e["source_id"])), with_source), F.lit(0))
+
+    def told(x):
+        statement = lambda s: one("findings", "finding_id", x[f"id_{s}"])["statement"].alias(f"statement_{s}")
+        return F.struct(*kept("contradictions", x)[:3], statement("a"), statement("b"), *kept("contradictions", x)[3:])
+
+    def chosen(x):
+        ids = F.transform(_named(rows["conclusion_findings"], "conclusion_id", x["conclusion_id"]), lambda y: y["finding_id"])
+        return F.struct(*kept("conclusions", x), F.array_distinct(F.filter(ids, lambda y: y.isNotNull())).alias("finding_ids"))
+
+    def evident(x):
+        return F.struct(*kept("findings", x), F.transform(_named(rows["evidence"], "finding_id", x["finding_id"]), titled).alias("evidence"))
+
+    full = {"findings": evident, "contradictions": told, "conclusions": chosen}
+    shown = [c for c in children if c not in ("evidence", "conclusion_findings")]
+    lists = [(F.transform(f"__{c}", full[c]) if c in full else F.col(f"__{c}")).alias(c) for c in shown]
+    asked = ["question_id"] if questions is not None else []
+    out = out.select(*asked, key, *[c for c in runs.columns if c not in (key, *asked)], *lists, *names)
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    counted = [F.when(F.col(c).isNull(), 0).otherwise(n(F.col(c))).alias(c) for c in children]
+    counted = [F.when(F.col(c).isNull(), 0).otherwise(n(F.col(c))).alias(c) for c in shown]
     held = F.when(F.col("findings").isNull(), 0).otherwise(F.aggregate("findings", F.lit(0), lambda total, f: total + F.size(f["evidence"])))
     return out.withColumn("counts", F.struct(*counted, held.alias("evidence")))
 
