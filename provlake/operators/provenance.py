@@ -18,9 +18,9 @@ def run_counts(runs: DataFrame, children: dict[str, DataFrame], key: str = "run_
 
 
 def _listed(child: DataFrame, key: str, name: str) -> DataFrame:
-    """key and an ordered array of the child's rows; a run has some tens of them."""
+    """key and an ordered array of the child's rows; a run has some tens of them. Rows are moved as they are: lists of the few that a task has of a run take more room."""
     rest = [c for c in child.columns if c != key]
-    return child.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
+    return child.repartition(key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
 
 
 def _of_run(child: DataFrame, parent: DataFrame, on: str, key: str) -> DataFrame:
